@@ -154,5 +154,14 @@ def dealt(parts: int, *frames: DataFrame) -> DataFrame:
     return out.repartitionById(parts, F.col("part"))
 
 
-def parts_of(docs: DataFrame) -> int:
-    return shuffle_partitions(docs.sparkSession)
+#: Stored bytes of input for each partition of an exchange. Messages number tasks x partitions, so their count follows the data's size, not a setting.
+PART_BYTES = 10 << 20
+
+
+def parts_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Partitions for an exchange of docs, by Spark's estimate of its size; spark.sql.shuffle.partitions where Spark has none."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return shuffle_partitions(spark)
+    return min(1 << 16, max(spark.sparkContext.defaultParallelism, -(-size // part_bytes)))
