@@ -1,10 +1,394 @@
-"""All registered queries of the filings engine, with their SQL."""
+"""All registered queries of the filings engine, with independent SQL for each.
+
+The views they share are in bind.py; every computed column has the same name in
+both. as-of times are literals, so results don't depend on the day.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..functions import valuation as v
+from ..operators import company, prices, revaluation, screen
+from ..operators.common import top
+from .bind import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FX = 0.6452
+
+# SQL fragments used by several oracles.
+TIER = "case when study_stage in ('DFS', 'Updated DFS', 'Revised DFS', 'FFS') then 'definitive' when study_stage in ('PFS', 'Updated PFS') then 'indicative' else 'conceptual' end"
+BAD = "case when commodity in ('Au', 'Pd', 'Pt') and annual_production > 1000000 then lower(commodity) || '_production_implausible_check_lom' when commodity = 'Ag' and annual_production >= 100 and annual_production < 1000 then 'ag_production_unit_ambiguous' when commodity = 'U3O8' and annual_production >= 20 and annual_production < 100000 then 'u3o8_production_unit_ambiguous' when commodity = 'U3O8' and annual_production > 30000000 then 'u3o8_production_implausible' end"
+FACTOR = "case when commodity in ('Au', 'Pd', 'Pt') and annual_production < 1000 then 1000 when commodity = 'Ag' and annual_production < 100 then 1000000 when commodity = 'U3O8' and annual_production < 20 then 1000000 when commodity = 'Cu' and annual_production < 100 then 1000 else 1 end"
+TAX = "case when tax_rate_pct > 0 and tax_rate_pct < 1 then round_even(tax_rate_pct * 100, 1) else tax_rate_pct end"
+LATEST = "select commodity, arg_max(price_usd, (fetched_at, price_id)) as price_usd, arg_max(price_id, (fetched_at, price_id)) as price_id from commodity_prices where fetched_at <= timestamp '2024-01-29 12:00:00' group by commodity"
+LEGS = f"""select study_id, leg, l.commodity, is_primary, p.price_usd as spot_price, p.price_id as spot_id,
+    case when l.commodity = 'Cu' and deck_price > 100 then deck_price / 2204.62262 else deck_price end as deck,
+    case when {BAD.replace('commodity', 'l.commodity')} is null then annual_production * {FACTOR.replace('commodity', 'l.commodity')} * case when l.commodity = 'Cu' then 2204.62262 else 1 end end as production
+    from study_commodities l left join latest p on p.commodity = l.commodity"""
+RESOLVED = "select *, coalesce(commodity <> 'Ni' and spot_price is not null and production is not null, false) as supported, coalesce(production * deck, 0) as deck_revenue from legs"
+JUNK = "(length(project_name) > 40 or regexp_matches(project_name, '^[a-z]') or regexp_matches(lower(project_name), '^(the|its|it|all|this|that|both|o|details|relates|release|continues|strike|additional|last|upper|further) '))"
+STAGE_RANK = "case stage when 'production' then 1 when 'care_and_maintenance' then 2 when 'development' then 3 when 'feasibility' then 4 when 'advanced_exploration' then 5 when 'exploration' then 6 else 7 end"
+TRANSIENT = "regexp_matches(lower(coalesce(parse_error, '')), '429|resource_exhausted|503|overloaded|500|timeout|deadline|connection|network|download_failed|temporarily')"
+
+
+def _day(text: str = "2001-09-01") -> Column:
+    return F.lit(text).cast("date")
+
+
+def _now() -> Column:
+    return F.lit("2024-01-29 12:00:00").cast("timestamp")
+
+
+def query(sql: str) -> Callable:
+    def add(f: Callable) -> Callable:
+        name = f.__name__
+        QUERIES[name] = f
+        ORACLE_SQL[name] = with_views(sql)
+        return f
+
+    return add
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    return revaluation.resolve_legs(view(s, d, "study_commodities"), prices.latest_price(view(s, d, "commodity_prices"), _now()))
+
+
+@query(f"""with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}),
+    sums as (select study_id, sum(case when supported then production * (spot_price - deck) else 0 end) as delta_revenue, count(*) filter (where supported) as n_supported from resolved group by study_id),
+    maths as (select s.*, n_supported, delta_revenue, round_even((1 - pow(1 + discount_rate_pct / 100, -mine_life_years)) / (discount_rate_pct / 100), 4) as annuity, coalesce({TAX}, 30.0) as tax_used, {TIER} as tier from studies s join sums using (study_id) where n_supported > 0 and post_tax_npv is not null),
+    moved as (select *, delta_revenue * annuity * (1 - tax_used / 100) / 1e6 / case when reporting_currency = 'AUD' then {FX} else 1 end as delta_npv from maths where tier <> 'conceptual')
+    select study_id, project_id, reporting_currency, n_supported, annuity, tax_used, round(post_tax_npv + delta_npv, 2) as npv_spot, round(delta_npv, 2) as npv_uplift,
+    concat_ws('; ', case when abs(delta_npv / abs(post_tax_npv)) > 5 then 'extreme_uplift_check_inputs' end, case when tax_rate_pct is null then 'tax_rate_defaulted' end, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled' end,
+        case when date_diff('day', study_date, date '2001-09-01') / 365.25 > 3 then 'stale_study' end, 'royalty_not_netted_uplift_gross_of_royalties') as warnings from moved""")
+def revalue_basket(s: SparkSession, d: str) -> DataFrame:
+    studies = view(s, d, "studies").withColumn("tier", v.tier_of(F.col("study_stage"))).where("tier <> 'conceptual' and post_tax_npv is not null")
+    out = revaluation.basket(studies, _resolved(s, d), F.lit(FX), _day())
+    return out.select("study_id", "project_id", "reporting_currency", "n_supported", "annuity", "tax_used", F.round("npv_spot", 2).alias("npv_spot"), F.round("delta_npv", 2).alias("npv_uplift"), "warnings")
+
+
+@query(f"""with checked as (select study_id, count(*) as legs, count(*) filter (where commodity <> 'Ni') as supported, min({BAD}) as bad from study_commodities group by study_id)
+    select s.study_id, {TIER} as tier, case when header_tier = 'conceptual' then 'header_conceptual' when {TIER} = 'conceptual' then 'tier_not_eligible' when post_tax_npv is null then 'missing_fields' when legs is null then 'no_legs' when bad is not null then bad when supported = 0 then 'no_supported_leg' end as reason
+    from studies s left join checked c on c.study_id = s.study_id""")
+def reval_gate(s: SparkSession, d: str) -> DataFrame:
+    return revaluation.gate(view(s, d, "studies"), view(s, d, "study_commodities")).select("study_id", "tier", "reason")
+
+
+@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, leg, commodity, supported, spot_id, round(deck, 6) as deck, round(production, 2) as production from resolved")
+def resolve_legs(s: SparkSession, d: str) -> DataFrame:
+    return _resolved(s, d).select("study_id", "leg", "commodity", "supported", "spot_id", F.round("deck", 6).alias("deck"), F.round("production", 2).alias("production"))
+
+
+@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, round_even(sum(case when supported then deck_revenue else 0 end) / sum(deck_revenue) * 100, 1) as coverage_pct, count(*) filter (where not supported) as unsupported_legs from resolved group by study_id having sum(deck_revenue) > 0 union all select study_id, 100.0, count(*) filter (where not supported) from resolved group by study_id having sum(deck_revenue) <= 0")
+def coverage(s: SparkSession, d: str) -> DataFrame:
+    return revaluation.coverage(_resolved(s, d))
+
+
+@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, leg, commodity from (select *, row_number() over (partition by study_id order by is_primary desc, leg) as r from resolved where supported) where r = 1")
+def representative_leg(s: SparkSession, d: str) -> DataFrame:
+    return revaluation.representative_leg(_resolved(s, d)).select("study_id", "leg", "commodity")
+
+
+@query("select project_id, count(distinct commodity) as n_commodities, count(distinct commodity) > 1 as multi from (select project_id, commodity from studies join study_commodities using (study_id) union select project_id, commodity from resources) group by project_id")
+def distinct_commodities(s: SparkSession, d: str) -> DataFrame:
+    own = view(s, d, "studies").join(view(s, d, "study_commodities"), "study_id").select("project_id", "commodity")
+    return revaluation.distinct_commodities(own, view(s, d, "resources"))
+
+
+@query("select distinct discount_rate_pct, mine_life_years, round_even((1 - pow(1 + discount_rate_pct / 100, -mine_life_years)) / (discount_rate_pct / 100), 4) as annuity from studies")
+def annuity(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").select("discount_rate_pct", "mine_life_years").distinct().withColumn("annuity", v.annuity(F.col("discount_rate_pct"), F.col("mine_life_years")))
+
+
+@query(f"select study_id, {TAX} as tax, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled' end as warning from studies")
+def tax_norm(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").select("study_id", v.tax_rate(F.col("tax_rate_pct")).alias("tax"), v.tax_warning(F.col("tax_rate_pct")).alias("warning"))
+
+
+@query(f"select study_id, leg, cast({FACTOR} as int) as factor, {BAD} as error from study_commodities")
+def production_magnitude(s: SparkSession, d: str) -> DataFrame:
+    metal, made = F.col("commodity"), F.col("annual_production")
+    return view(s, d, "study_commodities").select("study_id", "leg", v.production_factor(metal, made).alias("factor"), v.production_error(metal, made).alias("error"))
+
+
+@query("select study_id, round(case when date_diff('day', study_date, date '2001-09-01') > 0 then greatest(mine_life_years - date_diff('day', study_date, date '2001-09-01') / 365.25, 0.0) else mine_life_years end, 4) as remaining from studies")
+def remaining_life(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").select("study_id", F.round(v.remaining_life(F.col("mine_life_years"), v.elapsed_years(F.col("study_date"), _day())), 4).alias("remaining"))
+
+
+@query("select study_id, round(date_diff('day', study_date, date '2001-09-01') / 365.25, 4) as age, date_diff('day', study_date, date '2001-09-01') / 365.25 > 3 as stale from studies")
+def study_age(s: SparkSession, d: str) -> DataFrame:
+    age = F.datediff(_day(), F.col("study_date")) / 365.25
+    return view(s, d, "studies").select("study_id", F.round(age, 4).alias("age"), (age > 3).alias("stale"))
+
+
+@query(f"select study_stage, {TIER} as tier, count(*) as n from studies group by all")
+def tier_map(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").groupBy("study_stage", v.tier_of(F.col("study_stage")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query(LATEST)
+def latest_price(s: SparkSession, d: str) -> DataFrame:
+    return prices.latest_price(view(s, d, "commodity_prices"), _now()).select("commodity", "price_usd", "price_id")
+
+
+@query("""with l as (select * from commodity_prices where commodity = 'Ag'), r as (select series, fetched_at, arg_max(price_usd, price_id) as spot from commodity_prices where commodity = 'Au' group by all)
+    select l.price_id, l.series, l.price_usd, r.spot from l asof join r on l.series = r.series and l.fetched_at >= r.fetched_at""")
+def asof_align(s: SparkSession, d: str) -> DataFrame:
+    p = view(s, d, "commodity_prices")
+    right = p.where("commodity = 'Au'").groupBy("series", "fetched_at").agg(F.max_by("price_usd", "price_id").alias("spot"))
+    left = p.where("commodity = 'Ag'").select("price_id", "series", "price_usd", "fetched_at")
+    return prices.asof_align(left, right, ["series"], "fetched_at", "spot").select("price_id", "series", "price_usd", "spot")
+
+
+DAILY = "select commodity, cast(fetched_at as date) as day, arg_max(price_usd, (fetched_at, price_id)) as close from commodity_prices group by all"
+
+
+@query(f"with daily as ({DAILY}) select commodity, cast(date_trunc('week', day) as date) as week, arg_max(close, day) as close from daily group by all")
+def range_window(s: SparkSession, d: str) -> DataFrame:
+    return prices.weekly(prices.daily_close(view(s, d, "commodity_prices")))
+
+
+@query(f"with daily as ({DAILY}) select commodity, day, close, round(close / first_value(close) over (partition by commodity order by day) * 100, 4) as rebased from daily")
+def rebase_100(s: SparkSession, d: str) -> DataFrame:
+    return prices.rebase(prices.daily_close(view(s, d, "commodity_prices"))).withColumn("rebased", F.round("rebased", 4))
+
+
+ACTIVE = f"select p.*, project_id in (select project_id from studies) as has_study from projects p where project_id in (select project_id from studies) or (project_id in (select project_id from resources) and not {JUNK})"
+
+
+def _active(s: SparkSession, d: str) -> DataFrame:
+    return screen.active_projects(view(s, d, "projects"), view(s, d, "studies"), view(s, d, "resources"))
+
+
+@query(f"select project_id, company_id, has_study from ({ACTIVE})")
+def active_projects(s: SparkSession, d: str) -> DataFrame:
+    return _active(s, d).select("project_id", "company_id", "has_study")
+
+
+@query(f"select project_id, study_id, study_stage, tier from (select *, row_number() over (partition by project_id order by study_date desc nulls last, case tier when 'definitive' then 0 when 'indicative' then 1 else 2 end, study_id desc) as r from (select *, {TIER} as tier from studies)) where r = 1")
+def latest_study(s: SparkSession, d: str) -> DataFrame:
+    return screen.latest_study(view(s, d, "studies")).select("project_id", "study_id", "study_stage", "tier")
+
+
+@query(f"select company_id, study_id, study_stage, study_date from (select *, row_number() over (partition by company_id order by study_date desc nulls last, case tier when 'definitive' then 0 when 'indicative' then 1 else 2 end, study_id desc) as r from (select *, {TIER} as tier from studies)) where r = 1")
+def company_latest_study(s: SparkSession, d: str) -> DataFrame:
+    return screen.latest_study(view(s, d, "studies"), "company_id").select("company_id", "study_id", "study_stage", "study_date")
+
+
+ROLLUP = f"""with active as ({ACTIVE}), total as (select company_id, count(*) as n_projects from projects group by company_id),
+    live as (select company_id, count(*) as n_active, count(*) filter (where has_study) as n_with_study, coalesce(array_to_string(list_sort(list(distinct country) filter (where country is not null)), ','), '') as countries, arg_min(stage, {STAGE_RANK}) as most_advanced from active group by company_id)
+    select c.ticker, n_projects, n_active, n_with_study, countries, most_advanced from companies c join live l on l.company_id = c.company_id left join total t on t.company_id = c.company_id"""
+
+
+def _rollup(s: SparkSession, d: str) -> DataFrame:
+    return screen.company_rollup(view(s, d, "companies"), view(s, d, "projects"), _active(s, d)).select("ticker", "n_projects", "n_active", "n_with_study", "countries", "most_advanced")
+
+
+@query(ROLLUP)
+def company_rollup(s: SparkSession, d: str) -> DataFrame:
+    return _rollup(s, d)
+
+
+@query(ROLLUP + " order by n_active desc nulls last, ticker limit 200")
+def screen_rank(s: SparkSession, d: str) -> DataFrame:
+    return screen.rank_screen(_rollup(s, d), "n_active")
+
+
+@query(ROLLUP + " where most_advanced = 'production' and list_contains(string_split(countries, ','), 'Australia')")
+def screen_filter(s: SparkSession, d: str) -> DataFrame:
+    return _rollup(s, d).where((F.col("most_advanced") == "production") & F.array_contains(F.split("countries", ","), "Australia"))
+
+
+@query("select ticker, company_name from companies where contains(lower(ticker), 't12') or contains(lower(company_name), 't12') order by starts_with(lower(ticker), 't12') desc, ticker limit 8")
+def screen_search(s: SparkSession, d: str) -> DataFrame:
+    hit = F.lower("ticker").contains("t12") | F.lower("company_name").contains("t12")
+    return view(s, d, "companies").where(hit).orderBy(F.desc(F.lower("ticker").startswith("t12")), "ticker").limit(8).select("ticker", "company_name")
+
+
+@query("select 'country' as facet, country as value, count(*) as n from projects where country is not null group by all union all select 'commodity', commodity, count(*) from study_commodities group by all")
+def screen_facets(s: SparkSession, d: str) -> DataFrame:
+    a = view(s, d, "projects").where("country is not null").groupBy(F.lit("country").alias("facet"), F.col("country").alias("value")).agg(F.count("*").alias("n"))
+    return a.unionByName(view(s, d, "study_commodities").groupBy(F.lit("commodity").alias("facet"), F.col("commodity").alias("value")).agg(F.count("*").alias("n")))
+
+
+@query("select stage, count(*) as n from projects group by stage")
+def stage_profile(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "projects").groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("select study_id, case when a <= 1.5 then 'fresh' when a <= 3 then 'ageing' else 'stale' end as bucket from (select study_id, date_diff('day', study_date, date '2001-09-01') / 365.25 as a from studies)")
+def age_bucket(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").select("study_id", screen.age_bucket(F.datediff(_day(), F.col("study_date")) / 365.25).alias("bucket"))
+
+
+@query("select company_id, financial_id, effective_date, 'Q' || quarter(effective_date) || ' ' || year(effective_date) as quarter, cash, abs(burn) as abs_burn from company_financials where doc_type = 'appendix_5b' and cash is not null")
+def cash_history(s: SparkSession, d: str) -> DataFrame:
+    return company.cash_history(view(s, d, "company_financials"))
+
+
+@query("select company_id, financial_id, round(case when cash <> 0 and burn > 0 then cash / burn end, 4) as quarters from (select *, row_number() over (partition by company_id order by effective_date desc, financial_id desc) as r from company_financials) where r = 1")
+def runway(s: SparkSession, d: str) -> DataFrame:
+    return company.financials_latest(view(s, d, "company_financials")).select("company_id", "financial_id", F.round(v.runway_quarters(F.col("cash"), F.col("burn")), 4).alias("quarters"))
+
+
+@query("select company_id, financial_id, effective_date, cash, burn from (select *, row_number() over (partition by company_id order by effective_date desc, financial_id desc) as r from company_financials) where r = 1")
+def financials_latest(s: SparkSession, d: str) -> DataFrame:
+    return company.financials_latest(view(s, d, "company_financials")).select("company_id", "financial_id", "effective_date", "cash", "burn")
+
+
+@query("select financial_id, case when sign(burn) = sign(prior) and abs(burn) > abs(prior) then 'up' when sign(burn) = sign(prior) and abs(burn) < abs(prior) then 'down' end as trend from (select *, lag(burn) over (partition by company_id order by effective_date, financial_id) as prior from company_financials where burn is not null and burn <> 0)")
+def burn_trend(s: SparkSession, d: str) -> DataFrame:
+    return company.burn_trend(view(s, d, "company_financials")).select("financial_id", "trend")
+
+
+@query("select financial_id, round(burn / max(burn) over (partition by company_id), 6) as share from company_financials where burn > 0")
+def burn_share(s: SparkSession, d: str) -> DataFrame:
+    return company.burn_share(view(s, d, "company_financials")).select("financial_id", F.round("share", 6).alias("share"))
+
+
+@query("""with p as (select *, arg_max({'c': cash, 'b': burn}, {'d': effective_date, 'i': financial_id}) over (partition by company_id order by financial_id rows between unbounded preceding and 1 preceding) as p from company_financials)
+    select financial_id, concat_ws('; ', case when cash is null then 'missing_cash' end, case when burn is null then 'missing_burn' end, case when p.c <> 0 and abs(cash - p.c) / abs(p.c) > 0.5 then 'cash_changed' end, case when p.b <> 0 and abs(burn - p.b) / abs(p.b) > 0.5 then 'burn_changed' end) as reason from p""")
+def snapshot_review_flags(s: SparkSession, d: str) -> DataFrame:
+    return company.review_flags(view(s, d, "company_financials")).select("financial_id", "reason")
+
+
+@query("select study_id, concat_ws('; ', case when pre_tax_npv is null then 'missing_pre_tax_npv' end, case when post_tax_npv is null then 'missing_post_tax_npv' end, case when pre_tax_npv <> 0 and post_tax_npv >= pre_tax_npv then 'post_tax_npv_ge_pre_tax_npv' when pre_tax_npv <> 0 and (1 - post_tax_npv / pre_tax_npv < 0.2 or 1 - post_tax_npv / pre_tax_npv > 0.45) then 'implied_tax_gap_out_of_band' end, case when tax_rate_pct is null then 'missing_tax_rate' end) as reason from studies")
+def study_review_flags(s: SparkSession, d: str) -> DataFrame:
+    return company.study_flags(view(s, d, "studies")).select("study_id", "reason")
+
+
+@query("select study_id from studies where coalesce(post_tax_npv, pre_tax_npv) is not null and initial_capex is not null")
+def minimum_data(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").where(F.coalesce("post_tax_npv", "pre_tax_npv").isNotNull() & F.col("initial_capex").isNotNull()).select("study_id")
+
+
+@query("select study_id, case when study_date <= date '2000-01-01' then study_date end as study_date from studies")
+def future_date_discard(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").select("study_id", F.when(F.col("study_date") <= _day("2000-01-01"), F.col("study_date")).alias("study_date"))
+
+
+@query(f"select project_id, project_name, {JUNK} as junk from projects")
+def junk_names(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "projects").select("project_id", "project_name", t.is_junk_name(F.col("project_name")).alias("junk"))
+
+
+@query(f"select study_id, coalesce(header_tier = 'conceptual' and {TIER} <> 'conceptual', false) as mismatch from studies")
+def header_mismatch(s: SparkSession, d: str) -> DataFrame:
+    odd = screen.tier_rank(F.col("header_tier")) > screen.tier_rank(v.tier_of(F.col("study_stage")))
+    return view(s, d, "studies").select("study_id", (F.col("header_tier").isNotNull() & odd & (F.col("header_tier") == "conceptual")).alias("mismatch"))
+
+
+@query("select financial_id, case review_reason when 'missing:cash; npv_ge_pre' then 'npv_ge_pre' when 'implied_tax_gap:0.6;change' then 'implied_tax_gap:0.6' else '' end as kept from company_financials")
+def npv_reasons(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "company_financials").select("financial_id", t.npv_reasons(F.col("review_reason")).alias("kept"))
+
+
+@query("select financial_id from company_financials where strftime(effective_date, '%m-%d') not in ('03-31', '06-30', '09-30', '12-31')")
+def bad_quarter_ends(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "company_financials").where(~F.date_format("effective_date", "MM-dd").isin("03-31", "06-30", "09-30", "12-31")).select("financial_id")
+
+
+@query("select project_id, resource_id from (select *, rank() over (partition by project_id order by effective_date desc) as r from resources) where r = 1")
+def latest_resources(s: SparkSession, d: str) -> DataFrame:
+    return company.latest_resource_set(view(s, d, "resources")).select("project_id", "resource_id")
+
+
+@query("select project_id, study_id from (select *, row_number() over (partition by project_id order by study_date > date '2000-01-01', study_date desc nulls last, study_id desc) as r from studies) where r = 1")
+def displayed_study(s: SparkSession, d: str) -> DataFrame:
+    return company.displayed_study(view(s, d, "studies"), _day("2000-01-01")).select("project_id", "study_id")
+
+
+@query("""with r as (select distinct project_id from resources), st as (select project_id, max(case when post_tax_npv is not null then 1 else 0 end) as npv, max(case when mine_life_years is not null and study_id % 2 = 0 then 1 else 0 end) as made from studies group by project_id)
+    select p.project_id, round(case when r.project_id is not null then 0.2 else 0 end + case when country is not null then 0.05 else 0 end + case when stage in ('feasibility', 'development', 'production') then 0.1 else 0 end + case when st.project_id is not null then 0.2 else 0 end + case when made = 1 then 0.15 else 0 end + case when npv = 1 then 0.15 else 0 end, 2)::double as score
+    from projects p left join r on r.project_id = p.project_id left join st on st.project_id = p.project_id""")
+def completeness(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "resources").select("project_id").distinct().withColumn("has_resources", F.lit(True))
+    st = view(s, d, "studies").groupBy("project_id").agg(F.lit(True).alias("has_study"), F.bool_or(F.col("post_tax_npv").isNotNull()).alias("has_study_npv"), F.bool_or(F.col("mine_life_years").isNotNull() & (F.col("study_id") % 2 == 0)).alias("study_has_production")).withColumnRenamed("has_study_npv", "study_has_npv")
+    p = view(s, d, "projects").join(r, "project_id", "left").join(st, "project_id", "left")
+    p = p.withColumns({"has_primary_commodity": F.col("country").isNotNull(), "stage_is_advanced": F.col("stage").isin("feasibility", "development", "production"), "has_revaluation": F.lit(False)})
+    return company.completeness(p).select("project_id", "score")
+
+
+@query(f"""with best as (select project_id, min(case when {TIER} in ('definitive', 'indicative') then 4 else 5 end) as f from studies group by project_id), k as (select p.project_id, stage, {STAGE_RANK} as r, f from projects p left join best b on b.project_id = p.project_id)
+    select project_id, stage, case least(r, f) when 1 then 'production' when 2 then 'care_and_maintenance' when 3 then 'development' when 4 then 'feasibility' when 5 then 'advanced_exploration' when 6 then 'exploration' else 'unknown' end as new_stage, coalesce(f < r, false) as floor_won from k""")
+def study_floor(s: SparkSession, d: str) -> DataFrame:
+    return company.floor_stages(view(s, d, "projects"), view(s, d, "studies"))
+
+
+@query(f"select project_id, min(case {TIER} when 'definitive' then 0 when 'indicative' then 1 else 2 end) as best from studies group by project_id")
+def best_tier(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "studies").groupBy("project_id").agg(F.min(screen.tier_rank(v.tier_of(F.col("study_stage")))).alias("best"))
+
+
+@query(f"select document_id, case when header is null then null when regexp_matches(lower(header), '\\b(scoping|pea)\\b') then 'conceptual' when regexp_matches(lower(header), '\\b(pre[-\\s]?feasibility|prefeasibility|pfs)\\b') then 'indicative' when regexp_matches(lower(header), '\\b(definitive\\s+feasibility|dfs|bfs|bankable\\s+feasibility|feasibility\\s+study)\\b') then 'definitive' end as tier from filings")
+def header_tier(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").select("document_id", t.header_tier(F.col("header")).alias("tier"))
+
+
+@query("select document_id, case " + " ".join(f"when regexp_matches(lower(header), '{'|'.join(p)}') then '{n}'" for n, p in t.HEADLINE_TYPES) + " when contains(lower(header), 'feasibility study') then 'study_dfs' else 'other' end as doc_type from filings")
+def headline_class(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").select("document_id", t.headline_type(F.col("header")).alias("doc_type"))
+
+
+@query(f"select document_id, case when {TRANSIENT} then 'transient' else 'permanent' end as failure_class from filings")
+def failure_class(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").select("document_id", t.failure_class(F.col("parse_error")).alias("failure_class"))
+
+
+@query(f"""with f as (select *, {TRANSIENT} as tr from filings where parse_error is not null)
+    select document_id, case when tr then 'transient' else 'permanent' end as failure_class, case when tr and retry_count < 5 then 'retry_scheduled' else 'failed' end as new_status, case when tr and retry_count < 5 then retry_count + 1 else retry_count end as new_count,
+    case when tr and retry_count < 5 then cast(least(pow(2, retry_count), 24) as int) end as wait_hours, case when tr and retry_count >= 5 then parse_error || ':retries_exhausted' else parse_error end as new_error from f""")
+def failure_transition(s: SparkSession, d: str) -> DataFrame:
+    return company.apply_failures(view(s, d, "filings"))
+
+
+@query("select document_id, ticker from filings where parse_status = 'classified' or (parse_status = 'retry_scheduled' and due_in_hours <= 24)")
+def due_documents(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").where("parse_status = 'classified' or (parse_status = 'retry_scheduled' and due_in_hours <= 24)").select("document_id", "ticker")
+
+
+@query("select document_id, sha256(upper(ticker) || ':' || cast(document_id as varchar)) as key from filings")
+def content_key(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").select("document_id", F.sha2(F.concat_ws(":", F.upper("ticker"), F.col("document_id").cast("string")), 256).alias("key"))
+
+
+@query(f"select count(*) as total, count(*) filter (where parse_status = 'parsed') as parsed, count(*) filter (where parse_status = 'failed') as failed, count(*) filter (where parse_status = 'pending') as pending, count(*) filter (where parse_status = 'classified') as classified, count(*) filter (where parse_status = 'skipped') as skipped, count(*) filter (where parse_status = 'failed' and {TRANSIENT}) as failed_transient, count(*) filter (where parse_status = 'retry_scheduled' and due_in_hours <= 24) as due_now, min(due_in_hours) filter (where parse_status = 'retry_scheduled') as next_due from filings")
+def ingest_health(s: SparkSession, d: str) -> DataFrame:
+    return company.ingest_health(view(s, d, "filings"), 24)
+
+
+@query("""with f as (select string_split_regex(coalesce(parse_error, 'none'), '[:(]') as p from filings where parse_status = 'failed')
+    select case when trim(p[1]) in ('study_parse_error', 'llm_api_error') and coalesce(trim(p[2]), '') <> '' then trim(p[1]) || ':' || substr(trim(p[2]), 1, 40) else substr(trim(p[1]), 1, 60) end as bucket, count(*) as count from f group by 1 order by 2 desc, 1 limit 25""")
+def error_buckets(s: SparkSession, d: str) -> DataFrame:
+    return company.error_buckets(view(s, d, "filings"))
+
+
+@query("select c.ticker, count(f.document_id) as n_docs, count(f.document_id) filter (where parse_status = 'parsed') as n_parsed from companies c left join filings f on f.ticker = c.ticker group by c.ticker")
+def company_doc_counts(s: SparkSession, d: str) -> DataFrame:
+    return company.company_doc_counts(view(s, d, "companies"), view(s, d, "filings"))
+
+
+@query("select parse_status, count(*) as n, count(distinct ticker) as tickers from filings where contains(lower(header), 'resource') group by parse_status")
+def type_diagnosis(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").where(F.lower("header").contains("resource")).groupBy("parse_status").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"))
+
+
+@query("select document_id, ticker, parse_status from filings where parse_status = 'parsed' and ticker in ('T1', 'T12', 'T13')")
+def documents_filtered(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "filings").where((F.col("parse_status") == "parsed") & F.col("ticker").isin("T1", "T12", "T13")).orderBy("ticker", F.desc("document_id")).select("document_id", "ticker", "parse_status")
+
+
+@query("select ticker, document_id from (select *, row_number() over (partition by ticker order by document_id desc) as r from filings) where r <= 10")
+def activity_feed(s: SparkSession, d: str) -> DataFrame:
+    return top(view(s, d, "filings"), ["ticker"], [F.desc("document_id")], 10).select("ticker", "document_id")
+
+
+@query("select project_id, study_stage, study_id from (select *, row_number() over (partition by project_id, study_stage, post_tax_npv order by study_id) as r from studies) where r = 1")
+def dedup_studies(s: SparkSession, d: str) -> DataFrame:
+    return top(view(s, d, "studies"), ["project_id", "study_stage", "post_tax_npv"], [F.col("study_id")]).select("project_id", "study_stage", "study_id")
