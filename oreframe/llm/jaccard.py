@@ -242,6 +242,31 @@ def _linker(num: int, den: int) -> Callable:
     return run
 
 
+def _ask(placed: DataFrame, link: Callable, part_size: int, num: int, den: int, star: bool) -> DataFrame:
+    """Links between entities and groups that share a prefix shingle, fit in size and are of higher rank (hold a larger component) than the entity.
+
+    With star an entity asks, for each shingle, only the group of the highest rank: rows
+    in proportion to the shingles, which join most of what links before all groups are asked.
+    """
+    prefix = placed.select("entity", "g", "sub", "rank", "n", F.size("tokens").alias("size"), F.posexplode("prefix").alias("i", "t")).withColumn("rest", F.col("size") - F.col("i")).drop("i", "size")
+    mixed = prefix.groupBy("t").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("t", "high")
+    # sizes of linked sets are in the same or in neighbouring classes
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
+    entries = checkpointed(prefix.join(mixed.hint("merge"), "t").withColumn("level", level))
+    cell = entries.groupBy("t", "level", "g", "sub").agg(F.max("rank").alias("top"), F.max("high").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most"))
+    if star:
+        cell = cell.where("top = high").groupBy("t").agg(F.min(F.struct("level", "g", "sub", "top", "least", "most")).alias("x")).select("t", "x.*")
+    near = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))
+    cell = cell.select("t", near.alias("level"), F.col("g").alias("to_g"), F.col("sub").alias("to_sub"), "top", "least", "most")
+    fits = (F.col("top") > F.col("rank")) & ((F.col("g") != F.col("to_g")) | (F.col("sub") != F.col("to_sub"))) & (F.least("rest", "most") * (num + den) >= num * (F.col("n") + F.col("least")))
+    wanted = checkpointed(entries.where("rank < high").join(cell.hint("merge"), ["t", "level"]).where(fits).select("entity", "to_g", "to_sub").distinct())
+    load = wanted.groupBy("to_g", "to_sub").agg(F.ceil(F.count("*") / (4 * part_size)).alias("turns"))
+    columns = ["g", "sub", "turn", "entity", "n", "tokens", "component", "asks"]
+    askers = wanted.join(load, ["to_g", "to_sub"]).join(placed.select("entity", "n", "tokens", "component"), "entity").select(F.col("to_g").alias("g"), F.col("to_sub").alias("sub"), F.pmod(F.xxhash64("entity"), F.col("turns")).alias("turn"), "entity", "n", "tokens", "component", F.lit(True).alias("asks"))
+    asked = placed.join(load.withColumnsRenamed({"to_g": "g", "to_sub": "sub"}), ["g", "sub"]).withColumns({"turn": F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)), "asks": F.lit(False)})
+    return askers.select(*columns).unionByName(asked.select(*columns)).groupBy("g", "sub", "turn").applyInArrow(link, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (3, 4), part_size: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; others are ignored).
 
@@ -260,9 +285,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     active = table.where("need is not null").select("entity", "n", "need", "tokens")
 
     counted = active.select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 8")
-    often = counted.orderBy(F.desc("count"), "t").limit(MOST_FREQUENT).collect()  # bounded: MOST_FREQUENT rows
-    often.sort(key=lambda r: r[0])
-    frequent = spark.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)))
+    often = counted.orderBy(F.desc("count"), "t").limit(MOST_FREQUENT).toArrow().sort_by("t")  # bounded: MOST_FREQUENT rows of 16 bytes
+    frequent = spark.sparkContext.broadcast((often["t"].to_numpy(), often["count"].to_numpy()))
     ready = active.mapInArrow(_prefixes(frequent), "entity long, n long, need long, tokens array<long>, prefix array<long>, g long")
     per_group = ready.groupBy("g").agg(F.count("*").alias("members"), F.min("entity").alias("leader"))
     ready = checkpointed(ready.join(per_group, "g").withColumn("subs", F.ceil(F.col("members") / part_size)).withColumn("sub", F.pmod(F.xxhash64("entity"), F.col("subs"))))
@@ -272,22 +296,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     own = ready.where("members > 1").withColumns({"component": F.col("entity"), "asks": F.lit(False)})
     leaders = own.where("entity = leader and subs > 1").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).where("at <> sub").drop("sub").withColumnRenamed("at", "sub")
     links = checkpointed(own.select(*shape).unionByName(leaders.select(*shape)).groupBy("g", "sub").applyInArrow(link, "a long, b long"))
+    # before components are known, the larger group counts as the larger component
+    alone = ready.withColumns({"component": F.col("entity"), "rank": F.struct(F.col("members").alias("c"), F.col("g").alias("k"))})
+    links = checkpointed(links.unionByName(_ask(alone, link, part_size, num, den, True)))
     components = connected_components(links)
-    sizes = components.groupBy("component").count()
-    labels = checkpointed(components.join(sizes, "component").select(F.col("v").alias("entity"), "component", "count"))
-
-    placed = ready.join(labels, "entity", "left").withColumns({"component": F.coalesce("component", "entity"), "rank": F.struct(F.coalesce("count", F.lit(1)).alias("c"), F.coalesce("component", "entity").alias("k"))})
-    entries = checkpointed(placed.select("entity", "g", "sub", "rank", F.explode("prefix").alias("t")))
-    rare = entries.groupBy("t").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("t")
-    entries = entries.join(rare, "t", "left_semi")
-    matrix = entries.groupBy("t", "g", "sub").agg(F.max("rank").alias("top"))
-    wanted = entries.join(matrix.select("t", F.col("g").alias("to_g"), F.col("sub").alias("to_sub"), "top"), "t").where("top > rank and (g <> to_g or sub <> to_sub)").select("entity", "to_g", "to_sub").distinct()
-    wanted = checkpointed(wanted)
-    load = wanted.groupBy("to_g", "to_sub").agg(F.ceil(F.count("*") / (4 * part_size)).alias("turns"))
-    askers = wanted.join(load, ["to_g", "to_sub"]).join(placed.select("entity", "n", "tokens", "component"), "entity").select(F.col("to_g").alias("g"), F.col("to_sub").alias("sub"), F.pmod(F.xxhash64("entity"), F.col("turns")).alias("turn"), "entity", "n", "tokens", "component", F.lit(True).alias("asks"))
-    asked = placed.join(load.withColumnsRenamed({"to_g": "g", "to_sub": "sub"}), ["g", "sub"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).select("g", "sub", "turn", "entity", "n", "tokens", "component", F.lit(False).alias("asks"))
-    more = askers.unionByName(asked).groupBy("g", "sub", "turn").applyInArrow(link, "a long, b long")
-    final = connected_components(links.unionByName(more))
+    labels = components.join(components.groupBy("component").count().hint("merge"), "component").select(F.col("v").alias("entity"), "component", "count")
+    placed = checkpointed(ready.join(labels.hint("merge"), "entity", "left").withColumns({"component": F.coalesce("component", "entity"), "rank": F.struct(F.coalesce("count", F.lit(1)).alias("c"), F.coalesce("component", "entity").alias("k"))}))
+    final = connected_components(links.unionByName(_ask(placed, link, part_size, num, den, False)))
 
     by_entity = documents.groupBy("entity").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
     rooted = by_entity.where("size > 0").join(final.withColumnRenamed("v", "entity"), "entity", "left").withColumn("root", F.coalesce("component", "entity"))
