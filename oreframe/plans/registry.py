@@ -79,9 +79,9 @@ def reval_gate(s: SparkSession, d: str) -> DataFrame:
     return revaluation.gate(view(s, d, "studies"), view(s, d, "study_commodities")).select("study_id", "tier", "reason")
 
 
-@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, leg, commodity, supported, spot_id, round(deck, 6) as deck, round(production, 2) as production from resolved")
+@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, leg, commodity, supported, spot_id, deck, production from resolved")
 def resolve_legs(s: SparkSession, d: str) -> DataFrame:
-    return _resolved(s, d).select("study_id", "leg", "commodity", "supported", "spot_id", F.round("deck", 6).alias("deck"), F.round("production", 2).alias("production"))
+    return _resolved(s, d).select("study_id", "leg", "commodity", "supported", "spot_id", "deck", "production")
 
 
 @query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, round_even(sum(case when supported then deck_revenue else 0 end) / sum(deck_revenue) * 100, 1) as coverage_pct, count(*) filter (where not supported) as unsupported_legs from resolved group by study_id having sum(deck_revenue) > 0 union all select study_id, 100.0, count(*) filter (where not supported) from resolved group by study_id having sum(deck_revenue) <= 0")
