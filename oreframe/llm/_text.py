@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text hashed at once.
+HASH_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -46,22 +48,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(n, HASH_BYTES + (1 << 16))
         out = np.full(size, base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        if size > 4 * CHUNK_BYTES:  # one giant document: not kept
+        if size > 4 * HASH_BYTES:  # one giant word: not kept
             return out
         _POWERS[base] = have = out
     return have
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end]; equal bytes have equal hashes."""
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _powers(_BASE, len(data))[: len(data)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _powers(_BASE_INV, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """64-bit hash of each data[start:end], in order of start; equal bytes have equal hashes. Worked out for HASH_BYTES of data at a time, to bound memory."""
+    out = np.empty(len(starts), np.uint64)
+    cut = np.concatenate(([0], np.searchsorted(starts, np.arange(HASH_BYTES, len(data), HASH_BYTES)), [len(starts)]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if a < b:
+            low, high = int(starts[a]), int(ends[a:b].max())
+            s, e = starts[a:b] - low, ends[a:b] - low
+            prefix = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE_CODE[data[low:high]] * _powers(_BASE, high - low)[: high - low], out=prefix[1:])
+            out[a:b] = mix((prefix[e] - prefix[s]) * _powers(_BASE_INV, high - low + 1)[s] + (e - s).astype(np.uint64))
+    return out
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

@@ -56,7 +56,7 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _map(name: str, f: Callable, kind: pa.DataType, keep: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.chunks(batches):
+        for batch in tx.chunks(batches, limit=tx.HASH_BYTES):  # features are tables as long as the text
             yield pa.record_batch([*(batch.column(i + 1) for i in range(keep)), pa.array(list(f(batch.column(0))), kind)], [*batch.schema.names[1:], name])
 
     return run
