@@ -74,16 +74,22 @@ def pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values
 
 
 def unpack(bodies: list[bytes]) -> list[np.ndarray]:
-    """[doc, place, values ...] of all messages together."""
-    out = []
-    for body in bodies:
+    """[doc, place, values ...] of all messages together. Empties the messages as it goes, so that they don't take memory beside the result."""
+    columns: list[list[np.ndarray]] = []
+    for i, body in enumerate(bodies):
         doc, n, low, high, *values = pickle.loads(body)  # noqa: S301
+        bodies[i] = b""
         run = np.cumsum(n, dtype=np.int64) - n
         gap = low.astype(np.int64) | (high.astype(np.int64) << 8)
         total = np.cumsum(gap)
         place = total - np.repeat(total[run] - gap[run], n)
-        out.append((np.repeat(doc, n), place, *values))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else []
+        columns = columns or [[] for _ in range(2 + len(values))]
+        for column, x in zip(columns, (np.repeat(doc, n), place, *values), strict=True):
+            column.append(x)
+    out = []
+    while columns:
+        out.append(np.concatenate(columns.pop(0)))
+    return out
 
 
 def texts(docs: DataFrame) -> DataFrame:

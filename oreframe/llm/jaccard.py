@@ -39,6 +39,8 @@ TABLE = "entity long, doc_id long, n long, need long, tokens array<long>"
 #: Frequent shingles known to every task, for the order alone: any order gives the same result.
 MOST_FREQUENT = 100_000
 BLOCK = 32
+#: Passes in which a task sorts its hashes, each over those of one remainder, to bound its memory.
+PASSES = 8
 
 
 def _need(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
@@ -90,6 +92,16 @@ def _send(size: int, parts: int) -> Callable:
     return run
 
 
+def _met(own: np.ndarray, h: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Of the entries numbered in among, those whose shingle several entities hold."""
+    if not len(among):
+        return among
+    at = among[tx.order(h[among])]
+    first, group = tx.groups(h[at])
+    mine = own[at]
+    return at[(np.minimum.reduceat(mine, first) != np.maximum.reduceat(mine, first))[group]]
+
+
 def _shared(parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
@@ -103,10 +115,8 @@ def _shared(parts: int) -> Callable:
                 return
             own, place, low, high = ex.unpack(bodies)
             h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-            o = tx.order(h)
-            first, group = tx.groups(h[o])
-            several = np.minimum.reduceat(own[o], first) != np.maximum.reduceat(own[o], first)
-            found = np.sort(o[several[group]])
+            del low, high
+            found = np.sort(np.concatenate([_met(own, h, np.flatnonzero(h % np.uint64(PASSES) == np.uint64(k))) for k in range(PASSES)]))
             yield from ex.pack(SHARED, ex.id_part(own[found], parts), own[found], place[found], [h[found]])
 
         yield from ex.record_batches(messages())
