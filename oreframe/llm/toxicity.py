@@ -1,12 +1,12 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-A dictionary is trained on ordinary text; a second one holds, besides, the toxic
-phrases of the training rows: words whose document frequency is significantly
-higher in toxic rows (a dictionary trained on whole toxic texts is mostly
-ordinary text, and hardly tells them apart). The first is padded with ordinary
-text to the same size. Windows of a few words are compressed under both; the
-bytes that the toxic dictionary saves, counted per document at each threshold,
-are calibrated by a logistic regression on training rows.
+A dictionary is trained on ordinary text; others hold, besides, the toxic
+phrases of the training rows, one dictionary for each tier of their z score: words whose document frequency is significantly
+and much higher in toxic rows, by one rule at every size (a dictionary trained on whole toxic texts is mostly
+ordinary text, and hardly tells them apart). All are padded with ordinary text
+to one size. Windows of a few words are compressed under each; the bytes that a
+toxic dictionary saves, counted per document at each threshold, are calibrated
+by a logistic regression on training rows, which so weighs each tier by itself.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ TRAINING_ROWS = 20_000
 ORDINARY_ROWS, ORDINARY_BYTES = 2_000, 20_000
 DICTIONARY_BYTES, PHRASES = 16_384, 1_000
 WINDOW_WORDS, THRESHOLDS = 3, 14
+#: Least z score of the phrases of each tier, and least smoothed log odds ratio of all.
+TIERS, LEAST_ODDS = (4, 8, 16), 2
 LEVEL = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -58,17 +60,20 @@ def _windows(texts: pa.Array, words_each: int = WINDOW_WORDS) -> tuple[np.ndarra
 
 
 class Model:
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray | None = None):
+    def __init__(self, ordinary: bytes, toxic: list[bytes], weights: np.ndarray | None = None):
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
 
     def features(self, texts: pa.Array) -> np.ndarray:
         data, segments, doc = _windows(texts)
         n = np.bincount(doc, minlength=len(texts))
-        out = np.zeros((len(texts), THRESHOLDS + 1))
-        if len(doc) and len(self.toxic):
-            saved = _sizes(_compressor(self.ordinary), data, segments) - _sizes(_compressor(self.toxic), data, segments)
-            for k in range(THRESHOLDS):
-                out[:, k] = np.log1p(np.bincount(doc[saved > k], minlength=len(texts)))
+        out = np.zeros((len(texts), len(TIERS) * THRESHOLDS + 1))
+        if len(doc) and any(self.toxic):
+            plain = _sizes(_compressor(self.ordinary), data, segments)
+            for t, toxic in enumerate(self.toxic):
+                if toxic:
+                    saved = plain - _sizes(_compressor(toxic), data, segments)
+                    for k in range(THRESHOLDS):
+                        out[:, t * THRESHOLDS + k] = np.log1p(np.bincount(doc[saved > k], minlength=len(texts)))
         out[:, -1] = np.log1p(n)
         return out
 
@@ -95,16 +100,22 @@ def _score(model, threshold: float) -> Callable:
     return run
 
 
-def _phrases(rows: DataFrame) -> bytes:
-    """Words that mark toxic rows, by the z score of their document frequency, as one string."""
+def _phrases(rows: DataFrame) -> list[bytes]:
+    """Words that mark toxic rows, by the z score of their document frequency, as one string for each tier.
+
+    z alone would let in ordinary words of a slightly higher frequency once rows
+    are many, so the odds of a toxic row must differ as well.
+    """
     n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     share = toxic / n
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
-    least, rows_each = (8, 6) if toxic >= 300 else (4, 2)
-    found = counts.where(F.col("t") >= rows_each).withColumn("z", z).where(F.col("z") > least).orderBy(F.desc("z"), "w").limit(PHRASES).collect()
-    return b"".join(b" " + w.encode() + b" " for w in sorted(r["w"] for r in found))
+    a, b = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
+    odds = F.log(a / (toxic + 1 - a)) - F.log(b / (n - toxic + 1 - b))
+    found = counts.withColumn("z", z).where((F.col("z") > TIERS[0]) & (odds > LEAST_ODDS)).orderBy(F.desc("z"), "w").limit(PHRASES).collect()
+    tiers = zip(TIERS, [*TIERS[1:], math.inf], strict=True)
+    return [b"".join(b" " + w.encode() + b" " for w in sorted(r["w"] for r in found if low < r["z"] <= high)) for low, high in tiers]
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> Model:
@@ -115,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> Mo
     count, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == count:
         prior = (toxic + 0.5) / (count + 1)
-        return Model(b"", b"", np.append(np.zeros(THRESHOLDS + 1), math.log(prior / (1 - prior))))
+        return Model(b"", [], np.append(np.zeros(len(TIERS) * THRESHOLDS + 1), math.log(prior / (1 - prior))))
     plain = rows.where(f"toxic = 0 and octet_length(text) <= {ORDINARY_BYTES}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDINARY_ROWS).select("text").toArrow()["text"].combine_chunks()
     data, segments, _ = _windows(plain)
     windows = [data[a : a + n].tobytes() for a, n in segments.astype(np.int64).tolist()]
@@ -124,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> Mo
         ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, windows).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         ordinary = b"".join(windows)[-DICTIONARY_BYTES:]
-    padding = b"".join(windows[:: max(1, len(windows) * 16 // max(1, len(phrases)))])[: len(phrases)]
-    model = Model(ordinary + padding, ordinary + phrases)
+    room = max(map(len, phrases))
+    padding = b"".join(windows[:: max(1, len(windows) * 16 // max(1, room))])[:room]
+    model = Model(ordinary + padding, [ordinary + padding[: max(0, len(padding) - len(p))] + p if p else b"" for p in phrases])
     seen = rows.select("toxic", "text").mapInArrow(_features(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").toPandas()
     model.weights = fit_logistic(np.stack(seen["x"]), seen["toxic"].to_numpy())
     return model

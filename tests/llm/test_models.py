@@ -58,6 +58,15 @@ def test_toxicity(labelled, no_docs):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("toxic", [299, 301, 1500])
+def test_toxic_phrases_by_one_rule(spark, toxic):
+    """A word of 10 toxic rows only is a phrase on both sides of 300 toxic rows; one that is a little more frequent in them never is."""
+    rows = [(1, f"plain common{' slight' if i % 5 < 2 else ''} {'rare' if i < 10 else 'worda'}") for i in range(toxic)]
+    rows += [(0, f"plain common{' slight' if i % 10 < 3 else ''} wordb") for i in range(6 * toxic)]
+    found = b"".join(toxicity._phrases(spark.createDataFrame(rows, "toxic int, text string"))).split()
+    assert b"rare" in found and not {b"plain", b"common", b"slight", b"wordb"} & set(found)
+
+
 def test_quality(spark, labelled, no_docs):
     docs, labels = labelled
     out = quality.classify_quality(docs, labels)
