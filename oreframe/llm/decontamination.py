@@ -8,7 +8,8 @@ with the benchmark's windows, so that the result is exact.
 
 The benchmark goes to the tasks in blocks of at most `block_bytes` of text (one
 block unless it is larger), each block against all documents; documents are not
-shuffled for one block, and are combined by id for several.
+shuffled for one block. For several they are checkpointed with a number for each
+row, by which the blocks' results are combined.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._spark import checkpointed
 
 BLOCK_BYTES = 32 << 20
 GRAM = 6
 
-SCHEMA = "doc_id long, n_words long, hits binary, items array<long>"
+SCHEMA = "row long, doc_id long, n_words long, hits binary, items array<long>"
 
 
 class Index:
@@ -87,7 +89,7 @@ def _search(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in tx.chunks(batches):
-            words = tx.split(batch.column(1), tx.ALPHANUMERIC, lower=True)
+            words = tx.split(batch.column(2), tx.ALPHANUMERIC, lower=True)
             n, doc = len(words.starts), words.doc
             hit = np.zeros(n, bool)
             items: dict[int, list[np.ndarray]] = {}
@@ -97,7 +99,7 @@ def _search(index) -> object:
                     items.setdefault(int(doc[a]), []).append(known.sizes[size][1][i:j])
             hits = [np.flatnonzero(hit[a:b]).astype("<i8").tobytes() if d in items else b"" for d, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True))]
             found = [np.unique(np.concatenate(items[d])).tolist() if d in items else [] for d in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), pa.array(words.counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_words", "hits", "items"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words.counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["row", "doc_id", "n_words", "hits", "items"])
 
     return run
 
@@ -122,8 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are
-    ignored. doc_id should be unique (with several blocks, rows of one id are
-    combined). Null and empty texts have no words and are never contaminated;
+    ignored. Rows that share an id, or have none, have results of their own. Null and empty texts have no words and are never contaminated;
     benchmark items without words, or with a null id, match nothing; an empty
     benchmark leaves every document clean. An item of fewer than window words is
     one window. A document is contaminated when share * n_hit >= n_words > 0 and n_hit > 0.
@@ -132,7 +133,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    documents = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    documents = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    documents = documents if blocks == 1 else checkpointed(documents)  # so that each block sees the same row numbers
     found = None
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
@@ -142,5 +144,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     if blocks == 1:
         found = found.select("doc_id", "n_words", F.array("hits").alias("hits"), "items")
     else:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
     return found.mapInArrow(_report(share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

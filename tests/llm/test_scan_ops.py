@@ -75,6 +75,21 @@ def test_decontamination(spark, docs, no_docs, block_bytes):
     assert not decontamination.find_contamination(docs, bench.limit(0)).where("contaminated or n_hit > 0").count()
 
 
+def test_decontamination_by_row(spark):
+    """With several blocks, rows without an id and rows that repeat one have results of their own."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(30)]
+    bench = spark.createDataFrame(list(enumerate(texts[:12])), "item_id long, text string")
+    ids = [None, None, None, 7, 7, 7, 8, None]
+    rows = list(zip(ids, [texts[0], texts[1], texts[20], texts[2], texts[3] + " tail" * 500, texts[21], texts[4], None], strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, several = ([tuple(r) for r in decontamination.find_contamination(docs, bench, block_bytes=b).collect()] for b in (1 << 25, 300))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(several, key=key) == sorted(one, key=key)
+    assert sorted((str(r[0]), r[1], r[2], r[3], r[5]) for r in several) == sorted(
+        (str(i), n, hit, int(hit > 0), bad) for i, n, hit, bad in zip(ids, [20, 20, 20, 20, 520, 20, 20, 0], [20, 20, 0, 20, 20, 0, 20, 0], [True, True, False, True, False, False, True, False], strict=True)
+    )
+
+
 def level_fill(sizes, weights, share, cap):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
