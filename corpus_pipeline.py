@@ -37,10 +37,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = checkpointed(mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")))
-    rows = docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
-    return rows.drop("_copy")
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Ids are unique by now; rows without one are numbered, and joined by that number.
+    """
+    unnamed = checkpointed(docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id()))
+    named = docs.where("doc_id is not null").withColumn("_row", F.lit(None).cast("long"))
+    copies = checkpointed(mixing.mix_rows(named.unionByName(unnamed), name="_row").where("copies > 0").select("doc_id", "named", "copies"))
+    by_id = copies.where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    by_row = copies.where("doc_id is null").select(F.col("named").alias("_row"), "copies")
+    taken = named.join(by_id, "doc_id").unionByName(unnamed.join(by_row, "_row"))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

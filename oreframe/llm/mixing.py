@@ -65,9 +65,9 @@ def _exchange(state: Column, x: Column) -> Column:
     to_b = F.least(mass_a, x["size"] - mass_b)
     to_a = F.least(mass_b, a["size"] - mass_a)
     give = (x["u"] * (to_a + to_b)) < to_a
-    kind = "struct<id:bigint,size:bigint,p:double,u:double>"
-    done = lambda d, extra: F.struct(d["id"].alias("id"), d["size"].alias("size"), F.lit(extra).alias("extra"))
-    going = lambda d, p: F.struct(d["id"].alias("id"), d["size"].alias("size"), p.alias("p"), d["u"].alias("u")).cast(kind)
+    kind = "struct<id:bigint,size:bigint,p:double,u:double,row:bigint>"
+    done = lambda d, extra: F.struct(d["row"].alias("row"), F.lit(extra).alias("extra"))
+    going = lambda d, p: F.struct(d["id"].alias("id"), d["size"].alias("size"), p.alias("p"), d["u"].alias("u"), d["row"].alias("row")).cast(kind)
     pair = lambda open_, decided: F.struct(open_.alias("open"), F.concat(state["done"], F.array(decided)).alias("done"))
     return (
         F.when(a.isNull(), F.struct(x.cast(kind).alias("open"), state["done"].alias("done")))
@@ -79,40 +79,40 @@ def _exchange(state: Column, x: Column) -> Column:
 
 
 def round_fractions(rows: DataFrame, fanout: int = 64, seed: int = 7) -> DataFrame:
-    """id, size, extra (0 or 1) for rows of (id, size, source, p, n_rows), 0 < p < 1 and size > 0.
+    """row, extra (0 or 1) for rows of (row, id, size, source, p, n_rows), 0 < p < 1 and size > 0.
 
+    row names a row, id is what its random numbers are drawn by.
     n_rows, the number of rows of the source, sets the number of groups of the
     first level. Rows with the same id fall into the same group.
     """
     most = rows.agg(F.max("n_rows")).first()[0] or 0
     groups = F.ceil(F.col("n_rows") / fanout).cast("long")
-    left = rows.select("source", "id", "size", "p", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), groups).alias("g"))
+    left = rows.select("source", "row", "id", "size", "p", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), groups).alias("g"))
     decided, level, width = None, 0, max(1, -(-most // fanout))
-    empty = F.expr("named_struct('open', cast(null as struct<id:bigint,size:bigint,p:double,u:double>), 'done', cast(array() as array<struct<id:bigint,size:bigint,extra:int>>))")
+    empty = F.expr("named_struct('open', cast(null as struct<id:bigint,size:bigint,p:double,u:double,row:bigint>), 'done', cast(array() as array<struct<row:bigint,extra:int>>))")
     while True:
-        item = F.struct("id", "size", "p", _uniform(level, seed, F.col("id"), F.col("size")).alias("u"))
+        item = F.struct("id", "size", "p", _uniform(level, seed, F.col("id"), F.col("size")).alias("u"), "row")
         folded = left.groupBy("source", "g").agg(F.array_sort(F.collect_list(item)).alias("items"))
         folded = checkpointed(folded.select("source", "g", F.aggregate("items", empty, _exchange).alias("r")))
-        done = folded.select(F.explode("r.done").alias("d")).select("d.id", "d.size", "d.extra")
+        done = folded.select(F.explode("r.done").alias("d")).select("d.row", "d.extra")
         decided = done if decided is None else decided.unionByName(done)
-        left = folded.select("source", "r.open.id", "r.open.size", "r.open.p", F.floor(F.col("g") / fanout).alias("g"))
+        left = folded.select("source", "r.open.row", "r.open.id", "r.open.size", "r.open.p", F.floor(F.col("g") / fanout).alias("g"))
         level += 1
         if width <= 1:
             break
         width = -(-width // fanout)
-    last = left.select("id", "size", (_uniform(level, seed, F.col("id"), F.col("size")) < F.col("p")).cast("int").alias("extra"))
+    last = left.select("row", (_uniform(level, seed, F.col("id"), F.col("size")) < F.col("p")).cast("int").alias("extra"))
     return decided.unionByName(last)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fanout: int = 64, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for each row of docs (doc_id, text, source; others are ignored).
+def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fanout: int = 64, seed: int = 7, name: str | None = None) -> DataFrame:
+    """The columns of mix_sources, and named, the value of docs' column `name` (null without one).
 
-    size is the number of blank-separated words (null text: 0). A null source is
-    a source of its own. Documents of size 0 are never taken. doc_id names a
-    row: of rows that repeat an id and a size, the first by source get the extra copies. An empty
-    table gives an empty result.
+    Each row is rounded by itself. Rows without an id are drawn by `name`, or by
+    their place in the input where that is null.
     """
     base = checkpointed(docs.select(
+        F.monotonically_increasing_id().alias("row"), (F.col(name) if name else F.lit(None)).cast("long").alias("named"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ))
@@ -121,13 +121,21 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     want = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     whole = F.floor(want + 1e-12)
     rows = rows.withColumns({"whole": whole, "p": F.greatest(want - whole, F.lit(0.0))})
-    open_ = (F.col("p") > 1e-12) & (F.col("size") > 0) & F.col("doc_id").isNotNull()
-    extra = round_fractions(rows.where(open_).select(F.col("doc_id").alias("id"), "size", "source", "p", "n_rows"), fanout, seed)
-    extra = extra.groupBy("id", F.col("size").alias("of_size")).agg(F.sum("extra").alias("extra"))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("doc_id", "size").orderBy(F.col("source").asc_nulls_last())))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce((F.col("rank") <= F.col("extra")).cast("long"), F.lit(0))).otherwise(0)
+    drawn_by = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), F.coalesce("named", "row")))
+    extra = round_fractions(rows.where((F.col("p") > 1e-12) & (F.col("size") > 0)).select("row", drawn_by.alias("id"), "size", "source", "p", "n_rows"), fanout, seed)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0)
     return (
-        rows.join(extra, (F.col("doc_id") == F.col("id")) & (F.col("size") == F.col("of_size")), "left")
-        .select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
+        rows.join(extra, "row", "left")
+        .select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), "named")
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fanout: int = 64, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for each row of docs (doc_id, text, source; others are ignored).
+
+    size is the number of blank-separated words (null text: 0). A null source is
+    a source of its own. Documents of size 0 are never taken. Rows that repeat an
+    id, or have none, get copies of their own. An empty table gives an empty result.
+    """
+    return mix_rows(docs, weights, share, cap, fanout, seed).drop("named")

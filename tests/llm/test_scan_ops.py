@@ -132,6 +132,29 @@ def test_mixing_repeated_rows(docs):
     assert mixing.mix_sources(twice, fanout=4).count() == twice.count()
 
 
+def test_mixing_stage_without_ids(spark):
+    """Rows without an id share in the rounding and reach the mix: each source meets its target to within a document."""
+    import corpus_pipeline
+
+    rows = [(i if i % 3 else None, " ".join(f"t{i}" for _ in range(3 + i % 9)), "xyz"[i % 7 % 3]) for i in range(150)] + [(None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes, largest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(blank_words(t))
+        largest[s] = max(largest[s], len(blank_words(t)))
+    want = level_fill(sizes, (5, 2, 1), 1.5, 2.0)
+    mixed = [tuple(r) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()]
+    for _, t, s in mixed:
+        taken[s] += len(blank_words(t))
+    assert all(abs(taken[s] - want[s]) <= largest[s] + 1e-6 for s in sizes)
+    assert set(mixed) <= set(rows) and any(i is None for i, *_ in mixed)
+    assert all(mixed.count(r) <= 2 for r in mixed)
+    direct = mixing.mix_sources(docs, fanout=4).collect()
+    assert len(direct) == len(rows)
+    for target in {r["target"] for r in direct}:
+        assert abs(sum(r["taken"] for r in direct if r["target"] == target) - target) <= 11
+
+
 @pytest.mark.parametrize("shards", [1, 3, 7, 40])
 def test_sharding(docs, no_docs, shards, monkeypatch):
     monkeypatch.setattr(sharding, "FIRST_BITS", 2)
