@@ -1,12 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A block is a line of a document. A block matches a template when it holds at
-least `threshold` of the template's distinct tokens. Tokens are ordered by their
+A block is a line of a document or, as notices are wrapped, a window of words of
+the template's length / threshold, across lines. A block matches a template when
+it holds at least `threshold` of the template's distinct tokens. Tokens are ordered by their
 frequency in the whole table, rarest first. A matching block has a token of the
 template's prefix (all but need - 1 tokens in that order), has at least `need`
 words, and, once its first prefix token stands at place i of the template's
 order, can reach need with the tokens from i on. Blocks that pass these filters
-are counted exactly. Templates and their tokens are fixed and small, so they go
+are counted exactly. Of windows, those around prefix tokens are counted, one ending
+at each of the template's tokens there. Templates and their tokens are fixed and small, so they go
 to every task; documents are not shuffled.
 """
 
@@ -61,6 +63,7 @@ class Templates:
         self.vocabulary = np.unique(np.concatenate(sets))
         self.sets = [np.searchsorted(self.vocabulary, x) for x in sets]
         self.need = [max(1, math.ceil(threshold * len(x) - 1e-9)) for x in sets]
+        self.width = [math.ceil(len(_hashes(t)) / threshold - 1e-9) for _, t in templates]
         self.phrases = [(_hashes(p), label) for p, label in phrases.items()]
 
     def order(self, frequency: np.ndarray) -> Templates:
@@ -94,6 +97,31 @@ class Templates:
             yield t, found, n[found] / len(own)
 
 
+    def spans(self, place: np.ndarray, token: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, indices into place of the last words of windows that match it, their containment).
+
+        place are the words (ascending) that are tokens of templates, start the first words of their documents.
+        """
+        for t, (own, need, width) in enumerate(zip(self.sets, self.need, self.width, strict=True)):
+            number = np.full(len(self.vocabulary), len(own))
+            number[own] = np.arange(len(own))
+            at = number[token]
+            prefix = place[at < len(own) - need + 1]
+            if not len(prefix):
+                continue
+            after = np.searchsorted(prefix, place)
+            to_next = prefix[np.minimum(after, len(prefix) - 1)] - place
+            to_last = place - prefix[np.maximum(after - 1, 0)]
+            near = np.flatnonzero((at < len(own)) & (((to_next >= 0) & (to_next < width)) | ((to_last >= 0) & (to_last < width))))
+            p, at = place[near], at[near]
+            low = np.maximum(p - width + 1, start[near])
+            n = np.zeros(len(p), np.int64)
+            for k in range(len(own)):
+                n += np.maximum.accumulate(np.where(at == k, p, -1)) >= low
+            found = np.flatnonzero(n >= need)
+            yield t, near[found], n[found] / len(own)
+
+
 def _frequencies(templates) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = templates.value
@@ -141,6 +169,10 @@ def _scan(templates) -> object:
                 np.maximum.at(score, owner[at], share)
                 for d in owner[at].tolist():
                     labels[d].add(t.labels[k])
+            for k, at, share in t.spans(found, token, words.first[doc[found]]):
+                np.maximum.at(score, doc[found[at]], share)
+                for d in doc[found[at]].tolist():
+                    labels[d].add(t.labels[k])
             none = n_base == 0
             yield pa.record_batch([
                 batch.column(0), pa.array(words.counts, pa.int64()), pa.array(n_base), pa.array(first, pa.int64(), mask=none), pa.array(last, pa.int64(), mask=none),
@@ -155,7 +187,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     score is 1 where a base phrase stands, else the largest containment among
     matching templates, else 0. Null and empty texts have no words, no labels
-    ('' both) and score 0. A phrase may cross lines but not documents.
+    ('' both) and score 0. Phrases and windows may cross lines but not documents.
     """
     context = docs.sparkSession.sparkContext
     ready = Templates(templates, phrases, threshold)

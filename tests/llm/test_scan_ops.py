@@ -45,6 +45,38 @@ def test_licenses(docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Every template wrapped behind comment marks, against all windows in plain Python; scattered or divided tokens match nothing."""
+    import math
+    import random
+    import textwrap
+
+    r = random.Random(5)
+    noise = lambda k: " ".join(r.choice(["the", "of", "license", "under", "this", "is", "zeta", "eta", "work", "and"]) for _ in range(k))
+    texts = []
+    for _, t in licenses.TEMPLATES:
+        for width in (12, 30, 75):
+            texts.append(noise(40) + "\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, width, break_long_words=False)) + "\n" + noise(40))
+        w = t.split()
+        texts += [" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :]), "\nzeta eta iota theta\n".join(w), "\n".join([*w[:3], "zeta", *w[3:]])]
+    got = [r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), phrases={}).collect()]
+    for g in got:
+        text, labels, best = texts[g["doc_id"]], set(), 0.0
+        w = low_words(text)
+        for label, t in licenses.TEMPLATES:
+            t, tokens = low_words(t), set(low_words(t))
+            width = math.ceil(len(t) / 0.9 - 1e-9)
+            for block in [low_words(x) for x in text.split("\n")] + [w[k : k + width] for k in range(len(w))]:
+                share = len(tokens & set(block)) / len(tokens)
+                if share >= 0.9 - 1e-9:
+                    labels.add(label)
+                    best = max(best, share)
+        assert g["labels"] == ",".join(sorted(labels)) and g["score"] == pytest.approx(best)
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[7 * i + k]["labels"].split(",") and got[7 * i + k]["score"] == 1 for k in range(3))
+        assert not any(label in got[7 * i + k]["labels"].split(",") for k in (3, 5))
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 25, 700])
 def test_decontamination(spark, docs, no_docs, block_bytes):
     rows = docs.collect()
