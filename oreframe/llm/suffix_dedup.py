@@ -17,6 +17,10 @@
 
 No step pairs up occurrences: a string with any number of copies costs an entry
 per task and exchange.
+
+Step 1 also tells of shorter repeats, which nothing removes: an anchor is shared
+when its next `shortest - spread + 1` bytes stand elsewhere too. A document that
+holds a string of `shortest` bytes that starts elsewhere has a shared anchor.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from pyspark.sql import DataFrame
 from . import _exchange as ex
 from . import _text as tx
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
-#: Kinds of places: anchors whose surroundings repeat, anchors that go on, starts of repeats.
-SETTLED, OPEN, STARTS = ex.PLACES + 20, ex.PLACES + 30, ex.PLACES + 40
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, n_shared long"
+#: Kinds of places: anchors whose surroundings repeat, anchors that go on, starts of repeats, other shared anchors.
+SETTLED, OPEN, STARTS, NEAR = ex.PLACES + 20, ex.PLACES + 30, ex.PLACES + 40, ex.PLACES + 45
 SHARD_BYTES = 2 << 20
 
 
@@ -115,9 +119,9 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int, lane: int = 256) ->
     return out[sa]
 
 
-def _anchors(length: int, parts: int) -> Callable:
+def _anchors(length: int, shortest: int, parts: int) -> Callable:
     spread = spread_of(length)
-    span = length - spread + 1
+    span, near_span = length - spread + 1, shortest - spread + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
@@ -126,24 +130,30 @@ def _anchors(length: int, parts: int) -> Callable:
                 ends = starts[1:] - 1
                 grams = tx.mix(_loads(np.concatenate((data, np.zeros(8, np.uint8))))[: len(data)].astype(np.uint64))
                 at = tx.minima(grams, spread)
+                del grams
                 doc = np.searchsorted(starts, at, "right") - 1
-                ok = at + span <= ends[doc]
+                ok = at + near_span <= ends[doc]
                 at, doc = at[ok], doc[ok]
                 if not len(at):
                     continue
                 left, right = np.maximum(at - spread + 1, starts[doc]), np.minimum(at + length, ends[doc])
                 around = tx.mix(tx.span_hashes(data, left, right) + (at - left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                core = tx.span_hashes(data, at, at + span)
+                near = tx.span_hashes(data, at, at + near_span)
+                whole = at + span <= ends[doc]
+                core = np.zeros(len(at), np.uint32)
+                core[whole] = tx.span_hashes(data, at[whole], at[whole] + span).astype(np.uint32)
                 ids, place = batch.column(0).to_numpy()[doc], at - starts[doc]
-                o = np.lexsort((around, core))
-                first, group = tx.groups(tx.mix(core[o]) ^ around[o])
+                o = np.lexsort((around, near))
+                first, group = tx.groups(tx.mix(near[o]) ^ around[o])
                 many = np.diff(np.append(first, len(o))) > 1
                 twin = np.empty(len(o), bool)
                 twin[o] = many[group]
                 send = np.zeros(len(o), bool)
                 send[o[first]] = True
-                yield from ex.pack(ex.ENTRIES, ex.hash_part(core[send], parts), ids[send], place[send], [core[send].astype(np.uint32), around[send] << np.uint64(1) | twin[send].astype(np.uint64)])
-                yield from ex.pack(SETTLED, ex.id_part(ids[twin], parts), ids[twin], place[twin])
+                marks = (around << np.uint64(2)) | (whole.astype(np.uint64) << np.uint64(1)) | twin.astype(np.uint64)
+                yield from ex.pack(ex.ENTRIES, ex.hash_part(near[send], parts), ids[send], place[send], [near[send], core[send], marks[send]])
+                for kind, m in ((SETTLED, twin & whole), (NEAR, twin & ~whole)):
+                    yield from ex.pack(kind, ex.id_part(ids[m], parts), ids[m], place[m])
 
         yield from ex.record_batches(messages())
 
@@ -165,19 +175,32 @@ def _compare_anchors(parts: int) -> Callable:
             yield from _entries(batches, bodies)
             if not bodies:
                 return
-            ids, place, core, around = ex.unpack(bodies)
-            o = np.lexsort((around >> np.uint64(1), core))
-            outer, outer_group = tx.groups(core[o])
-            inner, inner_group = tx.groups((core[o].astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ (around[o] >> np.uint64(1)))
-            several = np.diff(np.append(inner, len(o))) > 1
-            twin = np.logical_or.reduceat((around[o] & np.uint64(1)) == 1, inner)
-            kinds = np.bincount(outer_group[inner])
-            alone = np.logical_or.reduceat(~(several | twin), np.searchsorted(inner, outer))
-            go_on = (kinds > 1) & alone
-            settled = np.sort(o[several[inner_group]])
-            open_ = np.sort(o[inner[go_on[outer_group[inner]]]])
-            yield from ex.pack(SETTLED, ex.id_part(ids[settled], parts), ids[settled], place[settled])
-            yield from ex.pack(OPEN, ex.id_part(ids[open_], parts), ids[open_], place[open_])
+            ids, place, near, core, marks = ex.unpack(bodies)
+            o = tx.order(near)
+            first, group = tx.groups(near[o])
+            met = (np.diff(np.append(first, len(o))) > 1) | np.logical_or.reduceat((marks[o] & np.uint64(1)) == 1, first)
+            shared = np.zeros(len(o), bool)
+            shared[o] = met[group]
+            del near, o, group
+            # only what is shared can be a longer repeat
+            among = np.flatnonzero(shared & ((marks & np.uint64(2)) != 0))
+            if len(among):
+                around = marks[among] >> np.uint64(2)
+                o = among[np.lexsort((around, core[among]))]
+                around = marks[o] >> np.uint64(2)
+                outer, outer_group = tx.groups(core[o])
+                inner, inner_group = tx.groups((core[o].astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) ^ around)
+                several = np.diff(np.append(inner, len(o))) > 1
+                twin = np.logical_or.reduceat((marks[o] & np.uint64(1)) == 1, inner)
+                kinds = np.bincount(outer_group[inner])
+                alone = np.logical_or.reduceat(~(several | twin), np.searchsorted(inner, outer))
+                go_on = (kinds > 1) & alone
+                settled = np.sort(o[several[inner_group]])
+                open_ = np.sort(o[inner[go_on[outer_group[inner]]]])
+                shared[settled] = False
+                yield from ex.pack(SETTLED, ex.id_part(ids[settled], parts), ids[settled], place[settled])
+                yield from ex.pack(OPEN, ex.id_part(ids[open_], parts), ids[open_], place[open_])
+            yield from ex.pack(NEAR, ex.id_part(ids[shared], parts), ids[shared], place[shared])
 
         yield from ex.record_batches(messages())
 
@@ -308,6 +331,7 @@ def _cut(length: int, with_text: bool) -> Callable:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 anchors, starts = inbox.places(SETTLED, doc_id), inbox.places(STARTS, doc_id)
+                shared = len(np.union1d(anchors, inbox.places(NEAR, doc_id)))
                 spans, kept = [], raw
                 if len(anchors) or len(starts):
                     low, high = np.maximum(anchors - spread + 1, 0), np.minimum(anchors, len(raw) - length)
@@ -319,24 +343,27 @@ def _cut(length: int, with_text: bool) -> Callable:
                     gone = np.cumsum(edge[:-1]) > 0
                     spans = [{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in tx.runs(gone)), strict=True)]
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((None if doc_id == ex.NULL_ID else doc_id, len(raw), len(raw) - len(kept), len(spans), spans, kept if with_text else None, hashlib.sha256(kept).hexdigest()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
+                rows.append((None if doc_id == ex.NULL_ID else doc_id, len(raw), len(raw) - len(kept), len(spans), spans, kept if with_text else None, hashlib.sha256(kept).hexdigest(), shared))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string(), pa.int64()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256", "n_shared"])
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool = True, shortest: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text; others are ignored): bytes covered by a string of length bytes (48 or more make sense) that also starts elsewhere in the table are removed.
 
     Returns doc_id, n_bytes, n_removed, n_spans, spans (byte ranges removed),
-    kept (null unless with_text) and kept_sha256. Every occurrence goes, the first too; matches
+    kept (null unless with_text), kept_sha256 and n_shared. Every occurrence goes, the first too; matches
     never cross documents, and strings are judged on the input. Null and empty texts have no bytes.
+    n_shared counts anchors whose next bytes stand elsewhere too: at least 1 if the document holds a string
+    of `shortest` bytes (16/25 of length unless given) that also starts elsewhere, 0 if it holds none of `shortest` - length // 6 + 1.
     Rows that repeat an id and text are occurrences of their own; rows that share an id should have the same text.
     """
     parts = ex.parts_of(docs)
     texts = ex.texts(docs)
+    shortest = min(length, max(shortest or length * 16 // 25, spread_of(length) + 8))
     sent = texts.mapInArrow(ex.send_texts(parts), ex.SCHEMA)
-    anchors = ex.dealt(parts, texts.mapInArrow(_anchors(length, parts), ex.SCHEMA)).mapInArrow(_compare_anchors(parts), ex.SCHEMA)
+    anchors = ex.dealt(parts, texts.mapInArrow(_anchors(length, shortest, parts), ex.SCHEMA)).mapInArrow(_compare_anchors(parts), ex.SCHEMA)
     shards = ex.dealt(parts, anchors, sent).mapInArrow(_shard(length, parts), ex.SCHEMA)
     starts = ex.dealt(parts, shards).mapInArrow(_merge(parts), ex.SCHEMA)
     return ex.dealt(parts, starts, sent).mapInArrow(_cut(length, with_text), RESULT)
