@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import checkpointed
+from ._spark import checkpointed, in_tasks
 
 BLOCK_BYTES = 32 << 20
 GRAM = 6
@@ -120,6 +120,17 @@ def _report(share: int):
     return run
 
 
+def _search_and_report(index, share: int):
+    search, report = _search(index), _report(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in search(batches):
+            one = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1), pa.int32()), b.column(3))
+            yield from report(iter([pa.record_batch([b.column(1), b.column(2), one, b.column(4)], ["doc_id", "n_words", "hits", "items"])]))
+
+    return run
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -129,7 +140,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     benchmark leaves every document clean. An item of fewer than window words is
     one window. A document is contaminated when share * n_hit >= n_words > 0 and n_hit > 0.
     """
-    spark = docs.sparkSession
+    spark, result = docs.sparkSession, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -139,10 +150,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in block.toLocalIterator()], window))
-        part = documents.mapInArrow(_search(index), SCHEMA)
+        if blocks == 1:
+            return documents.mapInArrow(in_tasks(_search_and_report(index, share)), result)
+        part = documents.mapInArrow(in_tasks(_search(index)), SCHEMA)
         found = part if found is None else found.unionByName(part)
-    if blocks == 1:
-        found = found.select("doc_id", "n_words", F.array("hits").alias("hits"), "items")
-    else:
-        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
-    return found.mapInArrow(_report(share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
+    return found.mapInArrow(in_tasks(_report(share)), result)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _exchange as ex
 from . import _text as tx
-from ._spark import checkpointed
+from ._spark import checkpointed, in_tasks
 from .graph import connected_components
 
 DOCUMENT, SHARED = ex.PLACES + 50, ex.PLACES + 60
@@ -288,16 +288,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     """
     num, den = share
     spark, parts = docs.sparkSession, ex.parts_of(docs)
-    sent = ex.texts(docs).mapInArrow(_send(size, parts), ex.SCHEMA)
-    shared = ex.dealt(parts, sent).mapInArrow(_shared(parts), ex.SCHEMA)
-    table = checkpointed(ex.dealt(parts, shared).mapInArrow(_gather(num, den), TABLE))
+    sent = ex.texts(docs).mapInArrow(in_tasks(_send(size, parts)), ex.SCHEMA)
+    shared = ex.dealt(parts, sent).mapInArrow(in_tasks(_shared(parts)), ex.SCHEMA)
+    table = checkpointed(ex.dealt(parts, shared).mapInArrow(in_tasks(_gather(num, den)), TABLE))
     documents = table.where("need is null").select("entity", "doc_id", "n")
     active = table.where("need is not null").select("entity", "n", "need", "tokens")
 
     counted = active.select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 8")
     often = counted.orderBy(F.desc("count"), "t").limit(MOST_FREQUENT).toArrow().sort_by("t")  # bounded: MOST_FREQUENT rows of 16 bytes
     frequent = spark.sparkContext.broadcast((often["t"].to_numpy(), often["count"].to_numpy()))
-    ready = active.mapInArrow(_prefixes(frequent), "entity long, n long, need long, tokens array<long>, prefix array<long>, g long")
+    ready = active.mapInArrow(in_tasks(_prefixes(frequent)), "entity long, n long, need long, tokens array<long>, prefix array<long>, g long")
     per_group = ready.groupBy("g").agg(F.count("*").alias("members"), F.min("entity").alias("leader"))
     ready = checkpointed(ready.join(per_group, "g").withColumn("subs", F.ceil(F.col("members") / part_size)).withColumn("sub", F.pmod(F.xxhash64("entity"), F.col("subs"))))
 

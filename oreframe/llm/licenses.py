@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._spark import in_tasks
 
 #: Phrases (as words) and their base labels.
 PHRASES = {
@@ -192,8 +193,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     context = docs.sparkSession.sparkContext
     ready = Templates(templates, phrases, threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = texts.select("text").mapInArrow(_frequencies(context.broadcast(ready)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(in_tasks(_frequencies(context.broadcast(ready))), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequency = np.zeros(len(ready.vocabulary), np.int64)
     for r in counted.collect():  # a row for each token of the templates
         frequency[r[0]] = r[1]
-    return texts.mapInArrow(_scan(context.broadcast(ready.order(frequency))), SCHEMA)
+    return texts.mapInArrow(in_tasks(_scan(context.broadcast(ready.order(frequency)))), SCHEMA)

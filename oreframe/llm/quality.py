@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import checkpointed
+from ._spark import checkpointed, in_tasks
 from .logistic import fit_logistic
 
 #: Bound of the sample of labelled rows that the classifier is fitted on.
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> np
     """Weights from at most `training` labelled rows, chosen by a hash of their ids."""
     chosen = labels.where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training).select("doc_id", F.col("quality").cast("int").alias("quality"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")  # training rows of 12 bytes
-    seen = rows.mapInArrow(_map("x", features, pa.list_(pa.float64()), 1), "quality int, x array<double>").toPandas()
+    seen = rows.mapInArrow(in_tasks(_map("x", features, pa.list_(pa.float64()), 1)), "quality int, x array<double>").toPandas()
     width = features(pa.array(["a"])).shape[1]
     y = seen["quality"].to_numpy()
     if not len(y) or y.min() == y.max():
@@ -107,7 +107,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", p
         return 1 / (1 + np.exp(-np.clip(features(texts) @ w[:-1] + w[-1], -12, 12)))
 
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
-    rows = checkpointed(texts.mapInArrow(_map("p", probability, pa.float64(), 3), "doc_id long, host string, path string, p double"))
+    rows = checkpointed(texts.mapInArrow(in_tasks(_map("p", probability, pa.float64(), 3)), "doc_id long, host string, path string, p double"))
     paths = checkpointed(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.sum("good") / F.sum("n")).first()[0] or 0.5

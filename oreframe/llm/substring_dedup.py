@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import _exchange as ex
 from . import _text as tx
+from ._spark import in_tasks
 
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_text string, kept_sha256 string"
 ANCHORS, WINDOWS = ex.PLACES, ex.PLACES + 10
@@ -172,8 +173,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     block = (window + 1) // 2
     parts = ex.parts_of(docs)
     texts = ex.texts(docs)
-    sent = texts.mapInArrow(ex.send_texts(parts), ex.SCHEMA)
-    anchors = ex.dealt(parts, texts.mapInArrow(_probe(window, block, parts), ex.SCHEMA)).mapInArrow(_match_anchors(block, parts), ex.SCHEMA)
-    extended = ex.dealt(parts, anchors, sent).mapInArrow(_extend(window, block, parts), ex.SCHEMA)
-    windows = ex.dealt(parts, extended).mapInArrow(_match_windows(parts), ex.SCHEMA)
-    return ex.dealt(parts, windows, sent).mapInArrow(_cut(window, with_text), RESULT)
+    sent = texts.mapInArrow(in_tasks(ex.send_texts(parts)), ex.SCHEMA)
+    anchors = ex.dealt(parts, texts.mapInArrow(in_tasks(_probe(window, block, parts)), ex.SCHEMA)).mapInArrow(in_tasks(_match_anchors(block, parts)), ex.SCHEMA)
+    extended = ex.dealt(parts, anchors, sent).mapInArrow(in_tasks(_extend(window, block, parts)), ex.SCHEMA)
+    windows = ex.dealt(parts, extended).mapInArrow(in_tasks(_match_windows(parts)), ex.SCHEMA)
+    return ex.dealt(parts, windows, sent).mapInArrow(in_tasks(_cut(window, with_text)), RESULT)

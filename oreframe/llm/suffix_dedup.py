@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 
 from . import _exchange as ex
 from . import _text as tx
+from ._spark import in_tasks
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, n_shared long"
 #: Kinds of places: anchors whose surroundings repeat, anchors that go on, starts of repeats, other shared anchors.
@@ -362,8 +363,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool =
     parts = ex.parts_of(docs)
     texts = ex.texts(docs)
     shortest = min(length, max(shortest or length * 16 // 25, spread_of(length) + 8))
-    sent = texts.mapInArrow(ex.send_texts(parts), ex.SCHEMA)
-    anchors = ex.dealt(parts, texts.mapInArrow(_anchors(length, shortest, parts), ex.SCHEMA)).mapInArrow(_compare_anchors(parts), ex.SCHEMA)
-    shards = ex.dealt(parts, anchors, sent).mapInArrow(_shard(length, parts), ex.SCHEMA)
-    starts = ex.dealt(parts, shards).mapInArrow(_merge(parts), ex.SCHEMA)
-    return ex.dealt(parts, starts, sent).mapInArrow(_cut(length, with_text), RESULT)
+    sent = texts.mapInArrow(in_tasks(ex.send_texts(parts)), ex.SCHEMA)
+    anchors = ex.dealt(parts, texts.mapInArrow(in_tasks(_anchors(length, shortest, parts)), ex.SCHEMA)).mapInArrow(in_tasks(_compare_anchors(parts)), ex.SCHEMA)
+    shards = ex.dealt(parts, anchors, sent).mapInArrow(in_tasks(_shard(length, parts)), ex.SCHEMA)
+    starts = ex.dealt(parts, shards).mapInArrow(in_tasks(_merge(parts)), ex.SCHEMA)
+    return ex.dealt(parts, starts, sent).mapInArrow(in_tasks(_cut(length, with_text)), RESULT)

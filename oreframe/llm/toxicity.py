@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import checkpointed
+from ._spark import checkpointed, in_tasks
 from .logistic import fit_logistic
 
 #: Bounds of the sample of labelled rows that the model is fitted on.
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> Mo
     room = max(map(len, phrases))
     padding = b"".join(windows[:: max(1, len(windows) * 16 // max(1, room))])[:room]
     model = Model(ordinary + padding, [ordinary + padding[: max(0, len(padding) - len(p))] + p if p else b"" for p in phrases])
-    seen = rows.select("toxic", "text").mapInArrow(_features(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").toPandas()
+    seen = rows.select("toxic", "text").mapInArrow(in_tasks(_features(spark.sparkContext.broadcast(model))), "toxic int, x array<double>").toPandas()
     model.weights = fit_logistic(np.stack(seen["x"]), seen["toxic"].to_numpy())
     return model
 
@@ -155,5 +155,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, t
     model = fit(docs, labels.where(~held), training)
     spark = docs.sparkSession
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out")).mapInArrow(
-        _score(spark.sparkContext.broadcast(model), threshold), "doc_id long, held_out boolean, score double, predicted int"
+        in_tasks(_score(spark.sparkContext.broadcast(model), threshold)), "doc_id long, held_out boolean, score double, predicted int"
     )
