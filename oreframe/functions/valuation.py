@@ -11,10 +11,13 @@ EXTREME_UPLIFT = 5.0
 SUPPORTED = ("Au", "Ag", "Cu", "Pd", "Pt", "U3O8")
 OUNCE_METALS = ("Au", "Ag", "Pd", "Pt")
 POUNDS_PER_TONNE = 2204.62262
+#: Australian dollars in a price unit in capitals.
+AUD_UNIT = r"AUD|(?<![CU])A\$|\$A(?![A-Z$])"
+DECK = "array<struct<commodity:string,price:double,unit:string>>"
 STAGES = ("production", "care_and_maintenance", "development", "feasibility", "advanced_exploration", "exploration", "unknown")
 TIERS = {"definitive": ("DFS", "Updated DFS", "Revised DFS", "FFS"), "indicative": ("PFS", "Updated PFS"), "conceptual": ("Scoping", "PEA")}
 UNIT_SCALE = {
-    "oz": 1, "ozs": 1, "koz": 1_000, "kozs": 1_000, "moz": 1_000_000, "t": 1, "tonne": 1, "tonnes": 1, "kt": 1_000, "ktpa": 1_000, "mt": 1_000_000, "mtpa": 1_000_000,
+    "oz": 1, "ozs": 1, "koz": 1_000, "kozs": 1_000, "moz": 1_000_000, "t": 1, "tonnes": 1, "tonne": 1, "kt": 1_000, "ktpa": 1_000, "mt": 1_000_000, "mtpa": 1_000_000,
     "lb": 1, "lbs": 1, "klb": 1_000, "klbs": 1_000, "mlb": 1_000_000, "mlbs": 1_000_000, "mlbpa": 1_000_000,
 }
 REGISTRY_STAGES = {
@@ -77,21 +80,51 @@ def production_factor(metal: Column, v: Column) -> Column:
     )
 
 
-def copper_per_pound(price: Column, unit: Column) -> Column:
+def production_warning(metal: Column, v: Column) -> Column:
+    factor = production_factor(metal, v)
+    return F.when(production_error(metal, v).isNull() & (factor > 1), F.concat(F.lit("production_magnitude_scaled_"), metal, F.lit("_x"), factor.cast("string")))
+
+
+def _says_per_tonne(unit: Column) -> Column:
     u = F.regexp_replace(F.lower(F.coalesce(unit, F.lit(""))), " ", "")
-    per_tonne = u.rlike("/t|/mt|pertonne") & ~u.rlike("/lb|lb$")
-    return F.when(per_tonne | (price > 100), price / POUNDS_PER_TONNE).otherwise(price)
+    return u.rlike("/t|/mt|pertonne") & ~u.rlike("/lb|lb$")
+
+
+def copper_per_pound(price: Column, unit: Column) -> Column:
+    return F.when(_says_per_tonne(unit) | (price > 100), price / POUNDS_PER_TONNE).otherwise(price)
+
+
+def copper_warning(price: Column, unit: Column) -> Column:
+    return F.when(_says_per_tonne(unit), "cu_price_unit_t_to_lb").when(price > 100, "cu_price_magnitude_t_to_lb")
 
 
 def is_aud_unit(unit: Column) -> Column:
     """Whether a price unit is in Australian dollars (AUD, A$ or $A; not US$ or CA$)."""
-    return F.coalesce(F.upper(unit).rlike(r"AUD|(?<![CU])A\$|\$A(?![A-Z$])"), F.lit(False))
+    return F.coalesce(F.upper(unit).rlike(AUD_UNIT), F.lit(False))
+
+
+def deck_entry(deck: Column, metal: Column) -> Column:
+    """(commodity, price, unit) of the first entry of a JSON price deck that is for the metal, or null."""
+    return F.get(F.filter(F.from_json(deck, DECK), lambda e: e["commodity"] == metal), F.lit(0))
+
+
+def basis_unit(metal: Column) -> Column:
+    """The unit that production is kept in."""
+    return F.when(metal.isin(*OUNCE_METALS), "oz").when(metal == "U3O8", "lb").otherwise("t")
+
+
+def price_basis_error(metal: Column, unit: Column) -> Column:
+    return (
+        F.when(metal.isin(*OUNCE_METALS), F.when(~unit.eqNullSafe("oz"), F.concat(metal, F.lit("_production_must_be_in_oz"))))
+        .when(metal == "Cu", F.when(~F.coalesce(unit.isin("t", "lb"), F.lit(False)), "Cu_production_must_be_in_t_or_lb"))
+        .when(metal == "U3O8", F.when(~F.coalesce(unit.isin("lb", "t"), F.lit(False)), "U3O8_production_must_be_in_lb_or_t"))
+        .otherwise(F.concat(F.lit("unsupported_commodity:"), metal))
+    )
 
 
 def to_price_basis(v: Column, metal: Column, unit: Column) -> Column:
     """Production in the unit that the metal's price is for; null where the unit doesn't fit."""
-    u = F.lower(unit)
-    return F.when(metal.isin(*OUNCE_METALS) & u.isin("oz"), v).when((metal == "Cu") & (u == "t"), v * POUNDS_PER_TONNE).when((metal == "U3O8") & u.isin("lb", "t"), v)
+    return F.when(price_basis_error(metal, unit).isNull(), F.when((metal == "Cu") & (unit == "t"), v * POUNDS_PER_TONNE).otherwise(v))
 
 
 def tier_of(stage: Column) -> Column:
@@ -112,10 +145,19 @@ def study_floor(stage: Column, tier: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(s) for s in STAGES]), (rank - 1).cast("int")), stage)
 
 
-def production_norm(v: Column, unit: Column) -> Column:
-    """v in ounces, tonnes or pounds, by the first known unit word."""
+def _unit_scale(unit: Column) -> Column:
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(unit), "/", " ")), r"\s+"), lambda w: w.isin(*UNIT_SCALE))
-    return v * F.coalesce(lookup(F.get(words, 0), UNIT_SCALE), F.lit(1))
+    return lookup(F.get(words, 0), UNIT_SCALE)
+
+
+def production_norm(v: Column, unit: Column) -> Column:
+    """v in ounces, tonnes or pounds, by the first known unit word; unchanged without one."""
+    return v * F.coalesce(_unit_scale(unit), F.lit(1))
+
+
+def production_norm_warning(v: Column, unit: Column) -> Column:
+    scale = _unit_scale(unit)
+    return F.when(v.isNotNull() & (scale != 1), F.concat(F.lit("production_normalized_"), unit, F.lit("_x"), scale.cast("string")))
 
 
 def runway_quarters(cash: Column, burn: Column) -> Column:

@@ -6,64 +6,192 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import valuation as v
-from .common import reasons, top
+from .common import top
 
+FX = "AUDUSD"
+STALE_YEARS = 3
 
-def gate(studies: DataFrame, legs: DataFrame) -> DataFrame:
-    """studies with tier and the first reason against a revaluation (null: none)."""
-    counted = legs.groupBy("study_id").agg(F.count("*").alias("legs"), F.count_if(F.col("commodity").isin(*v.SUPPORTED)).alias("supported"), F.min(v.production_error(F.col("commodity"), F.col("annual_production"))).alias("bad"))
-    s = studies.join(counted, "study_id", "left").withColumn("tier", v.tier_of(F.col("study_stage")))
-    reason = (
-        F.when(F.col("header_tier") == "conceptual", "header_conceptual")
-        .when(~F.coalesce(F.col("tier").isin("definitive", "indicative"), F.lit(False)), "tier_not_eligible")
-        .when(F.col("post_tax_npv").isNull() | F.col("mine_life_years").isNull() | F.col("discount_rate_pct").isNull(), "missing_fields")
-        .when(~F.col("reporting_currency").isin("AUD", "USD"), "unsupported_currency")
-        .when(F.col("legs").isNull(), "no_legs")
-        .when(F.col("bad").isNotNull(), F.col("bad"))
-        .when(F.col("supported") == 0, "no_supported_leg")
-        .when(F.col("discount_rate_pct") <= 0, "discount_rate_not_positive")
-    )
-    return s.withColumn("reason", reason).drop("bad")
 
+def resolve_legs(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
+    """Legs of known studies with deck price, production in the price's unit, spot price and revenue.
 
-def resolve_legs(legs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Legs with scaled production, spot price and yearly revenue change; prices has a row for each commodity, so Spark broadcasts it when it is small."""
+    prices has a row for each commodity, so Spark broadcasts it when it is small;
+    its AUDUSD row (US dollars per Australian dollar) converts decks in Australian
+    dollars. leg_error is why the study must be refused: no exchange rate, a
+    production that can't be trusted, or no spot price, in that order.
+    """
     metal, made = F.col("commodity"), F.col("annual_production")
-    scaled = F.when(v.production_error(metal, made).isNull(), made * v.production_factor(metal, made))
-    basis = F.when(metal == "Cu", scaled * v.POUNDS_PER_TONNE).otherwise(scaled)
-    deck = F.when(metal == "Cu", v.copper_per_pound(F.col("deck_price"), F.lit("USD/lb"))).otherwise(F.col("deck_price"))
-    spot = prices.select("commodity", F.col("price_usd").alias("spot_price"), F.col("price_id").alias("spot_id"))
-    return legs.join(spot, "commodity", "left").select(
-        "study_id", "leg", "commodity", "is_primary", basis.alias("production"), deck.alias("deck"), "spot_price", "spot_id",
-        (metal.isin(*v.SUPPORTED) & F.col("spot_price").isNotNull() & scaled.isNotNull()).alias("supported"),
-    ).withColumns({
-        "delta_revenue": F.when(F.col("supported"), F.col("production") * (F.col("spot_price") - F.col("deck"))).otherwise(0.0),
-        "deck_revenue": F.coalesce(F.col("production") * F.col("deck"), F.lit(0.0)),
+    fx = prices.where(F.col("commodity") == FX).agg(F.max("price_usd")).scalar()
+    spot = prices.select("commodity", F.col("price_usd").alias("quoted"), F.col("price_id").alias("quote_id"))
+    d = legs.join(studies.select("study_id", "assumed_price_deck"), "study_id").join(spot, "commodity", "left")
+    d = d.withColumn("entry", v.deck_entry(F.col("assumed_price_deck"), metal)).withColumns({"fx": fx, "aud": v.is_aud_unit(F.col("entry.unit")) & F.col("entry.price").isNotNull()})
+    price, unit = F.col("entry.price"), F.col("entry.unit")
+    known = metal.isin(*v.SUPPORTED)
+    usd = F.when(metal == "Cu", v.copper_per_pound(price, unit)).otherwise(price)
+    d = d.withColumns({
+        "deck": F.when(F.col("aud"), usd * F.col("fx")).otherwise(usd),
+        "scaled": F.when(known, F.when(v.production_error(metal, made).isNull(), made * v.production_factor(metal, made))).otherwise(made),
+        "refused": F.when(known, v.production_error(metal, made)),
     })
+    d = d.withColumn("supported", F.coalesce(known & F.col("deck").isNotNull() & F.col("scaled").isNotNull(), F.lit(False)))
+    basis = F.when(F.col("supported"), v.to_price_basis(F.col("scaled"), metal, v.basis_unit(metal))).otherwise(F.col("scaled"))
+    return d.select(
+        "study_id", "leg", "commodity", "is_primary", "supported", "deck", F.col("scaled").alias("production"), v.basis_unit(metal).alias("production_unit"),
+        F.when(F.col("supported"), F.col("quoted")).alias("spot_price"), F.when(F.col("supported"), F.col("quote_id")).alias("spot_id"),
+        F.when(F.col("supported"), basis * (F.col("quoted") - F.col("deck"))).otherwise(0.0).alias("delta_revenue"),
+        F.coalesce(basis * F.col("deck"), F.lit(0.0)).alias("deck_revenue"),
+        F.when(F.col("aud") & F.col("fx").isNull(), "fx_missing:AUDUSD").when(F.col("refused").isNotNull(), F.col("refused"))
+        .when(F.col("supported") & F.col("quoted").isNull(), F.concat(F.lit("spot_missing:"), metal)).alias("leg_error"),
+        F.array_compact(F.array(
+            F.when((metal == "Cu") & price.isNotNull(), v.copper_warning(price, unit)), F.when(F.col("aud"), F.concat(F.lit("price_deck_aud_to_usd_"), metal)),
+            F.when(known, v.production_warning(metal, made)),
+        )).alias("leg_warnings"),
+    )
 
 
-def coverage(resolved: DataFrame) -> DataFrame:
+def leg_sums(resolved: DataFrame) -> DataFrame:
+    """One row per study of its resolved legs: sums, the first error and the warnings in leg order."""
+    far = F.when(F.col("supported") & (F.col("deck") < F.col("spot_price") / 2), F.concat(F.lit("deck_far_below_spot_"), F.col("commodity")))
+    in_order = F.array_sort(F.collect_list(F.struct("leg", "leg_warnings", far.alias("far"))))
+    return resolved.groupBy("study_id").agg(
+        F.count("*").alias("n_legs"), F.count_if("supported").alias("n_supported"), F.sum("delta_revenue").alias("delta_revenue"), F.sum("deck_revenue").alias("total_revenue"),
+        F.sum(F.when(F.col("supported"), F.col("deck_revenue")).otherwise(0.0)).alias("supported_revenue"),
+        F.min_by("leg_error", F.when(F.col("leg_error").isNotNull(), F.col("leg"))).alias("leg_error"), in_order.alias("in_order"),
+    )
+
+
+def coverage_pct(total: Column, supported: Column) -> Column:
     """Percent of a study's revenue at its own prices that supported metals make; 100 without revenue."""
-    total, ok = F.sum("deck_revenue"), F.sum(F.when(F.col("supported"), F.col("deck_revenue")).otherwise(0.0))
-    return resolved.groupBy("study_id").agg(F.when(total > 0, F.bround(ok / total * 100, 1)).otherwise(100.0).alias("coverage_pct"), F.count_if(~F.col("supported")).alias("unsupported_legs"))
+    return F.when(total > 0, supported / total * 100).otherwise(100.0)
+
+
+def coverage(resolved: DataFrame) -> DataFrame:
+    return leg_sums(resolved).select("study_id", F.bround(coverage_pct(F.col("total_revenue"), F.col("supported_revenue")), 1).alias("coverage_pct"), (F.col("n_legs") - F.col("n_supported")).alias("unsupported_legs"))
+
+
+def _with_terms(studies: DataFrame, projects: DataFrame, as_of: Column) -> DataFrame:
+    place = projects.select("project_id", "stage", "production_start_date", F.lit(True).alias("known"))
+    tier = F.coalesce(F.col("study_confidence_tier"), v.tier_of(F.col("study_stage"))) if "study_confidence_tier" in studies.columns else v.tier_of(F.col("study_stage"))
+    s = studies.join(place, "project_id", "left").withColumns({"tier": tier, "elapsed": v.elapsed_years(F.col("production_start_date"), as_of)})
+    return s.withColumn("life", v.remaining_life(F.col("mine_life_years"), F.col("elapsed")))
+
+
+def gated(studies: DataFrame, projects: DataFrame, sums: DataFrame, prices: DataFrame, as_of: Column) -> DataFrame:
+    """studies with tier, elapsed, life, fx_rate, the sums of their legs, and reason: the first that forbids a revaluation (null: none)."""
+    fx = prices.where(F.col("commodity") == FX).agg(F.max("price_usd")).scalar()
+    s = _with_terms(studies, projects, as_of).join(sums, "study_id", "left").withColumn("fx_rate", fx)
+    needed = ("mine_life_years", "discount_rate_pct", "post_tax_npv", "reporting_currency")
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
+    aud = F.col("reporting_currency") == "AUD"
+    reason = (
+        F.when(F.col("known").isNull(), "study_not_found")
+        .when(F.col("header_tier") == "conceptual", "not_revaluable_tier:conceptual_by_header")
+        .when(~F.coalesce(F.col("tier").isin("definitive", "indicative"), F.lit(False)), F.concat(F.lit("not_revaluable_tier:"), F.coalesce("tier", F.lit("none"))))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing_fields:"), F.array_join(missing, ",")))
+        .when(~F.col("reporting_currency").isin("AUD", "USD"), F.concat(F.lit("reporting_currency_not_supported:"), F.col("reporting_currency")))
+        .when(F.col("n_legs").isNull(), "no_study_commodities")
+        .when(aud & F.col("fx_rate").isNull(), "fx_missing:AUDUSD")
+        .when(F.col("leg_error").isNotNull(), F.col("leg_error"))
+        .when(F.col("n_supported") == 0, "not_revaluable_no_supported_commodity")
+        .when((F.col("life") > 0) & (F.col("discount_rate_pct") <= 0), "discount_rate_not_positive")
+        .when(aud & (F.col("fx_rate") <= 0), "fx_rate_must_be_positive")
+    )
+    return s.withColumn("reason", reason)
+
+
+def finalize_npv(delta_revenue: Column, annuity: Column, tax_pct: Column, npv: Column, currency: Column, fx: Column) -> dict[str, Column]:
+    """delta_npv (millions of the reporting currency), npv_spot, npv_uplift to 2 places and npv_uplift_pct, over |npv|, to 4; half to even."""
+    millions = delta_revenue * annuity * (1 - tax_pct / 100) / 1e6
+    delta = F.when(currency == "AUD", millions / fx).when(currency == "USD", millions)
+    pct = F.when(npv == 0, 0.0).otherwise(delta / F.abs(npv))
+    return {"delta_npv": delta, "npv_spot": F.bround(npv + delta, 2), "npv_uplift": F.bround(delta, 2), "npv_uplift_pct": F.bround(pct, 4)}
+
+
+def npv_warnings(npv: Column, pct: Column) -> list[Column]:
+    return [
+        F.when(npv == 0, "npv_dfs_zero_pct_undefined"), F.when(npv < 0, "npv_dfs_negative_pct_vs_abs"),
+        F.when(F.abs(pct) > v.EXTREME_UPLIFT, F.concat(F.lit("extreme_uplift_check_inputs:"), F.format_string("%.1f", F.bround(pct, 1)))), F.lit("royalty_not_netted_uplift_gross_of_royalties"),
+    ]
+
+
+def tax_terms(raw: Column) -> tuple[Column, list[Column]]:
+    return F.coalesce(v.tax_rate(raw), F.lit(v.DEFAULT_TAX_PCT)), [F.when(raw.isNull(), "tax_rate_defaulted_to_30.00pct")]
+
 
+def revalue_basket(gated_studies: DataFrame, as_of: Column, commodities: DataFrame | None = None) -> DataFrame:
+    """Net present value at spot of the studies that pass the gate, with warnings in a fixed order.
 
-def basket(studies: DataFrame, resolved: DataFrame, fx: Column, as_of: Column) -> DataFrame:
-    """Net present value at spot for studies with a supported leg. fx is US dollars per Australian dollar."""
-    sums = resolved.groupBy("study_id").agg(F.sum("delta_revenue").alias("delta_revenue"), F.count_if("supported").alias("n_supported")).where("n_supported > 0")
-    s = studies.join(sums, "study_id")
-    tax = F.coalesce(v.tax_rate(F.col("tax_rate_pct")), F.lit(v.DEFAULT_TAX_PCT))
+    commodities (project_id, n_commodities) lets a basket be told that lacks metals
+    of its project. Numbers inside warnings are rounded; the columns hold them whole.
+    """
+    tax, tax_default = tax_terms(F.col("tax_rate_pct"))
+    s = gated_studies.where("reason is null")
+    s = s.join(commodities.select("project_id", "n_commodities"), "project_id", "left") if commodities is not None else s.withColumn("n_commodities", F.lit(None).cast("long"))
+    s = s.withColumns({"tax_used": tax, "annuity": F.when(F.col("life") > 0, v.annuity(F.col("discount_rate_pct"), F.col("life"))).otherwise(0.0), "coverage_pct": coverage_pct(F.col("total_revenue"), F.col("supported_revenue"))})
     npv = F.col("post_tax_npv")
-    out = s.withColumns({"annuity": v.annuity(F.col("discount_rate_pct"), F.col("mine_life_years")), "tax_used": tax})
-    millions = F.col("delta_revenue") * F.col("annuity") * (1 - F.col("tax_used") / 100) / 1e6
-    out = out.withColumn("delta_npv", F.when(F.col("reporting_currency") == "AUD", millions / fx).otherwise(millions))
+    s = s.withColumns(finalize_npv(F.col("delta_revenue"), F.col("annuity"), F.col("tax_used"), npv, F.col("reporting_currency"), F.col("fx_rate")))
     pct = F.when(npv == 0, 0.0).otherwise(F.col("delta_npv") / F.abs(npv))
-    stale = F.datediff(as_of, F.col("study_date")) / 365.25 > 3
-    warnings = reasons(
-        F.when(npv == 0, "npv_dfs_zero_pct_undefined"), F.when(npv < 0, "npv_dfs_negative_pct_vs_abs"), F.when(F.abs(pct) > v.EXTREME_UPLIFT, "extreme_uplift_check_inputs"),
-        F.when(F.col("tax_rate_pct").isNull(), "tax_rate_defaulted"), v.tax_warning(F.col("tax_rate_pct")), F.when(stale, "stale_study"), F.lit("royalty_not_netted_uplift_gross_of_royalties"),
+    produces = F.col("elapsed").isNotNull()
+    age = F.datediff(as_of, F.col("study_date")) / 365.25
+    share = F.format_string("%.1f", F.bround("coverage_pct", 1))
+    first = F.array_compact(F.array(
+        *tax_default, F.when(produces, F.format_string("remaining_life_%.2fy_of_%.1fy", F.bround("life", 2), F.col("mine_life_years"))), F.when(F.col("life") <= 0, "mine_depleted_no_remaining_life"),
+        *npv_warnings(npv, pct), F.when(~produces, "developer_pre_production_timing_not_discounted"),
+    ))
+    last = F.array_compact(F.array(
+        v.tax_warning(F.col("tax_rate_pct")), F.concat(F.lit("coverage_pct:"), share), F.when(F.col("coverage_pct") < 100, F.concat(F.lit("partial_basket_coverage:"), share, F.lit("pct"))),
+        F.when(F.col("n_commodities") > F.col("n_legs"), F.concat(F.lit("basket_legs_incomplete:"), F.col("n_legs").cast("string"), F.lit("of"), F.col("n_commodities").cast("string"))),
+        F.when(age > STALE_YEARS, F.concat(F.lit("stale_study:age="), F.format_string("%.1f", F.bround(age, 1)))), F.when((age > STALE_YEARS) & produces, "depletion_from_stale_study"),
+    ))
+    end = F.array_compact(F.array(
+        F.when((F.col("stage") == "production") & ~produces, "producer_missing_start_date_no_depletion_uplift_overstated"),
+        F.when(F.col("needs_review"), F.concat(F.lit("study_needs_review:"), F.coalesce("review_reason", F.lit("unspecified")))),
+    ))
+    of_legs = F.flatten(F.transform("in_order", lambda x: x["leg_warnings"]))
+    far = F.array_compact(F.transform("in_order", lambda x: x["far"]))
+    return s.withColumns({"warnings": F.concat(first, of_legs, last, far, end), "method_version": F.lit("first_order_v4")}).drop("in_order")
+
+
+def revalue_single(inputs: DataFrame) -> DataFrame:
+    """One metal's revaluation ("first_order_v3"): rows of commodity, deck, spot_price, production, production_unit, mine_life_years, elapsed, discount_rate_pct, tax_rate_pct, npv, reporting_currency and fx_rate.
+
+    Adds annuity, tax_used, delta_npv, npv_spot, npv_uplift, npv_uplift_pct and error (the first that applies; then the values are null).
+    """
+    metal, unit, currency = F.col("commodity"), F.col("production_unit"), F.col("reporting_currency")
+    tax, _ = tax_terms(F.col("tax_rate_pct"))
+    d = inputs.withColumns({"life": v.remaining_life(F.col("mine_life_years"), F.col("elapsed")), "tax_used": tax})
+    d = d.withColumn("annuity", F.when(F.col("life") > 0, v.annuity(F.col("discount_rate_pct"), F.col("life"))).otherwise(0.0))
+    error = (
+        F.when(~metal.isin(*v.SUPPORTED), F.concat(F.lit("unsupported_commodity:"), metal))
+        .when(v.price_basis_error(metal, unit).isNotNull(), v.price_basis_error(metal, unit))
+        .when((F.col("life") > 0) & (F.col("discount_rate_pct") <= 0), "discount_rate_not_positive")
+        .when((currency == "AUD") & F.col("fx_rate").isNull(), "fx_rate_required_for_aud_reporting")
+        .when((currency == "AUD") & (F.col("fx_rate") <= 0), "fx_rate_must_be_positive")
+        .when(~currency.isin("AUD", "USD"), F.concat(F.lit("unsupported_reporting_currency:"), currency))
+    )
+    revenue = v.to_price_basis(F.col("production"), metal, unit) * (F.col("spot_price") - F.col("deck"))
+    d = d.withColumn("error", error)
+    return d.withColumns({k: F.when(F.col("error").isNull(), c) for k, c in finalize_npv(revenue, F.col("annuity"), F.col("tax_used"), F.col("npv"), currency, F.col("fx_rate")).items()})
+
+
+def revaluation_rows(basket: DataFrame, resolved: DataFrame, project_commodities: DataFrame) -> DataFrame:
+    """A row for each revalued study, with the leg that stands for it: the project's primary metal if supported, else the first supported one."""
+    primary = project_commodities.where("is_primary").groupBy("project_id").agg(F.min("commodity").alias("primary_commodity"))
+    reps = representative_leg(resolved.join(basket.join(primary, "project_id", "left").select("study_id", "primary_commodity"), "study_id"))
+    own = basket.drop("commodity", "annual_production", "annual_production_unit")
+    return own.join(reps.select("study_id", "commodity", F.col("deck").alias("price_dfs"), F.col("spot_price").alias("price_spot"), F.col("spot_id").alias("price_spot_id"), F.col("production").alias("annual_production"), "production_unit"), "study_id").select(
+        "study_id", "project_id", "company_id", "commodity", "price_dfs", "price_spot", "price_spot_id", "annual_production", "production_unit", F.when(F.col("reporting_currency") == "AUD", F.col("fx_rate")).alias("fx_rate"),
+        "mine_life_years", F.col("life").alias("remaining_life_years"), "discount_rate_pct", F.col("tax_used").alias("tax_rate_pct"), F.col("annuity").alias("annuity_factor"),
+        F.col("post_tax_npv").alias("npv_dfs"), "npv_spot", "npv_uplift", "npv_uplift_pct", "method_version", "tier", "warnings",
+    )
+
+
+def revaluation_leg_rows(basket: DataFrame, resolved: DataFrame) -> DataFrame:
+    """All legs, supported or not, of the revalued studies."""
+    return resolved.join(basket.select("study_id"), "study_id", "left_semi").select(
+        "study_id", "leg", "commodity", "supported", F.col("deck").alias("price_dfs"), F.col("spot_price").alias("price_spot"), F.col("spot_id").alias("price_spot_id"),
+        F.col("production").alias("annual_production"), "production_unit", F.bround("delta_revenue", 2).alias("delta_revenue_annual_usd"), F.col("deck_revenue").alias("dfs_metal_revenue_usd"),
     )
-    return out.withColumns({"npv_spot": npv + F.col("delta_npv"), "uplift_pct": pct, "warnings": warnings})
 
 
 def distinct_commodities(project_commodities: DataFrame, resources: DataFrame) -> DataFrame:
@@ -72,4 +200,49 @@ def distinct_commodities(project_commodities: DataFrame, resources: DataFrame) -
 
 
 def representative_leg(resolved: DataFrame) -> DataFrame:
-    return top(resolved.where("supported"), ["study_id"], [F.desc("is_primary"), F.col("leg")])
+    """The supported leg of the primary commodity (primary_commodity, or is_primary without that column), else the first supported one."""
+    primary = F.col("commodity").eqNullSafe(F.col("primary_commodity")) if "primary_commodity" in resolved.columns else F.col("is_primary")
+    return top(resolved.where("supported"), ["study_id"], [F.desc(primary), F.col("leg")])
+
+
+def _revaluable(studies: DataFrame) -> DataFrame:
+    return studies.where(v.tier_of(F.col("study_stage")).isin("definitive", "indicative"))
+
+
+def latest_revaluable(studies: DataFrame, revals: DataFrame, as_of: Column) -> DataFrame:
+    """The newest revaluable study of each project among those with a revaluation; future-dated ones last."""
+    ran = _revaluable(studies).join(revals.select("study_id"), "study_id", "left_semi")
+    future = F.when(F.col("study_date") > as_of, 1).otherwise(0)
+    return top(ran, ["project_id"], [future, F.desc_nulls_last("study_date"), F.desc("study_id")])
+
+
+def stale_revaluations(studies: DataFrame, revals: DataFrame, now: Column, max_age_hours: float = 20) -> DataFrame:
+    """(study_id, last_computed) of those latest revaluable studies whose newest run is older than max_age_hours."""
+    latest = latest_revaluable(studies, revals, now.cast("date")).select("study_id")
+    last = revals.join(latest, "study_id", "left_semi").groupBy("study_id").agg(F.max("computed_at").alias("last_computed"))
+    return last.where(F.col("last_computed") < now - F.make_dt_interval(hours=F.lit(max_age_hours)))
+
+
+def backfill_candidates(studies: DataFrame, revals: DataFrame, companies: DataFrame, ticker: str | None = None) -> DataFrame:
+    """Studies of a definitive or indicative tier with a value and no revaluation, newest first."""
+    s = _revaluable(studies).where("post_tax_npv is not null").join(revals.select("study_id"), "study_id", "left_anti")
+    s = s.join(companies.select("company_id", "ticker"), "company_id")
+    return (s.where(F.col("ticker") == ticker) if ticker else s).select("study_id", "ticker", "study_date").orderBy(F.desc_nulls_last("study_date"), "study_id")
+
+
+def sweep_stats(gated_studies: DataFrame) -> DataFrame:
+    """Outcomes of a sweep in one row: revalued, skipped (tier or missing fields), errors."""
+    skipped = F.col("reason").rlike("^(not_revaluable|missing_fields|reporting_currency|no_study)")
+    return gated_studies.agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("refreshed"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("reason").isNotNull() & ~skipped).alias("errors"))
+
+
+def reval_summary(studies: DataFrame, revals: DataFrame, companies: DataFrame, projects: DataFrame) -> DataFrame:
+    """The newest run of each company's newest definitive study, with the change from deck to spot."""
+    dfs = studies.where(v.tier_of(F.col("study_stage")) == "definitive").join(revals, ["study_id", "project_id", "company_id"])
+    one = top(dfs, ["company_id"], [F.desc_nulls_last("study_date"), F.desc("study_id"), F.desc("computed_at"), F.desc("revaluation_id")])
+    one = one.join(companies.select("company_id", "ticker"), "company_id").join(projects.select("project_id", "project_name"), "project_id", "left")
+    return one.select("ticker", "project_name", "study_id", "commodity", price_change_pct(F.col("price_dfs"), F.col("price_spot")).alias("price_change_pct"), "npv_spot", "npv_uplift_pct")
+
+
+def price_change_pct(deck: Column, spot: Column) -> Column:
+    return F.bround((spot / F.nullif(deck, F.lit(0.0)) - 1) * 100, 2)

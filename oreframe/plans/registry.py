@@ -1,103 +1,23 @@
-"""All registered queries of the filings engine, with independent SQL for each.
+"""Registered queries of the filings engine, with independent SQL for each.
 
 The views they share are in bind.py; every computed column has the same name in
-both. as-of times are literals, so results don't depend on the day.
+both. as-of times are literals, so results don't depend on the day. This module has
+the screener, company and ingest queries; the others are in the modules it imports.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import valuation as v
-from ..operators import company, prices, revaluation, screen
+from ..operators import company, prices, screen
 from ..operators.common import top
-from .bind import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FX = 0.6452
+from .base import BAD, FACTOR, JUNK, ORACLE_SQL, QUERIES, STAGE_RANK, TAX, TIER, TRANSIENT, day, now, query
+from .bind import view
 
-# SQL fragments used by several oracles.
-TIER = "case when study_stage in ('DFS', 'Updated DFS', 'Revised DFS', 'FFS') then 'definitive' when study_stage in ('PFS', 'Updated PFS') then 'indicative' else 'conceptual' end"
-BAD = "case when commodity in ('Au', 'Pd', 'Pt') and annual_production > 1000000 then lower(commodity) || '_production_implausible_check_lom' when commodity = 'Ag' and annual_production >= 100 and annual_production < 1000 then 'ag_production_unit_ambiguous' when commodity = 'U3O8' and annual_production >= 20 and annual_production < 100000 then 'u3o8_production_unit_ambiguous' when commodity = 'U3O8' and annual_production > 30000000 then 'u3o8_production_implausible' end"
-FACTOR = "case when commodity in ('Au', 'Pd', 'Pt') and annual_production < 1000 then 1000 when commodity = 'Ag' and annual_production < 100 then 1000000 when commodity = 'U3O8' and annual_production < 20 then 1000000 when commodity = 'Cu' and annual_production < 100 then 1000 else 1 end"
-TAX = "case when tax_rate_pct > 0 and tax_rate_pct < 1 then round_even(tax_rate_pct * 100, 1) else tax_rate_pct end"
 LATEST = "select commodity, arg_max(price_usd, (fetched_at, price_id)) as price_usd, arg_max(price_id, (fetched_at, price_id)) as price_id from commodity_prices where fetched_at <= timestamp '2024-01-29 12:00:00' group by commodity"
-LEGS = f"""select study_id, leg, l.commodity, is_primary, p.price_usd as spot_price, p.price_id as spot_id,
-    case when l.commodity = 'Cu' and deck_price > 100 then deck_price / 2204.62262 else deck_price end as deck,
-    case when {BAD.replace('commodity', 'l.commodity')} is null then annual_production * {FACTOR.replace('commodity', 'l.commodity')} * case when l.commodity = 'Cu' then 2204.62262 else 1 end end as production
-    from study_commodities l left join latest p on p.commodity = l.commodity"""
-RESOLVED = "select *, coalesce(commodity <> 'Ni' and spot_price is not null and production is not null, false) as supported, coalesce(production * deck, 0) as deck_revenue from legs"
-JUNK = "(length(project_name) > 40 or regexp_matches(project_name, '^[a-z]') or regexp_matches(lower(project_name), '^(the|its|it|all|this|that|both|o|details|relates|release|continues|strike|additional|last|upper|further) '))"
-STAGE_RANK = "case stage when 'production' then 1 when 'care_and_maintenance' then 2 when 'development' then 3 when 'feasibility' then 4 when 'advanced_exploration' then 5 when 'exploration' then 6 else 7 end"
-TRANSIENT = "regexp_matches(lower(coalesce(parse_error, '')), '429|resource_exhausted|503|overloaded|500|timeout|deadline|connection|network|download_failed|temporarily')"
-
-
-def _day(text: str = "2001-09-01") -> Column:
-    return F.lit(text).cast("date")
-
-
-def _now() -> Column:
-    return F.lit("2024-01-29 12:00:00").cast("timestamp")
-
-
-def query(sql: str) -> Callable:
-    def add(f: Callable) -> Callable:
-        name = f.__name__
-        QUERIES[name] = f
-        ORACLE_SQL[name] = with_views(sql)
-        return f
-
-    return add
-
-
-def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.resolve_legs(view(s, d, "study_commodities"), prices.latest_price(view(s, d, "commodity_prices"), _now()))
-
-
-@query(f"""with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}),
-    sums as (select study_id, sum(case when supported then production * (spot_price - deck) else 0 end) as delta_revenue, count(*) filter (where supported) as n_supported from resolved group by study_id),
-    maths as (select s.*, n_supported, delta_revenue, round_even((1 - pow(1 + discount_rate_pct / 100, -mine_life_years)) / (discount_rate_pct / 100), 4) as annuity, coalesce({TAX}, 30.0) as tax_used, {TIER} as tier from studies s join sums using (study_id) where n_supported > 0 and post_tax_npv is not null),
-    moved as (select *, delta_revenue * annuity * (1 - tax_used / 100) / 1e6 / case when reporting_currency = 'AUD' then {FX} else 1 end as delta_npv from maths where tier <> 'conceptual')
-    select study_id, project_id, reporting_currency, n_supported, annuity, tax_used, round(post_tax_npv + delta_npv, 2) as npv_spot, round(delta_npv, 2) as npv_uplift,
-    concat_ws('; ', case when abs(delta_npv / abs(post_tax_npv)) > 5 then 'extreme_uplift_check_inputs' end, case when tax_rate_pct is null then 'tax_rate_defaulted' end, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled' end,
-        case when date_diff('day', study_date, date '2001-09-01') / 365.25 > 3 then 'stale_study' end, 'royalty_not_netted_uplift_gross_of_royalties') as warnings from moved""")
-def revalue_basket(s: SparkSession, d: str) -> DataFrame:
-    studies = view(s, d, "studies").withColumn("tier", v.tier_of(F.col("study_stage"))).where("tier <> 'conceptual' and post_tax_npv is not null")
-    out = revaluation.basket(studies, _resolved(s, d), F.lit(FX), _day())
-    return out.select("study_id", "project_id", "reporting_currency", "n_supported", "annuity", "tax_used", F.round("npv_spot", 2).alias("npv_spot"), F.round("delta_npv", 2).alias("npv_uplift"), "warnings")
-
-
-@query(f"""with checked as (select study_id, count(*) as legs, count(*) filter (where commodity <> 'Ni') as supported, min({BAD}) as bad from study_commodities group by study_id)
-    select s.study_id, {TIER} as tier, case when header_tier = 'conceptual' then 'header_conceptual' when {TIER} = 'conceptual' then 'tier_not_eligible' when post_tax_npv is null then 'missing_fields' when legs is null then 'no_legs' when bad is not null then bad when supported = 0 then 'no_supported_leg' end as reason
-    from studies s left join checked c on c.study_id = s.study_id""")
-def reval_gate(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.gate(view(s, d, "studies"), view(s, d, "study_commodities")).select("study_id", "tier", "reason")
-
-
-@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, leg, commodity, supported, spot_id, deck, production from resolved")
-def resolve_legs(s: SparkSession, d: str) -> DataFrame:
-    return _resolved(s, d).select("study_id", "leg", "commodity", "supported", "spot_id", "deck", "production")
-
-
-@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, round_even(sum(case when supported then deck_revenue else 0 end) / sum(deck_revenue) * 100, 1) as coverage_pct, count(*) filter (where not supported) as unsupported_legs from resolved group by study_id having sum(deck_revenue) > 0 union all select study_id, 100.0, count(*) filter (where not supported) from resolved group by study_id having sum(deck_revenue) <= 0")
-def coverage(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.coverage(_resolved(s, d))
-
-
-@query(f"with latest as ({LATEST}), legs as ({LEGS}), resolved as ({RESOLVED}) select study_id, leg, commodity from (select *, row_number() over (partition by study_id order by is_primary desc, leg) as r from resolved where supported) where r = 1")
-def representative_leg(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.representative_leg(_resolved(s, d)).select("study_id", "leg", "commodity")
-
-
-@query("select project_id, count(distinct commodity) as n_commodities, count(distinct commodity) > 1 as multi from (select project_id, commodity from studies join study_commodities using (study_id) union select project_id, commodity from resources) group by project_id")
-def distinct_commodities(s: SparkSession, d: str) -> DataFrame:
-    own = view(s, d, "studies").join(view(s, d, "study_commodities"), "study_id").select("project_id", "commodity")
-    return revaluation.distinct_commodities(own, view(s, d, "resources"))
 
 
 @query("select distinct discount_rate_pct, mine_life_years, round_even((1 - pow(1 + discount_rate_pct / 100, -mine_life_years)) / (discount_rate_pct / 100), 4) as annuity from studies")
@@ -118,12 +38,12 @@ def production_magnitude(s: SparkSession, d: str) -> DataFrame:
 
 @query("select study_id, round(case when date_diff('day', study_date, date '2001-09-01') > 0 then greatest(mine_life_years - date_diff('day', study_date, date '2001-09-01') / 365.25, 0.0) else mine_life_years end, 4) as remaining from studies")
 def remaining_life(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").select("study_id", F.round(v.remaining_life(F.col("mine_life_years"), v.elapsed_years(F.col("study_date"), _day())), 4).alias("remaining"))
+    return view(s, d, "studies").select("study_id", F.round(v.remaining_life(F.col("mine_life_years"), v.elapsed_years(F.col("study_date"), day())), 4).alias("remaining"))
 
 
 @query("select study_id, round(date_diff('day', study_date, date '2001-09-01') / 365.25, 4) as age, date_diff('day', study_date, date '2001-09-01') / 365.25 > 3 as stale from studies")
 def study_age(s: SparkSession, d: str) -> DataFrame:
-    age = F.datediff(_day(), F.col("study_date")) / 365.25
+    age = F.datediff(day(), F.col("study_date")) / 365.25
     return view(s, d, "studies").select("study_id", F.round(age, 4).alias("age"), (age > 3).alias("stale"))
 
 
@@ -134,7 +54,7 @@ def tier_map(s: SparkSession, d: str) -> DataFrame:
 
 @query(LATEST)
 def latest_price(s: SparkSession, d: str) -> DataFrame:
-    return prices.latest_price(view(s, d, "commodity_prices"), _now()).select("commodity", "price_usd", "price_id")
+    return prices.latest_price(view(s, d, "commodity_prices"), now()).select("commodity", "price_usd", "price_id")
 
 
 @query("""with l as (select * from commodity_prices where commodity = 'Ag'), r as (select series, fetched_at, arg_max(price_usd, price_id) as spot from commodity_prices where commodity = 'Au' group by all)
@@ -224,7 +144,7 @@ def stage_profile(s: SparkSession, d: str) -> DataFrame:
 
 @query("select study_id, case when a <= 1.5 then 'fresh' when a <= 3 then 'ageing' else 'stale' end as bucket from (select study_id, date_diff('day', study_date, date '2001-09-01') / 365.25 as a from studies)")
 def age_bucket(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").select("study_id", screen.age_bucket(F.datediff(_day(), F.col("study_date")) / 365.25).alias("bucket"))
+    return view(s, d, "studies").select("study_id", screen.age_bucket(F.datediff(day(), F.col("study_date")) / 365.25).alias("bucket"))
 
 
 @query("select company_id, financial_id, effective_date, 'Q' || quarter(effective_date) || ' ' || year(effective_date) as quarter, cash, abs(burn) as abs_burn from company_financials where doc_type = 'appendix_5b' and cash is not null")
@@ -270,7 +190,7 @@ def minimum_data(s: SparkSession, d: str) -> DataFrame:
 
 @query("select study_id, case when study_date <= date '2000-01-01' then study_date end as study_date from studies")
 def future_date_discard(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").select("study_id", F.when(F.col("study_date") <= _day("2000-01-01"), F.col("study_date")).alias("study_date"))
+    return view(s, d, "studies").select("study_id", F.when(F.col("study_date") <= day("2000-01-01"), F.col("study_date")).alias("study_date"))
 
 
 @query(f"select project_id, project_name, {JUNK} as junk from projects")
@@ -301,7 +221,7 @@ def latest_resources(s: SparkSession, d: str) -> DataFrame:
 
 @query("select project_id, study_id from (select *, row_number() over (partition by project_id order by study_date > date '2000-01-01', study_date desc nulls last, study_id desc) as r from studies) where r = 1")
 def displayed_study(s: SparkSession, d: str) -> DataFrame:
-    return company.displayed_study(view(s, d, "studies"), _day("2000-01-01")).select("project_id", "study_id")
+    return company.displayed_study(view(s, d, "studies"), day("2000-01-01")).select("project_id", "study_id")
 
 
 @query("""with r as (select distinct project_id from resources), st as (select project_id, max(case when post_tax_npv is not null then 1 else 0 end) as npv, max(case when mine_life_years is not null and study_id % 2 = 0 then 1 else 0 end) as made from studies group by project_id)
@@ -331,11 +251,6 @@ def header_tier(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "filings").select("document_id", t.header_tier(F.col("header")).alias("tier"))
 
 
-@query("select document_id, case " + " ".join(f"when regexp_matches(lower(header), '{'|'.join(p)}') then '{n}'" for n, p in t.HEADLINE_TYPES) + " when contains(lower(header), 'feasibility study') then 'study_dfs' else 'other' end as doc_type from filings")
-def headline_class(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "filings").select("document_id", t.headline_type(F.col("header")).alias("doc_type"))
-
-
 @query(f"select document_id, case when {TRANSIENT} then 'transient' else 'permanent' end as failure_class from filings")
 def failure_class(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "filings").select("document_id", t.failure_class(F.col("parse_error")).alias("failure_class"))
@@ -392,3 +307,6 @@ def activity_feed(s: SparkSession, d: str) -> DataFrame:
 @query("select project_id, study_stage, study_id from (select *, row_number() over (partition by project_id, study_stage, post_tax_npv order by study_id) as r from studies) where r = 1")
 def dedup_studies(s: SparkSession, d: str) -> DataFrame:
     return top(view(s, d, "studies"), ["project_id", "study_stage", "post_tax_npv"], [F.col("study_id")]).select("project_id", "study_stage", "study_id")
+
+
+from . import reval, text_queries  # noqa: E402, F401  they register their queries
