@@ -32,14 +32,6 @@ def burn_share(financials: DataFrame) -> DataFrame:
     return financials.where("burn > 0").withColumn("share", F.col("burn") / F.max("burn").over(W.partitionBy("company_id")))
 
 
-def review_flags(financials: DataFrame, change: float = 0.5) -> DataFrame:
-    """Reasons to review a snapshot: missing figures, or a change against the latest snapshot among those inserted before it."""
-    earlier = W.partitionBy("company_id").orderBy("financial_id").rowsBetween(W.unboundedPreceding, -1)
-    f = financials.withColumn("p", F.max_by(F.struct("cash", "burn"), F.struct("effective_date", "financial_id")).over(earlier))
-    moved = lambda c: (F.col(f"p.{c}") != 0) & (F.abs(F.col(c) - F.col(f"p.{c}")) / F.abs(F.col(f"p.{c}")) > change)
-    return f.withColumn("reason", reasons(F.when(F.col("cash").isNull(), "missing_cash"), F.when(F.col("burn").isNull(), "missing_burn"), F.when(moved("cash"), "cash_changed"), F.when(moved("burn"), "burn_changed"))).drop("p")
-
-
 def latest_resource_set(resources: DataFrame) -> DataFrame:
     newest = F.rank().over(W.partitionBy("project_id").orderBy(F.desc("effective_date")))
     return resources.withColumn("_r", newest).where("_r = 1").drop("_r")
@@ -89,16 +81,6 @@ def apply_failures(filings: DataFrame) -> DataFrame:
     )
 
 
-def study_flags(studies: DataFrame) -> DataFrame:
-    pre, post = F.col("pre_tax_npv"), F.col("post_tax_npv")
-    gap = 1 - post / F.nullif(pre, F.lit(0.0))
-    return studies.withColumn("reason", reasons(
-        F.when(pre.isNull(), "missing_pre_tax_npv"), F.when(post.isNull(), "missing_post_tax_npv"),
-        F.when((pre != 0) & (post >= pre), "post_tax_npv_ge_pre_tax_npv").when((pre != 0) & ((gap < 0.20) | (gap > 0.45)), "implied_tax_gap_out_of_band"),
-        F.when(F.col("tax_rate_pct").isNull(), "missing_tax_rate"), F.when(F.col("discount_rate_pct") <= 0, "discount_rate_nonpositive"),
-    ))
-
-
 def floor_stages(projects: DataFrame, studies: DataFrame) -> DataFrame:
     """Projects with the stage that their most advanced study implies at least."""
     best = studies.groupBy("project_id").agg(F.min_by("study_stage", valuation.stage_rank(valuation.study_floor(F.lit("unknown"), valuation.tier_of(F.col("study_stage"))))).alias("best"))

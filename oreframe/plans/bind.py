@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
             when 'purchase' then case when user_id % 2 = 0 then 'Pt' else 'U3O8' end else 'AUDUSD' end as commodity,
             case event_type when 'error' then value / 1000.0 + 0.5 else value end as price_usd, ts as fetched_at, user_id % 10 as series from events""",
     "company_financials": """
-        select o_orderkey as financial_id, o_custkey as company_id, o_orderkey % 200 as document_id, cast(o_orderdate as date) as effective_date,
+        select o_orderkey as financial_id, o_custkey as company_id, o_orderkey % 170 as document_id, cast(o_orderdate as date) as effective_date,
             case when o_orderkey % 11 = 0 then null else o_totalprice end as cash,
             case o_orderstatus when 'O' then -o_totalprice / (2 + o_orderkey % 7) when 'P' then null else o_totalprice / (2 + o_orderkey % 7) end as burn,
             case when o_orderkey % 4 in (0, 3) or o_orderkey % 13 = 0 then null else cast(1000 + o_orderkey % 5000 as double) end as shares_fd,
@@ -93,6 +93,11 @@ VIEWS: dict[str, str] = {
             case doc_id % 6 when 0 then 'parsed' when 1 then 'failed' when 2 then 'pending' when 3 then 'classified' when 4 then 'retry_scheduled' else 'skipped' end as parse_status,
             case doc_id % 8 when 0 then 'llm_api_error:429 RESOURCE_EXHAUSTED' when 1 then 'minimum_data_missing:no npv' when 2 then 'pdf_error:bad(xref)' when 3 then 'Download_Failed: 404' else null end as parse_error,
             cast(doc_id % 7 as int) as retry_count, cast(doc_id % 50 as int) as due_in_hours, source, text from documents""",
+    "forks": """
+        select distinct o_custkey * 10 + cast(substr(o_orderpriority, 1, 1) as bigint) as project_id, o_custkey as company_id, case o_custkey % 4 when 0 then 'Vulcan Energy Limited' when 1 then 'Ra Ltd' when 2 then null else 'Paris Gold NL' end as company_name,
+            case substr(o_orderpriority, 1, 1) when '1' then case o_custkey % 3 when 0 then 'Granite Hill Gold Project' else 'Paris Deposit' end when '2' then 'GRANITE HILL' when '3' then 'Vulcan Granite Hill' when '4' then case o_custkey % 2 when 0 then 'Paris Ni-Cu – PGE' else 'later in the year' end else 'Gold Mine' end as project_name,
+            o_custkey % 10 + cast(substr(o_orderpriority, 1, 1) as bigint) as created_at
+        from orders""",
     "filing_pages": """
         select doc_id as document_id, 1 as page_no, case doc_id % 12
             when 0 then concat('Appendix 5B

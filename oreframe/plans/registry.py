@@ -20,7 +20,7 @@ from .bind import view
 LATEST = "select commodity, arg_max(price_usd, (fetched_at, price_id)) as price_usd, arg_max(price_id, (fetched_at, price_id)) as price_id from commodity_prices where fetched_at <= timestamp '2024-01-29 12:00:00' group by commodity"
 
 
-@query("select distinct discount_rate_pct, mine_life_years, round_even((1 - pow(1 + discount_rate_pct / 100, -mine_life_years)) / (discount_rate_pct / 100), 4) as annuity from studies")
+@query("select distinct discount_rate_pct, mine_life_years, case when discount_rate_pct > 0 then round_even((1 - pow(1 + discount_rate_pct / 100, -mine_life_years)) / (discount_rate_pct / 100), 4) end as annuity from studies")
 def annuity(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "studies").select("discount_rate_pct", "mine_life_years").distinct().withColumn("annuity", v.annuity(F.col("discount_rate_pct"), F.col("mine_life_years")))
 
@@ -142,7 +142,7 @@ def stage_profile(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "projects").groupBy("stage").agg(F.count("*").alias("n"))
 
 
-@query("select study_id, case when a <= 1.5 then 'fresh' when a <= 3 then 'ageing' else 'stale' end as bucket from (select study_id, date_diff('day', study_date, date '2001-09-01') / 365.25 as a from studies)")
+@query("select study_id, case when a <= 1.5 then 'fresh' when a <= 3 then 'ageing' when a > 3 then 'stale' end as bucket from (select study_id, date_diff('day', study_date, date '2001-09-01') / 365.25 as a from studies)")
 def age_bucket(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "studies").select("study_id", screen.age_bucket(F.datediff(day(), F.col("study_date")) / 365.25).alias("bucket"))
 
@@ -172,48 +172,6 @@ def burn_share(s: SparkSession, d: str) -> DataFrame:
     return company.burn_share(view(s, d, "company_financials")).select("financial_id", F.round("share", 6).alias("share"))
 
 
-@query("""with p as (select *, arg_max({'c': cash, 'b': burn}, {'d': effective_date, 'i': financial_id}) over (partition by company_id order by financial_id rows between unbounded preceding and 1 preceding) as p from company_financials)
-    select financial_id, concat_ws('; ', case when cash is null then 'missing_cash' end, case when burn is null then 'missing_burn' end, case when p.c <> 0 and abs(cash - p.c) / abs(p.c) > 0.5 then 'cash_changed' end, case when p.b <> 0 and abs(burn - p.b) / abs(p.b) > 0.5 then 'burn_changed' end) as reason from p""")
-def snapshot_review_flags(s: SparkSession, d: str) -> DataFrame:
-    return company.review_flags(view(s, d, "company_financials")).select("financial_id", "reason")
-
-
-@query("select study_id, concat_ws('; ', case when pre_tax_npv is null then 'missing_pre_tax_npv' end, case when post_tax_npv is null then 'missing_post_tax_npv' end, case when pre_tax_npv <> 0 and post_tax_npv >= pre_tax_npv then 'post_tax_npv_ge_pre_tax_npv' when pre_tax_npv <> 0 and (1 - post_tax_npv / pre_tax_npv < 0.2 or 1 - post_tax_npv / pre_tax_npv > 0.45) then 'implied_tax_gap_out_of_band' end, case when tax_rate_pct is null then 'missing_tax_rate' end) as reason from studies")
-def study_review_flags(s: SparkSession, d: str) -> DataFrame:
-    return company.study_flags(view(s, d, "studies")).select("study_id", "reason")
-
-
-@query("select study_id from studies where coalesce(post_tax_npv, pre_tax_npv) is not null and initial_capex is not null")
-def minimum_data(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").where(F.coalesce("post_tax_npv", "pre_tax_npv").isNotNull() & F.col("initial_capex").isNotNull()).select("study_id")
-
-
-@query("select study_id, case when study_date <= date '2000-01-01' then study_date end as study_date from studies")
-def future_date_discard(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").select("study_id", F.when(F.col("study_date") <= day("2000-01-01"), F.col("study_date")).alias("study_date"))
-
-
-@query(f"select project_id, project_name, {JUNK} as junk from projects")
-def junk_names(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "projects").select("project_id", "project_name", t.is_junk_name(F.col("project_name")).alias("junk"))
-
-
-@query(f"select study_id, coalesce(header_tier = 'conceptual' and {TIER} <> 'conceptual', false) as mismatch from studies")
-def header_mismatch(s: SparkSession, d: str) -> DataFrame:
-    odd = screen.tier_rank(F.col("header_tier")) > screen.tier_rank(v.tier_of(F.col("study_stage")))
-    return view(s, d, "studies").select("study_id", (F.col("header_tier").isNotNull() & odd & (F.col("header_tier") == "conceptual")).alias("mismatch"))
-
-
-@query("select financial_id, case review_reason when 'missing:cash; npv_ge_pre' then 'npv_ge_pre' when 'implied_tax_gap:0.6;change' then 'implied_tax_gap:0.6' else '' end as kept from company_financials")
-def npv_reasons(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "company_financials").select("financial_id", t.npv_reasons(F.col("review_reason")).alias("kept"))
-
-
-@query("select financial_id from company_financials where strftime(effective_date, '%m-%d') not in ('03-31', '06-30', '09-30', '12-31')")
-def bad_quarter_ends(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "company_financials").where(~F.date_format("effective_date", "MM-dd").isin("03-31", "06-30", "09-30", "12-31")).select("financial_id")
-
-
 @query("select project_id, resource_id from (select *, rank() over (partition by project_id order by effective_date desc) as r from resources) where r = 1")
 def latest_resources(s: SparkSession, d: str) -> DataFrame:
     return company.latest_resource_set(view(s, d, "resources")).select("project_id", "resource_id")
@@ -241,11 +199,6 @@ def study_floor(s: SparkSession, d: str) -> DataFrame:
     return company.floor_stages(view(s, d, "projects"), view(s, d, "studies"))
 
 
-@query(f"select project_id, min(case {TIER} when 'definitive' then 0 when 'indicative' then 1 else 2 end) as best from studies group by project_id")
-def best_tier(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").groupBy("project_id").agg(F.min(screen.tier_rank(v.tier_of(F.col("study_stage")))).alias("best"))
-
-
 @query(f"select document_id, case when header is null then null when regexp_matches(lower(header), '\\b(scoping|pea)\\b') then 'conceptual' when regexp_matches(lower(header), '\\b(pre[-\\s]?feasibility|prefeasibility|pfs)\\b') then 'indicative' when regexp_matches(lower(header), '\\b(definitive\\s+feasibility|dfs|bfs|bankable\\s+feasibility|feasibility\\s+study)\\b') then 'definitive' end as tier from filings")
 def header_tier(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "filings").select("document_id", t.header_tier(F.col("header")).alias("tier"))
@@ -263,16 +216,6 @@ def failure_transition(s: SparkSession, d: str) -> DataFrame:
     return company.apply_failures(view(s, d, "filings"))
 
 
-@query("select document_id, ticker from filings where parse_status = 'classified' or (parse_status = 'retry_scheduled' and due_in_hours <= 24)")
-def due_documents(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "filings").where("parse_status = 'classified' or (parse_status = 'retry_scheduled' and due_in_hours <= 24)").select("document_id", "ticker")
-
-
-@query("select document_id, sha256(upper(ticker) || ':' || cast(document_id as varchar)) as key from filings")
-def content_key(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "filings").select("document_id", F.sha2(F.concat_ws(":", F.upper("ticker"), F.col("document_id").cast("string")), 256).alias("key"))
-
-
 @query(f"select count(*) as total, count(*) filter (where parse_status = 'parsed') as parsed, count(*) filter (where parse_status = 'failed') as failed, count(*) filter (where parse_status = 'pending') as pending, count(*) filter (where parse_status = 'classified') as classified, count(*) filter (where parse_status = 'skipped') as skipped, count(*) filter (where parse_status = 'failed' and {TRANSIENT}) as failed_transient, count(*) filter (where parse_status = 'retry_scheduled' and due_in_hours <= 24) as due_now, min(due_in_hours) filter (where parse_status = 'retry_scheduled') as next_due from filings")
 def ingest_health(s: SparkSession, d: str) -> DataFrame:
     return company.ingest_health(view(s, d, "filings"), 24)
@@ -294,19 +237,9 @@ def type_diagnosis(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "filings").where(F.lower("header").contains("resource")).groupBy("parse_status").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"))
 
 
-@query("select document_id, ticker, parse_status from filings where parse_status = 'parsed' and ticker in ('T1', 'T12', 'T13')")
-def documents_filtered(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "filings").where((F.col("parse_status") == "parsed") & F.col("ticker").isin("T1", "T12", "T13")).orderBy("ticker", F.desc("document_id")).select("document_id", "ticker", "parse_status")
-
-
 @query("select ticker, document_id from (select *, row_number() over (partition by ticker order by document_id desc) as r from filings) where r <= 10")
 def activity_feed(s: SparkSession, d: str) -> DataFrame:
     return top(view(s, d, "filings"), ["ticker"], [F.desc("document_id")], 10).select("ticker", "document_id")
 
 
-@query("select project_id, study_stage, study_id from (select *, row_number() over (partition by project_id, study_stage, post_tax_npv order by study_id) as r from studies) where r = 1")
-def dedup_studies(s: SparkSession, d: str) -> DataFrame:
-    return top(view(s, d, "studies"), ["project_id", "study_stage", "post_tax_npv"], [F.col("study_id")]).select("project_id", "study_stage", "study_id")
-
-
-from . import reval, text_queries  # noqa: E402, F401  they register their queries
+from . import quality_queries, reval, state_queries, text_queries  # noqa: E402, F401  they register their queries
