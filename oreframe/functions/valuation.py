@@ -163,3 +163,9 @@ def production_norm_warning(v: Column, unit: Column) -> Column:
 def runway_quarters(cash: Column, burn: Column) -> Column:
     """Quarters of cash left; null without cash or burn, or when burn isn't positive."""
     return F.when((cash != 0) & (burn > 0), cash / burn)
+
+
+def runway_label(cash: Column, burn: Column) -> Column:
+    """What the runway says: quarters, or that cash grows; null without either figure."""
+    some = (cash != 0) & (burn != 0)
+    return F.when(some & (burn > 0), F.concat(F.lit("~"), F.bround(cash / burn, 0).cast("long").cast("string"), F.lit(" quarters of runway"))).when(some, "Net cash positive")

@@ -7,16 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, valuation
-from .common import reasons, top
+from . import revaluation
+from .common import top
 
 
 def financials_latest(financials: DataFrame) -> DataFrame:
     return top(financials, ["company_id"], [F.desc("effective_date"), F.desc("financial_id")])
 
 
+def financials_history(financials: DataFrame) -> DataFrame:
+    return financials.orderBy("company_id", F.desc("effective_date"), F.desc("financial_id"))
+
+
+QUARTERLY = ("appendix_5b", "quarterly_activity")
+
+
 def cash_history(financials: DataFrame) -> DataFrame:
-    f = financials.where("doc_type = 'appendix_5b' and cash is not null")
-    label = F.concat(F.lit("Q"), F.quarter("effective_date"), F.lit(" "), F.year("effective_date"))
+    """Cash rows of quarterly filings with the quarter's label and the size of the burn."""
+    f = financials.where(F.col("doc_type").isin(*QUARTERLY) & F.col("cash").isNotNull())
+    label = F.concat(F.lit("Q"), F.quarter("effective_date"), F.lit(" "), F.date_format("effective_date", "yy"))
     return f.select("company_id", "financial_id", "effective_date", label.alias("quarter"), "cash", F.abs("burn").alias("abs_burn"))
 
 
@@ -50,6 +59,118 @@ def completeness(projects: DataFrame) -> DataFrame:
     return projects.withColumn("score", F.round(score, 2))
 
 
+def project_revaluation(studies: DataFrame, revals: DataFrame, prices: DataFrame, as_of: Column) -> DataFrame:
+    """The newest run of each project's newest revaluable study that has any; runs whose price row is gone, or of another tier, don't count."""
+    newest = revaluation.latest_revaluable(studies, revals, as_of).select("study_id", "study_date", "needs_review", "review_reason")
+    runs = revals.where(F.col("study_confidence_tier").isin("definitive", "indicative")).join(newest, "study_id").join(prices.select(F.col("price_id").alias("price_spot_id"), F.col("fetched_at").alias("spot_fetched_at")), "price_spot_id")
+    return top(runs, ["project_id"], [F.desc("computed_at"), F.desc("revaluation_id")])
+
+
+def project_flags(projects: DataFrame, studies: DataFrame, resources: DataFrame, commodities: DataFrame, revaluations: DataFrame, as_of: Column) -> DataFrame:
+    """What the completeness score is made of, for each project; the study is the displayed one."""
+    st = displayed_study(studies, as_of).select(
+        "project_id", F.lit(True).alias("has_study"), (F.col("mine_life_years").isNotNull() & F.col("annual_production").isNotNull()).alias("study_has_production"), F.col("post_tax_npv").isNotNull().alias("study_has_npv"),
+    )
+    mark = lambda d, name: d.select("project_id").distinct().withColumn(name, F.lit(True))
+    p = projects.join(st, "project_id", "left").join(mark(resources, "has_resources"), "project_id", "left").join(mark(commodities.where("is_primary"), "has_primary_commodity"), "project_id", "left").join(mark(revaluations, "has_revaluation"), "project_id", "left")
+    return p.withColumn("stage_is_advanced", F.lower("stage").isin("feasibility", "development", "production"))
+
+
+def reval_rollup(projects: DataFrame, revaluations: DataFrame) -> DataFrame:
+    """Revalued projects, all projects, least coverage and whether any basket is partial, of companies with a revaluation. revaluations has coverage_pct."""
+    d = projects.join(revaluations.select("project_id", "coverage_pct"), "project_id", "left").groupBy("company_id").agg(
+        F.count("coverage_pct").alias("projects_revalued"), F.count("*").alias("projects_total"), F.min("coverage_pct").alias("min_coverage_pct"), F.bool_or(F.col("coverage_pct") < 100).alias("any_partial_basket"),
+    )
+    return d.where("projects_revalued > 0")
+
+
+def capital_latest(capital: DataFrame, financials: DataFrame, companies: DataFrame) -> DataFrame:
+    """Shares on issue of each company: of its newest capital snapshot, else of its newest financials that tell them."""
+    a = top(capital, ["ticker"], [F.desc_nulls_last("snapshot_date"), F.desc("document_id")]).select("ticker", F.col("shares_basic").cast("double").alias("a"))
+    b = top(financials.where("shares_fd is not null"), ["company_id"], [F.desc("effective_date"), F.desc("financial_id")]).select("company_id", F.col("shares_fd").alias("b"))
+    d = companies.select("company_id", "ticker").join(a, "ticker", "left").join(b, "company_id", "left").where("a is not null or b is not null")
+    return d.select("company_id", F.coalesce("a", "b").alias("shares"), F.when(F.col("a").isNotNull(), "capital").otherwise("financials").alias("source"))
+
+
+# Labels of types in the feed.
+LABELS = {
+    "appendix_5b": "Quarterly update", "quarterly_activity": "Quarterly update", "issue_of_securities": "Securities issuance", "placement": "Placement", "resource_update": "Resource update", "study_scoping": "Scoping study",
+    "study_pfs": "Pre-feasibility study", "study_dfs": "Feasibility study", "annual_report": "Annual report", "half_year_report": "Half year report", "presentation": "Corporate update",
+}
+
+
+def activity_feed(filings: DataFrame, financials: DataFrame, k: int = 20, shown: int = 10) -> DataFrame:
+    """The newest filings of each ticker that say something: of the k newest parsed ones, with their financials, those with a date or a detail, `shown` at most."""
+    newest = [F.desc_nulls_last("announcement_date"), F.desc("document_id")]
+    recent = top(filings.where("parse_status = 'parsed'"), ["ticker"], newest, k)
+    own = top(financials, ["document_id"], [F.desc("effective_date"), F.desc("financial_id")]).select("document_id", "cash", "burn", "shares_fd")
+    d = recent.join(own, "document_id", "left")
+    kind = F.col("doc_type")
+    cash = F.when(F.col("cash").isNotNull(), F.concat(F.lit("cash "), F.bround("cash", 0).cast("long").cast("string")))
+    burn = F.when(F.col("burn").isNotNull(), F.concat(F.when(F.col("burn") > 0, "burn ").otherwise("inflow "), F.bround(F.abs("burn"), 0).cast("long").cast("string")))
+    detail = F.when(kind.isin(*QUARTERLY), F.concat_ws(". ", cash, burn)).when(kind.isin("issue_of_securities", "placement"), F.coalesce(F.concat(F.bround("shares_fd", 0).cast("long").cast("string"), F.lit(" shares")), F.lit(""))).otherwise(F.coalesce("header", F.lit("")))
+    d = d.withColumns({"label": valuation.lookup(kind, LABELS, "Announcement"), "detail": detail}).where("announcement_date is not null or detail <> ''")
+    return top(d, ["ticker"], newest, shown).select("ticker", "document_id", "label", "detail", "announcement_date")
+
+
+def company_meta(companies: DataFrame, meta: DataFrame, projects: DataFrame, commodities: DataFrame) -> DataFrame:
+    """A line on each company: of meta(ticker, commodity, flagship_project, jurisdiction), else of its first project. meta is a small lookup."""
+    line = lambda *c: F.concat_ws(" · ", *[F.nullif(x, F.lit("")) for x in c])
+    given = meta.select("ticker", line(F.initcap("commodity"), F.col("flagship_project"), F.col("jurisdiction")).alias("given"))
+    primary = commodities.where("is_primary").groupBy("project_id").agg(F.min("commodity").alias("metal"))
+    first = top(projects, ["company_id"], [F.col("project_id")]).join(primary, "project_id", "left")
+    own = first.select("company_id", line(F.col("metal"), F.col("project_name"), F.coalesce("state", "country")).alias("own"))
+    return companies.join(given, "ticker", "left").join(own, "company_id", "left").select("ticker", F.coalesce(F.nullif("given", F.lit("")), "own", F.lit("")).alias("meta_line"))
+
+
+def coverage_flags(companies: DataFrame, cash: DataFrame, capital: DataFrame, scored: DataFrame, commodities: DataFrame, filings: DataFrame, least: float = 0.40) -> DataFrame:
+    """Which parts of a company's page have content. scored is projects with a completeness score."""
+    mark = lambda d, name: d.select("company_id").distinct().withColumn(name, F.lit(True))
+    operations = scored.groupBy("company_id").agg((F.max("score") >= least).alias("operations"))
+    priced = scored.select("project_id", "company_id").join(commodities.where(F.col("commodity").isin(*valuation.SUPPORTED)), "project_id", "left_semi")
+    docs = companies.select("company_id", "ticker").join(filings.select("ticker"), "ticker", "left_semi")
+    d = companies.select("company_id", "ticker").join(mark(cash, "financials"), "company_id", "left").join(mark(capital, "capital"), "company_id", "left").join(operations, "company_id", "left").join(mark(priced, "comparison"), "company_id", "left").join(mark(docs, "documents"), "company_id", "left")
+    return d.select("ticker", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("financials", "capital", "operations", "comparison", "documents")])
+
+
+def review_queue(financials: DataFrame, companies: DataFrame, filings: DataFrame, limit: int = 50) -> DataFrame:
+    """Flagged snapshots with their filings, the last inserted first."""
+    flagged = financials.where("needs_review").join(companies.select("company_id", "ticker"), "company_id").join(filings.select("document_id", "url", "header"), "document_id")
+    return flagged.orderBy(F.desc("financial_id")).limit(limit).select("financial_id", "ticker", "effective_date", "review_reason", "url")
+
+
+def corpus_stats(companies: DataFrame, filings: DataFrame, financials: DataFrame) -> DataFrame:
+    """Sizes of everything in one row, each table read once."""
+    status = F.col("parse_status")
+    a = filings.agg(F.count("*").alias("documents"), *[F.count_if(status == s).alias(f"docs_{s}") for s in ("parsed", "pending", "classified", "failed")])
+    b = financials.agg(F.count("*").alias("financials"), F.count_if("needs_review").alias("needs_review"))
+    c = companies.agg(F.count("*").alias("companies"))
+    one = F.lit(1).alias("_one")
+    return a.select("*", one).join(b.select("*", one), "_one").join(c.select("*", one), "_one").drop("_one")
+
+
+STUDIES = ("study_dfs", "study_pfs", "study_scoping")
+
+
+def study_coverage_gap(filings: DataFrame) -> DataFrame:
+    of = F.col("doc_type").isin(*STUDIES)
+    d = filings.agg(F.countDistinct(F.when(of, F.col("ticker"))).alias("with_study_doc"), F.countDistinct(F.when(of & (F.col("parse_status") == "parsed"), F.col("ticker"))).alias("with_parsed_study"))
+    return d.withColumn("recoverable_gap", F.col("with_study_doc") - F.col("with_parsed_study"))
+
+
+def failures_by_class(filings: DataFrame) -> DataFrame:
+    return filings.where("parse_status = 'failed'").groupBy(text.failure_class(F.col("parse_error")).alias("failure_class")).agg(F.count("*").alias("n"))
+
+
+def type_diagnosis(filings: DataFrame, doc_type: str, errors: int = 10, recent: int = 20) -> DataFrame:
+    """A type's counts by status, its most frequent errors and its newest filings, as rows of kind, value and n (for filings: the id)."""
+    own = filings.where(F.col("doc_type") == doc_type)
+    by_status = own.groupBy(F.col("parse_status").alias("value")).agg(F.count("*").alias("n")).select(F.lit("status").alias("kind"), "value", "n")
+    worst = own.where("parse_error is not null").groupBy(F.col("parse_error").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(errors)
+    newest = own.orderBy(F.desc_nulls_last("announcement_date"), F.desc("document_id")).limit(recent)
+    return by_status.unionByName(worst.select(F.lit("error").alias("kind"), "value", "n")).unionByName(newest.select(F.lit("recent").alias("kind"), F.col("ticker").alias("value"), F.col("document_id").alias("n")))
+
+
 def ingest_health(filings: DataFrame, now_hours: int) -> DataFrame:
     """Totals of one table in one pass."""
     status, due = F.col("parse_status"), F.col("due_in_hours")

@@ -66,13 +66,13 @@ VIEWS: dict[str, str] = {
         from orders""",
     "revals": """
         select o_orderkey * 10 as revaluation_id, o_orderkey as study_id, o_custkey * 10 + cast(substr(o_orderpriority, 1, 1) as bigint) as project_id, o_custkey as company_id,
-            cast(o_orderdate as timestamp) as computed_at, case o_orderkey % 3 when 0 then 'Au' else 'Cu' end as commodity, o_totalprice / 900.0 as npv_spot, o_totalprice / 9000.0 - 10 as npv_uplift, cast(o_orderkey % 31 as double) / 10 - 0.5 as npv_uplift_pct,
+            cast(o_orderdate as timestamp) as computed_at, case o_orderkey % 3 when 0 then 'Au' else 'Cu' end as commodity, o_totalprice / 4000.0 as npv_dfs, o_totalprice / 900.0 as npv_spot, o_totalprice / 9000.0 - 10 as npv_uplift, cast(o_orderkey % 31 as double) / 10 - 0.5 as npv_uplift_pct,
             case o_orderkey % 11 when 0 then null else cast(o_orderkey % 10000 as bigint) end as price_spot_id, cast(100 + o_orderkey % 300 as double) as price_dfs, cast(150 + o_orderkey % 500 as double) as price_spot,
             concat('["coverage_pct:', cast(40 + o_orderkey % 61 as varchar(20)), '.0"', case o_orderkey % 4 when 0 then ',"partial_basket_coverage:80.0pct"' else '' end, case o_orderkey % 5 when 0 then ',"deck_far_below_spot_Au:100_vs_500"' else '' end, case o_orderkey % 9 when 0 then ',"study_needs_review:x"' else '' end, ']') as warnings,
             case o_orderkey % 8 when 6 then 'conceptual' when 7 then null when 4 then 'indicative' when 5 then 'indicative' else 'definitive' end as study_confidence_tier
         from orders where o_orderkey % 3 <> 1
         union all
-        select o_orderkey * 10 + 1, o_orderkey, o_custkey * 10 + cast(substr(o_orderpriority, 1, 1) as bigint), o_custkey, cast(o_orderdate as timestamp) + interval 400 day, 'Au', o_totalprice / 800.0, o_totalprice / 8000.0, cast(o_orderkey % 29 as double) / 10,
+        select o_orderkey * 10 + 1, o_orderkey, o_custkey * 10 + cast(substr(o_orderpriority, 1, 1) as bigint), o_custkey, cast(o_orderdate as timestamp) + interval 400 day, 'Au', o_totalprice / 4000.0, o_totalprice / 800.0, o_totalprice / 8000.0, cast(o_orderkey % 29 as double) / 10,
             cast(o_orderkey % 10000 as bigint), cast(200 as double), cast(300 as double), '["coverage_pct:100.0"]', 'definitive'
         from orders where o_orderkey % 6 = 2""",
     "resources": """

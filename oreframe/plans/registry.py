@@ -2,7 +2,7 @@
 
 The views they share are in bind.py; every computed column has the same name in
 both. as-of times are literals, so results don't depend on the day. This module has
-the screener, company and ingest queries; the others are in the modules it imports.
+scalars and company and ingest queries; the others are in the modules it imports.
 """
 
 from __future__ import annotations
@@ -69,94 +69,11 @@ def asof_align(s: SparkSession, d: str) -> DataFrame:
 DAILY = "select commodity, cast(fetched_at as date) as day, arg_max(price_usd, (fetched_at, price_id)) as close from commodity_prices group by all"
 
 
-@query(f"with daily as ({DAILY}) select commodity, cast(date_trunc('week', day) as date) as week, arg_max(close, day) as close from daily group by all")
-def range_window(s: SparkSession, d: str) -> DataFrame:
-    return prices.weekly(prices.daily_close(view(s, d, "commodity_prices")))
-
-
 @query(f"with daily as ({DAILY}) select commodity, day, close, round(close / first_value(close) over (partition by commodity order by day) * 100, 4) as rebased from daily")
 def rebase_100(s: SparkSession, d: str) -> DataFrame:
     return prices.rebase(prices.daily_close(view(s, d, "commodity_prices"))).withColumn("rebased", F.round("rebased", 4))
 
 
-ACTIVE = f"select p.*, project_id in (select project_id from studies) as has_study from projects p where project_id in (select project_id from studies) or (project_id in (select project_id from resources) and not {JUNK})"
-
-
-def _active(s: SparkSession, d: str) -> DataFrame:
-    return screen.active_projects(view(s, d, "projects"), view(s, d, "studies"), view(s, d, "resources"))
-
-
-@query(f"select project_id, company_id, has_study from ({ACTIVE})")
-def active_projects(s: SparkSession, d: str) -> DataFrame:
-    return _active(s, d).select("project_id", "company_id", "has_study")
-
-
-@query(f"select project_id, study_id, study_stage, tier from (select *, row_number() over (partition by project_id order by study_date desc nulls last, case tier when 'definitive' then 0 when 'indicative' then 1 else 2 end, study_id desc) as r from (select *, {TIER} as tier from studies)) where r = 1")
-def latest_study(s: SparkSession, d: str) -> DataFrame:
-    return screen.latest_study(view(s, d, "studies")).select("project_id", "study_id", "study_stage", "tier")
-
-
-@query(f"select company_id, study_id, study_stage, study_date from (select *, row_number() over (partition by company_id order by study_date desc nulls last, case tier when 'definitive' then 0 when 'indicative' then 1 else 2 end, study_id desc) as r from (select *, {TIER} as tier from studies)) where r = 1")
-def company_latest_study(s: SparkSession, d: str) -> DataFrame:
-    return screen.latest_study(view(s, d, "studies"), "company_id").select("company_id", "study_id", "study_stage", "study_date")
-
-
-ROLLUP = f"""with active as ({ACTIVE}), total as (select company_id, count(*) as n_projects from projects group by company_id),
-    live as (select company_id, count(*) as n_active, count(*) filter (where has_study) as n_with_study, coalesce(array_to_string(list_sort(list(distinct country) filter (where country is not null)), ','), '') as countries, arg_min(stage, {STAGE_RANK}) as most_advanced from active group by company_id)
-    select c.ticker, n_projects, n_active, n_with_study, countries, most_advanced from companies c join live l on l.company_id = c.company_id left join total t on t.company_id = c.company_id"""
-
-
-def _rollup(s: SparkSession, d: str) -> DataFrame:
-    return screen.company_rollup(view(s, d, "companies"), view(s, d, "projects"), _active(s, d)).select("ticker", "n_projects", "n_active", "n_with_study", "countries", "most_advanced")
-
-
-@query(ROLLUP)
-def company_rollup(s: SparkSession, d: str) -> DataFrame:
-    return _rollup(s, d)
-
-
-@query(ROLLUP + " order by n_active desc nulls last, ticker limit 200")
-def screen_rank(s: SparkSession, d: str) -> DataFrame:
-    return screen.rank_screen(_rollup(s, d), "n_active")
-
-
-@query(ROLLUP + " where most_advanced = 'production' and list_contains(string_split(countries, ','), 'Australia')")
-def screen_filter(s: SparkSession, d: str) -> DataFrame:
-    return _rollup(s, d).where((F.col("most_advanced") == "production") & F.array_contains(F.split("countries", ","), "Australia"))
-
-
-@query("select ticker, company_name from companies where contains(lower(ticker), 't12') or contains(lower(company_name), 't12') order by starts_with(lower(ticker), 't12') desc, ticker limit 8")
-def screen_search(s: SparkSession, d: str) -> DataFrame:
-    hit = F.lower("ticker").contains("t12") | F.lower("company_name").contains("t12")
-    return view(s, d, "companies").where(hit).orderBy(F.desc(F.lower("ticker").startswith("t12")), "ticker").limit(8).select("ticker", "company_name")
-
-
-@query("select 'country' as facet, country as value, count(*) as n from projects where country is not null group by all union all select 'commodity', commodity, count(*) from study_commodities group by all")
-def screen_facets(s: SparkSession, d: str) -> DataFrame:
-    a = view(s, d, "projects").where("country is not null").groupBy(F.lit("country").alias("facet"), F.col("country").alias("value")).agg(F.count("*").alias("n"))
-    return a.unionByName(view(s, d, "study_commodities").groupBy(F.lit("commodity").alias("facet"), F.col("commodity").alias("value")).agg(F.count("*").alias("n")))
-
-
-@query("select stage, count(*) as n from projects group by stage")
-def stage_profile(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "projects").groupBy("stage").agg(F.count("*").alias("n"))
-
-
-@query("select study_id, case when a <= 1.5 then 'fresh' when a <= 3 then 'ageing' when a > 3 then 'stale' end as bucket from (select study_id, date_diff('day', study_date, date '2001-09-01') / 365.25 as a from studies)")
-def age_bucket(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").select("study_id", screen.age_bucket(F.datediff(day(), F.col("study_date")) / 365.25).alias("bucket"))
-
-
-@query("select company_id, financial_id, effective_date, 'Q' || quarter(effective_date) || ' ' || year(effective_date) as quarter, cash, abs(burn) as abs_burn from company_financials where doc_type = 'appendix_5b' and cash is not null")
-def cash_history(s: SparkSession, d: str) -> DataFrame:
-    return company.cash_history(view(s, d, "company_financials"))
-
-
-@query("select company_id, financial_id, round(case when cash <> 0 and burn > 0 then cash / burn end, 4) as quarters from (select *, row_number() over (partition by company_id order by effective_date desc, financial_id desc) as r from company_financials) where r = 1")
-def runway(s: SparkSession, d: str) -> DataFrame:
-    return company.financials_latest(view(s, d, "company_financials")).select("company_id", "financial_id", F.round(v.runway_quarters(F.col("cash"), F.col("burn")), 4).alias("quarters"))
-
-
 @query("select company_id, financial_id, effective_date, cash, burn from (select *, row_number() over (partition by company_id order by effective_date desc, financial_id desc) as r from company_financials) where r = 1")
 def financials_latest(s: SparkSession, d: str) -> DataFrame:
     return company.financials_latest(view(s, d, "company_financials")).select("company_id", "financial_id", "effective_date", "cash", "burn")
@@ -177,22 +94,11 @@ def latest_resources(s: SparkSession, d: str) -> DataFrame:
     return company.latest_resource_set(view(s, d, "resources")).select("project_id", "resource_id")
 
 
-@query("select project_id, study_id from (select *, row_number() over (partition by project_id order by study_date > date '2000-01-01', study_date desc nulls last, study_id desc) as r from studies) where r = 1")
+@query("select project_id, study_id from (select *, row_number() over (partition by project_id order by coalesce(study_date > date '2000-01-01', false), study_date desc nulls last, study_id desc) as r from studies) where r = 1")
 def displayed_study(s: SparkSession, d: str) -> DataFrame:
     return company.displayed_study(view(s, d, "studies"), day("2000-01-01")).select("project_id", "study_id")
 
 
-@query("""with r as (select distinct project_id from resources), st as (select project_id, max(case when post_tax_npv is not null then 1 else 0 end) as npv, max(case when mine_life_years is not null and study_id % 2 = 0 then 1 else 0 end) as made from studies group by project_id)
-    select p.project_id, round(case when r.project_id is not null then 0.2 else 0 end + case when country is not null then 0.05 else 0 end + case when stage in ('feasibility', 'development', 'production') then 0.1 else 0 end + case when st.project_id is not null then 0.2 else 0 end + case when made = 1 then 0.15 else 0 end + case when npv = 1 then 0.15 else 0 end, 2)::double as score
-    from projects p left join r on r.project_id = p.project_id left join st on st.project_id = p.project_id""")
-def completeness(s: SparkSession, d: str) -> DataFrame:
-    r = view(s, d, "resources").select("project_id").distinct().withColumn("has_resources", F.lit(True))
-    st = view(s, d, "studies").groupBy("project_id").agg(F.lit(True).alias("has_study"), F.bool_or(F.col("post_tax_npv").isNotNull()).alias("has_study_npv"), F.bool_or(F.col("mine_life_years").isNotNull() & (F.col("study_id") % 2 == 0)).alias("study_has_production")).withColumnRenamed("has_study_npv", "study_has_npv")
-    p = view(s, d, "projects").join(r, "project_id", "left").join(st, "project_id", "left")
-    p = p.withColumns({"has_primary_commodity": F.col("country").isNotNull(), "stage_is_advanced": F.col("stage").isin("feasibility", "development", "production"), "has_revaluation": F.lit(False)})
-    return company.completeness(p).select("project_id", "score")
-
-
 @query(f"""with best as (select project_id, min(case when {TIER} in ('definitive', 'indicative') then 4 else 5 end) as f from studies group by project_id), k as (select p.project_id, stage, {STAGE_RANK} as r, f from projects p left join best b on b.project_id = p.project_id)
     select project_id, stage, case least(r, f) when 1 then 'production' when 2 then 'care_and_maintenance' when 3 then 'development' when 4 then 'feasibility' when 5 then 'advanced_exploration' when 6 then 'exploration' else 'unknown' end as new_stage, coalesce(f < r, false) as floor_won from k""")
 def study_floor(s: SparkSession, d: str) -> DataFrame:
@@ -232,14 +138,4 @@ def company_doc_counts(s: SparkSession, d: str) -> DataFrame:
     return company.company_doc_counts(view(s, d, "companies"), view(s, d, "filings"))
 
 
-@query("select parse_status, count(*) as n, count(distinct ticker) as tickers from filings where contains(lower(header), 'resource') group by parse_status")
-def type_diagnosis(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "filings").where(F.lower("header").contains("resource")).groupBy("parse_status").agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"))
-
-
-@query("select ticker, document_id from (select *, row_number() over (partition by ticker order by document_id desc) as r from filings) where r <= 10")
-def activity_feed(s: SparkSession, d: str) -> DataFrame:
-    return top(view(s, d, "filings"), ["ticker"], [F.desc("document_id")], 10).select("ticker", "document_id")
-
-
-from . import quality_queries, reval, state_queries, text_queries  # noqa: E402, F401  they register their queries
+from . import quality_queries, reval, state_queries, text_queries, view_queries  # noqa: E402, F401  they register their queries
