@@ -1,6 +1,12 @@
 """Packed messages between tasks: many small entries (document, place, hash) as a
-few binary rows, dealt by Spark with repartitionById. A partition is a range of
+few binary rows, dealt by Spark with repartitionById. A part is a range of
 hashes on the way there and a hash of the document id on the way back.
+
+Parts are of a fixed size, so their number follows the data without a bound. Up to
+MAX_TASKS each is a partition; beyond, a partition holds several neighbouring parts,
+which Spark sorts (spilling to disk) and a task works off one after another, so that
+its memory stays that of one part. A message has an entry at least, so messages never
+outnumber the entries that they carry.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import shuffle_partitions
+from ._spark import in_tasks, shuffle_partitions
 
 SCHEMA = "part int, kind int, body binary"
 #: Kinds of messages. PLACES goes to a document's partition and passes through others.
@@ -153,11 +159,40 @@ class Inbox:
             yield from tx.chunks(read_text(body))
 
 
-def dealt(parts: int, *frames: DataFrame) -> DataFrame:
+#: Most partitions of an exchange.
+MAX_TASKS = 20_000
+
+
+def _one_part_at_a_time(f: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if now is not None and part[a] != now:
+                    yield from f(iter(held))
+                    held = []
+                now = part[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from f(iter(held))
+
+    return run
+
+
+def exchange(parts: int, f: Callable, schema: str, *frames: DataFrame) -> DataFrame:
+    """f over the messages of frames, of one part at a time."""
     out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out.repartitionById(parts, F.col("part"))
+    for x in frames[1:]:
+        out = out.unionAll(x)
+    if parts <= MAX_TASKS:
+        return out.repartitionById(parts, F.col("part")).mapInArrow(in_tasks(f), schema)
+    task = F.floor(F.col("part").cast("double") * MAX_TASKS / parts).cast("int")
+    return out.repartitionById(MAX_TASKS, task).sortWithinPartitions("part").mapInArrow(in_tasks(_one_part_at_a_time(f)), schema)
 
 
 #: Stored bytes of input for each partition of an exchange. Messages number tasks x partitions, so their count follows the data's size, not a setting.
@@ -170,4 +205,4 @@ def parts_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         return shuffle_partitions(spark)
-    return min(1 << 16, max(spark.sparkContext.defaultParallelism, -(-size // part_bytes)))
+    return min(1 << 30, max(spark.sparkContext.defaultParallelism, -(-size // part_bytes)))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -37,3 +38,20 @@ def in_tasks(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             trim(0)
 
     return run
+
+
+#: A key is hot when it holds more than this share of the rows; so at most HOT_KEYS keys are.
+HOT_KEYS = 1_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big joined with small, which has a row for each key at most, where a key may hold a third of big.
+
+    Keys that hold over a thousandth of big's rows are at most a thousand, whatever the size: their rows
+    of small are broadcast. The rest is a merge join. big is read three times, so it should be a written table.
+    """
+    least = big.count() / HOT_KEYS
+    hot = checkpointed(big.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least).select(key))
+    few = F.broadcast(hot)
+    rest = big.join(few, key, "left_anti").join(small.hint("merge"), key, how)
+    return big.join(few, key, "left_semi").join(F.broadcast(small.join(few, key, "left_semi")), key, how).unionByName(rest)

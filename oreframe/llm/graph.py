@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
+from ._spark import checkpointed, join_hot
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,15 +13,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round gives a vertex the smallest label of its neighbours, then that
     label's own label, so the rounds grow with the logarithm of the longest path.
-    Neighbours are reduced by min, never gathered. All joins are merge joins, as no side has a bound.
+    Neighbours are reduced by min, never gathered. Joins are merge joins, as no side has a bound, but for labels that
+    hold much of the table.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")))
     while True:
-        near = both.join(labels.hint("merge"), both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        step = labels.join(near.hint("merge"), "v").select("v", F.col("component").alias("was"), F.least("component", "near").alias("l"))
+        near = join_hot(both, labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
+        step = checkpointed(labels.join(near.hint("merge"), "v").select("v", F.col("component").alias("was"), F.least("component", "near").alias("l")))
         roots = labels.select(F.col("v").alias("l"), F.col("component").alias("up"))
-        new = checkpointed(step.join(roots.hint("merge"), "l", "left").select("v", "was", F.least("l", F.coalesce("up", "l")).alias("component")))
+        new = checkpointed(join_hot(step, roots, "l", "left").select("v", "was", F.least("l", F.coalesce("up", "l")).alias("component")))
         if new.where("was <> component").isEmpty():
             return new.select("v", "component")
         labels = new.select("v", "component")

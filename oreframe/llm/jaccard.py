@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _exchange as ex
 from . import _text as tx
-from ._spark import checkpointed, in_tasks
+from ._spark import checkpointed, in_tasks, join_hot
 from .graph import connected_components
 
 DOCUMENT, SHARED = ex.PLACES + 50, ex.PLACES + 60
@@ -289,8 +289,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     num, den = share
     spark, parts = docs.sparkSession, ex.parts_of(docs)
     sent = ex.texts(docs).mapInArrow(in_tasks(_send(size, parts)), ex.SCHEMA)
-    shared = ex.dealt(parts, sent).mapInArrow(in_tasks(_shared(parts)), ex.SCHEMA)
-    table = checkpointed(ex.dealt(parts, shared).mapInArrow(in_tasks(_gather(num, den)), TABLE))
+    shared = ex.exchange(parts, _shared(parts), ex.SCHEMA, sent)
+    table = checkpointed(ex.exchange(parts, _gather(num, den), TABLE, shared))
     documents = table.where("need is null").select("entity", "doc_id", "n")
     active = table.where("need is not null").select("entity", "n", "need", "tokens")
 
@@ -310,14 +310,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     alone = ready.withColumns({"component": F.col("entity"), "rank": F.struct(F.col("members").alias("c"), F.col("g").alias("k"))})
     links = checkpointed(links.unionByName(_ask(alone, link, part_size, num, den, True)))
     components = connected_components(links)
-    labels = components.join(components.groupBy("component").count().hint("merge"), "component").select(F.col("v").alias("entity"), "component", "count")
+    labels = join_hot(components, components.groupBy("component").count(), "component").select(F.col("v").alias("entity"), "component", "count")
     placed = checkpointed(ready.join(labels.hint("merge"), "entity", "left").withColumns({"component": F.coalesce("component", "entity"), "rank": F.struct(F.coalesce("count", F.lit(1)).alias("c"), F.coalesce("component", "entity").alias("k"))}))
     final = connected_components(links.unionByName(_ask(placed, link, part_size, num, den, False)))
 
     by_entity = documents.groupBy("entity").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
-    rooted = by_entity.where("size > 0").join(final.withColumnRenamed("v", "entity"), "entity", "left").withColumn("root", F.coalesce("component", "entity"))
-    roots = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    rooted = checkpointed(by_entity.where("size > 0").join(final.withColumnRenamed("v", "entity"), "entity", "left").select("entity", "least", F.coalesce("component", "entity").alias("root")))
+    roots = join_hot(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return (
-        documents.join(roots.select("entity", "component_id"), "entity", "left")
+        join_hot(documents, roots.select("entity", "component_id"), "entity", "left")
         .select(F.nullif("doc_id", F.lit(int(ex.NULL_ID))).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(int(ex.NULL_ID))).alias("component_id"))
     )

@@ -294,7 +294,7 @@ def _by_buckets(vectors: DataFrame, queries: DataFrame, tables: Tables, k: int)
     visits = queries.select("q", "v").mapInArrow(in_tasks(_to_visits(known)), row).join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)))
     parts = max(1, -(-vectors.count() * len(tables.a) // PARTITION))
     both = ours.unionByName(visits).select(F.pmod(F.xxhash64("key", "salt"), F.lit(parts)).cast("int").alias("part"), "key", "q", "v", "ids")
-    return _nearest_of(ex.dealt(parts, both).drop("part").mapInArrow(in_tasks(_search_buckets(k)), FOUND), k)
+    return _nearest_of(ex.exchange(parts, _search_buckets(k), FOUND, both), k)
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.94) -> DataFrame:

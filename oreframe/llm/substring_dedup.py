@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     parts = ex.parts_of(docs)
     texts = ex.texts(docs)
     sent = texts.mapInArrow(in_tasks(ex.send_texts(parts)), ex.SCHEMA)
-    anchors = ex.dealt(parts, texts.mapInArrow(in_tasks(_probe(window, block, parts)), ex.SCHEMA)).mapInArrow(in_tasks(_match_anchors(block, parts)), ex.SCHEMA)
-    extended = ex.dealt(parts, anchors, sent).mapInArrow(in_tasks(_extend(window, block, parts)), ex.SCHEMA)
-    windows = ex.dealt(parts, extended).mapInArrow(in_tasks(_match_windows(parts)), ex.SCHEMA)
-    return ex.dealt(parts, windows, sent).mapInArrow(in_tasks(_cut(window, with_text)), RESULT)
+    anchors = ex.exchange(parts, _match_anchors(block, parts), ex.SCHEMA, texts.mapInArrow(in_tasks(_probe(window, block, parts)), ex.SCHEMA))
+    extended = ex.exchange(parts, _extend(window, block, parts), ex.SCHEMA, anchors, sent)
+    windows = ex.exchange(parts, _match_windows(parts), ex.SCHEMA, extended)
+    return ex.exchange(parts, _cut(window, with_text), RESULT, windows, sent)

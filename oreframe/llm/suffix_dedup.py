@@ -364,7 +364,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, with_text: bool =
     texts = ex.texts(docs)
     shortest = min(length, max(shortest or length * 16 // 25, spread_of(length) + 8))
     sent = texts.mapInArrow(in_tasks(ex.send_texts(parts)), ex.SCHEMA)
-    anchors = ex.dealt(parts, texts.mapInArrow(in_tasks(_anchors(length, shortest, parts)), ex.SCHEMA)).mapInArrow(in_tasks(_compare_anchors(parts)), ex.SCHEMA)
-    shards = ex.dealt(parts, anchors, sent).mapInArrow(in_tasks(_shard(length, parts)), ex.SCHEMA)
-    starts = ex.dealt(parts, shards).mapInArrow(in_tasks(_merge(parts)), ex.SCHEMA)
-    return ex.dealt(parts, starts, sent).mapInArrow(in_tasks(_cut(length, with_text)), RESULT)
+    anchors = ex.exchange(parts, _compare_anchors(parts), ex.SCHEMA, texts.mapInArrow(in_tasks(_anchors(length, shortest, parts)), ex.SCHEMA))
+    shards = ex.exchange(parts, _shard(length, parts), ex.SCHEMA, anchors, sent)
+    starts = ex.exchange(parts, _merge(parts), ex.SCHEMA, shards)
+    return ex.exchange(parts, _cut(length, with_text), RESULT, starts, sent)
