@@ -4,10 +4,10 @@ A block is a line of a document or, as notices are wrapped, a window of words of
 the template's length / threshold, across lines. A block matches a template when
 it holds at least `threshold` of the template's distinct tokens. Tokens are ordered by their
 frequency in the whole table, rarest first. A matching block has a token of the
-template's prefix (all but need - 1 tokens in that order), has at least `need`
-words, and, once its first prefix token stands at place i of the template's
-order, can reach need with the tokens from i on. Blocks that pass these filters
-are counted exactly. Of windows, those around prefix tokens are counted, one ending
+template's prefix (all but need - 1 tokens in that order), found through an index of
+prefix tokens; has at least `need` words; and from its first token in common on, the
+template and the block both have tokens enough left to reach need. Blocks that pass
+these filters are counted exactly. Of windows, those around prefix tokens are counted, one ending
 at each of the template's tokens there. Templates and their tokens are fixed and small, so they go
 to every task; documents are not shuffled.
 """
@@ -68,12 +68,23 @@ class Templates:
         self.phrases = [(_hashes(p), label) for p, label in phrases.items()]
 
     def order(self, frequency: np.ndarray) -> Templates:
+        """Puts the templates' tokens in the order of frequency, and builds the index of their prefixes and of all their tokens."""
         rank = np.lexsort((self.vocabulary, frequency))
-        place = np.empty(len(rank), np.int64)
-        place[rank] = np.arange(len(rank))
-        self.sets = [x[np.argsort(place[x])] for x in self.sets]
+        self.place = np.empty(len(rank), np.int64)
+        self.place[rank] = np.arange(len(rank))
+        self.sets = [x[np.argsort(self.place[x])] for x in self.sets]
+        self.prefixes = self._index([x[: len(x) - n + 1] for x, n in zip(self.sets, self.need, strict=True)])
+        self.members = self._index(self.sets)
         return self
 
+    def _index(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token where its entries begin, and of each entry the template and the token's place in it."""
+        token = np.concatenate([*sets, np.empty(0, np.int64)]).astype(np.int64)
+        template = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.concatenate([np.arange(len(x)) for x in sets] + [np.empty(0, np.int64)]).astype(np.int64)
+        o = np.argsort(token, kind="stable")
+        return np.searchsorted(token[o], np.arange(len(self.vocabulary) + 1)), template[o], at[o]
+
     def tokens(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of vocabulary words in h, their numbers)."""
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -82,28 +93,39 @@ class Templates:
 
     def matches(self, block: np.ndarray, token: np.ndarray, block_words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(template, blocks that match it, their containment), for distinct pairs (block, token)."""
-        for t, (own, need) in enumerate(zip(self.sets, self.need, strict=True)):
-            place = np.full(len(self.vocabulary), len(own))
-            place[own] = np.arange(len(own))
-            at = place[token]
-            prefix = at < len(own) - need + 1
-            if not prefix.any():
-                continue
-            first = np.full(len(block_words), len(own))
-            np.minimum.at(first, block[prefix], at[prefix])
-            open_ = (block_words >= need) & (len(own) - first >= need)
-            inside = (at < len(own)) & open_[block]
-            n = np.bincount(block[inside], minlength=len(block_words))
-            found = np.flatnonzero(n >= need)
-            yield t, found, n[found] / len(own)
-
+        o = np.lexsort((self.place[token], block))
+        block, token = block[o], token[o]
+        first, group = tx.groups(block)
+        size = np.diff(np.append(first, len(block)))
+        after = (size[group] - 1 - (np.arange(len(block)) - first[group])) if len(block) else np.empty(0, np.int64)  # tokens of the block that come later
+        pair, entry = _entries_of(token, self.prefixes[0])
+        template, at = self.prefixes[1][entry], self.prefixes[2][entry]
+        need, length = np.array(self.need), np.array([len(x) for x in self.sets])
+        key = block[pair] * len(self.sets) + template
+        _, one = np.unique(key, return_index=True)  # the first token in common of a block and a template, as both are in one order
+        pair, template, at, key = pair[one], template[one], at[one], key[one]
+        bound = 1 + np.minimum(length[template] - at - 1, after[pair])
+        candidates = key[(block_words[block[pair]] >= need[template]) & (bound >= need[template])]
+        if not len(candidates):
+            return
+        inside = np.isin(block, candidates // len(self.sets))
+        pair, entry = _entries_of(token[inside], self.members[0])
+        key = block[inside][pair] * len(self.sets) + self.members[1][entry]
+        where = np.minimum(np.searchsorted(candidates, key), len(candidates) - 1)
+        n = np.bincount(where[candidates[where] == key], minlength=len(candidates))
+        template = candidates % len(self.sets)
+        ok = n >= need[template]
+        for t in np.unique(template[ok]):
+            own = ok & (template == t)
+            yield int(t), candidates[own] // len(self.sets), n[own] / length[t]
 
     def spans(self, place: np.ndarray, token: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(template, indices into place of the last words of windows that match it, their containment).
 
         place are the words (ascending) that are tokens of templates, start the first words of their documents.
         """
-        for t, (own, need, width) in enumerate(zip(self.sets, self.need, self.width, strict=True)):
+        for t in np.unique(self.prefixes[1][_entries_of(np.unique(token), self.prefixes[0])[1]]).tolist():
+            own, need, width = self.sets[t], self.need[t], self.width[t]
             number = np.full(len(self.vocabulary), len(own))
             number[own] = np.arange(len(own))
             at = number[token]
@@ -123,6 +145,12 @@ class Templates:
             yield t, near[found], n[found] / len(own)
 
 
+def _entries_of(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into token, entry) of each entry of each token, where the entries of a token are begin[token]:begin[token + 1]."""
+    n = begin[token + 1] - begin[token]
+    return np.repeat(np.arange(len(token)), n), np.repeat(begin[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _frequencies(templates) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = templates.value
@@ -183,14 +211,25 @@ def _scan(templates) -> object:
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9) -> DataFrame:
+#: Bytes of templates that a task may hold.
+TEMPLATE_BYTES = 16 << 20
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9) -> DataFrame:
     """One row per row of docs (doc_id, text; others are ignored): n_words, places of base phrases, labels and a score.
 
     score is 1 where a base phrase stands, else the largest containment among
     matching templates, else 0. Null and empty texts have no words, no labels
-    ('' both) and score 0. Phrases and windows may cross lines but not documents.
+    ('' both) and score 0. Phrases and windows may cross lines but not documents. Repeated rows have
+    a result each. templates can be a table of label and text, of TEMPLATE_BYTES at most; those without words match nothing.
     """
     context = docs.sparkSession.sparkContext
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > TEMPLATE_BYTES:
+            raise ValueError(f"templates of {size} bytes, more than {TEMPLATE_BYTES}")
+        templates = [(r[0], r[1] or "") for r in templates.select("label", "text").collect()]  # of a checked size
+    templates = [x for x in templates if len(_hashes(x[1]))]
     ready = Templates(templates, phrases, threshold)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(in_tasks(_frequencies(context.broadcast(ready))), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
