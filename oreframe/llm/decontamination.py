@@ -92,14 +92,24 @@ def _search(index) -> object:
             words = tx.split(batch.column(2), tx.ALPHANUMERIC, lower=True)
             n, doc = len(words.starts), words.doc
             hit = np.zeros(n, bool)
-            items: dict[int, list[np.ndarray]] = {}
+            pairs = []
             for at, size, first, last in known.probe(words):
                 hit |= tx.covered(at, size, n)
-                for a, i, j in zip(at, first, last, strict=True):
-                    items.setdefault(int(doc[a]), []).append(known.sizes[size][1][i:j])
-            hits = [np.flatnonzero(hit[a:b]).astype("<i8").tobytes() if d in items else b"" for d, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True))]
-            found = [np.unique(np.concatenate(items[d])).tolist() if d in items else [] for d in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words.counts, pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["row", "doc_id", "n_words", "hits", "items"])
+                if len(at):  # a window counts once for a document, however often it stands there
+                    _, one = np.unique(doc[at] * np.int64(len(known.sizes[size][0]) + 1) + first, return_index=True)
+                    count = last[one] - first[one]
+                    entry = np.repeat(first[one] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    pairs.append((np.repeat(doc[at[one]], count), known.sizes[size][1][entry]))
+            own = np.concatenate([d for d, _ in pairs]) if pairs else np.empty(0, np.int64)
+            item = np.concatenate([i for _, i in pairs]) if pairs else np.empty(0, np.int64)
+            o = np.lexsort((item, own))
+            own, item = own[o], item[o]
+            keep = np.ones(len(own), bool)
+            keep[1:] = (own[1:] != own[:-1]) | (item[1:] != item[:-1])
+            own, item = own[keep], item[keep]
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(item, pa.int64()))
+            hits = [np.flatnonzero(hit[a:b]).astype("<i8").tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words.counts, pa.int64()), pa.array(hits, pa.binary()), found], ["row", "doc_id", "n_words", "hits", "items"])
 
     return run
 
