@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, valuation
@@ -130,6 +131,16 @@ def rank_screen(screen: DataFrame, sort: str = "most_advanced_stage_desc", limit
     return screen.orderBy(order, "ticker").limit(min(limit, 500))
 
 
+def rank_screens(screen: DataFrame, limit: int = 200) -> DataFrame:
+    """The first `limit` in every order at once (sort, place, ...): one pass over the screen, of which each task keeps `limit` rows an order."""
+    keys = {
+        "most_advanced_stage_desc": F.coalesce(F.col("rank"), F.lit(99)), "project_count": -F.col("n_active"), "ticker": F.lit(0), "uplift_abs_desc": -F.col("npv_uplift"), "uplift_pct_desc": -F.col("npv_uplift_pct"),
+    }
+    d = screen.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(n).alias("sort"), k.cast("double").alias("key")) for n, k in keys.items()]))).withColumns({"sort": F.col("_s.sort"), "_key": F.col("_s.key")})
+    place = F.row_number().over(W.partitionBy("sort").orderBy(F.asc_nulls_last("_key"), "ticker"))
+    return d.withColumn("place", place).where(F.col("place") <= min(limit, 500)).drop("_s", "_key")
+
+
 def screen_facets(screen: DataFrame) -> DataFrame:
     one = lambda facet, column: screen.select(F.lit(facet).alias("facet"), F.explode(column).alias("value"))
     return one("country", "countries").unionByName(one("commodity", "commodities")).groupBy("facet", "value").agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forms as ff
+from ..functions.text import npv_reasons as kept_reasons
+from ..functions.valuation import tier_of
 from ..operators import entities, forms, repairs
 from .base import STAGE_RANK, TIER, day, now, query
 from .bind import view
@@ -81,8 +83,6 @@ def junk_names(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"select study_id, coalesce(case header_tier when 'definitive' then 0 when 'indicative' then 1 when 'conceptual' then 2 end > case {TIER} when 'definitive' then 0 when 'indicative' then 1 else 2 end, false) as mismatch from studies")
 def header_mismatch(s: SparkSession, d: str) -> DataFrame:
-    from ..functions.valuation import tier_of
-
     return view(s, d, "studies").select("study_id", repairs.header_mismatch(F.col("header_tier"), tier_of(F.col("study_stage"))).alias("mismatch"))
 
 
@@ -114,9 +114,7 @@ def clean_reasons(s: SparkSession, d: str) -> DataFrame:
 
 @query("select financial_id, array_to_string(list_filter(list_transform(string_split(coalesce(review_reason, ''), ';'), lambda x: trim(x)), lambda x: contains(x, 'npv_ge_pre') or contains(x, 'implied_tax_gap') or contains(x, 'npv_post')), '; ') as kept from company_financials")
 def npv_reasons(s: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import npv_reasons as kept
-
-    return view(s, d, "company_financials").select("financial_id", kept(F.col("review_reason")).alias("kept"))
+    return view(s, d, "company_financials").select("financial_id", kept_reasons(F.col("review_reason")).alias("kept"))
 
 
 @query("select financial_id from company_financials where strftime(effective_date, '%m-%d') not in ('03-31', '06-30', '09-30', '12-31')")
@@ -375,8 +373,6 @@ def stage_evidence(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"select project_id, min(case {TIER} when 'definitive' then 0 when 'indicative' then 1 else 2 end) as best from studies group by project_id")
 def best_tier(s: SparkSession, d: str) -> DataFrame:
-    from ..functions.valuation import tier_of
-
     return entities.best_tier(view(s, d, "studies").withColumn("tier", tier_of(F.col("study_stage"))))
 
 

@@ -114,7 +114,7 @@ SINGLE = """select study_id, l.commodity, 50.0 + study_id % 40 as deck, 60.0 + s
             when commodity = 'U3O8' and production_unit = 'oz' then 'U3O8_production_must_be_in_lb_or_t' when life > 0 and discount_rate_pct <= 0 then 'discount_rate_not_positive' when reporting_currency = 'AUD' and fx_rate is null then 'fx_rate_required_for_aud_reporting'
             when reporting_currency not in ('AUD', 'USD') then 'unsupported_reporting_currency:' || reporting_currency end as error from lived),
     m as (select *, case when error is null then production * case when commodity = 'Cu' and production_unit = 't' then 2204.62262 else 1 end * (spot_price - deck) * annuity * (1 - tax_used / 100) / 1e6 / case when reporting_currency = 'AUD' then fx_rate else 1 end end as delta from a)
-    select study_id, commodity, annuity, tax_used, error, round(npv + delta, 2) as npv_spot, round(delta, 2) as npv_uplift, round_even(case when npv = 0 then case when error is null then 0 end else delta / abs(npv) end, 4) as npv_uplift_pct from m""")
+    select study_id, commodity, annuity, tax_used, error, round(delta, 2) as npv_uplift, round_even(case when npv = 0 then case when error is null then 0 end else delta / abs(npv) end, 4) as npv_uplift_pct from m""")
 def revalue_single(s: SparkSession, d: str) -> DataFrame:
     k = F.col("study_id")
     inputs = view(s, d, "studies").drop("annual_production").join(view(s, d, "study_commodities"), "study_id").where("annual_production is not null and mine_life_years is not null and post_tax_npv is not null").select(
@@ -123,7 +123,7 @@ def revalue_single(s: SparkSession, d: str) -> DataFrame:
         "discount_rate_pct", "tax_rate_pct", F.col("post_tax_npv").alias("npv"), "reporting_currency", F.when(k % 10 != 3, 0.6452).alias("fx_rate"),
     )
     out = revaluation.revalue_single(inputs)
-    return out.select("study_id", "commodity", "annuity", "tax_used", "error", F.round("npv_spot", 2).alias("npv_spot"), F.round("npv_uplift", 2).alias("npv_uplift"), "npv_uplift_pct")
+    return out.select("study_id", "commodity", "annuity", "tax_used", "error", F.round("npv_uplift", 2).alias("npv_uplift"), "npv_uplift_pct")
 
 
 @query("""select study_id, round(delta_npv, 2) as delta_npv, round(npv + delta_npv, 2) as npv_spot, round_even(case when npv = 0 then 0 else delta_npv / abs(npv) end, 4) as npv_uplift_pct, concat_ws('; ', case when npv = 0 then 'npv_dfs_zero_pct_undefined' end, case when npv < 0 then 'npv_dfs_negative_pct_vs_abs' end,
@@ -147,10 +147,10 @@ def revaluations(s: SparkSession, d: str) -> DataFrame:
     return out.drop("mine_life_years", "discount_rate_pct", "npv_uplift", "npv_uplift_pct", "warnings").withColumns({c: F.round(c, n) for c, n in r.items()})
 
 
-@query(f"with {BASKET} select m.study_id, leg, m.commodity, supported, round(deck, 6) as price_dfs, spot_price as price_spot, spot_id as price_spot_id, round(m.delta_revenue, -2) as delta_revenue_annual_usd, round(deck_revenue, 0) as dfs_metal_revenue_usd from moved m where m.study_id in (select study_id from basket)")
+@query(f"with {BASKET} select m.study_id, leg, m.commodity, supported, round(deck, 6) as price_dfs, spot_price as price_spot, spot_id as price_spot_id, round(m.delta_revenue, 2) as delta_revenue_annual_usd, round(deck_revenue, 2) as dfs_metal_revenue_usd from moved m where m.study_id in (select study_id from basket)")
 def revaluation_legs(s: SparkSession, d: str) -> DataFrame:
     out = revaluation.revaluation_leg_rows(_basket(s, d), _resolved(s, d))
-    return out.select("study_id", "leg", "commodity", "supported", F.round("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", F.round("delta_revenue_annual_usd", -2).alias("delta_revenue_annual_usd"), F.round("dfs_metal_revenue_usd", 0).alias("dfs_metal_revenue_usd"))
+    return out.select("study_id", "leg", "commodity", "supported", F.round("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", "delta_revenue_annual_usd", F.round("dfs_metal_revenue_usd", 2).alias("dfs_metal_revenue_usd"))
 
 
 RANKED = f"select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as r from studies where {TIER} <> 'conceptual' and study_id in (select study_id from revals)"

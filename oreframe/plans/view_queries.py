@@ -130,12 +130,8 @@ def screen_filter(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {SCREEN}, total as (select count(*) as total from screened), ranked as (select 'most_advanced_stage_desc' as sort, * from (select * from screened order by rank, ticker limit 200) union all select 'project_count', * from (select * from screened order by n_active desc, ticker limit 200) union all select 'ticker', * from (select * from screened order by ticker limit 200) union all select 'uplift_abs_desc', * from (select * from screened order by npv_uplift desc nulls last, ticker limit 200) union all select 'uplift_pct_desc', * from (select * from screened order by npv_uplift_pct desc nulls last, ticker limit 200)) select sort, total, {RANKED} from ranked, total".replace("total as (select count(*) as total from screened)", "counted as (select count(*) as total from screened)").replace("from ranked, total", "from ranked, counted"))
 def screen_rank(s: SparkSession, d: str) -> DataFrame:
     table = _screen(s, d)
-    total = table.agg(F.count("*")).scalar()
-    out = None
-    for sort in screen.SORTS:
-        one = _shown(screen.rank_screen(table, sort)).select(F.lit(sort).alias("sort"), total.alias("total"), *SHOWN)
-        out = one if out is None else out.unionByName(one)
-    return out
+    ranked = _joined(screen.rank_screens(table), "commodities", "countries").withColumn("npv_uplift", F.round("npv_uplift", 4))
+    return ranked.select("sort", table.agg(F.count("*")).scalar().alias("total"), *SHOWN)
 
 
 @query("select ticker, company_name from companies where contains(lower(ticker), 't12') or contains(lower(company_name), 't12') order by starts_with(lower(ticker), 't12') desc, ticker limit 8")

@@ -153,6 +153,10 @@ def test_screen_filters_and_order(spark):
     assert names(screen.rank_screen(s, "uplift_pct_desc")) == ["A", "B", "D", "C"] and names(screen.rank_screen(s, "uplift_abs_desc")) == ["B", "A", "D", "C"]
     assert names(screen.rank_screen(s)) == ["A", "D", "B", "C"] and names(screen.rank_screen(s, "project_count", 2)) == ["B", "C"]
     assert sorted(names(screen.screen_filter(s, single_project=True))) == ["A", "D"] and names(screen.screen_filter(s, stage="feasibility")) == ["B"] and names(screen.screen_filter(s, recent_since="2024-01-01")) == ["A"]
+    every = {}
+    for r in screen.rank_screens(s, 3).orderBy("sort", "place").collect():
+        every.setdefault(r.sort, []).append(r.ticker)
+    assert every == {sort: names(screen.rank_screen(s, sort, 3)) for sort in screen.SORTS}
     assert sorted(names(screen.screen_filter(s, supported_only=True))) == ["A", "D"] and names(screen.screen_filter(s, commodity="Li", country="Canada")) == ["B"]
     assert names(screen.visible(s, " ET ")) == ["B"] and sorted(names(screen.visible(s, hide_empty=True))) == ["A", "C", "D"]
 
