@@ -277,6 +277,13 @@ def _ask(placed: DataFrame, link: Callable, part_size: int, num: int, den: int,
     return askers.select(*columns).unionByName(asked.select(*columns)).groupBy("g", "sub", "turn").applyInArrow(link, "a long, b long")
 
 
+def _shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """A written table of documents, and of entities with the shingles that they share. Nothing here refers to its exchanges any more, so Spark can delete their files."""
+    parts = ex.parts_of(docs)
+    sent = ex.texts(docs).mapInArrow(in_tasks(_send(size, parts)), ex.SCHEMA)
+    return checkpointed(ex.exchange(parts, _gather(num, den), TABLE, ex.exchange(parts, _shared(parts), ex.SCHEMA, sent)))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (3, 4), part_size: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; others are ignored).
 
@@ -287,10 +294,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     (and is null again in the result). Repeated rows are linked with each other.
     """
     num, den = share
-    spark, parts = docs.sparkSession, ex.parts_of(docs)
-    sent = ex.texts(docs).mapInArrow(in_tasks(_send(size, parts)), ex.SCHEMA)
-    shared = ex.exchange(parts, _shared(parts), ex.SCHEMA, sent)
-    table = checkpointed(ex.exchange(parts, _gather(num, den), TABLE, shared))
+    spark, table = docs.sparkSession, _shared_shingles(docs, size, num, den)
     documents = table.where("need is null").select("entity", "doc_id", "n")
     active = table.where("need is not null").select("entity", "n", "need", "tokens")
 
