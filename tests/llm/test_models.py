@@ -153,6 +153,29 @@ def test_pipeline(spark, tmp_path, docs, labelled):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[5])
 
 
+def test_stages_without_rows_or_ids(spark, tmp_path, docs, labelled):
+    """Filters keep rows without an id as they are, the mix takes each by itself, and an empty table passes through."""
+    import corpus_pipeline
+
+    extra, labels = labelled
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    table = docs.where("length(text) > 20").select(*columns).withColumn("clash", F.lit("x"))
+    nameless = table.where("doc_id < 30").withColumn("doc_id", F.lit(None).cast("long"))
+    labels.where("doc_id < 900").withColumn("doc_id", F.col("doc_id") + 10_000).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "none of these words stand anywhere in the table of documents at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    n = nameless.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, nameless.unionByName(table), str(tmp_path))
+        assert out.columns == table.columns and out.where("doc_id is null").count() == n, name
+    mixed = corpus_pipeline.mixing_stage(spark, nameless, str(tmp_path))
+    sizes = [len(r.text.split()) for r in nameless.collect()]
+    assert mixed.columns == table.columns and n <= mixed.count() <= 2 * n
+    assert abs(sum(len(r.text.split()) for r in mixed.collect()) - 1.5 * sum(sizes)) <= 5 * max(sizes)
+    assert corpus_pipeline.sharding_stage(spark, mixed, str(tmp_path)).count() == mixed.count()
+
+
 def test_queries_exist():
     from oreframe.llm.queries import QUERIES
 
