@@ -320,8 +320,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
 
     by_entity = documents.groupBy("entity").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
     rooted = checkpointed(by_entity.where("size > 0").join(final.withColumnRenamed("v", "entity"), "entity", "left").select("entity", "least", F.coalesce("component", "entity").alias("root")))
-    roots = join_hot(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    roots = checkpointed(join_hot(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("entity", "component_id"))
     return (
-        join_hot(documents, roots.select("entity", "component_id"), "entity", "left")
+        join_hot(documents, roots, "entity", "left")
         .select(F.nullif("doc_id", F.lit(int(ex.NULL_ID))).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(int(ex.NULL_ID))).alias("component_id"))
     )
