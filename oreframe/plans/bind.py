@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 VIEWS: dict[str, str] = {
     "companies": "select c_custkey as company_id, concat('T', cast(c_custkey as varchar(20))) as ticker, c_name as company_name from customer",
@@ -211,13 +212,24 @@ Total 1,500 1.0')
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Its schema is read from the files once, as a query reads some tables many times."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view over the tables in sf_dir."""
     sql, used = VIEWS[name].replace("{", "{{").replace("}", "}}"), []
     for t in TABLES:
         sql, n = re.subn(rf"\b(from\s+){t}\b", rf"\1{{{t}}}", sql)
         used += [t] if n else []
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def with_views(sql: str) -> str:
