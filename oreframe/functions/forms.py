@@ -123,10 +123,6 @@ def one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
 
-def first_of(*values: Column) -> Column:
-    return F.coalesce(*values)
-
-
 def count_of(s: Column) -> Column:
     return F.regexp_replace(s, ",", "").try_cast("double")
 

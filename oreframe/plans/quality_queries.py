@@ -157,9 +157,6 @@ def string_nulls(s: SparkSession, d: str) -> DataFrame:
     return repairs.string_nulls(view(s, d, "filings").select("document_id", x.alias("x"), F.when(k % 2 == 0, "None").otherwise("kept").alias("y")))
 
 
-FIN = "document_id, ticker, effective_date, announcement_date, cash, debt, burn, receipts, shares_basic, shares_fd"
-
-
 @query(f"with {SECTIONS}, {ITEMS} select i.document_id, ticker, effective_date, coalesce(announcement_date, effective_date) as announcement_date, cash * 1000 as cash, debt * 1000 as debt, operating * -1000 as burn, receipts * 1000 as receipts from items i join filings f on f.document_id = i.document_id where effective_date is not null")
 def fin_from_cashflow(s: SparkSession, d: str) -> DataFrame:
     section = forms.cashflow_section(view(s, d, "filing_pages"))

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import valuation as v
-from ..operators import company, prices, screen
-from ..operators.common import top
-from .base import BAD, FACTOR, JUNK, ORACLE_SQL, QUERIES, STAGE_RANK, TAX, TIER, TRANSIENT, day, now, query
+from ..operators import company, prices
+from .base import BAD, FACTOR, ORACLE_SQL, QUERIES, STAGE_RANK, TAX, TIER, TRANSIENT, day, now, query
 from .bind import view
 
 LATEST = "select commodity, arg_max(price_usd, (fetched_at, price_id)) as price_usd, arg_max(price_id, (fetched_at, price_id)) as price_id from commodity_prices where fetched_at <= timestamp '2024-01-29 12:00:00' group by commodity"
