@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, mixing, neighbours, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, hyperminhash, infilling, jaccard, licenses, mixing, neighbours, quality, ranked_search, sharding, substring_dedup, suffix_dedup, toxicity
 from ._spark import table
 
 
@@ -54,12 +54,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infilling.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = infilling.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_license_scan, op3_ngram_jaccard, op4_toxicity, op5_suffix_dedup,
         op6_decontamination, op7_source_mixing, op8_nearest_neighbours, op9_sharding, op10_quality,
+        op11_fill_in_middle, op12_ranked_search, op13_hyperminhash,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": infilling.SQL, "op12_ranked_search": ranked_search.SQL}
