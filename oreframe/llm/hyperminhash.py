@@ -1,7 +1,9 @@
 """Near-duplicate components by HyperMinHash.
 
 1. Every shingle of a set falls into a bucket; of each bucket's smallest hash only the
-   number of leading zeros and the next MANTISSA bits are kept, 16 bits a bucket.
+   number of leading zeros and the next MANTISSA bits are kept, 16 bits a bucket. An
+   empty bucket borrows from the filled one that comes first in an order of its own, so that
+   registers of short texts agree as often as those of long ones of the same similarity.
    Texts with the same shingle set are one entity, named by a hash of the set.
 2. Bands of registers that several entities share make them candidates. Each entity is
    at home with the smallest entity it shares a band with; homes are split into
@@ -32,19 +34,20 @@ from ._spark import checkpointed, in_tasks, join_hot
 from .graph import connected_components
 from .jaccard import shingle_sets
 
-#: Registers of a band and bands. Sets of Jaccard similarity 0.8 share no band with a probability of 2e-6.
-ROWS, BANDS = 6, 44
+#: Registers of a band and bands. Sets of Jaccard similarity 0.8 share no band with a probability of 5e-6.
+ROWS, BANDS = 7, 52
 BUCKETS = ROWS * BANDS
 MANTISSA = 10
-EMPTY = np.uint16(0xFFFF)
 DEVIATIONS = 5
 #: Sets sketched at once.
 SETS = 4096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+#: Row i: the place of each bucket in the order in which bucket i borrows.
+_BORROWING = np.random.default_rng(20240301).permuted(np.tile(np.arange(BUCKETS, dtype=np.uint16), (BUCKETS, 1)), axis=1)
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BUCKETS registers for each set of 64-bit hashes."""
+    """A row of BUCKETS registers for each set of 64-bit hashes, none of which is empty."""
     low = np.full((len(sets), BUCKETS), np.iinfo(np.uint64).max, np.uint64)
     h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -56,7 +59,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     mantissa = (low << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     full = np.zeros(low.size, bool)
     full[own * BUCKETS + bucket] = True
-    return np.where(full.reshape(low.shape), (zeros << np.uint64(MANTISSA)) | mantissa, EMPTY).astype("<u2")
+    full = full.reshape(low.shape)
+    out = ((zeros << np.uint64(MANTISSA)) | mantissa).astype("<u2")
+    for i in np.flatnonzero(~full.all(1)):
+        have, lack = np.flatnonzero(full[i]), np.flatnonzero(~full[i])
+        out[i, lack] = out[i, have[_BORROWING[np.ix_(lack, have)].argmin(1)]]
+    return out
 
 
 def accidental(n: np.ndarray, m: int) -> np.ndarray:
@@ -74,12 +82,9 @@ def accidental(n: np.ndarray, m: int) -> np.ndarray:
 
 def near(own: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(estimated similarity of others' registers with own's, whether it could reach the threshold)."""
-    filled = own != EMPTY
-    either = (filled | (others != EMPTY)).sum(1)
-    agree = ((others == own) & filled).sum(1)
     p = accidental(sizes, n)
-    estimate = (agree / np.maximum(either, 1) - p) / (1 - p)
-    return estimate, estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
+    estimate = ((others == own).mean(1) - p) / (1 - p)
+    return estimate, estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / np.minimum(np.minimum(sizes, n), BUCKETS))
 
 
 def _sketch(size: int) -> Callable:
@@ -130,7 +135,7 @@ class _Members:
 
 
 def links(rows: _Members, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join different components: of all members if none asks, else of each that asks with those that don't."""
+    """Pairs of components that a link joins: of all members if none asks, else of each that asks with those that don't."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -159,7 +164,7 @@ def links(rows: _Members, num: int, den: int) -> list[tuple[int, int]]:
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             if int((y[at] == x).sum()) * (num + den) >= num * (len(x) + len(y)):
                 parent[root(rows.component[j])] = mine
-                out.append((rows.entity[i], rows.entity[j]))
+                out.append((rows.component[i], rows.component[j]))
     return out
 
 
@@ -172,7 +177,7 @@ def _linker(size: int, num: int, den: int) -> Callable:
 
 
 def _asking(members: DataFrame, placed: DataFrame, link: Callable, part_size: int, part_shingles: int) -> DataFrame:
-    """Links between entities and the parts of other homes in which a larger component shares a band with them."""
+    """Pairs of components linked by entities and the parts of other homes in which a larger component shares a band with them."""
     ranked = placed.select("entity", "g", "sub", "component", F.struct("count", "component").alias("rank"))
     entries = members.select("key", "entity").join(ranked.hint("merge"), "entity")
     mixed = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
@@ -206,9 +211,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, share: tuple[int, int] = (4,
     sketches = checkpointed(named.mapInArrow(in_tasks(_sketch(size)), "doc_id long, row long, entity long, n long, registers binary"))
     sketched = sketches.where("registers is not null")
 
-    none = F.lit(EMPTY.tobytes() * ROWS)
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("r")))
-    bands = sketched.select("entity", F.explode(band).alias("x")).where(F.col("x.r") != none).select(F.xxhash64("x.i", "x.r").alias("key"), "entity")
+    bands = sketched.select("entity", F.explode(band).alias("x")).select(F.xxhash64("x.i", "x.r").alias("key"), "entity")
     shared = bands.groupBy("key").agg(F.min("entity").alias("leader"), F.max("entity").alias("last")).where("leader < last").select("key", "leader")
     members = checkpointed(bands.join(shared.hint("merge"), "key").distinct())
 
@@ -229,7 +233,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, share: tuple[int, int] = (4,
     components = connected_components(found)
     labels = components.join(components.groupBy("component").count().hint("merge"), "component").select(F.col("v").alias("entity"), "component", "count")
     labelled = placed.join(labels.hint("merge"), "entity", "left").withColumns({"component": F.coalesce("component", "entity"), "count": F.coalesce("count", F.lit(1).cast("long"))})
-    final = connected_components(found.unionByName(_asking(members, labelled, link, part_size, part_shingles)))
+    joined = connected_components(_asking(members, labelled, link, part_size, part_shingles)).select(F.col("v").alias("was"), F.col("component").alias("now"))
+    single = joined.join(components.select(F.col("component").alias("was")).hint("merge"), "was", "left_anti").select(F.col("was").alias("v"), F.col("now").alias("component"))
+    final = components.join(joined.hint("merge"), F.col("component") == F.col("was"), "left").select("v", F.coalesce("now", "component").alias("component")).unionByName(single)
 
     by_entity = sketches.groupBy("entity").agg(F.min("doc_id").alias("least"), F.max("n").alias("size"))
     rooted = checkpointed(by_entity.where("size > 0").join(final.withColumnRenamed("v", "entity").hint("merge"), "entity", "left").select("entity", "least", F.coalesce("component", "entity").alias("root")))
