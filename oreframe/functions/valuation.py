@@ -32,6 +32,11 @@ def lookup(key: Column, values: dict, default: object = None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def number(x: Column) -> Column:
+    """A number as text: 4 places, half to even, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.4f", F.bround(x, 4)), r"\.?0+$", "")
+
+
 def annuity(rate_pct: Column, years: Column) -> Column:
     """(1 - (1 + r)^-n) / r to 4 places, half to even; null for rates of 0 or less."""
     r = rate_pct / 100
@@ -54,7 +59,8 @@ def tax_rate(raw: Column) -> Column:
 
 
 def tax_warning(raw: Column) -> Column:
-    return F.when(raw == 0, "tax_rate_zero_pct_kept").when((raw > 0) & (raw < 1), "tax_rate_fraction_scaled")
+    scaled = F.concat(F.lit("tax_rate_fraction_scaled_"), number(raw), F.lit("_to_"), F.format_string("%.1f", tax_rate(raw)), F.lit("pct"))
+    return F.when(raw == 0, "tax_rate_zero_pct_kept").when((raw > 0) & (raw < 1), scaled)
 
 
 def production_error(metal: Column, v: Column) -> Column:
@@ -82,7 +88,7 @@ def production_factor(metal: Column, v: Column) -> Column:
 
 def production_warning(metal: Column, v: Column) -> Column:
     factor = production_factor(metal, v)
-    return F.when(production_error(metal, v).isNull() & (factor > 1), F.concat(F.lit("production_magnitude_scaled_"), metal, F.lit("_x"), factor.cast("string")))
+    return F.when(production_error(metal, v).isNull() & (factor > 1), F.concat(F.lit("production_magnitude_scaled_"), metal, F.lit("_"), number(v), F.lit("_x"), factor.cast("string")))
 
 
 def _says_per_tonne(unit: Column) -> Column:
@@ -95,7 +101,8 @@ def copper_per_pound(price: Column, unit: Column) -> Column:
 
 
 def copper_warning(price: Column, unit: Column) -> Column:
-    return F.when(_says_per_tonne(unit), "cu_price_unit_t_to_lb").when(price > 100, "cu_price_magnitude_t_to_lb")
+    given = F.concat(number(price), F.coalesce(unit, F.lit("None")))
+    return F.when(_says_per_tonne(unit), F.concat(F.lit("cu_price_unit_t_to_lb:"), given)).when(price > 100, F.concat(F.lit("cu_price_magnitude_t_to_lb:"), given))
 
 
 def is_aud_unit(unit: Column) -> Column:
@@ -134,6 +141,15 @@ def tier_of(stage: Column) -> Column:
     return out
 
 
+def effective_tier(tier: Column, stage: Column) -> Column:
+    """The stored tier of a study, or for rows without one that of its stage. Only the gate and the refresh fall back; other readers take the stored one as it is."""
+    return F.coalesce(tier, tier_of(stage))
+
+
+def revaluable(tier: Column) -> Column:
+    return F.coalesce(tier.isin("definitive", "indicative"), F.lit(False))
+
+
 def stage_rank(stage: Column) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage), F.lit(0))
 

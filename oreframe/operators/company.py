@@ -175,7 +175,7 @@ def ingest_health(filings: DataFrame, now_hours: int) -> DataFrame:
     """Totals of one table in one pass."""
     status, due = F.col("parse_status"), F.col("due_in_hours")
     return filings.agg(
-        F.count("*").alias("total"), *[F.count_if(status == s).alias(s) for s in ("parsed", "failed", "pending", "classified", "skipped")],
+        F.count("*").alias("total"), *[F.count_if(status == s).alias(s) for s in ("parsed", "failed", "retry_scheduled", "classified", "pending", "skipped")],
         F.count_if((status == "failed") & (text.failure_class(F.col("parse_error")) == "transient")).alias("failed_transient"),
         F.count_if((status == "retry_scheduled") & (due <= now_hours)).alias("due_now"), F.min(F.when(status == "retry_scheduled", due)).alias("next_due"),
     )

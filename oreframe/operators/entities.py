@@ -91,23 +91,31 @@ def resolve_projects(mentions: DataFrame, projects: DataFrame) -> DataFrame:
     return m.select("mention_id", "company_id", F.coalesce("matched", F.when(junk, F.col("fallback"))).alias("project_id"), "canonical", outcome.alias("outcome"))
 
 
-def merge_forks(projects: DataFrame, studies: DataFrame, revals: DataFrame, resources: DataFrame, commodities: DataFrame) -> dict[str, DataFrame]:
+def merge_forks(projects: DataFrame, studies: DataFrame, revals: DataFrame, resources: DataFrame, commodities: DataFrame, inferences: DataFrame) -> dict[str, DataFrame]:
     """Projects of one company and canonical name as one, that of the smallest id, with all that refers to them.
 
-    projects has company_name. Studies of the same stage and value (nulls are equal) are one, the keeper's
-    own before others, then by id; the keeper's own all stay. Revaluations of dropped studies go. Commodities are kept once a project.
+    projects has company_name. Studies of the same stage and value are one, the keeper's own before
+    others, then by id; the keeper's own all stay. Null values are equal, but a null stage equals none, so studies
+    without a stage all stay. Revaluations of dropped studies go. Commodities are kept once a project, and
+    inferences (project_id, ...) follow their project. stats tells in one row what was done.
     """
     p = projects.withColumn("canonical", canonical_name(F.col("project_name"), F.col("company_name")))
     group = W.partitionBy("company_id", F.lower("canonical"))
     cross = p.withColumn("keeper", F.min("project_id").over(group)).select("project_id", "keeper", "canonical", F.count("*").over(group).alias("size"))
     moved = lambda d: d.withColumnRenamed("project_id", "_from").join(cross.select(F.col("project_id").alias("_from"), "keeper"), "_from", "left").withColumns({"own": F.coalesce(F.col("_from") == F.col("keeper"), F.lit(True)), "project_id": F.coalesce("keeper", "_from")}).drop("keeper")
     same = W.partitionBy("project_id", "study_stage", "post_tax_npv").orderBy(F.desc("own"), "study_id")
-    s = moved(studies).withColumn("keep", F.col("own") | (F.row_number().over(same) == 1))
+    s = moved(studies).withColumn("keep", F.col("own") | F.col("study_stage").isNull() | (F.row_number().over(same) == 1))
     gone = s.where("not keep").select("study_id")
+    stats = cross.agg(F.count_if((F.col("project_id") == F.col("keeper")) & (F.col("size") > 1)).alias("groups_merged"), F.count_if(F.col("project_id") != F.col("keeper")).alias("projects_removed"))
+    stats = stats.withColumns({
+        "studies_repointed": s.where("keep and not own").agg(F.count("*")).scalar(), "dup_studies_deleted": gone.agg(F.count("*")).scalar(),
+        "revals_deleted": revals.join(gone, "study_id", "left_semi").agg(F.count("*")).scalar(),
+    })
     keepers = p.join(cross.select("project_id", "keeper", "size"), "project_id").where("project_id = keeper")
     return {
         "projects": keepers.withColumn("project_name", F.when(F.col("size") > 1, F.col("canonical")).otherwise(F.col("project_name"))).drop("canonical", "keeper", "size"),
         "studies": s.where("keep").drop("own", "keep", "_from"), "revaluations": moved(revals).drop("own", "_from").join(gone, "study_id", "left_anti"), "resources": moved(resources).drop("own", "_from"),
+        "inferences": moved(inferences).drop("own", "_from"), "stats": stats,
         "commodities": moved(commodities).groupBy("project_id", "commodity").agg(F.max_by("is_primary", F.struct("own", -F.col("_from"))).alias("is_primary")),
     }
 
@@ -133,9 +141,10 @@ def backfill_legs(studies: DataFrame, project_commodities: DataFrame, legs: Data
 
 
 def dedup_studies(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming studies whose project, stage and value (nulls are equal) aren't there yet, each once."""
+    """Incoming studies whose project, stage and value aren't there yet, each once. Null values are equal, but a null stage equals none: such studies all come in."""
     e = existing.select("project_id", "study_stage", F.col("post_tax_npv").alias("_npv")).alias("e")
-    i = top(incoming, ["project_id", "study_stage", "post_tax_npv"], [F.col("study_id")]).alias("i")
+    staged = top(incoming.where("study_stage is not null"), ["project_id", "study_stage", "post_tax_npv"], [F.col("study_id")])
+    i = staged.unionByName(incoming.where("study_stage is null")).alias("i")
     return i.join(e, (F.col("i.project_id") == F.col("e.project_id")) & (F.col("i.study_stage") == F.col("e.study_stage")) & F.col("i.post_tax_npv").eqNullSafe(F.col("e._npv")), "left_anti")
 
 
@@ -216,8 +225,8 @@ def stage_evidence(projects: DataFrame, companies: DataFrame, studies: DataFrame
 
 
 def production_floor(projects: DataFrame, financials: DataFrame, studies: DataFrame, as_of: Column) -> DataFrame:
-    """Projects with the stage that a production signal gives: a first production that has passed, with a revaluable study; or the company's latest receipts within bounds, which promote its most advanced project (ties: smallest id)."""
-    revaluable = studies.where(v.tier_of(F.col("study_stage")).isin("definitive", "indicative")).select("project_id").distinct().withColumn("revaluable", F.lit(True))
+    """Projects with the stage that a production signal gives: a first production that has passed, with a study stored as definitive or indicative; or the company's latest receipts within bounds, which promote its most advanced project (ties: smallest id)."""
+    revaluable = studies.where(v.revaluable(F.col("study_confidence_tier"))).select("project_id").distinct().withColumn("revaluable", F.lit(True))
     latest = top(financials.where("receipts is not null"), ["company_id"], [F.desc("effective_date"), F.desc("financial_id")])
     sells = latest.where(F.col("receipts").between(RECEIPTS_FLOOR, RECEIPTS_MAX)).select("company_id", F.lit(True).alias("sells"))
     best = top(projects, ["company_id"], [F.coalesce(v.stage_rank(F.col("stage")), F.lit(99)), F.col("project_id")]).join(sells, "company_id", "left_semi").select("project_id", F.lit(True).alias("sells"))

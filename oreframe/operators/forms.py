@@ -103,9 +103,10 @@ def fill_missing(primary: DataFrame, fallback: DataFrame, fields: tuple[str, ...
 
 
 def finalize_cashflow(items: DataFrame) -> DataFrame:
-    """Dollars, and burn with outflow positive."""
-    dollars = {"cash": "cash", "debt": "debt", "receipts_from_customers": "receipts", "quarterly_financing": "financing"}
-    burns = {"quarterly_opex_burn": "operating", "quarterly_invest_burn": "investing", "exploration_burn": "exploration_evaluation"}
+    """Dollars, and burn with outflow positive. The text of a form doesn't give cash_beginning; only its table rows do."""
+    items = items if "cash_beginning" in items.columns else items.withColumn("cash_beginning", F.lit(None).cast("double"))
+    dollars = {"cash": "cash", "cash_beginning": "cash_beginning", "debt": "debt", "receipts_from_customers": "receipts", "quarterly_financing": "financing"}
+    burns = {"quarterly_opex_burn": "operating", "quarterly_invest_burn": "investing", "exploration_evaluation": "exploration_evaluation"}
     return items.select(
         KEY, "effective_date", "quarters_of_funding", *[(F.col(c) * 1000).alias(n) for n, c in dollars.items()], *[(F.col(c) * -1000).alias(n) for n, c in burns.items()],
     )

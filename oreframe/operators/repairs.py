@@ -153,8 +153,8 @@ def bad_quarter_ends(financials: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repair_studies_and_revals(studies: DataFrame, revals: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Studies without future dates, and revaluations without those of conceptual or unknown tier, their own or their study's."""
-    conceptual = studies.where(v.tier_of(F.col("study_stage")) == "conceptual").select("study_id")
+    """Studies without future dates, and revaluations without those of conceptual or unknown tier of their own, or of a study stored as conceptual."""
+    conceptual = studies.where("study_confidence_tier = 'conceptual'").select("study_id")
     kept = revals.where(F.coalesce(F.col("study_confidence_tier"), F.lit("conceptual")) != "conceptual").join(conceptual, "study_id", "left_anti")
     return studies.withColumn("study_date", discard_future_date(F.col("study_date"), as_of)), kept
 

@@ -12,52 +12,64 @@ FX = "AUDUSD"
 STALE_YEARS = 3
 
 
+def _quotes(prices: DataFrame) -> Column:
+    """commodity -> (price_usd, price_id) as one value for all rows: prices has a row for each commodity."""
+    return prices.agg(F.map_from_entries(F.collect_list(F.struct("commodity", F.struct("price_usd", "price_id"))))).scalar()
+
+
 def resolve_legs(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Legs of known studies with deck price, production in the price's unit, spot price and revenue.
+    """Legs of known studies with deck price, production in the price's unit, spot price and revenue, a row each.
 
-    prices has a row for each commodity, so Spark broadcasts it when it is small;
-    its AUDUSD row (US dollars per Australian dollar) converts decks in Australian
-    dollars. leg_error is why the study must be refused: no exchange rate, a
-    production that can't be trusted, or no spot price, in that order.
+    prices' AUDUSD row (US dollars per Australian dollar) converts decks in Australian
+    dollars. leg_error is why the study must be refused: no exchange rate, a production
+    that can't be trusted, or no spot price, in that order.
     """
     metal, made = F.col("commodity"), F.col("annual_production")
-    fx = prices.where(F.col("commodity") == FX).agg(F.max("price_usd")).scalar()
-    spot = prices.select("commodity", F.col("price_usd").alias("quoted"), F.col("price_id").alias("quote_id"))
-    d = legs.join(studies.select("study_id", "assumed_price_deck"), "study_id").join(spot, "commodity", "left")
-    d = d.withColumn("entry", v.deck_entry(F.col("assumed_price_deck"), metal)).withColumns({"fx": fx, "aud": v.is_aud_unit(F.col("entry.unit")) & F.col("entry.price").isNotNull()})
-    price, unit = F.col("entry.price"), F.col("entry.unit")
-    known = metal.isin(*v.SUPPORTED)
+    d = legs.select("study_id", "leg", "commodity", "annual_production", "is_primary").join(studies.select("study_id", F.from_json("assumed_price_deck", v.DECK).alias("_deck")), "study_id")
+    d = d.withColumn("_quotes", _quotes(prices))
+    quoted = lambda key: F.try_element_at("_quotes", key)
+    d = d.withColumns({"entry": F.get(F.filter("_deck", lambda e: e["commodity"] == metal), F.lit(0)), "quote": quoted(metal), "fx": quoted(F.lit(FX))["price_usd"], "known": F.coalesce(metal.isin(*v.SUPPORTED), F.lit(False))})
+    price, unit, spot = F.col("entry.price"), F.col("entry.unit"), F.col("quote.price_usd")
+    d = d.withColumns({"aud": v.is_aud_unit(unit) & price.isNotNull(), "refused": F.when(F.col("known"), v.production_error(metal, made))})
     usd = F.when(metal == "Cu", v.copper_per_pound(price, unit)).otherwise(price)
-    d = d.withColumns({
-        "deck": F.when(F.col("aud"), usd * F.col("fx")).otherwise(usd),
-        "scaled": F.when(known, F.when(v.production_error(metal, made).isNull(), made * v.production_factor(metal, made))).otherwise(made),
-        "refused": F.when(known, v.production_error(metal, made)),
-    })
-    d = d.withColumn("supported", F.coalesce(known & F.col("deck").isNotNull() & F.col("scaled").isNotNull(), F.lit(False)))
-    basis = F.when(F.col("supported"), v.to_price_basis(F.col("scaled"), metal, v.basis_unit(metal))).otherwise(F.col("scaled"))
+    d = d.withColumns({"deck": F.when(F.col("aud"), usd * F.col("fx")).otherwise(usd), "production": F.when(~F.col("known"), made).when(F.col("refused").isNull(), made * v.production_factor(metal, made))})
+    d = d.withColumn("supported", F.col("known") & F.col("deck").isNotNull() & F.col("production").isNotNull())
+    supported, deck = F.col("supported"), F.col("deck")
+    basis = F.when(supported, v.to_price_basis(F.col("production"), metal, v.basis_unit(metal))).otherwise(F.col("production"))
     return d.select(
-        "study_id", "leg", "commodity", "is_primary", "supported", "deck", F.col("scaled").alias("production"), v.basis_unit(metal).alias("production_unit"),
-        F.when(F.col("supported"), F.col("quoted")).alias("spot_price"), F.when(F.col("supported"), F.col("quote_id")).alias("spot_id"),
-        F.when(F.col("supported"), basis * (F.col("quoted") - F.col("deck"))).otherwise(0.0).alias("delta_revenue"),
-        F.coalesce(basis * F.col("deck"), F.lit(0.0)).alias("deck_revenue"),
+        "study_id", "leg", "commodity", "is_primary", "supported", "deck", "production", v.basis_unit(metal).alias("production_unit"),
+        F.when(supported, spot).alias("spot_price"), F.when(supported, F.col("quote.price_id")).alias("spot_id"),
+        F.when(supported, basis * (spot - deck)).otherwise(0.0).alias("delta_revenue"), F.coalesce(basis * deck, F.lit(0.0)).alias("deck_revenue"),
         F.when(F.col("aud") & F.col("fx").isNull(), "fx_missing:AUDUSD").when(F.col("refused").isNotNull(), F.col("refused"))
-        .when(F.col("supported") & F.col("quoted").isNull(), F.concat(F.lit("spot_missing:"), metal)).alias("leg_error"),
+        .when(supported & spot.isNull(), F.concat(F.lit("spot_missing:"), metal)).alias("leg_error"),
         F.array_compact(F.array(
-            F.when((metal == "Cu") & price.isNotNull(), v.copper_warning(price, unit)), F.when(F.col("aud"), F.concat(F.lit("price_deck_aud_to_usd_"), metal)),
-            F.when(known, v.production_warning(metal, made)),
+            F.when((metal == "Cu") & price.isNotNull(), v.copper_warning(price, unit)), F.when(F.col("aud"), F.concat(F.lit("price_deck_aud_to_usd_"), metal, F.lit(":"), unit)),
+            F.when(F.col("known"), v.production_warning(metal, made)),
         )).alias("leg_warnings"),
+        F.when(supported & (deck < spot / 2), F.concat(F.lit("deck_far_below_spot_"), metal, F.lit(":"), v.number(deck), F.lit("_vs_"), v.number(spot))).alias("far"),
     )
 
 
-def leg_sums(resolved: DataFrame) -> DataFrame:
-    """One row per study of its resolved legs: sums, the first error and the warnings in leg order."""
-    far = F.when(F.col("supported") & (F.col("deck") < F.col("spot_price") / 2), F.concat(F.lit("deck_far_below_spot_"), F.col("commodity")))
-    in_order = F.array_sort(F.collect_list(F.struct("leg", "leg_warnings", far.alias("far"))))
-    return resolved.groupBy("study_id").agg(
+def priced_studies(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
+    """studies with their legs resolved at spot: legs (an array in leg order), their sums, the first leg_error and fx_rate.
+
+    legs has a row for each study and metal. Both joins and the aggregate are by study_id, so on
+    tables bucketed by it nothing is shuffled, and what a reader doesn't select isn't worked out.
+    Studies without legs have null for all sums.
+    """
+    r = resolve_legs(studies, legs, prices)
+    sums = r.groupBy("study_id").agg(
         F.count("*").alias("n_legs"), F.count_if("supported").alias("n_supported"), F.sum("delta_revenue").alias("delta_revenue"), F.sum("deck_revenue").alias("total_revenue"),
         F.sum(F.when(F.col("supported"), F.col("deck_revenue")).otherwise(0.0)).alias("supported_revenue"),
-        F.min_by("leg_error", F.when(F.col("leg_error").isNotNull(), F.col("leg"))).alias("leg_error"), in_order.alias("in_order"),
+        F.min_by("leg_error", F.when(F.col("leg_error").isNotNull(), F.col("leg"))).alias("leg_error"),
+        F.array_sort(F.collect_list(F.struct("leg", *[c for c in r.columns if c not in ("study_id", "leg")]))).alias("legs"),
     )
+    return studies.join(sums, "study_id", "left").withColumn("fx_rate", F.try_element_at(_quotes(prices), F.lit(FX))["price_usd"])
+
+
+def leg_rows(priced: DataFrame) -> DataFrame:
+    """A row for each resolved leg of priced studies."""
+    return priced.where("legs is not null").select("study_id", F.inline("legs")).drop("far")
 
 
 def coverage_pct(total: Column, supported: Column) -> Column:
@@ -65,28 +77,32 @@ def coverage_pct(total: Column, supported: Column) -> Column:
     return F.when(total > 0, supported / total * 100).otherwise(100.0)
 
 
-def coverage(resolved: DataFrame) -> DataFrame:
-    return leg_sums(resolved).select("study_id", F.bround(coverage_pct(F.col("total_revenue"), F.col("supported_revenue")), 1).alias("coverage_pct"), (F.col("n_legs") - F.col("n_supported")).alias("unsupported_legs"))
+def coverage(priced: DataFrame) -> DataFrame:
+    own = priced.where("n_legs is not null")
+    return own.select("study_id", F.bround(coverage_pct(F.col("total_revenue"), F.col("supported_revenue")), 1).alias("coverage_pct"), (F.col("n_legs") - F.col("n_supported")).alias("unsupported_legs"))
 
 
-def _with_terms(studies: DataFrame, projects: DataFrame, as_of: Column) -> DataFrame:
-    place = projects.select("project_id", "stage", "production_start_date", F.lit(True).alias("known"))
-    tier = F.coalesce(F.col("study_confidence_tier"), v.tier_of(F.col("study_stage"))) if "study_confidence_tier" in studies.columns else v.tier_of(F.col("study_stage"))
-    s = studies.join(place, "project_id", "left").withColumns({"tier": tier, "elapsed": v.elapsed_years(F.col("production_start_date"), as_of)})
-    return s.withColumn("life", v.remaining_life(F.col("mine_life_years"), F.col("elapsed")))
+def project_facts(projects: DataFrame, project_commodities: DataFrame, resources: DataFrame) -> DataFrame:
+    """What the revaluation needs of each project: project_id, stage, production_start_date, n_commodities (declared or in resources) and primary_commodity (the smallest of several). One aggregate and one join, both by project_id."""
+    metals = project_commodities.select("project_id", "commodity", "is_primary").union(resources.select("project_id", "commodity", F.lit(False)))
+    metals = metals.groupBy("project_id").agg(F.size(F.collect_set("commodity")).alias("n_commodities"), F.min(F.when(F.col("is_primary"), F.col("commodity"))).alias("primary_commodity"))
+    return projects.select("project_id", "stage", "production_start_date").join(metals, "project_id", "left")
 
 
-def gated(studies: DataFrame, projects: DataFrame, sums: DataFrame, prices: DataFrame, as_of: Column) -> DataFrame:
-    """studies with tier, elapsed, life, fx_rate, the sums of their legs, and reason: the first that forbids a revaluation (null: none)."""
-    fx = prices.where(F.col("commodity") == FX).agg(F.max("price_usd")).scalar()
-    s = _with_terms(studies, projects, as_of).join(sums, "study_id", "left").withColumn("fx_rate", fx)
+def gated(priced: DataFrame, places: DataFrame, as_of: Column) -> DataFrame:
+    """priced with stage, tier, elapsed, life and reason: the first that forbids a revaluation (null: none). places has a row for each project, as of project_facts; without its commodities none are counted."""
+    columns = [c for c in ("n_commodities", "primary_commodity") if c in places.columns]
+    place = places.select("project_id", "stage", "production_start_date", *columns, F.lit(True).alias("known"))
+    tier = v.effective_tier(F.col("study_confidence_tier"), F.col("study_stage"))
+    s = priced.join(place, "project_id", "left").withColumns({"tier": tier, "elapsed": v.elapsed_years(F.col("production_start_date"), as_of)})
+    s = s.withColumn("life", v.remaining_life(F.col("mine_life_years"), F.col("elapsed")))
     needed = ("mine_life_years", "discount_rate_pct", "post_tax_npv", "reporting_currency")
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
     aud = F.col("reporting_currency") == "AUD"
     reason = (
         F.when(F.col("known").isNull(), "study_not_found")
         .when(F.col("header_tier") == "conceptual", "not_revaluable_tier:conceptual_by_header")
-        .when(~F.coalesce(F.col("tier").isin("definitive", "indicative"), F.lit(False)), F.concat(F.lit("not_revaluable_tier:"), F.coalesce("tier", F.lit("none"))))
+        .when(~v.revaluable(F.col("tier")), F.concat(F.lit("not_revaluable_tier:"), F.coalesce("tier", F.lit("none"))))
         .when(F.size(missing) > 0, F.concat(F.lit("missing_fields:"), F.array_join(missing, ",")))
         .when(~F.col("reporting_currency").isin("AUD", "USD"), F.concat(F.lit("reporting_currency_not_supported:"), F.col("reporting_currency")))
         .when(F.col("n_legs").isNull(), "no_study_commodities")
@@ -118,38 +134,39 @@ def tax_terms(raw: Column) -> tuple[Column, list[Column]]:
     return F.coalesce(v.tax_rate(raw), F.lit(v.DEFAULT_TAX_PCT)), [F.when(raw.isNull(), "tax_rate_defaulted_to_30.00pct")]
 
 
-def revalue_basket(gated_studies: DataFrame, as_of: Column, commodities: DataFrame | None = None) -> DataFrame:
+def revalue_basket(gated_studies: DataFrame, as_of: Column) -> DataFrame:
     """Net present value at spot of the studies that pass the gate, with warnings in a fixed order.
 
-    commodities (project_id, n_commodities) lets a basket be told that lacks metals
-    of its project. Numbers inside warnings are rounded; the columns hold them whole.
+    With n_commodities a basket is told that lacks metals of its project. Numbers
+    inside warnings are rounded; the columns hold them whole.
     """
     tax, tax_default = tax_terms(F.col("tax_rate_pct"))
     s = gated_studies.where("reason is null")
-    s = s.join(commodities.select("project_id", "n_commodities"), "project_id", "left") if commodities is not None else s.withColumn("n_commodities", F.lit(None).cast("long"))
+    s = s if "n_commodities" in s.columns else s.withColumn("n_commodities", F.lit(None).cast("long"))
     s = s.withColumns({"tax_used": tax, "annuity": F.when(F.col("life") > 0, v.annuity(F.col("discount_rate_pct"), F.col("life"))).otherwise(0.0), "coverage_pct": coverage_pct(F.col("total_revenue"), F.col("supported_revenue"))})
     npv = F.col("post_tax_npv")
     s = s.withColumns(finalize_npv(F.col("delta_revenue"), F.col("annuity"), F.col("tax_used"), npv, F.col("reporting_currency"), F.col("fx_rate")))
     pct = F.when(npv == 0, 0.0).otherwise(F.col("delta_npv") / F.abs(npv))
     produces = F.col("elapsed").isNotNull()
     age = F.datediff(as_of, F.col("study_date")) / 365.25
-    share = F.format_string("%.1f", F.bround("coverage_pct", 1))
+    share, years = F.format_string("%.1f", F.bround("coverage_pct", 1)), F.format_string("%.1f", F.bround(age, 1))
     first = F.array_compact(F.array(
         *tax_default, F.when(produces, F.format_string("remaining_life_%.2fy_of_%.1fy", F.bround("life", 2), F.col("mine_life_years"))), F.when(F.col("life") <= 0, "mine_depleted_no_remaining_life"),
         *npv_warnings(npv, pct), F.when(~produces, "developer_pre_production_timing_not_discounted"),
     ))
     last = F.array_compact(F.array(
         v.tax_warning(F.col("tax_rate_pct")), F.concat(F.lit("coverage_pct:"), share), F.when(F.col("coverage_pct") < 100, F.concat(F.lit("partial_basket_coverage:"), share, F.lit("pct"))),
-        F.when(F.col("n_commodities") > F.col("n_legs"), F.concat(F.lit("basket_legs_incomplete:"), F.col("n_legs").cast("string"), F.lit("of"), F.col("n_commodities").cast("string"))),
-        F.when(age > STALE_YEARS, F.concat(F.lit("stale_study:age="), F.format_string("%.1f", F.bround(age, 1)))), F.when((age > STALE_YEARS) & produces, "depletion_from_stale_study"),
+        F.when(F.col("n_commodities") > F.col("n_legs"), F.concat(F.lit("basket_legs_incomplete:"), F.col("n_legs").cast("string"), F.lit("of"), F.col("n_commodities").cast("string"), F.lit("_metals_modeled"))),
+        F.when(age > STALE_YEARS, F.concat(F.lit("stale_study:age="), years, F.lit("y_deck_and_costs_outdated"))),
+        F.when((age > STALE_YEARS) & produces, F.concat(F.lit("depletion_from_stale_study:study_date="), F.col("study_date").cast("string"), F.lit("_age="), years, F.lit("y_remaining_life_may_be_understated"))),
     ))
     end = F.array_compact(F.array(
         F.when((F.col("stage") == "production") & ~produces, "producer_missing_start_date_no_depletion_uplift_overstated"),
         F.when(F.col("needs_review"), F.concat(F.lit("study_needs_review:"), F.coalesce("review_reason", F.lit("unspecified")))),
     ))
-    of_legs = F.flatten(F.transform("in_order", lambda x: x["leg_warnings"]))
-    far = F.array_compact(F.transform("in_order", lambda x: x["far"]))
-    return s.withColumns({"warnings": F.concat(first, of_legs, last, far, end), "method_version": F.lit("first_order_v4")}).drop("in_order")
+    of_legs = F.flatten(F.transform("legs", lambda x: x["leg_warnings"]))
+    far = F.array_compact(F.transform("legs", lambda x: x["far"]))
+    return s.withColumns({"warnings": F.concat(first, of_legs, last, far, end), "method_version": F.lit("first_order_v4")})
 
 
 def revalue_single(inputs: DataFrame) -> DataFrame:
@@ -174,21 +191,21 @@ def revalue_single(inputs: DataFrame) -> DataFrame:
     return d.withColumns({k: F.when(F.col("error").isNull(), c) for k, c in finalize_npv(revenue, F.col("annuity"), F.col("tax_used"), F.col("npv"), currency, F.col("fx_rate")).items()})
 
 
-def revaluation_rows(basket: DataFrame, resolved: DataFrame, project_commodities: DataFrame) -> DataFrame:
-    """A row for each revalued study, with the leg that stands for it: the project's primary metal if supported, else the first supported one."""
-    primary = project_commodities.where("is_primary").groupBy("project_id").agg(F.min("commodity").alias("primary_commodity"))
-    reps = representative_leg(resolved.join(basket.join(primary, "project_id", "left").select("study_id", "primary_commodity"), "study_id"))
-    own = basket.drop("commodity", "annual_production", "annual_production_unit")
-    return own.join(reps.select("study_id", "commodity", F.col("deck").alias("price_dfs"), F.col("spot_price").alias("price_spot"), F.col("spot_id").alias("price_spot_id"), F.col("production").alias("annual_production"), "production_unit"), "study_id").select(
-        "study_id", "project_id", "company_id", "commodity", "price_dfs", "price_spot", "price_spot_id", "annual_production", "production_unit", F.when(F.col("reporting_currency") == "AUD", F.col("fx_rate")).alias("fx_rate"),
+def revaluation_rows(basket: DataFrame) -> DataFrame:
+    """A row for each revalued study, with the leg that stands for it: the project's primary metal if supported, else the first supported one. study_confidence_tier is the stored one."""
+    supported = F.filter("legs", lambda x: x["supported"])
+    rep = F.coalesce(F.get(F.filter(supported, lambda x: x["commodity"] == F.col("primary_commodity")), F.lit(0)), F.get(supported, F.lit(0)))
+    return basket.withColumn("_rep", rep).select(
+        "study_id", "project_id", "company_id", "_rep.commodity", F.col("_rep.deck").alias("price_dfs"), F.col("_rep.spot_price").alias("price_spot"), F.col("_rep.spot_id").alias("price_spot_id"),
+        F.col("_rep.production").alias("annual_production"), "_rep.production_unit", F.when(F.col("reporting_currency") == "AUD", F.col("fx_rate")).alias("fx_rate"),
         "mine_life_years", F.col("life").alias("remaining_life_years"), "discount_rate_pct", F.col("tax_used").alias("tax_rate_pct"), F.col("annuity").alias("annuity_factor"),
-        F.col("post_tax_npv").alias("npv_dfs"), "npv_spot", "npv_uplift", "npv_uplift_pct", "method_version", "tier", "warnings",
+        F.col("post_tax_npv").alias("npv_dfs"), "npv_spot", "npv_uplift", "npv_uplift_pct", "method_version", "study_confidence_tier", "warnings",
     )
 
 
-def revaluation_leg_rows(basket: DataFrame, resolved: DataFrame) -> DataFrame:
+def revaluation_leg_rows(basket: DataFrame) -> DataFrame:
     """All legs, supported or not, of the revalued studies."""
-    return resolved.join(basket.select("study_id"), "study_id", "left_semi").select(
+    return leg_rows(basket).select(
         "study_id", "leg", "commodity", "supported", F.col("deck").alias("price_dfs"), F.col("spot_price").alias("price_spot"), F.col("spot_id").alias("price_spot_id"),
         F.col("production").alias("annual_production"), "production_unit", F.bround("delta_revenue", 2).alias("delta_revenue_annual_usd"), F.col("deck_revenue").alias("dfs_metal_revenue_usd"),
     )
@@ -205,39 +222,37 @@ def representative_leg(resolved: DataFrame) -> DataFrame:
     return top(resolved.where("supported"), ["study_id"], [F.desc(primary), F.col("leg")])
 
 
-def _revaluable(studies: DataFrame) -> DataFrame:
-    return studies.where(v.tier_of(F.col("study_stage")).isin("definitive", "indicative"))
-
-
-def latest_revaluable(studies: DataFrame, revals: DataFrame, as_of: Column) -> DataFrame:
-    """The newest revaluable study of each project among those with a revaluation; future-dated ones last."""
-    ran = _revaluable(studies).join(revals.select("study_id"), "study_id", "left_semi")
+def latest_revaluable(studies: DataFrame, revals: DataFrame, as_of: Column, tier: Column | None = None) -> DataFrame:
+    """The newest revaluable study of each project among those with a revaluation; future-dated ones last. tier: the stored one, unless another is given."""
+    fit = v.revaluable(F.col("study_confidence_tier") if tier is None else tier)
+    ran = studies.where(fit).join(revals.select("study_id"), "study_id", "left_semi")
     future = F.when(F.col("study_date") > as_of, 1).otherwise(0)
     return top(ran, ["project_id"], [future, F.desc_nulls_last("study_date"), F.desc("study_id")])
 
 
 def stale_revaluations(studies: DataFrame, revals: DataFrame, now: Column, max_age_hours: float = 20) -> DataFrame:
-    """(study_id, last_computed) of those latest revaluable studies whose newest run is older than max_age_hours."""
-    latest = latest_revaluable(studies, revals, now.cast("date")).select("study_id")
+    """(study_id, last_computed) of those latest revaluable studies whose newest run is older than max_age_hours. Studies without a stored tier count by their stage."""
+    tier = v.effective_tier(F.col("study_confidence_tier"), F.col("study_stage"))
+    latest = latest_revaluable(studies, revals, now.cast("date"), tier).select("study_id")
     last = revals.join(latest, "study_id", "left_semi").groupBy("study_id").agg(F.max("computed_at").alias("last_computed"))
     return last.where(F.col("last_computed") < now - F.make_dt_interval(hours=F.lit(max_age_hours)))
 
 
 def backfill_candidates(studies: DataFrame, revals: DataFrame, companies: DataFrame, ticker: str | None = None) -> DataFrame:
-    """Studies of a definitive or indicative tier with a value and no revaluation, newest first."""
-    s = _revaluable(studies).where("post_tax_npv is not null").join(revals.select("study_id"), "study_id", "left_anti")
+    """Studies stored as definitive or indicative without a revaluation, by ticker and study. Those that lack fields are candidates too; the sweep tells them as errors."""
+    s = studies.where(v.revaluable(F.col("study_confidence_tier"))).join(revals.where("study_id is not null").select("study_id"), "study_id", "left_anti")
     s = s.join(companies.select("company_id", "ticker"), "company_id")
-    return (s.where(F.col("ticker") == ticker) if ticker else s).select("study_id", "ticker", "study_date").orderBy(F.desc_nulls_last("study_date"), "study_id")
+    return (s.where(F.col("ticker") == ticker) if ticker else s).select("study_id", "ticker", "study_date").orderBy("ticker", "study_id")
 
 
 def sweep_stats(gated_studies: DataFrame) -> DataFrame:
-    """Outcomes of a sweep in one row: revalued, skipped (tier or missing fields), errors."""
-    skipped = F.col("reason").rlike("^(not_revaluable|missing_fields|reporting_currency|no_study)")
-    return gated_studies.agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("refreshed"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("reason").isNotNull() & ~skipped).alias("errors"))
+    """Outcomes of a sweep in one row: every refusal is an error, and a study that passes is refreshed; none is skipped."""
+    ok = F.col("reason").isNull()
+    return gated_studies.agg(F.count("*").alias("total"), F.count_if(ok).alias("refreshed"), F.lit(0).cast("long").alias("skipped"), F.count_if(~ok).alias("errors"))
 
 
 def reval_summary(studies: DataFrame, revals: DataFrame, companies: DataFrame, projects: DataFrame) -> DataFrame:
-    """The newest run of each company's newest definitive study, with the change from deck to spot."""
+    """The newest run of each company's newest study of a DFS stage (here the stage counts, not the stored tier), with the change from deck to spot."""
     dfs = studies.where(v.tier_of(F.col("study_stage")) == "definitive").join(revals, ["study_id", "project_id", "company_id"])
     one = top(dfs, ["company_id"], [F.desc_nulls_last("study_date"), F.desc("study_id"), F.desc("computed_at"), F.desc("revaluation_id")])
     one = one.join(companies.select("company_id", "ticker"), "company_id").join(projects.select("project_id", "project_name"), "project_id", "left")

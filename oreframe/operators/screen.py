@@ -20,12 +20,12 @@ def active_projects(projects: DataFrame, studies: DataFrame, resources: DataFram
 
 
 def tier_rank(tier: Column) -> Column:
-    return F.when(tier == "definitive", 0).when(tier == "indicative", 1).when(tier == "conceptual", 2).otherwise(3)
+    return F.when(tier == "definitive", 0).when(tier == "indicative", 1).otherwise(2)
 
 
 def latest_study(studies: DataFrame, key: str = "project_id") -> DataFrame:
-    """The newest study of each key by its date, or else its announcement's; ties by tier, then id. Adds tier and date."""
-    d = studies.withColumns({"tier": valuation.tier_of(F.col("study_stage")), "date": F.coalesce("study_date", "announcement_date")})
+    """The newest study of each key by its date, or else its announcement's; ties by the stored tier, then id. Adds tier (the stored one) and date."""
+    d = studies.withColumns({"tier": F.col("study_confidence_tier"), "date": F.coalesce("study_date", "announcement_date")})
     return top(d, [key], [F.desc_nulls_last("date"), tier_rank(F.col("tier")), F.desc("study_id")])
 
 
@@ -45,8 +45,7 @@ def company_rollup(companies: DataFrame, projects: DataFrame, studies: DataFrame
         F.count("*").alias("n_active"), _names("stage").alias("stages"), _names("country").alias("countries"), _names("state").alias("states"), _names("region").alias("regions"),
         F.min(valuation.stage_rank(F.col("stage"))).alias("rank"),
     )
-    tier = valuation.tier_of(F.col("study_stage"))
-    st = studies.groupBy("company_id").agg(F.countDistinct("project_id").alias("n_with_study"), F.bool_or(tier.isin("definitive", "indicative")).alias("has_dfs_pfs"))
+    st = studies.groupBy("company_id").agg(F.countDistinct("project_id").alias("n_with_study"), F.bool_or(valuation.revaluable(F.col("study_confidence_tier"))).alias("has_dfs_pfs"))
     newest = company_latest_study(studies).select("company_id", F.col("study_stage").alias("latest_study_stage"), F.col("date").alias("latest_study_date"))
     stages = F.array(*[F.lit(s) for s in valuation.STAGES])
     d = companies.join(live, "company_id").join(total, "company_id", "left").join(st, "company_id", "left").join(newest, "company_id", "left")
@@ -59,11 +58,11 @@ def primary_commodities(active: DataFrame, project_commodities: DataFrame) -> Da
 
 
 def company_revaluation(revals: DataFrame, studies: DataFrame, key: str = "company_id") -> DataFrame:
-    """The revaluation that stands for each key: of definitive or indicative studies first, then the newest study, then the newest run."""
-    s = studies.select("study_id", "study_stage", "study_date", "reporting_currency", "needs_review", "review_reason")
+    """The revaluation that stands for each key: of studies stored as definitive or indicative first, then the newest study, then the newest run."""
+    s = studies.select("study_id", "study_stage", F.col("study_confidence_tier").alias("_tier"), "study_date", "reporting_currency", "needs_review", "review_reason")
     d = revals.join(s, "study_id", "left")
-    eligible = F.when(valuation.tier_of(F.col("study_stage")).isin("definitive", "indicative"), 0).otherwise(1)
-    return top(d, [key], [eligible, F.desc_nulls_last("study_date"), F.desc("computed_at"), F.desc("revaluation_id")])
+    eligible = F.when(valuation.revaluable(F.col("_tier")), 0).otherwise(1)
+    return top(d, [key], [eligible, F.desc_nulls_last("study_date"), F.desc("computed_at"), F.desc("revaluation_id")]).drop("_tier")
 
 
 def coverage_of(warnings: Column) -> Column:

@@ -13,6 +13,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 # SQL fragments used by several oracles.
 TIER = "case when study_stage in ('DFS', 'Updated DFS', 'Revised DFS', 'FFS') then 'definitive' when study_stage in ('PFS', 'Updated PFS') then 'indicative' else 'conceptual' end"
+#: The gate's and the refresh's tier: the stored one, or that of the stage.
+EFFECTIVE = f"coalesce(study_confidence_tier, {TIER})"
+REVALUABLE = "coalesce(study_confidence_tier in ('definitive', 'indicative'), false)"
 BAD = "case when commodity in ('Au', 'Pd', 'Pt') and annual_production > 1000000 then lower(commodity) || '_production_implausible_check_lom' when commodity = 'Ag' and annual_production >= 100 and annual_production < 1000 then 'ag_production_unit_ambiguous' when commodity = 'U3O8' and annual_production >= 20 and annual_production < 100000 then 'u3o8_production_unit_ambiguous' when commodity = 'U3O8' and annual_production > 30000000 then 'u3o8_production_implausible' end"
 FACTOR = "case when commodity in ('Au', 'Pd', 'Pt') and annual_production < 1000 then 1000 when commodity = 'Ag' and annual_production < 100 then 1000000 when commodity = 'U3O8' and annual_production < 20 then 1000000 when commodity = 'Cu' and annual_production < 100 then 1000 else 1 end"
 TAX = "case when tax_rate_pct > 0 and tax_rate_pct < 1 then round_even(tax_rate_pct * 100, 1) else tax_rate_pct end"

@@ -43,7 +43,9 @@ VIEWS: dict[str, str] = {
             case o_orderkey % 5 when 0 then '2003' when 1 then '2002-06' when 2 then '2001-11-30' when 3 then 'Q3 2004' else null end as first_production,
             case o_orderkey % 6 when 0 then null when 1 then -10.0 else cast(900 + o_orderkey % 300 as double) end as aisc, case o_orderkey % 4 when 0 then 'A$/oz (US$/oz)' when 1 then 'AUD/oz' else 'US$/oz' end as aisc_unit,
             cast(o_orderkey % 97 as double) * 3.5 as annual_production, case o_orderkey % 6 when 0 then 'koz/yr' when 1 then 'Moz pa' when 2 then 't/yr' when 3 then 'ktpa contained' when 4 then 'Mlb' else null end as annual_production_unit,
-            o_orderkey % 200 as document_id
+            o_orderkey % 200 as document_id,
+            case when o_orderkey % 10 = 0 then null when o_orderkey % 12 = 5 then 'conceptual' when o_orderkey % 15 = 7 then 'definitive'
+                when o_orderkey % 8 < 4 then 'definitive' when o_orderkey % 8 < 6 then 'indicative' else 'conceptual' end as study_confidence_tier
         from orders""",
     "study_commodities": """
         select l_orderkey as study_id, l_linenumber as leg,
@@ -99,6 +101,10 @@ VIEWS: dict[str, str] = {
             case substr(o_orderpriority, 1, 1) when '1' then case o_custkey % 3 when 0 then 'Granite Hill Gold Project' else 'Paris Deposit' end when '2' then 'GRANITE HILL' when '3' then 'Vulcan Granite Hill' when '4' then case o_custkey % 2 when 0 then 'Paris Ni-Cu – PGE' else 'later in the year' end else 'Gold Mine' end as project_name,
             o_custkey % 10 + cast(substr(o_orderpriority, 1, 1) as bigint) as created_at
         from orders""",
+    "stage_inferences": """
+        select distinct o_custkey * 100 + cast(substr(o_orderpriority, 1, 1) as bigint) * 10 + o_orderkey % 3 as inference_id, o_custkey * 10 + cast(substr(o_orderpriority, 1, 1) as bigint) as project_id,
+            case o_orderkey % 3 when 0 then 'exploration' when 1 then 'development' else null end as inferred_stage
+        from orders""",
     "filing_pages": """
         select doc_id as document_id, 1 as page_no, case doc_id % 12
             when 0 then concat('Appendix 5B
@@ -197,6 +203,7 @@ Total 1,500 1.0')
         union all select doc_id, 3, concat('2.6|Net investing|', case doc_id % 4 when 0 then 'nil|' when 1 then '(5|' else concat(cast(doc_id % 300 as varchar(20)), '|') end) from documents
         union all select doc_id, 4, concat('4.6|Cash at end|', cast(doc_id % 5000 as varchar(20)), '|', cast(doc_id % 7000 as varchar(20))) from documents where doc_id % 5 <> 0
         union all select doc_id, 5, concat('7.4|Facilities|5,000|', case doc_id % 3 when 0 then '' else cast(doc_id % 4000 as varchar(20)) end) from documents where doc_id % 4 <> 1
+        union all select doc_id, 8, concat('4.1 |Cash at beginning|', cast(doc_id % 6000 as varchar(20)), '|', case doc_id % 4 when 0 then '' else cast(doc_id % 8000 as varchar(20)) end) from documents where doc_id % 3 <> 1
         union all select doc_id, 6, concat('7.1|Loans|800|', cast(doc_id % 90 as varchar(20))) from documents
         union all select doc_id, 7, concat('8.7|Quarters||', case doc_id % 4 when 0 then '3.2' when 1 then 'N/A' when 2 then '> 50' else '1,007' end) from documents""",
     "estimate_rows": """

@@ -9,7 +9,7 @@ from ..functions import forms as ff
 from ..functions.text import npv_reasons as kept_reasons
 from ..functions.valuation import tier_of
 from ..operators import entities, forms, repairs
-from .base import STAGE_RANK, TIER, day, now, query
+from .base import REVALUABLE, STAGE_RANK, TIER, day, now, query
 from .bind import view
 from .text_queries import CATEGORY, ITEMS, OLD, SECTIONS, SECURITIES, SNAPSHOT
 
@@ -122,7 +122,7 @@ def bad_quarter_ends(s: SparkSession, d: str) -> DataFrame:
     return repairs.bad_quarter_ends(view(s, d, "company_financials"))[1].select("financial_id")
 
 
-@query(f"select revaluation_id from revals where study_confidence_tier is not null and study_confidence_tier <> 'conceptual' and study_id not in (select study_id from studies where {TIER} = 'conceptual')")
+@query(f"select revaluation_id from revals where study_confidence_tier is not null and study_confidence_tier <> 'conceptual' and study_id not in (select study_id from studies where study_confidence_tier = 'conceptual')")
 def repair_revals(s: SparkSession, d: str) -> DataFrame:
     return repairs.repair_studies_and_revals(view(s, d, "studies"), view(s, d, "revals"), day("2000-01-01"))[1].select("revaluation_id")
 
@@ -227,17 +227,17 @@ def resolve_projects(s: SparkSession, d: str) -> DataFrame:
     return entities.resolve_projects(mentions, view(s, d, "forks"))
 
 
-CROSS = f"crossed as (select project_id, company_id, project_name, {CANON} as canonical, min(project_id) over (partition by company_id, lower({CANON})) as keeper, count(*) over (partition by company_id, lower({CANON})) as size from forks), shared as (select study_id, project_id, study_stage, case study_id % 4 when 0 then null else study_id % 3 end as npv from studies)"
+CROSS = f"crossed as (select project_id, company_id, project_name, {CANON} as canonical, min(project_id) over (partition by company_id, lower({CANON})) as keeper, count(*) over (partition by company_id, lower({CANON})) as size from forks), shared as (select study_id, project_id, case when study_id % 7 > 0 then study_stage end as study_stage, case study_id % 4 when 0 then null else study_id % 3 end as npv from studies)"
 MOVED = f"{CROSS}, moved as (select study_id, study_stage, npv, coalesce(keeper, s.project_id) as project_id, coalesce(s.project_id = keeper, true) as own from shared s left join crossed c on c.project_id = s.project_id), ranked as (select *, row_number() over (partition by project_id, study_stage, npv order by own desc, study_id) as r from moved)"
 
 
 def _merged(s: SparkSession, d: str) -> dict[str, DataFrame]:
     k = F.col("study_id")
-    studies = view(s, d, "studies").select("study_id", "project_id", "study_stage", F.when(k % 4 != 0, (k % 3).cast("double")).alias("post_tax_npv"))
-    return entities.merge_forks(view(s, d, "forks"), studies, view(s, d, "revals"), view(s, d, "resources"), view(s, d, "project_commodities"))
+    studies = view(s, d, "studies").select("study_id", "project_id", F.when(k % 7 > 0, F.col("study_stage")).alias("study_stage"), F.when(k % 4 != 0, (k % 3).cast("double")).alias("post_tax_npv"))
+    return entities.merge_forks(view(s, d, "forks"), studies, view(s, d, "revals"), view(s, d, "resources"), view(s, d, "project_commodities"), view(s, d, "stage_inferences"))
 
 
-@query(f"with {MOVED} select study_id, project_id from ranked where own or r = 1")
+@query(f"with {MOVED} select study_id, project_id from ranked where own or study_stage is null or r = 1")
 def merge_forks(s: SparkSession, d: str) -> DataFrame:
     return _merged(s, d)["studies"].select("study_id", "project_id")
 
@@ -247,11 +247,23 @@ def merge_forks_projects(s: SparkSession, d: str) -> DataFrame:
     return _merged(s, d)["projects"].select("project_id", "project_name")
 
 
-@query(f"with {MOVED} select revaluation_id, coalesce(keeper, r.project_id) as project_id from revals r left join crossed c on c.project_id = r.project_id where study_id not in (select study_id from ranked where not (own or r = 1))")
+@query(f"with {MOVED} select revaluation_id, coalesce(keeper, r.project_id) as project_id from revals r left join crossed c on c.project_id = r.project_id where study_id not in (select study_id from ranked where not (own or study_stage is null or r = 1))")
 def merge_forks_revaluations(s: SparkSession, d: str) -> DataFrame:
     return _merged(s, d)["revaluations"].select("revaluation_id", "project_id")
 
 
+@query(f"with {CROSS} select inference_id, coalesce(keeper, i.project_id) as project_id, inferred_stage from stage_inferences i left join crossed c on c.project_id = i.project_id")
+def merge_forks_inferences(s: SparkSession, d: str) -> DataFrame:
+    return _merged(s, d)["inferences"].select("inference_id", "project_id", "inferred_stage")
+
+
+@query(f"""with {MOVED}, gone as (select study_id from ranked where not (own or study_stage is null or r = 1))
+    select count(*) filter (where project_id = keeper and size > 1) as groups_merged, count(*) filter (where project_id <> keeper) as projects_removed, (select count(*) from ranked where not own and (study_stage is null or r = 1)) as studies_repointed,
+        (select count(*) from gone) as dup_studies_deleted, (select count(*) from revals where study_id in (select study_id from gone)) as revals_deleted from crossed""")
+def merge_forks_stats(s: SparkSession, d: str) -> DataFrame:
+    return _merged(s, d)["stats"]
+
+
 @query(f"with {CROSS} select coalesce(keeper, p.project_id) as project_id, commodity, arg_max(is_primary, (p.project_id = keeper, -p.project_id)) as is_primary from project_commodities p left join crossed c on c.project_id = p.project_id group by 1, 2")
 def merge_forks_commodities(s: SparkSession, d: str) -> DataFrame:
     return _merged(s, d)["commodities"]
@@ -275,12 +287,12 @@ def backfill_legs(s: SparkSession, d: str) -> DataFrame:
     return entities.backfill_legs(view(s, d, "studies"), view(s, d, "project_commodities"), view(s, d, "study_commodities").where("leg > 1"))
 
 
-@query("""with e as (select project_id, study_stage, post_tax_npv from studies where study_confidence = 'old'), i as (select *, row_number() over (partition by project_id, study_stage, npv order by study_id) as r from (select study_id, project_id, study_stage, case when study_id % 2 = 0 then post_tax_npv else study_id % 4 end as npv from studies))
-    select study_id from i where r = 1 and not exists (select 1 from studies x where x.project_id = i.project_id and x.study_stage = i.study_stage and x.post_tax_npv is not distinct from i.npv)""".replace("e as (select project_id, study_stage, post_tax_npv from studies where study_confidence = 'old'), ", ""))
+@query("""with e as (select project_id, study_stage, post_tax_npv from studies where study_confidence = 'old'), i as (select *, row_number() over (partition by project_id, study_stage, npv order by study_id) as r from (select study_id, project_id, case when study_id % 9 > 0 then study_stage end as study_stage, case when study_id % 2 = 0 then post_tax_npv else study_id % 4 end as npv from studies))
+    select study_id from i where (r = 1 or study_stage is null) and not exists (select 1 from studies x where x.project_id = i.project_id and x.study_stage = i.study_stage and x.post_tax_npv is not distinct from i.npv)""".replace("e as (select project_id, study_stage, post_tax_npv from studies where study_confidence = 'old'), ", ""))
 def dedup_studies(s: SparkSession, d: str) -> DataFrame:
     k = F.col("study_id")
     st = view(s, d, "studies").select("study_id", "project_id", "study_stage", "post_tax_npv")
-    return entities.dedup_studies(st, st.withColumn("post_tax_npv", F.when(k % 2 == 0, F.col("post_tax_npv")).otherwise((k % 4).cast("double")))).select("study_id")
+    return entities.dedup_studies(st, st.withColumn("study_stage", F.when(k % 9 > 0, F.col("study_stage"))).withColumn("post_tax_npv", F.when(k % 2 == 0, F.col("post_tax_npv")).otherwise((k % 4).cast("double")))).select("study_id")
 
 
 DEPOSITS = "select p_partkey, case p_partkey % 9 when 0 then ' ' else 'Mine ' || p_partkey end as deposit_name, case p_partkey % 5 when 0 then '' when 1 then 'Op  ' || p_partkey % 50 || ' LIMITED' when 2 then ' Op ' || p_partkey % 50 || ' n.l.' else 'Op ' || p_partkey % 70 || ' Pty' end as operator_name, case p_partkey % 4 when 0 then 'Operating Mine' when 1 then ' prospect ' when 2 then 'PFS' else 'closed' end as operating_status, case p_partkey % 3 when 0 then 'Au; Cu/Ag' when 1 then ' Ni ' else ',' end as commodities from part"
@@ -368,13 +380,13 @@ def stage_evidence(s: SparkSession, d: str) -> DataFrame:
     return out.select("project_id", ids("studies", "study_id"), ids("resources", "resource_id"), ids("announcements", "document_id"))
 
 
-@query(f"select project_id, min(case {TIER} when 'definitive' then 0 when 'indicative' then 1 else 2 end) as best from studies group by project_id")
+@query(f"select project_id, min(case study_confidence_tier when 'definitive' then 0 when 'indicative' then 1 when 'conceptual' then 2 end) as best from studies group by project_id")
 def best_tier(s: SparkSession, d: str) -> DataFrame:
-    return entities.best_tier(view(s, d, "studies").withColumn("tier", tier_of(F.col("study_stage"))))
+    return entities.best_tier(view(s, d, "studies").withColumn("tier", F.col("study_confidence_tier")))
 
 
 @query(f"""with lr as (select company_id, receipts from (select *, row_number() over (partition by company_id order by effective_date desc, financial_id desc) as r from company_financials where receipts is not null) where r = 1), sells as (select company_id from lr where receipts between 1000000 and 5000000000),
-    best as (select project_id from (select *, row_number() over (partition by company_id order by {STAGE_RANK}, project_id) as r from projects) where r = 1 and company_id in (select company_id from sells)), rv as (select distinct project_id from studies where {TIER} <> 'conceptual'),
+    best as (select project_id from (select *, row_number() over (partition by company_id order by {STAGE_RANK}, project_id) as r from projects) where r = 1 and company_id in (select company_id from sells)), rv as (select distinct project_id from studies where {REVALUABLE}),
     m as (select project_id, stage, (coalesce(production_start_date <= date '1998-01-01', false) and project_id in (select project_id from rv)) or project_id in (select project_id from best) as produces from projects)
     select project_id, stage, case when produces then 'production' else stage end as new_stage, produces and stage is distinct from 'production' as promoted from m""")
 def production_floor(s: SparkSession, d: str) -> DataFrame:

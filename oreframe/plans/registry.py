@@ -24,7 +24,7 @@ def annuity(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "studies").select("discount_rate_pct", "mine_life_years").distinct().withColumn("annuity", v.annuity(F.col("discount_rate_pct"), F.col("mine_life_years")))
 
 
-@query(f"select study_id, {TAX} as tax, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled' end as warning from studies")
+@query(f"select study_id, {TAX} as tax, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled_' || regexp_replace(printf('%.4f', round_even(tax_rate_pct, 4)), '\\.?0+$', '') || '_to_' || printf('%.1f', {TAX}) || 'pct' end as warning from studies")
 def tax_norm(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "studies").select("study_id", v.tax_rate(F.col("tax_rate_pct")).alias("tax"), v.tax_warning(F.col("tax_rate_pct")).alias("warning"))
 
@@ -121,7 +121,7 @@ def failure_transition(s: SparkSession, d: str) -> DataFrame:
     return company.apply_failures(view(s, d, "filings"))
 
 
-@query(f"select count(*) as total, count(*) filter (where parse_status = 'parsed') as parsed, count(*) filter (where parse_status = 'failed') as failed, count(*) filter (where parse_status = 'pending') as pending, count(*) filter (where parse_status = 'classified') as classified, count(*) filter (where parse_status = 'skipped') as skipped, count(*) filter (where parse_status = 'failed' and {TRANSIENT}) as failed_transient, count(*) filter (where parse_status = 'retry_scheduled' and due_in_hours <= 24) as due_now, min(due_in_hours) filter (where parse_status = 'retry_scheduled') as next_due from filings")
+@query(f"select count(*) as total, count(*) filter (where parse_status = 'parsed') as parsed, count(*) filter (where parse_status = 'failed') as failed, count(*) filter (where parse_status = 'pending') as pending, count(*) filter (where parse_status = 'classified') as classified, count(*) filter (where parse_status = 'skipped') as skipped, count(*) filter (where parse_status = 'retry_scheduled') as retry_scheduled, count(*) filter (where parse_status = 'failed' and {TRANSIENT}) as failed_transient, count(*) filter (where parse_status = 'retry_scheduled' and due_in_hours <= 24) as due_now, min(due_in_hours) filter (where parse_status = 'retry_scheduled') as next_due from filings")
 def ingest_health(s: SparkSession, d: str) -> DataFrame:
     return company.ingest_health(view(s, d, "filings"), 24)
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import valuation as v
 from ..operators import prices, revaluation
-from .base import BAD, FACTOR, TAX, TIER, day, now, query
+from ..sources import facts
+from .base import BAD, EFFECTIVE, FACTOR, REVALUABLE, TAX, TIER, day, now, query
 from .bind import view
 
+NUMBER = r"regexp_replace(printf('%.4f', round_even({0}, 4)), '\.?0+$', '')"
 METALS = "('Au', 'Ag', 'Cu', 'Pd', 'Pt', 'U3O8')"
 AUD = r"regexp_matches(upper(unit), 'AUD|(^|[^CU])A\$|\$A([^A-Z$]|$)')"
 PER_TONNE = "(regexp_matches(replace(lower(coalesce(unit, '')), ' ', ''), '/t|/mt|pertonne') and not regexp_matches(replace(lower(coalesce(unit, '')), ' ', ''), '/lb|lb$'))"
@@ -24,13 +26,13 @@ LEGS = f"""latest as ({LATEST}), fx as (select max(price_usd) as fx from latest
     known as (select *, coalesce(commodity in {METALS} and deck is not null and production is not null, false) as supported from decked),
     resolved as (select k.*, case when supported then p.price_usd end as spot_price, case when supported then p.price_id end as spot_id, production * case when supported and k.commodity = 'Cu' then 2204.62262 else 1 end as basis,
         case when aud and fx is null then 'fx_missing:AUDUSD' when refused is not null then refused when supported and p.price_usd is null then 'spot_missing:' || k.commodity end as leg_error,
-        list_filter([case when k.commodity = 'Cu' and price is not null then case when per_tonne then 'cu_price_unit_t_to_lb' when price > 100 then 'cu_price_magnitude_t_to_lb' end end, case when aud then 'price_deck_aud_to_usd_' || k.commodity end,
-            case when k.commodity in {METALS} and refused is null and {FACTOR.replace('commodity', 'k.commodity')} > 1 then 'production_magnitude_scaled_' || k.commodity || '_x' || {FACTOR.replace('commodity', 'k.commodity')} end], lambda x: x is not null) as leg_warnings
+        list_filter([case when k.commodity = 'Cu' and price is not null then case when per_tonne then 'cu_price_unit_t_to_lb:' || {NUMBER.format('price')} || coalesce(unit, 'None') when price > 100 then 'cu_price_magnitude_t_to_lb:' || {NUMBER.format('price')} || coalesce(unit, 'None') end end, case when aud then 'price_deck_aud_to_usd_' || k.commodity || ':' || unit end,
+            case when k.commodity in {METALS} and refused is null and {FACTOR.replace('commodity', 'k.commodity')} > 1 then 'production_magnitude_scaled_' || k.commodity || '_' || {NUMBER.format('annual_production')} || '_x' || {FACTOR.replace('commodity', 'k.commodity')} end], lambda x: x is not null) as leg_warnings
         from known k left join latest p on p.commodity = k.commodity),
-    moved as (select *, case when supported then basis * (spot_price - deck) else 0 end as delta_revenue, coalesce(basis * deck, 0) as deck_revenue, case when supported and deck < spot_price / 2 then 'deck_far_below_spot_' || commodity end as far from resolved)"""
+    moved as (select *, case when supported then basis * (spot_price - deck) else 0 end as delta_revenue, coalesce(basis * deck, 0) as deck_revenue, case when supported and deck < spot_price / 2 then 'deck_far_below_spot_' || commodity || ':' || {NUMBER.format('deck')} || '_vs_' || {NUMBER.format('spot_price')} end as far from resolved)"""
 SUMS = f"""{LEGS}, sums as (select study_id, count(*) as n_legs, count(*) filter (where supported) as n_supported, sum(delta_revenue) as delta_revenue, sum(deck_revenue) as total_revenue, sum(case when supported then deck_revenue else 0 end) as supported_revenue,
         arg_min(leg_error, leg) filter (where leg_error is not null) as first_error, flatten(list(leg_warnings order by leg)) as leg_warnings, list(far order by leg) filter (where far is not null) as far from moved group by study_id)"""
-GATED = f"""{SUMS}, terms as (select s.*, p.stage, p.production_start_date, {TIER} as tier, case when date_diff('day', p.production_start_date, date '2001-09-01') > 0 then date_diff('day', p.production_start_date, date '2001-09-01') / 365.25 end as elapsed, p.project_id is not null as has_project
+GATED = f"""{SUMS}, terms as (select s.*, p.stage, p.production_start_date, {EFFECTIVE} as tier, case when date_diff('day', p.production_start_date, date '2001-09-01') > 0 then date_diff('day', p.production_start_date, date '2001-09-01') / 365.25 end as elapsed, p.project_id is not null as has_project
         from studies s left join projects p on p.project_id = s.project_id),
     lives as (select *, case when elapsed is null then mine_life_years else greatest(mine_life_years - elapsed, 0.0) end as life from terms),
     gated as (select t.*, n_legs, n_supported, delta_revenue, total_revenue, supported_revenue, leg_warnings, far, fx,
@@ -50,16 +52,33 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
     return prices.latest_price(view(s, d, "commodity_prices"), now())
 
 
+def _fact(s: SparkSession, d: str, name: str, key: str, *tables: str, rows=None) -> DataFrame:
+    return facts.loaded(s, name, [f"{d}/{t}.parquet" for t in tables], key, rows or (lambda: view(s, d, name)))
+
+
+def _studies(s: SparkSession, d: str) -> DataFrame:
+    return _fact(s, d, "studies", "study_id", "orders")
+
+
+def _legs(s: SparkSession, d: str) -> DataFrame:
+    return _fact(s, d, "study_commodities", "study_id", "lineitem")
+
+
+def _priced(s: SparkSession, d: str) -> DataFrame:
+    return revaluation.priced_studies(_studies(s, d), _legs(s, d), _latest(s, d))
+
+
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.resolve_legs(view(s, d, "studies"), view(s, d, "study_commodities"), _latest(s, d))
+    return revaluation.resolve_legs(_studies(s, d), _legs(s, d), _latest(s, d))
 
 
 def _gated(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.gated(view(s, d, "studies"), view(s, d, "projects"), revaluation.leg_sums(_resolved(s, d)), _latest(s, d), day())
+    places = lambda: revaluation.project_facts(view(s, d, "projects"), view(s, d, "project_commodities"), view(s, d, "resources"))
+    return revaluation.gated(_priced(s, d), _fact(s, d, "project_facts", "project_id", "orders", "lineitem", rows=places), day())
 
 
 def _basket(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.revalue_basket(_gated(s, d), day(), revaluation.distinct_commodities(view(s, d, "project_commodities"), view(s, d, "resources")))
+    return revaluation.revalue_basket(_gated(s, d), day())
 
 
 @query(f"with {BASKET} select study_id, project_id, reporting_currency, n_supported, round(life, 4) as life, annuity, tax_used, round(post_tax_npv + delta_npv, 2) as npv_spot, round(delta_npv, 2) as npv_uplift, round(coverage_pct, 4) as coverage_pct from basket")
@@ -71,8 +90,8 @@ def revalue_basket(s: SparkSession, d: str) -> DataFrame:
 @query(f"""with {BASKET} select study_id, array_to_string(list_filter([case when tax_rate_pct is null then 'tax_rate_defaulted_to_30.00pct' end,
         case when elapsed is not null then printf('remaining_life_%.2fy_of_%.1fy', round_even(life, 2), mine_life_years) end, case when life <= 0 then 'mine_depleted_no_remaining_life' end, case when post_tax_npv = 0 then 'npv_dfs_zero_pct_undefined' end,
         case when post_tax_npv < 0 then 'npv_dfs_negative_pct_vs_abs' end, case when abs(pct) > 5 then 'extreme_uplift_check_inputs:' || printf('%.1f', round_even(pct, 1)) end, 'royalty_not_netted_uplift_gross_of_royalties', case when elapsed is null then 'developer_pre_production_timing_not_discounted' end,
-        case when len(leg_warnings) > 0 then array_to_string(leg_warnings, '; ') end, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled' end, 'coverage_pct:' || share, case when coverage_pct < 100 then 'partial_basket_coverage:' || share || 'pct' end,
-        case when n_commodities > n_legs then 'basket_legs_incomplete:' || n_legs || 'of' || n_commodities end, case when age > 3 then 'stale_study:age=' || printf('%.1f', round_even(age, 1)) end, case when age > 3 and elapsed is not null then 'depletion_from_stale_study' end,
+        case when len(leg_warnings) > 0 then array_to_string(leg_warnings, '; ') end, case when tax_rate_pct = 0 then 'tax_rate_zero_pct_kept' when tax_rate_pct < 1 then 'tax_rate_fraction_scaled_' || {NUMBER.format('tax_rate_pct')} || '_to_' || printf('%.1f', {TAX}) || 'pct' end, 'coverage_pct:' || share, case when coverage_pct < 100 then 'partial_basket_coverage:' || share || 'pct' end,
+        case when n_commodities > n_legs then 'basket_legs_incomplete:' || n_legs || 'of' || n_commodities || '_metals_modeled' end, case when age > 3 then 'stale_study:age=' || printf('%.1f', round_even(age, 1)) || 'y_deck_and_costs_outdated' end, case when age > 3 and elapsed is not null then 'depletion_from_stale_study:study_date=' || study_date || '_age=' || printf('%.1f', round_even(age, 1)) || 'y_remaining_life_may_be_understated' end,
         case when len(far) > 0 then array_to_string(far, '; ') end, case when stage = 'production' and elapsed is null then 'producer_missing_start_date_no_depletion_uplift_overstated' end, case when needs_review then 'study_needs_review:' || coalesce(review_reason, 'unspecified') end], lambda x: x is not null), '; ') as warnings from basket""")
 def reval_warnings(s: SparkSession, d: str) -> DataFrame:
     return _basket(s, d).select("study_id", F.array_join("warnings", "; ").alias("warnings"))
@@ -90,7 +109,7 @@ def resolve_legs(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {SUMS} select study_id, round_even(case when total_revenue > 0 then supported_revenue / total_revenue * 100 else 100 end, 1) as coverage_pct, n_legs - n_supported as unsupported_legs from sums")
 def coverage(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.coverage(_resolved(s, d))
+    return revaluation.coverage(_priced(s, d))
 
 
 @query(f"with {LEGS} select study_id, leg, commodity from (select *, row_number() over (partition by study_id order by is_primary desc, leg) as r from moved where supported) where r = 1")
@@ -140,20 +159,20 @@ def finalize_npv(s: SparkSession, d: str) -> DataFrame:
 @query(f"""with {BASKET}, primaries as (select project_id, min(commodity) as pc from project_commodities where is_primary group by project_id),
     reps as (select * from (select m.*, row_number() over (partition by m.study_id order by m.commodity is not distinct from pc desc, leg) as r from moved m join basket b on b.study_id = m.study_id left join primaries p on p.project_id = b.project_id where supported) where r = 1)
     select b.study_id, b.project_id, b.company_id, r.commodity, round(r.deck, 6) as price_dfs, r.spot_price as price_spot, r.spot_id as price_spot_id, round(r.production, 2) as annual_production, case when r.commodity in ('Au', 'Ag', 'Pd', 'Pt') then 'oz' when r.commodity = 'U3O8' then 'lb' else 't' end as production_unit,
-        case when reporting_currency = 'AUD' then b.fx end as fx_rate, round(life, 4) as remaining_life_years, tax_used as tax_rate_pct, annuity as annuity_factor, post_tax_npv as npv_dfs, round(post_tax_npv + delta_npv, 2) as npv_spot, 'first_order_v4' as method_version, tier from basket b join reps r on r.study_id = b.study_id""")
+        case when reporting_currency = 'AUD' then b.fx end as fx_rate, round(life, 4) as remaining_life_years, tax_used as tax_rate_pct, annuity as annuity_factor, post_tax_npv as npv_dfs, round(post_tax_npv + delta_npv, 2) as npv_spot, 'first_order_v4' as method_version, study_confidence_tier from basket b join reps r on r.study_id = b.study_id""")
 def revaluations(s: SparkSession, d: str) -> DataFrame:
-    out = revaluation.revaluation_rows(_basket(s, d), _resolved(s, d), view(s, d, "project_commodities"))
+    out = revaluation.revaluation_rows(_basket(s, d))
     r = {"price_dfs": 6, "annual_production": 2, "remaining_life_years": 4, "npv_spot": 2}
     return out.drop("mine_life_years", "discount_rate_pct", "npv_uplift", "npv_uplift_pct", "warnings").withColumns({c: F.round(c, n) for c, n in r.items()})
 
 
 @query(f"with {BASKET} select m.study_id, leg, m.commodity, supported, round(deck, 6) as price_dfs, spot_price as price_spot, spot_id as price_spot_id, round(m.delta_revenue, 2) as delta_revenue_annual_usd, round(deck_revenue, 2) as dfs_metal_revenue_usd from moved m where m.study_id in (select study_id from basket)")
 def revaluation_legs(s: SparkSession, d: str) -> DataFrame:
-    out = revaluation.revaluation_leg_rows(_basket(s, d), _resolved(s, d))
+    out = revaluation.revaluation_leg_rows(_basket(s, d))
     return out.select("study_id", "leg", "commodity", "supported", F.round("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", "delta_revenue_annual_usd", F.round("dfs_metal_revenue_usd", 2).alias("dfs_metal_revenue_usd"))
 
 
-RANKED = f"select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as r from studies where {TIER} <> 'conceptual' and study_id in (select study_id from revals)"
+RANKED = f"select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as r from studies where {EFFECTIVE} in ('definitive', 'indicative') and study_id in (select study_id from revals)"
 
 
 @query(f"with ranked as ({RANKED}) select study_id, max(computed_at) as last_computed from revals where study_id in (select study_id from ranked where r = 1) group by study_id having max(computed_at) < timestamp '2000-06-01 06:00:00' - interval 20 hour")
@@ -161,12 +180,12 @@ def stale_revals(s: SparkSession, d: str) -> DataFrame:
     return revaluation.stale_revaluations(view(s, d, "studies"), view(s, d, "revals"), F.lit("2000-06-01 06:00:00").cast("timestamp"))
 
 
-@query(f"select study_id, ticker, study_date from studies join companies using (company_id) where {TIER} <> 'conceptual' and post_tax_npv is not null and study_id not in (select study_id from revals)")
+@query(f"select study_id, ticker, study_date from studies join companies using (company_id) where {REVALUABLE} and study_id not in (select study_id from revals) order by ticker, study_id")
 def backfill_candidates(s: SparkSession, d: str) -> DataFrame:
     return revaluation.backfill_candidates(view(s, d, "studies"), view(s, d, "revals"), view(s, d, "companies"))
 
 
-@query(f"with {GATED} select count(*) as total, count(*) filter (where reason is null) as refreshed, count(*) filter (where regexp_matches(reason, '^(not_revaluable|missing_fields|reporting_currency|no_study)')) as skipped, count(*) filter (where reason is not null and not regexp_matches(reason, '^(not_revaluable|missing_fields|reporting_currency|no_study)')) as errors from gated")
+@query(f"with {GATED} select count(*) as total, count(*) filter (where reason is null) as refreshed, cast(0 as bigint) as skipped, count(*) filter (where reason is not null) as errors from gated")
 def sweep_stats(s: SparkSession, d: str) -> DataFrame:
     return revaluation.sweep_stats(_gated(s, d))
 
@@ -201,7 +220,7 @@ def _units(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(UNIT).alias("unit"), (F.col("p_retailprice") / F.when(F.col("p_partkey") % 2 == 0, 1.0).otherwise(100.0)).alias("price"))
 
 
-@query(f"select p_partkey, round(case when {PER_TONNE} or price > 100 then price / 2204.62262 else price end, 6) as per_lb, case when {PER_TONNE} then 'cu_price_unit_t_to_lb' when price > 100 then 'cu_price_magnitude_t_to_lb' end as warning from (select p_partkey, {UNIT} as unit, p_retailprice / case when p_partkey % 2 = 0 then 1 else 100 end as price from part)")
+@query(f"select p_partkey, round(case when {PER_TONNE} or price > 100 then price / 2204.62262 else price end, 6) as per_lb, case when {PER_TONNE} then 'cu_price_unit_t_to_lb:' || {NUMBER.format('price')} || coalesce(unit, 'None') when price > 100 then 'cu_price_magnitude_t_to_lb:' || {NUMBER.format('price')} || coalesce(unit, 'None') end as warning from (select p_partkey, {UNIT} as unit, p_retailprice / case when p_partkey % 2 = 0 then 1 else 100 end as price from part)")
 def cu_per_lb(s: SparkSession, d: str) -> DataFrame:
     return _units(s, d).select("p_partkey", F.round(v.copper_per_pound(F.col("price"), F.col("unit")), 6).alias("per_lb"), v.copper_warning(F.col("price"), F.col("unit")).alias("warning"))
 

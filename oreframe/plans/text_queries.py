@@ -145,9 +145,12 @@ def drawn_debt(s: SparkSession, d: str) -> DataFrame:
     return rows.select("document_id", "row_no", forms.drawn_debt(numbers).alias("debt"))
 
 
-@query(f"with {SECTIONS}, {ITEMS} select document_id, effective_date, quarters_of_funding, cash * 1000 as cash, debt * 1000 as debt, receipts * 1000 as receipts_from_customers, financing * 1000 as quarterly_financing, operating * -1000 as quarterly_opex_burn, investing * -1000 as quarterly_invest_burn, exploration_evaluation * -1000 as exploration_burn from items")
+@query(f"""with {SECTIONS}, {ITEMS}, {SPLIT}, {NUMS}, begun as (select document_id, arg_min(case when len(n) >= 2 then n[-2] else n[-1] end, row_no) as cash_beginning from numbers where regexp_matches(ref, '^\\s*4\\.1\\b') group by document_id)
+    select document_id, effective_date, quarters_of_funding, cash * 1000 as cash, cash_beginning * 1000 as cash_beginning, debt * 1000 as debt, receipts * 1000 as receipts_from_customers, financing * 1000 as quarterly_financing, operating * -1000 as quarterly_opex_burn, investing * -1000 as quarterly_invest_burn, exploration_evaluation * -1000 as exploration_evaluation
+    from items left join begun using (document_id)""")
 def finalize_cashflow(s: SparkSession, d: str) -> DataFrame:
-    return forms.finalize_cashflow(_items(s, d))
+    begun = _tabled(s, d).select("document_id", "cash_beginning")
+    return forms.finalize_cashflow(_items(s, d).join(begun, "document_id", "left"))
 
 
 @query(f"select document_id, row_no, k, {AMOUNT.format('cell')} as amount from (select document_id, row_no, unnest(range(0, len(string_split(cells, '|')))) as k, unnest(string_split(cells, '|')) as cell from form_rows)")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import valuation as v
 from ..operators import company, prices, screen
-from .base import JUNK, STAGE_RANK, TIER, TRANSIENT, day, now, query
+from .base import JUNK, REVALUABLE, STAGE_RANK, TRANSIENT, day, now, query
 from .bind import view
 from .quality_queries import _capital
 from .text_queries import SECURITIES
 
-TIER_RANK = f"case {TIER} when 'definitive' then 0 when 'indicative' then 1 else 2 end"
+TIER_RANK = "case study_confidence_tier when 'definitive' then 0 when 'indicative' then 1 else 2 end"
 DAILY = "select commodity, cast(fetched_at as date) as day, arg_max(price_usd, (fetched_at, price_id)) as close from commodity_prices group by all"
 
 
@@ -38,15 +38,15 @@ def range_window(s: SparkSession, d: str) -> DataFrame:
 
 
 ACTIVE = f"active as (select p.*, project_id in (select project_id from studies) as has_study from projects p where project_id in (select project_id from studies) or (project_id in (select project_id from resources) and not {JUNK}))"
-LATEST = f"dated as (select *, {TIER} as tier, coalesce(study_date, announcement_date) as date from studies), newest as (select * from (select *, row_number() over (partition by project_id order by date desc nulls last, {TIER_RANK}, study_id desc) as r from dated) where r = 1), cnewest as (select * from (select * exclude (r), row_number() over (partition by company_id order by date desc nulls last, {TIER_RANK}, study_id desc) as r from newest) where r = 1)"
+LATEST = f"dated as (select *, study_confidence_tier as tier, coalesce(study_date, announcement_date) as date from studies), newest as (select * from (select *, row_number() over (partition by project_id order by date desc nulls last, {TIER_RANK}, study_id desc) as r from dated) where r = 1), cnewest as (select * from (select * exclude (r), row_number() over (partition by company_id order by date desc nulls last, {TIER_RANK}, study_id desc) as r from newest) where r = 1)"
 NAMES = "coalesce(array_to_string(list_sort(list(distinct {0}) filter (where {0} is not null)), ','), '') as {1}"
 ROLLUP = f"""{ACTIVE}, {LATEST}, total as (select company_id, count(*) as n_projects from projects group by company_id),
     live as (select company_id, count(*) as n_active, {NAMES.format('stage', 'stages')}, {NAMES.format('country', 'countries')}, {NAMES.format('state', 'states')}, {NAMES.format('region', 'regions')}, arg_min(stage, {STAGE_RANK}) as most_advanced, min({STAGE_RANK}) as rank from active group by company_id),
-    st as (select company_id, count(distinct project_id) as n_with_study, bool_or({TIER} <> 'conceptual') as has_dfs_pfs from studies group by company_id),
+    st as (select company_id, count(distinct project_id) as n_with_study, bool_or({REVALUABLE}) as has_dfs_pfs from studies group by company_id),
     rolled as (select c.company_id, ticker, company_name, n_projects, n_active, coalesce(n_with_study, 0) as n_with_study, stages, countries, states, regions, most_advanced, rank, coalesce(has_dfs_pfs, false) as has_dfs_pfs, n.study_stage as latest_study_stage, n.date as latest_study_date
         from companies c join live l on l.company_id = c.company_id left join total t on t.company_id = c.company_id left join st on st.company_id = c.company_id left join cnewest n on n.company_id = c.company_id)"""
 PRIMARIES = "primaries as (select company_id, array_to_string(list_sort(list(distinct commodity)), ',') as commodities from project_commodities join active using (project_id) where is_primary group by company_id)"
-RUNS = f"select r.*, s.study_stage, s.study_date, s.reporting_currency, s.needs_review, s.review_reason, {TIER.replace('study_stage', 's.study_stage')} as stier from revals r left join studies s on s.study_id = r.study_id"
+RUNS = f"select r.*, s.study_stage, s.study_date, s.reporting_currency, s.needs_review, s.review_reason, s.study_confidence_tier as stier from revals r left join studies s on s.study_id = r.study_id"
 FLAGS = """flags as (select *, coalesce(try_cast(split_part(list_filter(from_json(warnings, '["VARCHAR"]'), lambda w: starts_with(w, 'coverage_pct:'))[1], ':', 2) as double), 100.0) as coverage_pct, round_even(date_diff('day', study_date, date '2001-09-01') / 365.25, 1) as study_age_years,
     case when needs_review then nullif(array_to_string(list_filter(list_transform(string_split(coalesce(review_reason, ''), ';'), lambda x: trim(x)), lambda x: contains(x, 'npv_ge_pre') or contains(x, 'implied_tax_gap') or contains(x, 'npv_post')), '; '), '') end as review_doubts from stands)"""
 STANDS = f"stands as (select * from (select *, row_number() over (partition by company_id order by case when stier in ('definitive', 'indicative') then 0 else 1 end, study_date desc nulls last, computed_at desc, revaluation_id desc) as k from ({RUNS})) where k = 1), {FLAGS}"
@@ -209,7 +209,7 @@ def activity_feed(s: SparkSession, d: str) -> DataFrame:
     return company.activity_feed(view(s, d, "filings"), view(s, d, "company_financials"))
 
 
-PROJECT_REVAL = f"""ranked as (select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as rn from studies where {TIER} <> 'conceptual' and study_id in (select study_id from revals)),
+PROJECT_REVAL = f"""ranked as (select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as rn from studies where {REVALUABLE} and study_id in (select study_id from revals)),
     preval as (select * from (select r.*, row_number() over (partition by r.project_id order by computed_at desc, revaluation_id desc) as k from revals r join ranked n on n.study_id = r.study_id and n.rn = 1 join commodity_prices p on p.price_id = r.price_spot_id where r.study_confidence_tier in ('definitive', 'indicative')) where k = 1)"""
 
 

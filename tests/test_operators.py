@@ -11,7 +11,7 @@ from oreframe.functions import forms as ff
 from oreframe.functions import text as t
 from oreframe.functions import valuation as v
 from oreframe.operators import company, entities, forms, prices, repairs, revaluation, screen, state
-from oreframe.sources import feeds, stores
+from oreframe.sources import facts, feeds, stores
 
 D = dt.date
 
@@ -74,11 +74,11 @@ def test_revalue_single(spark):
     assert got[7].error == "discount_rate_not_positive" and got[7].npv_spot is None
 
 
-def _study(i, deck, npv=985.0, currency="AUD", stage="DFS", header=None, life=10.0, rate=5.0, project=1):
-    return Row(study_id=i, project_id=project, company_id=1, study_stage=stage, study_date=D(2024, 1, 1), header_tier=header, mine_life_years=life, discount_rate_pct=rate, tax_rate_pct=None, post_tax_npv=npv, reporting_currency=currency, assumed_price_deck=json.dumps(deck), needs_review=False, review_reason=None)
+def _study(i, deck, npv=985.0, currency="AUD", stage="DFS", header=None, life=10.0, rate=5.0, project=1, tier=None):
+    return Row(study_id=i, project_id=project, company_id=1, study_stage=stage, study_date=D(2024, 1, 1), header_tier=header, mine_life_years=life, discount_rate_pct=rate, tax_rate_pct=None, post_tax_npv=npv, reporting_currency=currency, assumed_price_deck=json.dumps(deck), needs_review=False, review_reason=None, study_confidence_tier=tier)
 
 
-STUDY = "study_id long, project_id long, company_id long, study_stage string, study_date date, header_tier string, mine_life_years double, discount_rate_pct double, tax_rate_pct double, post_tax_npv double, reporting_currency string, assumed_price_deck string, needs_review boolean, review_reason string"
+STUDY = "study_id long, project_id long, company_id long, study_stage string, study_date date, header_tier string, mine_life_years double, discount_rate_pct double, tax_rate_pct double, post_tax_npv double, reporting_currency string, assumed_price_deck string, needs_review boolean, review_reason string, study_confidence_tier string"
 GOLD = [{"commodity": "Au", "price": 1900, "unit": "USD/oz"}]
 
 
@@ -92,9 +92,8 @@ def _run(spark, studies, legs, quotes, start=None, as_of=D(2024, 6, 1)):
     s = spark.createDataFrame(studies, STUDY)
     g = spark.createDataFrame(legs, "study_id long, leg int, commodity string, annual_production double, is_primary boolean")
     p = spark.createDataFrame([(1, "feasibility", start)], "project_id long, stage string, production_start_date date")
-    resolved = revaluation.resolve_legs(s, g, quotes)
-    gated = revaluation.gated(s, p, revaluation.leg_sums(resolved), quotes, F.lit(as_of))
-    return {r.study_id: r for r in gated.collect()}, {r.study_id: r for r in revaluation.revalue_basket(gated, F.lit(as_of)).collect()}, resolved
+    gated = revaluation.gated(revaluation.priced_studies(s, g, quotes), p, F.lit(as_of))
+    return {r.study_id: r for r in gated.collect()}, {r.study_id: r for r in revaluation.revalue_basket(gated, F.lit(as_of)).collect()}, revaluation.resolve_legs(s, g, quotes)
 
 
 def test_basket(spark, prices_now):
@@ -115,11 +114,11 @@ def test_basket(spark, prices_now):
     assert reasons[12] == "study_not_found" and reasons[13] == "discount_rate_not_positive"
     assert reasons[14] == "u3o8_production_unit_ambiguous"  # the first leg in leg order, not in the alphabet
     assert basket[1].npv_spot == pytest.approx(3428.0, abs=1) and "tax_rate_defaulted_to_30.00pct" in basket[1].warnings
-    assert basket[2].npv_spot == pytest.approx(1416.17, abs=1) and "production_magnitude_scaled_Ag_x1000000" in basket[2].warnings
-    assert basket[3].coverage_pct < 100 and basket[3].n_supported == 2 and "cu_price_unit_t_to_lb" in basket[3].warnings
+    assert basket[2].npv_spot == pytest.approx(1416.17, abs=1) and "production_magnitude_scaled_Ag_5_x1000000" in basket[2].warnings
+    assert basket[3].coverage_pct < 100 and basket[3].n_supported == 2 and "cu_price_unit_t_to_lb:9000USD/t" in basket[3].warnings
     by_leg = {(r.study_id, r.leg): r for r in resolved.collect()}
     assert by_leg[3, 3].delta_revenue == 0 and by_leg[3, 3].deck_revenue > 0
-    assert by_leg[4, 1].deck == pytest.approx(3000 * 0.6452) and "price_deck_aud_to_usd_Au" in basket[4].warnings
+    assert by_leg[4, 1].deck == pytest.approx(3000 * 0.6452) and "price_deck_aud_to_usd_Au:A$/oz" in basket[4].warnings
     # a single-leg basket is the single formula
     single = revaluation.revalue_single(spark.createDataFrame([("Au", 1900.0, 3520.0, 180e3, "oz", 10.0, None, 5.0, None, 985.0, "AUD", 0.6452)], SINGLE)).collect()[0]
     assert (single.npv_spot, single.npv_uplift_pct) == (basket[1].npv_spot, basket[1].npv_uplift_pct)
@@ -171,16 +170,22 @@ def test_state(spark):
 
 def test_merge_forks_is_idempotent(spark):
     p = spark.createDataFrame([(1, 1, "Syama", None, 1), (2, 1, "Syama Gold Project", None, 2), (3, 1, "Other", None, 3)], "project_id long, company_id long, project_name string, company_name string, created_at long")
-    s = spark.createDataFrame([(1, 1, "DFS", 5.0), (2, 2, "DFS", 5.0), (3, 2, "DFS", None), (4, 2, "DFS", None), (5, 2, "PFS", 5.0), (6, 3, "DFS", 5.0)], "study_id long, project_id long, study_stage string, post_tax_npv double")
+    s = spark.createDataFrame([(1, 1, "DFS", 5.0), (2, 2, "DFS", 5.0), (3, 2, "DFS", None), (4, 2, "DFS", None), (5, 2, "PFS", 5.0), (6, 3, "DFS", 5.0), (7, 2, None, 1.0), (8, 2, None, 1.0), (9, 1, None, 1.0)], "study_id long, project_id long, study_stage string, post_tax_npv double")
     r = spark.createDataFrame([(1, 2, 2), (2, 5, 2), (3, 1, 1)], "revaluation_id long, study_id long, project_id long")
     c = spark.createDataFrame([(1, "Au", False), (2, "Au", True), (2, "Cu", True)], "project_id long, commodity string, is_primary boolean")
     e = spark.createDataFrame([(1, 2)], "resource_id long, project_id long")
-    out = entities.merge_forks(p, s, r, e, c)
+    inferred = spark.createDataFrame([(1, 2, "exploration"), (2, 3, "development"), (3, 99, None)], "inference_id long, project_id long, inferred_stage string")
+    out = entities.merge_forks(p, s, r, e, c, inferred)
+    assert sorted((x.inference_id, x.project_id) for x in out["inferences"].collect()) == [(1, 1), (2, 3), (3, 99)]
+    assert out["stats"].collect()[0].asDict() == {"groups_merged": 1, "projects_removed": 1, "studies_repointed": 4, "dup_studies_deleted": 2, "revals_deleted": 1}
     assert sorted((x.project_id, x.project_name) for x in out["projects"].collect()) == [(1, "Syama"), (3, "Other")]
-    assert sorted((x.study_id, x.project_id) for x in out["studies"].collect()) == [(1, 1), (3, 1), (5, 1), (6, 3)]
+    assert sorted((x.study_id, x.project_id) for x in out["studies"].collect()) == [(1, 1), (3, 1), (5, 1), (6, 3), (7, 1), (8, 1), (9, 1)]
     assert sorted((x.revaluation_id, x.project_id) for x in out["revaluations"].collect()) == [(2, 1), (3, 1)]
     assert sorted((x.project_id, x.commodity, x.is_primary) for x in out["commodities"].collect()) == [(1, "Au", False), (1, "Cu", True)]
-    again = entities.merge_forks(out["projects"], out["studies"], out["revaluations"], out["resources"], out["commodities"])
+    again = entities.merge_forks(out["projects"], out["studies"], out["revaluations"], out["resources"], out["commodities"], out["inferences"])
+    assert set(again.pop("stats").collect()[0]) == {0} and out.pop("stats")
+    incoming = spark.createDataFrame([(20, 1, "DFS", 5.0), (21, 1, "PFS", None), (22, 1, "PFS", None), (23, 1, None, 1.0), (24, 1, None, 1.0)], s.schema)
+    assert sorted(x.study_id for x in entities.dedup_studies(s, incoming).collect()) == [21, 23, 24]
     assert {k: sorted(map(str, x.select(*sorted(x.columns)).collect())) for k, x in again.items()} == {k: sorted(map(str, x.select(*sorted(x.columns)).collect())) for k, x in out.items()}
 
 
@@ -253,3 +258,35 @@ def test_activity_and_runway(spark):
     assert got == {1: ("Quarterly update", "cash 10. inflow 5"), 3: ("Announcement", "text")}
     r = one(spark, a=v.runway_label(F.lit(10.0), F.lit(4.0)), b=v.runway_label(F.lit(10.0), F.lit(-4.0)), c=v.runway_label(F.lit(10.0), F.lit(0.0)))
     assert tuple(r) == ("~2 quarters of runway", "Net cash positive", None)
+
+
+def test_stored_tier_against_stage(spark, prices_now):
+    """The gate and the refresh fall back on the stage of rows without a tier; other readers take the stored tier."""
+    studies = [_study(1, GOLD, stage="DFS", tier="conceptual"), _study(2, GOLD, stage="Scoping", tier="definitive"), _study(3, GOLD, stage="DFS"), _study(4, GOLD, stage="PEA")]
+    gate, basket, _ = _run(spark, studies, [(i, 1, "Au", 180e3, True) for i in range(1, 5)], prices_now)
+    assert [gate[i].reason for i in range(1, 5)] == ["not_revaluable_tier:conceptual", None, None, "not_revaluable_tier:conceptual"]
+    rows = revaluation.revaluation_rows(revaluation.revalue_basket(revaluation.gated(revaluation.priced_studies(spark.createDataFrame(studies, STUDY), spark.createDataFrame([(2, 1, "Au", 1.0, True), (3, 1, "Au", 1.0, True)], "study_id long, leg int, commodity string, annual_production double, is_primary boolean"), prices_now), spark.createDataFrame([(1, "feasibility", None, 1, "Au")], "project_id long, stage string, production_start_date date, n_commodities int, primary_commodity string"), F.lit(D(2024, 6, 1))), F.lit(D(2024, 6, 1))))
+    assert {r.study_id: r.study_confidence_tier for r in rows.collect()} == {2: "definitive", 3: None}
+    s = spark.createDataFrame(studies, STUDY)
+    none = spark.createDataFrame([], "study_id long")
+    companies = spark.createDataFrame([(1, "ABC")], "company_id long, ticker string")
+    assert [r.study_id for r in revaluation.backfill_candidates(s, none, companies).collect()] == [2]
+    runs = spark.createDataFrame([(i, dt.datetime(2024, 1, i)) for i in range(1, 5)], "study_id long, computed_at timestamp")
+    apart = s.withColumn("project_id", F.col("study_id"))
+    assert sorted(r.study_id for r in revaluation.stale_revaluations(apart, runs, F.lit("2024-06-01").cast("timestamp")).collect()) == [2, 3]
+    assert revaluation.sweep_stats(spark.createDataFrame([(None,), ("missing_fields:x",), ("not_revaluable_tier:x",)], "reason string")).collect()[0].asDict() == {"total": 3, "refreshed": 1, "skipped": 0, "errors": 2}
+
+
+def test_facts_lie_together(spark, tmp_path):
+    """Tables of one key join and aggregate without a shuffle, and are written again when their source changes."""
+    source = str(tmp_path / "source.parquet")
+    spark.range(1000).select((F.col("id") % 100).alias("study_id"), "id").write.parquet(source)
+    load = lambda: facts.loaded(spark, "legs", [source], "study_id", lambda: spark.read.parquet(source), 4)
+    legs, studies = load(), facts.loaded(spark, "studies", [source], "study_id", lambda: spark.read.parquet(source).select("study_id").distinct(), 4)
+    assert load().inputFiles() == legs.inputFiles() and len(legs.inputFiles()) == 4
+    both = studies.join(legs.hint("merge"), "study_id").groupBy("study_id").count()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert {r["count"] for r in both.collect()} == {10}
+    spark.range(5).select(F.col("id").alias("study_id"), "id").write.mode("append").parquet(source)
+    assert load().count() == 1005 and sorted(load().inputFiles()) != sorted(legs.inputFiles())
