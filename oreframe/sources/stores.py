@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import top
+from .keyed import KeyedTable
 
 
 def latest_staging(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -13,16 +14,13 @@ def latest_staging(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
     return top(rows, keys, order)
 
 
-def write_staging(rows: DataFrame, path: str, keys: list[str], order: list[Column]) -> None:
-    """Replaces the table at path by the newest row of each key among it and rows. The new table is written beside it first, as it is read while written."""
-    spark = rows.sparkSession
-    try:
-        rows = spark.read.parquet(path).unionByName(rows, allowMissingColumns=True)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    latest_staging(rows, keys, order).write.mode("overwrite").parquet(path + ".next")
-    spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
+def write_staging(rows: DataFrame, path: str, keys: list[str], order: list[Column], buckets: int = 64) -> None:
+    """Replaces the rows of rows' keys in the table at path by the newest of each key. Only the buckets of these keys are written, and a write that fails changes nothing."""
+    KeyedTable(rows.sparkSession, path, keys, buckets).upsert(rows, order)
+
+
+def read_staging(spark: SparkSession, path: str, keys: list[str], buckets: int = 64) -> DataFrame | None:
+    return KeyedTable(spark, path, keys, buckets).read()
 
 
 def new_snapshots(rows: DataFrame, existing: DataFrame) -> DataFrame:

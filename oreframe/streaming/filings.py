@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import state
+from ..sources.keyed import KeyedTable
+
+REGISTRY = "key string, parse_status string, parse_error string"
 
 
 def new_filings(spark: SparkSession, folder: str, schema: StructType | str, keep: str = "30 days") -> DataFrame:
@@ -19,18 +22,19 @@ def new_filings(spark: SparkSession, folder: str, schema: StructType | str, keep
     return rows.withColumn("key", state.content_key(F.col("ticker"), F.col("url"))).withWatermark("announced_at", keep).dropDuplicatesWithinWatermark(["key"])
 
 
-def register_stream(filings: DataFrame, path: str, checkpoint: str):
-    """Registers what the folder holds now in the table at path (key, parse_status, parse_error) and ends."""
+def registry(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The table of registered filings: key, parse_status, parse_error."""
+    return KeyedTable(spark, path, ["key"], buckets)
+
+
+def register_stream(filings: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Registers what the folder holds now in the registry at path and ends. A batch rewrites only the buckets of its keys, and may be repeated."""
 
     def register(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            existing = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            existing = spark.createDataFrame([], "key string, parse_status string, parse_error string")
-        state.register_documents(existing, batch).drop("is_new").write.mode("overwrite").parquet(path + ".next")
-        spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
+        def settle(have: DataFrame | None, new: DataFrame) -> DataFrame:
+            have = have if have is not None else new.sparkSession.createDataFrame([], REGISTRY)
+            return state.register_documents(have, new).drop("is_new")
+
+        registry(batch.sparkSession, path, buckets).merge(batch, settle)
 
     return filings.writeStream.foreachBatch(register).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -229,7 +229,7 @@ def test_sinks(spark, tmp_path):
     path = str(tmp_path / "staging")
     stores.write_staging(rows.where("x <> 'b'"), path, ["document_id"], [F.desc("created_at")])
     stores.write_staging(rows.where("x = 'b'"), path, ["document_id"], [F.desc("created_at")])
-    assert sorted((r.document_id, r.x) for r in spark.read.parquet(path).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r.document_id, r.x) for r in stores.read_staging(spark, path, ["document_id"]).collect()) == [(1, "b"), (2, "c")]
     facts = str(tmp_path / "facts")
     stores.append_snapshots(rows.where("x = 'c'"), rows.limit(0), facts)
     stores.append_snapshots(rows.where("x <> 'a'"), spark.read.parquet(facts), facts)
@@ -245,10 +245,10 @@ def test_stream(spark, tmp_path):
     (folder / "1.json").write_text(line("u1") + line("u1") + line("u2"))
     run = lambda: filings.register_stream(filings.new_filings(spark, str(folder), "ticker string, url string, announced_at timestamp"), table, checkpoint).awaitTermination(120)
     run()
-    assert spark.read.parquet(table).count() == 2
+    assert filings.registry(spark, table).read().count() == 2
     (folder / "2.json").write_text(line("u2") + line("u3"))
     run()
-    assert sorted(r.parse_status for r in spark.read.parquet(table).collect()) == ["pending"] * 3
+    assert sorted(r.parse_status for r in filings.registry(spark, table).read().collect()) == ["pending"] * 3
 
 
 def test_activity_and_runway(spark):
