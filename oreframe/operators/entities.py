@@ -211,12 +211,44 @@ def _first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", *columns))), lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)))
+
+
+def naming_filings(projects: DataFrame, filings: DataFrame, *columns: str) -> DataFrame:
+    """(project_id, document_id, columns) of filings whose header holds the project's name, whatever the case, of the same ticker.
+
+    projects has project_id, ticker and project_name, filings has ticker, document_id, header and
+    columns. An index of the headers' runs of three characters (all of a shorter name) gives
+    the filings that hold a name's rarest run; these alone are compared, so neither a
+    ticker's projects nor its filings are multiplied. Empty names are in every header of their ticker.
+    """
+    names = projects.select("project_id", "ticker", F.lower("project_name").alias("name")).where("name is not null")
+    heads = filings.select("ticker", "document_id", F.lower("header").alias("head"), *columns).where("head is not null")
+    sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
+    lengths = F.filter(sizes, lambda k: k <= F.length("head"))
+    index = heads.select("ticker", "document_id", F.explode(F.flatten(F.transform(lengths, lambda k: _grams(F.col("head"), k)))).alias("gram"))
+    n = F.least(F.length("name"), F.lit(GRAM))
+    wanted = names.where("name <> ''").select("project_id", "ticker", F.explode(_grams(F.col("name"), n)).alias("gram"))
+    # runs that no header has keep a count of 0, and so rule their name out
+    often = index.join(wanted.select("ticker", "gram").distinct(), ["ticker", "gram"], "left_semi").groupBy("ticker", "gram").count()
+    rarest = wanted.join(often, ["ticker", "gram"], "left").groupBy("project_id", "ticker").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+    maybe = rarest.join(index, ["ticker", "gram"]).select("project_id", "document_id")
+    checked = maybe.join(names.select("project_id", "name"), "project_id").join(heads.drop("ticker"), "document_id").where(F.contains("head", "name"))
+    everywhere = names.where("name = ''").join(heads, "ticker")
+    return checked.select("project_id", "document_id", *columns).unionByName(everywhere.select("project_id", "document_id", *columns))
+
+
 def stage_evidence(projects: DataFrame, companies: DataFrame, studies: DataFrame, resources: DataFrame, filings: DataFrame, as_of: Column) -> DataFrame:
     """What tells a project's stage: its latest 3 studies and 3 resource rows, and 6 announcements of 180 days that name it, else any 6 of the company's of 90 days."""
     p = projects.select("project_id", "company_id", "project_name").join(companies.select("company_id", "ticker"), "company_id")
     recent = filings.where((F.col("announcement_date") <= as_of) & (F.col("announcement_date") >= F.date_sub(as_of, 180))).select("ticker", "document_id", "header", "announcement_date")
     newest = [F.desc("announcement_date"), F.desc("document_id")]
-    named = p.join(recent, "ticker").where(F.lower("header").contains(F.lower("project_name")))
+    named = naming_filings(p, recent, "announcement_date")
     any_ = _first_k(recent.where(F.col("announcement_date") >= F.date_sub(as_of, 90)), ["ticker"], newest, 6, "any_announcements", "document_id")
     s = _first_k(studies, ["project_id"], [F.desc_nulls_last(F.coalesce("study_date", "announcement_date")), F.desc("study_id")], 3, "studies", "study_id", "study_stage")
     r = _first_k(resources, ["project_id"], [F.desc_nulls_last("effective_date"), F.desc("resource_id")], 3, "resources", "resource_id", "commodity")

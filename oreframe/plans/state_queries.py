@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
-from ..sources import feeds, stores
+from ..sources import feeds, quarantine, stores
 from .base import now, query
 from .bind import view
 
@@ -145,9 +145,53 @@ def quote_rows(s: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id, 'Filing ' || doc_id as header, 'https://documents/k' || doc_id as url, '2001-02-03' as document_date from documents union all select doc_id, 'Second', 'https://documents/s' || doc_id, '2001-12-31' from documents")
 def announcement_items(s: SparkSession, d: str) -> DataFrame:
+    return feeds.announcement_items(_announced(s, d), "doc_id")
+
+
+def _announced(s: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id").cast("string")
     body = F.concat(F.lit('{"data":{"items":[{"headline":"Filing '), k, F.lit('","documentKey":"k'), k, F.lit('","date":"2001-02-03T10:00:00Z"},{"headline":"Second","documentKey":"s'), k, F.lit('","date":"2001-12-31T23:59:59Z"}]}}'))
-    return feeds.announcement_items(s.read.parquet(f"{d}/documents.parquet").select("doc_id", body.alias("payload")), "doc_id")
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", body.alias("payload"))
+
+
+def _broken(payload: Column, k: Column, *cases: tuple[int, str, str]) -> Column:
+    """payload with a pattern replaced where k % 10 is a case's number."""
+    out = None
+    for digit, pattern, new in cases:
+        changed = F.regexp_replace(payload, pattern, new)
+        out = F.when(k % 10 == digit, changed) if out is None else out.when(k % 10 == digit, changed)
+    return out.otherwise(payload)
+
+
+def _broken_news(s: SparkSession, d: str) -> DataFrame:
+    cases = (3, r"\}$", ""), (4, r"\[.*\]", "[]"), (5, "2001-12-31", "some day"), (6, '"headline":"Filing [0-9]+"', '"headline":" "'), (7, r'"documentKey":"s\d+"', '"documentKey":null')
+    return _announced(s, d).withColumn("payload", _broken(F.col("payload"), F.col("doc_id"), *cases))
+
+
+@query("""select 'charts' as feed, case when event_id % 13 = 0 then 'not_json' when event_id % 7 = 0 or event_id % 11 = 0 then 'empty_result' when event_id % 17 = 0 then 'lengths_differ' else 'ok' end as reason,
+        cast(sum(case when event_id % 13 > 0 and event_id % 7 > 0 and event_id % 11 > 0 and event_id % 17 > 0 then 2 + event_id % 2 else 1 end) as bigint) as n from events group by all
+    union all select 'deposits', reason, count(*) from (select unnest(case c_custkey % 10 when 3 then ['not_json'] when 4 then ['no_features'] when 5 then ['ok', 'no_properties'] when 6 then ['ok', 'no_name'] else ['ok', 'ok'] end) as reason from customer) group by all
+    union all select 'announcements', reason, count(*) from (select unnest(case doc_id % 10 when 3 then ['not_json'] when 4 then ['no_items'] when 5 then ['ok', 'bad_date'] when 6 then ['no_headline', 'ok'] when 7 then ['ok', 'no_key'] else ['ok', 'ok'] end) as reason from documents) group by all
+    union all select 'registry', case s_suppkey % 10 when 3 then 'malformed' when 4 then 'malformed' when 5 then 'no_name' else 'ok' end, count(*) from supplier group by all""")
+def feed_quarantine(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    charts = _charts(s, d).withColumn("payload", F.when(k % 13 == 0, F.substring("payload", 1, 15)).when(k % 17 == 0, F.regexp_replace("payload", r'"timestamp":\[\d+,', '"timestamp":[')).otherwise(F.col("payload")))
+    geo = s.sql(GEO.replace("{", "{{").replace("}", "}}").replace("from customer", "from {customer}"), customer=s.read.parquet(f"{d}/customer.parquet"))
+    geo = geo.withColumn("payload", _broken(F.col("payload"), F.col("payload_id"), (3, r"\]\}$", ""), (4, '"features":', '"feature":'), (5, r'\{"properties":\{"name":"Second".*\}\}\]', '{"properties":null}]'), (6, '"name":"Second"', '"name":" "')))
+    j = F.col("s_suppkey")
+    name = F.when(j % 10 == 5, "").otherwise(F.concat(F.lit("Mine "), j.cast("string")))
+    line = F.when(j % 10 == 3, name).when(j % 10 == 4, F.concat_ws(",", name, F.lit("a,b,c,d,e"))).otherwise(F.concat_ws(",", name, F.lit("Op"), F.lit("Gold"), F.lit("PFS")))
+    csv = F.from_csv(line, "PROJECT_NAME string, Operator string, COMMODITY string, Status string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    registry = s.read.parquet(f"{d}/supplier.parquet").select(csv.alias("r")).select("r.*")
+    return (
+        quarantine.tally("charts", quarantine.price_charts(charts, "event_id")).unionByName(quarantine.tally("deposits", quarantine.deposits_geojson(geo, "payload_id")))
+        .unionByName(quarantine.tally("announcements", quarantine.announcements(_broken_news(s, d), "doc_id"))).unionByName(quarantine.tally("registry", quarantine.deposit_records(registry)))
+    )
+
+
+@query("""select doc_id, place, reason from (select doc_id, unnest(case doc_id % 10 when 3 then [{'place': null, 'reason': 'not_json'}] when 4 then [{'place': null, 'reason': 'no_items'}] when 5 then [{'place': 1, 'reason': 'bad_date'}] when 6 then [{'place': 0, 'reason': 'no_headline'}] when 7 then [{'place': 1, 'reason': 'no_key'}] else [] end, recursive := true) from documents)""")
+def announcement_rejects(s: SparkSession, d: str) -> DataFrame:
+    return quarantine.announcements(_broken_news(s, d), "doc_id").rejects.select("doc_id", "place", "reason")
 
 
 @query("select document_id, doc_type, financial_id from (select *, row_number() over (partition by document_id, doc_type order by effective_date desc, financial_id desc) as r from company_financials) where r = 1")

@@ -19,7 +19,7 @@ ITEMS = "struct<data:struct<items:array<struct<headline:string,documentKey:strin
 DOCUMENTS = "https://documents/"
 
 
-def _fields(value) -> list[Column]:
+def deposit_fields(value) -> list[Column]:
     """A column for each field, of what value(alias) gives."""
     out = []
     for field, names in ALIASES.items():
@@ -31,17 +31,17 @@ def _fields(value) -> list[Column]:
 def deposits_from_geojson(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """A row for each feature of FeatureCollections."""
     rows = payloads.select(F.explode(F.from_json(payload, FEATURES)["features"]).alias("f"))
-    return rows.select(*_fields(lambda name: F.try_element_at("f.properties", F.lit(name))))
+    return rows.select(*deposit_fields(lambda name: F.try_element_at("f.properties", F.lit(name))))
 
 
 def read_deposits_geojson(spark: SparkSession, path: str) -> DataFrame:
     return deposits_from_geojson(spark.read.text(path, wholetext=True), "value")
 
 
-def deposits_from_records(records: DataFrame) -> DataFrame:
-    """Rows of a registry's table, whichever of the field's names it uses; names can differ in case alone."""
+def deposits_from_records(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a registry's table, whichever of the field's names it uses; names can differ in case alone. Columns of keep stay as they are."""
     own = {c.lstrip("﻿"): c for c in records.columns}
-    return records.select(*_fields(lambda name: F.col(f"`{own[name]}`") if name in own else None))
+    return records.select(*deposit_fields(lambda name: F.col(f"`{own[name]}`") if name in own else None), *keep)
 
 
 def read_deposits_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from oreframe.functions import forms as ff
 from oreframe.functions import text as t
 from oreframe.functions import valuation as v
 from oreframe.operators import company, entities, forms, prices, repairs, revaluation, screen, state
-from oreframe.sources import facts, feeds, stores
+from oreframe.sources import facts, feeds, quarantine, stores
 
 D = dt.date
 
@@ -290,3 +290,28 @@ def test_facts_lie_together(spark, tmp_path):
     assert {r["count"] for r in both.collect()} == {10}
     spark.range(5).select(F.col("id").alias("study_id"), "id").write.mode("append").parquet(source)
     assert load().count() == 1005 and sorted(load().inputFiles()) != sorted(legs.inputFiles())
+
+
+def test_quarantine(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("name,Operator,COMMODITY\nHill Mine,Op,Au\nshort,x\n,Op,Cu\nlong,a,b,c,d\n\"Big, Mine\",Op,Ni\n")
+    good, rejects = quarantine.read_deposits_csv(spark, str(tmp_path / "d.csv"))
+    assert sorted(r.deposit_name for r in good.collect()) == ["Big, Mine", "Hill Mine"]
+    assert sorted((r.reason, r.record) for r in rejects.collect() if r.reason == "malformed") == [("malformed", "long,a,b,c,d"), ("malformed", "short,x")]
+    assert [r.reason for r in rejects.collect()].count("no_name") == 1
+    news = spark.createDataFrame([(1, '{"data":{"items":[{"headline":"H","documentKey":"k","date":"2024-01-02T"},{"headline":null},{"headline":"x","documentKey":"k","date":"2024-13-45"}]}}'), (2, "{"), (3, None), (4, "{}"), (5, "[1]")], "id long, payload string")
+    good, rejects = quarantine.announcements(news, "id")
+    assert [tuple(r) for r in good.collect()] == [(1, "H", "https://documents/k", "2024-01-02")]
+    assert sorted((r.id, r.place, r.reason) for r in rejects.collect() if r.id == 1) == [(1, 1, "no_headline"), (1, 2, "bad_date")]
+    assert {r.id: r.reason for r in rejects.collect() if r.id > 1} == {2: "not_json", 3: "not_json", 4: "no_items", 5: "not_json"}
+    assert next(r.record for r in rejects.collect() if r.id == 2) == "{"
+
+
+def test_naming_filings(spark):
+    names = ["Granite Hill", "granite", "Ra", "x", "", None, "Hill 3", "nite H", "Zinc Hill", "é", "GRANITE HILL 3 d"]
+    projects = spark.createDataFrame([(i, "AB"[i % 2], n) for i, n in enumerate(names * 2)], "project_id long, ticker string, project_name string")
+    heads = ["Granite Hill 3 drilling", "granite hills", "RA", "", None, "Près de x", "Hill 3 and hill 3", "zinc hil"]
+    filings_ = spark.createDataFrame([(j, "ABB"[j % 3], h, j * 2) for j, h in enumerate(heads * 3)], "document_id long, ticker string, header string, n int")
+    got = sorted(tuple(r) for r in entities.naming_filings(projects, filings_, "n").collect())
+    p, f = projects.collect(), filings_.collect()
+    assert got == sorted((a.project_id, b.document_id, b.n) for a in p for b in f if a.ticker == b.ticker and a.project_name is not None and b.header is not None and a.project_name.lower() in b.header.lower())
+    assert len(got) > 30
