@@ -6,10 +6,11 @@ words share a fingerprint at the same place of that span. Documents probe the
 benchmark's fingerprints; around each hit every `window`-word window is compared
 with the benchmark's windows, so that the result is exact.
 
-The benchmark goes to the tasks in blocks of at most `block_bytes` of text (one
+The benchmark goes to the tasks in blocks of about `block_bytes` of text (one
 block unless it is larger), each block against all documents; documents are not
 shuffled for one block. For several they are checkpointed with a number for each
-row, by which the blocks' results are combined.
+row, by which the blocks' results are combined; a block's result is written before the
+next block is sent, so that driver and tasks hold one block.
 """
 
 from __future__ import annotations
@@ -146,23 +147,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     docs needs doc_id and text, benchmark item_id and text; other columns are
     ignored. Rows that share an id, or have none, have results of their own. Null and empty texts have no words and are never contaminated;
-    benchmark items without words, or with a null id, match nothing; an empty
-    benchmark leaves every document clean. An item of fewer than window words is
+    benchmark items without words, or with a null id, match nothing; rows that share an
+    item_id are one item; an empty benchmark leaves every document clean. An item of fewer than window words is
     one window. A document is contaminated when share * n_hit >= n_words > 0 and n_hit > 0.
     """
     spark, result = docs.sparkSession, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     documents = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     documents = documents if blocks == 1 else checkpointed(documents)  # so that each block sees the same row numbers
     found = None
     for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in block.toLocalIterator()], window))
         if blocks == 1:
             return documents.mapInArrow(in_tasks(_search_and_report(index, share)), result)
-        part = documents.mapInArrow(in_tasks(_search(index)), SCHEMA)
-        found = part if found is None else found.unionByName(part)
+        part = checkpointed(documents.mapInArrow(in_tasks(_search(index)), SCHEMA))
+        index.unpersist()  # one block's index is held at a time
+        found = part if found is None else found.unionByName(part.where("octet_length(hits) > 0"))  # the first block's rows tell of all documents
     found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items")).drop("row")
     return found.mapInArrow(in_tasks(_report(share)), result)

@@ -8,7 +8,8 @@ exchange keeps the sum of words, so a source misses its target by less than one
 document. Documents meet in a tree: each group of about `fanout` leaves one
 undecided document, which goes to the next level.
 
-DataFrame functions only. Random numbers are hashes of the row, so reruns agree.
+DataFrame functions only. Random numbers are hashes of ids, so reruns agree, over other
+file layouts too but for ids that repeat over 8 * fanout times.
 """
 
 from __future__ import annotations
@@ -83,11 +84,14 @@ def round_fractions(rows: DataFrame, fanout: int = 64, seed: int = 7) -> DataFra
 
     row names a row, id is what its random numbers are drawn by.
     n_rows, the number of rows of the source, sets the number of groups of the
-    first level. Rows with the same id fall into the same group.
+    first level. Rows with the same id fall into the same group, unless they are over 8 *
+    fanout, which are dealt by row, so that no group grows with the repeats of an id.
     """
     most = rows.agg(F.max("n_rows")).first()[0] or 0
     groups = F.ceil(F.col("n_rows") / fanout).cast("long")
-    left = rows.select("source", "row", "id", "size", "p", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), groups).alias("g"))
+    often = rows.groupBy("id").count().where(F.col("count") > 8 * fanout).select("id", F.lit(True).alias("often"))
+    dealt_by = F.when(F.col("often"), F.xxhash64("id", "row")).otherwise(F.col("id"))
+    left = rows.join(often.hint("merge"), "id", "left").select("source", "row", "id", "size", "p", F.pmod(F.xxhash64(F.lit(seed), dealt_by), groups).alias("g"))
     decided, level, width = None, 0, max(1, -(-most // fanout))
     empty = F.expr("named_struct('open', cast(null as struct<id:bigint,size:bigint,p:double,u:double,row:bigint>), 'done', cast(array() as array<struct<row:bigint,extra:int>>))")
     while True:
@@ -109,19 +113,19 @@ def mix_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     """The columns of mix_sources, and named, the value of docs' column `name` (null without one).
 
     Each row is rounded by itself. Rows without an id are drawn by `name`, or by
-    their place in the input where that is null.
+    their text where that is null.
     """
     base = checkpointed(docs.select(
         F.monotonically_increasing_id().alias("row"), (F.col(name) if name else F.lit(None)).cast("long").alias("named"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"),
     ))
     targets = checkpointed(source_targets(base, weights, share, cap)).withColumnRenamed("source", "of")
     rows = base.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     want = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     whole = F.floor(want + 1e-12)
     rows = rows.withColumns({"whole": whole, "p": F.greatest(want - whole, F.lit(0.0))})
-    drawn_by = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), F.coalesce("named", "row")))
+    drawn_by = F.coalesce("doc_id", F.xxhash64(F.lit("no id"), F.coalesce("named", "text_hash")))
     extra = round_fractions(rows.where((F.col("p") > 1e-12) & (F.col("size") > 0)).select("row", drawn_by.alias("id"), "size", "source", "p", "n_rows"), fanout, seed)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0)
     return (

@@ -63,9 +63,10 @@ def _map(name: str, f: Callable, kind: pa.DataType, keep: int) -> Callable:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> np.ndarray:
-    """Weights from at most `training` labelled rows, chosen by a hash of their ids."""
-    chosen = labels.where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "quality")  # training rows of 12 bytes
+    """Weights from at most `training` labelled rows, chosen by a hash of their ids; an id with labels of both kinds counts as good."""
+    chosen = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training)
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # training rows of 12 bytes
+    rows = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).select("text", "quality")  # of several texts of an id the smallest
     seen = rows.mapInArrow(in_tasks(_map("x", features, pa.list_(pa.float64()), 1)), "quality int, x array<double>").toPandas()
     width = features(pa.array(["a"])).shape[1]
     y = seen["quality"].to_numpy()
@@ -95,7 +96,8 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 def classify_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, training: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, text_score, host_share, site_share, score, keep for each row of docs (doc_id, text and the columns host and path; others are ignored).
 
-    Null hosts and paths are sites of their own. Null and empty texts are scored
+    Site shares average what the classifier says of a site's rows, not labels. Each row is judged by itself,
+    whether its id repeats or is null. Null hosts and paths are sites of their own. Null and empty texts are scored
     by their (empty) features. Without labels of both classes text_score is their
     share for all (one half without labels). An empty table gives an empty result.
     """

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +109,7 @@ def _phrases(rows: DataFrame) -> list[bytes]:
     """
     n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     share = toxic / n
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w"))
+    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0)))).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
     a, b = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
@@ -119,10 +120,15 @@ def _phrases(rows: DataFrame) -> list[bytes]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING_ROWS) -> Model:
-    """A model from at most `training` labelled rows, chosen by a hash of their ids; rows of docs and labels need doc_id, text and toxic (0 or 1)."""
+    """A model from at most `training` labelled rows, chosen by a hash of their ids; rows of docs and labels need doc_id, text and toxic (0 or 1).
+
+    An id with labels of both kinds counts as toxic; of several texts of an id the smallest is
+    taken. Ordinary rows of over ORDINARY_BYTES are no part of the ordinary dictionary.
+    """
     spark = docs.sparkSession
-    chosen = labels.where("toxic in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = checkpointed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"))  # training rows of 12 bytes
+    chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # training rows of 12 bytes
+    rows = checkpointed(own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     count, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == count:
         prior = (toxic + 0.5) / (count + 1)

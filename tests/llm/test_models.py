@@ -179,4 +179,4 @@ def test_stages_without_rows_or_ids(spark, tmp_path, docs, labelled):
 def test_queries_exist():
     from oreframe.llm.queries import QUERIES
 
-    assert [x.split("_")[0] for x in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [x.split("_")[0] for x in QUERIES] == [f"op{n}" for n in range(1, 14)]
