@@ -30,6 +30,19 @@ def norm(x):
     return str(x)[:10] if hasattr(x, "year") else str(x)
 
 
+@pytest.mark.parametrize("name", ("revaluations", "reval_warnings", "reval_gate", "screen_rank", "cashflow_items", "resource_rows", "merge_forks", "stage_evidence", "feed_quarantine", "asof_align"))
+def test_query_with_generated_code(spark, duck, name):
+    """A part of the queries as users run them; the rest of the suite goes without code generation."""
+    off = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    try:
+        spark.conf.set("spark.sql.codegen.wholeStage", "true")
+        spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+        test_query(spark, duck, name)
+    finally:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
