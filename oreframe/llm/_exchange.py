@@ -5,12 +5,18 @@ hashes on the way there and a hash of the document id on the way back.
 Parts are of a fixed size, so their number follows the data without a bound. Up to
 MAX_TASKS each is a partition; beyond, a partition holds several neighbouring parts,
 which Spark sorts (spilling to disk) and a task works off one after another, so that
-its memory stays that of one part. A message has an entry at least, so messages never
-outnumber the entries that they carry.
+its memory stays that of one part.
+
+A message costs some 300 bytes beside its entries, and a sender's chunk is of a fixed size,
+so with many parts a message would hold few entries. Beyond ONE_STEP parts entries therefore travel in two
+steps: a chunk's messages are for groups of neighbouring parts, as many groups as parts in
+each; the task of a group merges what came into messages of its parts. So what an entry
+costs doesn't grow with the number of parts.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -27,6 +33,23 @@ SCHEMA = "part int, kind int, body binary"
 ENTRIES, PLACES, TEXT = 0, 1, 2
 #: Stands for a null id, which so counts as the largest.
 NULL_ID = np.iinfo(np.int64).max
+#: Marks the kind of a message whose entries are for a group of parts.
+COARSE = 1 << 16
+#: Most parts that a chunk's entries are dealt to in one step.
+ONE_STEP = 4_096
+#: Bytes of messages that are merged at a time in the second step.
+MERGE_BYTES = 64 << 20
+
+
+class Parts(int):
+    """A number of parts. width: neighbouring ones that a message of the first step is for; 1 where one step is enough."""
+
+    width: int
+
+    def __new__(cls, n: int, one_step: int = ONE_STEP) -> Parts:
+        self = super().__new__(cls, n)
+        self.width = 1 if n <= one_step else math.isqrt(n)
+        return self
 
 
 def message(part: int, kind: int, *body: object) -> tuple[int, int, bytes]:
@@ -63,8 +86,17 @@ def id_part(ids: np.ndarray, parts: int) -> np.ndarray:
     return (tx.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)
 
 
-def pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values: list[np.ndarray] = []) -> Iterator[tuple[int, int, bytes]]:  # noqa: B006
-    """A message for each part with its entries; doc (ids) and place ascend within runs of one document. Places are stored as gaps."""
+def pack(parts: int, kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values: list[np.ndarray] = []) -> Iterator[tuple[int, int, bytes]]:  # noqa: B006
+    """Messages with the entries of each part, or group of parts; doc (ids) and place ascend within runs of one document."""
+    width = getattr(parts, "width", 1)
+    if width == 1:
+        yield from _pack(kind, part, doc, place, values)
+    else:
+        yield from _pack(kind | COARSE, part - part % width, doc, place, [*values, (part % width).astype(np.uint16)])
+
+
+def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """A message for each part with its entries. Places are stored as gaps."""
     if not len(part):
         return
     at = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")
@@ -98,6 +130,36 @@ def unpack(bodies: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def merge(limit: int = MERGE_BYTES) -> Callable:
+    """The second step: messages of one group of parts, made anew for each part. Other messages pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def messages() -> Iterator[tuple[int, int, bytes]]:
+            held: dict[tuple[int, int], list[bytes]] = {}
+            size = 0
+
+            def made() -> Iterator[tuple[int, int, bytes]]:
+                for (first, kind), bodies in held.items():
+                    doc, place, *values, offset = unpack(bodies)
+                    yield from _pack(kind, first + offset.astype(np.int32), doc, place, values)
+                held.clear()
+
+            for part, kind, body in read(batches):
+                if not kind & COARSE:
+                    yield part, kind, body
+                    continue
+                held.setdefault((part, kind ^ COARSE), []).append(body)
+                size += len(body)
+                if size > limit:
+                    yield from made()
+                    size = 0
+            yield from made()
+
+        yield from record_batches(messages())
+
+    return run
+
+
 def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -184,10 +246,13 @@ def _one_part_at_a_time(f: Callable) -> Callable:
     return run
 
 
-def exchange(parts: int, f: Callable, schema: str, *frames: DataFrame) -> DataFrame:
-    """f over the messages of frames, of one part at a time."""
-    out = frames[0]
-    for x in frames[1:]:
+def exchange(parts: int, f: Callable, schema: str, packed: DataFrame, *others: DataFrame) -> DataFrame:
+    """f over all messages, of one part at a time. Those of others are for single parts."""
+    out, width = packed, getattr(parts, "width", 1)
+    if width > 1:
+        groups = -(-int(parts) // width)
+        out = out.repartitionById(groups, F.floor(F.col("part") / width).cast("int")).mapInArrow(in_tasks(merge()), SCHEMA)
+    for x in others:
         out = out.unionAll(x)
     if parts <= MAX_TASKS:
         return out.repartitionById(parts, F.col("part")).mapInArrow(in_tasks(f), schema)
@@ -195,14 +260,14 @@ def exchange(parts: int, f: Callable, schema: str, *frames: DataFrame) -> DataFr
     return out.repartitionById(MAX_TASKS, task).sortWithinPartitions("part").mapInArrow(in_tasks(_one_part_at_a_time(f)), schema)
 
 
-#: Stored bytes of input for each partition of an exchange. Messages number tasks x partitions, so their count follows the data's size, not a setting.
+#: Stored bytes of input for each part of an exchange.
 PART_BYTES = 10 << 20
 
 
-def parts_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
+def parts_of(docs: DataFrame, part_bytes: int = PART_BYTES) -> Parts:
     """Partitions for an exchange of docs, by Spark's estimate of its size; spark.sql.shuffle.partitions where Spark has none."""
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
-        return shuffle_partitions(spark)
-    return min(1 << 30, max(spark.sparkContext.defaultParallelism, -(-size // part_bytes)))
+        return Parts(shuffle_partitions(spark))
+    return Parts(min(1 << 30, max(spark.sparkContext.defaultParallelism, -(-size // part_bytes))))

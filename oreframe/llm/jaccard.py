@@ -69,7 +69,7 @@ def _send(size: int, parts: int) -> Callable:
                 entity = tx.mix(entity + n.astype(np.uint64)).view(np.int64)
                 ids = batch.column(0).to_numpy()
                 o = np.argsort(entity, kind="stable")
-                yield from ex.pack(DOCUMENT, ex.id_part(entity[o], parts), entity[o], np.zeros(len(o), np.int64), [ids[o], n[o]])
+                yield from ex.pack(parts, DOCUMENT, ex.id_part(entity[o], parts), entity[o], np.zeros(len(o), np.int64), [ids[o], n[o]])
                 _, one = np.unique(entity, return_index=True)
                 one = one[n[one] > 0]
                 if not len(one):
@@ -85,7 +85,7 @@ def _send(size: int, parts: int) -> Callable:
                 send = ~here
                 send[o[first]] = True
                 for kind, part, m in ((ex.ENTRIES, ex.hash_part(h, parts), send), (SHARED, ex.id_part(own, parts), here)):
-                    yield from ex.pack(kind, part[m], own[m], place[m], [h[m]] if kind == SHARED else [(h[m] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h[m] >> np.uint64(32)).astype(np.uint32)])
+                    yield from ex.pack(parts, kind, part[m], own[m], place[m], [h[m]] if kind == SHARED else [(h[m] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h[m] >> np.uint64(32)).astype(np.uint32)])
 
         yield from ex.record_batches(messages())
 
@@ -117,7 +117,7 @@ def _shared(parts: int) -> Callable:
             h = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
             del low, high
             found = np.sort(np.concatenate([_met(own, h, np.flatnonzero(h % np.uint64(PASSES) == np.uint64(k))) for k in range(PASSES)]))
-            yield from ex.pack(SHARED, ex.id_part(own[found], parts), own[found], place[found], [h[found]])
+            yield from ex.pack(parts, SHARED, ex.id_part(own[found], parts), own[found], place[found], [h[found]])
 
         yield from ex.record_batches(messages())
 

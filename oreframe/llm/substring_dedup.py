@@ -53,8 +53,8 @@ def _probe(window: int, block: int, parts: int) -> Callable:
                 settled[o] = here[group]
                 send = ~settled
                 send[o[anchor[here]]] = True
-                yield from ex.pack(ex.ENTRIES, ex.hash_part(h[send], parts), ids[send], place[send], [h[send].astype(np.uint32)])
-                yield from ex.pack(ANCHORS, ex.id_part(ids[settled], parts), ids[settled], place[settled])
+                yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(h[send], parts), ids[send], place[send], [h[send].astype(np.uint32)])
+                yield from ex.pack(parts, ANCHORS, ex.id_part(ids[settled], parts), ids[settled], place[settled])
 
         yield from ex.record_batches(messages())
 
@@ -82,7 +82,7 @@ def _match_anchors(block: int, parts: int) -> Callable:
             many = np.minimum.reduceat(ids[o], first) != np.maximum.reduceat(ids[o], first)
             hit = many & np.logical_or.reduceat(place[o] % block == 0, first)
             found = np.sort(o[hit[group]])
-            yield from ex.pack(ANCHORS, ex.id_part(ids[found], parts), ids[found], place[found])
+            yield from ex.pack(parts, ANCHORS, ex.id_part(ids[found], parts), ids[found], place[found])
 
         yield from ex.record_batches(messages())
 
@@ -116,8 +116,8 @@ def _extend(window: int, block: int, parts: int) -> Callable:
                     continue
                 repeat = np.zeros(len(o), bool)
                 repeat[o] = ids[o] > np.minimum.reduceat(ids[o], first)[group]
-                yield from ex.pack(ex.ENTRIES, ex.hash_part(h[~repeat], parts), ids[~repeat], place[~repeat], [h[~repeat]])
-                yield from ex.pack(WINDOWS, ex.id_part(ids[repeat], parts), ids[repeat], place[repeat])
+                yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(h[~repeat], parts), ids[~repeat], place[~repeat], [h[~repeat]])
+                yield from ex.pack(parts, WINDOWS, ex.id_part(ids[repeat], parts), ids[repeat], place[repeat])
 
         yield from ex.record_batches(messages())
 
@@ -135,7 +135,7 @@ def _match_windows(parts: int) -> Callable:
             o = tx.order(h)
             first, group = tx.groups(h[o])
             found = np.sort(o[ids[o] > np.minimum.reduceat(ids[o], first)[group]])
-            yield from ex.pack(WINDOWS, ex.id_part(ids[found], parts), ids[found], place[found])
+            yield from ex.pack(parts, WINDOWS, ex.id_part(ids[found], parts), ids[found], place[found])
 
         yield from ex.record_batches(messages())
 

@@ -152,9 +152,9 @@ def _anchors(length: int, shortest: int, parts: int) -> Callable:
                 send = np.zeros(len(o), bool)
                 send[o[first]] = True
                 marks = (around << np.uint64(2)) | (whole.astype(np.uint64) << np.uint64(1)) | twin.astype(np.uint64)
-                yield from ex.pack(ex.ENTRIES, ex.hash_part(near[send], parts), ids[send], place[send], [near[send], core[send], marks[send]])
+                yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(near[send], parts), ids[send], place[send], [near[send], core[send], marks[send]])
                 for kind, m in ((SETTLED, twin & whole), (NEAR, twin & ~whole)):
-                    yield from ex.pack(kind, ex.id_part(ids[m], parts), ids[m], place[m])
+                    yield from ex.pack(parts, kind, ex.id_part(ids[m], parts), ids[m], place[m])
 
         yield from ex.record_batches(messages())
 
@@ -199,9 +199,9 @@ def _compare_anchors(parts: int) -> Callable:
                 settled = np.sort(o[several[inner_group]])
                 open_ = np.sort(o[inner[go_on[outer_group[inner]]]])
                 shared[settled] = False
-                yield from ex.pack(SETTLED, ex.id_part(ids[settled], parts), ids[settled], place[settled])
-                yield from ex.pack(OPEN, ex.id_part(ids[open_], parts), ids[open_], place[open_])
-            yield from ex.pack(NEAR, ex.id_part(ids[shared], parts), ids[shared], place[shared])
+                yield from ex.pack(parts, SETTLED, ex.id_part(ids[settled], parts), ids[settled], place[settled])
+                yield from ex.pack(parts, OPEN, ex.id_part(ids[open_], parts), ids[open_], place[open_])
+            yield from ex.pack(parts, NEAR, ex.id_part(ids[shared], parts), ids[shared], place[shared])
 
         yield from ex.record_batches(messages())
 
@@ -248,7 +248,7 @@ def _shard(length: int, parts: int) -> Callable:
             for kind, (ids, first, place) in inbox.found.items():
                 if kind != OPEN:
                     doc = np.repeat(ids, np.diff(first))
-                    yield from ex.pack(kind, ex.id_part(doc, parts), doc, place)
+                    yield from ex.pack(parts, kind, ex.id_part(doc, parts), doc, place)
             for batch in inbox.chunks():
                 found = [inbox.places(OPEN, d) for d in batch.column(0).to_pylist()]
                 batch = batch.filter(pa.array([len(x) > 0 for x in found]))
@@ -269,10 +269,10 @@ def _shard(length: int, parts: int) -> Callable:
                     several, one = repeats_in_shard(data, at, length)
                     ids = piece.column(0).to_numpy()
                     doc = np.searchsorted(begin, several, "right") - 1
-                    yield from ex.pack(STARTS, ex.id_part(ids[doc], parts), ids[doc], several - begin[doc])
+                    yield from ex.pack(parts, STARTS, ex.id_part(ids[doc], parts), ids[doc], several - begin[doc])
                     h = tx.span_hashes(data, one, one + length)
                     doc = np.searchsorted(begin, one, "right") - 1
-                    yield from ex.pack(ex.ENTRIES, ex.hash_part(h, parts), ids[doc], one - begin[doc], [h])
+                    yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(h, parts), ids[doc], one - begin[doc], [h])
 
         yield from ex.record_batches(messages())
 
@@ -315,7 +315,7 @@ def _merge(parts: int) -> Callable:
             first, group = tx.groups(h)
             found = np.flatnonzero((np.diff(np.append(first, len(h))) > 1)[group])
             found = found[np.lexsort((place[found], ids[found]))]
-            yield from ex.pack(STARTS, ex.id_part(ids[found], parts), ids[found], place[found])
+            yield from ex.pack(parts, STARTS, ex.id_part(ids[found], parts), ids[found], place[found])
 
         yield from ex.record_batches(messages())
 
