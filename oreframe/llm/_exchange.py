@@ -95,6 +95,11 @@ def pack(parts: int, kind: int, part: np.ndarray, doc: np.ndarray, place: np.nda
         yield from _pack(kind | COARSE, part - part % width, doc, place, [*values, (part % width).astype(np.uint16)])
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x, none of it negative, in as few bytes a value as its largest one needs."""
+    return x.astype(np.min_scalar_type(x.max()))
+
+
 def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """A message for each part with its entries. Places are stored as gaps."""
     if not len(part):
@@ -108,7 +113,7 @@ def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, value
         run = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] < p[:-1]))))
         gap = np.diff(p, prepend=0)
         gap[run] = p[run]
-        yield message(int(part[a]), kind, d[run], np.diff(run, append=b - a).astype(np.uint32), (gap & 255).astype(np.uint8), (gap >> 8).astype(np.uint32), *(v[a:b] for v in values))
+        yield message(int(part[a]), kind, d[run], _narrow(np.diff(run, append=b - a)), (gap & 255).astype(np.uint8), _narrow(gap >> 8), *(v[a:b] for v in values))
 
 
 def unpack(bodies: list[bytes]) -> list[np.ndarray]:
