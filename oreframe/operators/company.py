@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, valuation
 from . import revaluation
-from .common import top
+from .common import highest_before, top
 
 
 def financials_latest(financials: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def cash_history(financials: DataFrame) -> DataFrame:
 
 def burn_trend(financials: DataFrame) -> DataFrame:
     """Up or down against the quarter before, only when both are outflows or both inflows."""
-    before = F.lag("burn").over(W.partitionBy("company_id").orderBy("effective_date", "financial_id"))
-    f = financials.where("burn is not null and burn <> 0").withColumn("prior", before)
+    order = ["effective_date", "financial_id"]
+    f = financials.where("burn is not null and burn <> 0")
+    f = highest_before(f, ["company_id"], order, F.date_trunc("month", "effective_date"), F.struct(*order, "burn"), "_p").withColumn("prior", F.col("_p.burn")).drop("_p")
     same = F.signum("burn") == F.signum("prior")
     return f.withColumn("trend", F.when(same & (F.abs("burn") > F.abs("prior")), "up").when(same & (F.abs("burn") < F.abs("prior")), "down"))
 

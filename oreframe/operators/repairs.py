@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import forms as f
 from ..functions import text as t
 from ..functions import valuation as v
-from .common import reasons
+from .common import highest_before, reasons
 
 # Review figures that each type of filing can give.
 APPLICABLE = {"cash": ("appendix_5b", "quarterly_activity", "presentation"), "burn": ("appendix_5b", "quarterly_activity"), "shares_fd": ("issue_of_securities", "presentation")}
@@ -25,13 +24,13 @@ CURRENCIES = ("USD", "US$", "AUD", "A$", "CAD", "C$")
 QUARTER_ENDS = ("03-31", "06-30", "09-30", "12-31")
 
 
-def review_flags(financials: DataFrame, change: float = 0.5) -> DataFrame:
+def review_flags(financials: DataFrame, change: float = 0.5, block: int = 100_000) -> DataFrame:
     """Reasons to review a snapshot: a figure that its type of filing should give is missing, or differs by more than change from the snapshot that was latest when it was inserted.
 
-    Insert order is that of financial_id. The earlier snapshot is any type's, that of the latest date.
+    Insert order is that of financial_id, of which block numbers are the most that a window runs over. The earlier snapshot is any type's, that of the latest date.
     """
-    earlier = W.partitionBy("company_id").orderBy("financial_id").rowsBetween(W.unboundedPreceding, -1)
-    d = financials.withColumn("p", F.max_by(F.struct("cash", "burn", "shares_fd"), F.struct("effective_date", "financial_id")).over(earlier))
+    latest = F.struct("effective_date", "financial_id", "cash", "burn", "shares_fd")
+    d = highest_before(financials, ["company_id"], ["financial_id"], F.floor(F.col("financial_id") / block), latest, "p")
     fits = {c: F.col("doc_type").isin(*types) for c, types in APPLICABLE.items()}
     before = {c: F.col(f"p.{c}") for c in fits}
     moved = {c: fits[c] & (before[c] != 0) & (F.abs(F.col(c) - before[c]) / F.abs(before[c]) > change) for c in fits}

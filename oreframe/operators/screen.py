@@ -145,6 +145,27 @@ def screen_facets(screen: DataFrame) -> DataFrame:
     return one("country", "countries").unionByName(one("commodity", "commodities")).groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+FACETS = {"country": "countries", "state": "states", "region": "regions", "commodity": "commodities", "stage": None}
+
+
+def facets_under_filter(screen: DataFrame, chosen: dict[str, str], facets: tuple[str, ...] = tuple(FACETS)) -> DataFrame:
+    """(facet, value, n): companies with each value of each facet that pass the choices made in all other facets, so that a choice doesn't hide its alternatives.
+
+    One pass: a company is counted for a facet if nothing but this facet's own choice excludes it. Filters that
+    are no facets belong before (screen_filter).
+    """
+    of = {f: F.array(F.col("most_advanced")) if c is None else F.col(c) for f, c in FACETS.items()}
+    fails = {f: ~F.coalesce(F.array_contains(of[f], value), F.lit(False)) for f, value in chosen.items()}
+    n_fails = sum((x.cast("int") for x in fails.values()), F.lit(0))
+    counted = []
+    for f in facets:
+        others = n_fails - fails[f].cast("int") if f in fails else n_fails
+        values = F.array_distinct(F.array_compact(of[f]))
+        counted.append(F.when(others == 0, F.struct(F.lit(f).alias("facet"), values.alias("values"))))
+    one = screen.select(F.inline(F.array_compact(F.array(*counted)))).select("facet", F.explode("values").alias("value"))
+    return one.groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
 def stage_breakdown(active: DataFrame) -> DataFrame:
     """Projects of each stage, by company."""
     return active.where("stage is not null").groupBy("company_id", "stage").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import valuation as v
-from ..operators import prices, revaluation
+from ..operators import prices, refresh, revaluation
 from ..sources import facts
 from .base import BAD, EFFECTIVE, FACTOR, REVALUABLE, TAX, TIER, day, now, query
 from .bind import view
@@ -52,8 +52,8 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
     return prices.latest_price(view(s, d, "commodity_prices"), now())
 
 
-def _fact(s: SparkSession, d: str, name: str, key: str, *tables: str, rows=None) -> DataFrame:
-    return facts.loaded(s, name, [f"{d}/{t}.parquet" for t in tables], key, rows or (lambda: view(s, d, name)))
+def _fact(s: SparkSession, d: str, name: str, key: str, *tables: str, rows=None, folder_by: str | None = None) -> DataFrame:
+    return facts.loaded(s, name, [f"{d}/{t}.parquet" for t in tables], key, rows or (lambda: view(s, d, name)), folder_by=folder_by)
 
 
 def _studies(s: SparkSession, d: str) -> DataFrame:
@@ -72,13 +72,13 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
     return revaluation.resolve_legs(_studies(s, d), _legs(s, d), _latest(s, d))
 
 
-def _gated(s: SparkSession, d: str) -> DataFrame:
+def _gated(s: SparkSession, d: str, priced: DataFrame | None = None) -> DataFrame:
     places = lambda: revaluation.project_facts(view(s, d, "projects"), view(s, d, "project_commodities"), view(s, d, "resources"))
-    return revaluation.gated(_priced(s, d), _fact(s, d, "project_facts", "project_id", "orders", "lineitem", rows=places), day())
+    return revaluation.gated(_priced(s, d) if priced is None else priced, _fact(s, d, "project_facts", "project_id", "orders", "lineitem", rows=places), day())
 
 
-def _basket(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.revalue_basket(_gated(s, d), day())
+def _basket(s: SparkSession, d: str, priced: DataFrame | None = None) -> DataFrame:
+    return revaluation.revalue_basket(_gated(s, d, priced), day())
 
 
 @query(f"with {BASKET} select study_id, project_id, reporting_currency, n_supported, round(life, 4) as life, annuity, tax_used, round(post_tax_npv + delta_npv, 2) as npv_spot, round(delta_npv, 2) as npv_uplift, round(coverage_pct, 4) as coverage_pct from basket")
@@ -172,6 +172,30 @@ def revaluation_legs(s: SparkSession, d: str) -> DataFrame:
     return out.select("study_id", "leg", "commodity", "supported", F.round("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", "delta_revenue_annual_usd", F.round("dfs_metal_revenue_usd", 2).alias("dfs_metal_revenue_usd"))
 
 
+def _moved_by(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Studies and legs, indexed by the quotes that move them."""
+    index = lambda name, rows: _fact(s, d, name, "study_id", "orders", "lineitem", rows=lambda: refresh.by_mover(rows, refresh.movers(_studies(s, d), _legs(s, d))), folder_by="mover")
+    return index("studies_by_mover", _studies(s, d)), index("legs_by_mover", _legs(s, d))
+
+
+def recomputed(s: SparkSession, d: str, moved: list[str], quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(revaluations of the studies that moved quotes concern, these studies)."""
+    studies, legs = (refresh.of_moved(x, moved) for x in _moved_by(s, d))
+    return revaluation.revaluation_rows(_basket(s, d, revaluation.priced_studies(studies, legs, quotes))), studies
+
+
+@query(f"""with {BASKET}, primaries as (select project_id, min(commodity) as pc from project_commodities where is_primary group by project_id),
+    reps as (select * from (select m.*, row_number() over (partition by m.study_id order by m.commodity is not distinct from pc desc, leg) as r from moved m join basket b on b.study_id = m.study_id left join primaries p on p.project_id = b.project_id where supported) where r = 1)
+    select b.study_id, r.commodity, r.spot_price as price_spot, r.spot_id as price_spot_id, case when reporting_currency = 'AUD' then b.fx end as fx_rate, round(post_tax_npv + delta_npv, 2) as npv_spot, round(delta_npv, 2) as npv_uplift from basket b join reps r on r.study_id = b.study_id""")
+def price_refresh(s: SparkSession, d: str) -> DataFrame:
+    """Revaluations at quotes of which those of copper and the exchange rate are two weeks old, brought up to date; the SQL computes everything anew."""
+    late = F.col("commodity").isin("Cu", "AUDUSD") & (F.col("fetched_at") > F.lit("2024-01-15").cast("timestamp"))
+    old, new = prices.latest_price(view(s, d, "commodity_prices").where(~late), now()), _latest(s, d)
+    stored = revaluation.revaluation_rows(_basket(s, d, revaluation.priced_studies(_studies(s, d), _legs(s, d), old)))
+    out = refresh.refreshed(stored, *recomputed(s, d, refresh.moved_quotes(old, new), new))
+    return out.select("study_id", "commodity", "price_spot", "price_spot_id", "fx_rate", F.round("npv_spot", 2).alias("npv_spot"), F.round("npv_uplift", 2).alias("npv_uplift"))
+
+
 RANKED = f"select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as r from studies where {EFFECTIVE} in ('definitive', 'indicative') and study_id in (select study_id from revals)"
 
 

@@ -149,6 +149,15 @@ def screen_facets(s: SparkSession, d: str) -> DataFrame:
     return screen.screen_facets(_screen(s, d))
 
 
+CHOICES = {"country": "list_contains(string_split(countries, ','), 'Australia')", "commodity": "list_contains(string_split(commodities, ','), 'Au')", "stage": "most_advanced = 'production'"}
+_EACH = {"country": "string_split(countries, ',')", "state": "string_split(states, ',')", "region": "string_split(regions, ',')", "commodity": "string_split(commodities, ',')", "stage": "[most_advanced]"}
+
+
+@query(f"with {SCREEN} " + " union all ".join(f"select '{f}' as facet, v as value, count(*) as n from (select unnest({x}) as v from screened where {' and '.join(c for g, c in CHOICES.items() if g != f)}) where v <> '' group by v" for f, x in _EACH.items()))
+def facets_under_filter(s: SparkSession, d: str) -> DataFrame:
+    return screen.facets_under_filter(_screen(s, d), {"country": "Australia", "commodity": "Au", "stage": "production"})
+
+
 @query("select study_id, case when a <= 1.5 then 'fresh' when a <= 3 then 'ageing' when a > 3 then 'stale' end as bucket, case when a < 0 then null when a < 3 then 'fresh' when a < 5 then 'aging' when a >= 5 then 'stale' end as vintage from (select study_id, date_diff('day', study_date, date '2000-09-01') / 365.25 as a from studies)")
 def age_bucket(s: SparkSession, d: str) -> DataFrame:
     age = F.datediff(day("2000-09-01"), F.col("study_date")) / 365.25

@@ -30,12 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def write_facts(rows: DataFrame, key: str, buckets: int | None = None) -> str:
-    """The name of a new table of rows, bucketed and sorted by key."""
+def write_facts(rows: DataFrame, key: str, buckets: int | None = None, folder_by: str | None = None) -> str:
+    """The name of a new table of rows, bucketed and sorted by key, with a folder for each value of folder_by."""
     spark = rows.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"facts_{uuid.uuid4().hex}"
-    rows.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    write = rows.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    write = write.partitionBy(folder_by) if folder_by else write
+    write.format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return name
 
 
@@ -45,13 +47,13 @@ def _state(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(files.agg(F.count("*"), F.sum("length"), F.max(F.unix_micros("modificationTime")), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())
 
 
-def loaded(spark: SparkSession, name: str, sources: list[str], key: str, rows: Callable[[], DataFrame], buckets: int | None = None) -> DataFrame:
+def loaded(spark: SparkSession, name: str, sources: list[str], key: str, rows: Callable[[], DataFrame], buckets: int | None = None, folder_by: str | None = None) -> DataFrame:
     """The fact table of that name over the files of sources: written when first asked for, and again when a file of theirs has changed; else the one written before in this application."""
     place = spark.sparkContext.applicationId, name, "\n".join(sources)
     state = _state(spark, sources)
     old = _LOADED.get(place)
     if old is None or old[0] != state or not spark.catalog.tableExists(old[1]):
-        _LOADED[place] = state, write_facts(rows(), key, buckets)
+        _LOADED[place] = state, write_facts(rows(), key, buckets, folder_by)
         if old:
             spark.sql(f"drop table if exists {old[1]}")
     return spark.table(_LOADED[place][1])
