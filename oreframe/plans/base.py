@@ -32,6 +32,11 @@ def now() -> Column:
     return F.lit("2024-01-29 12:00:00").cast("timestamp")
 
 
+def rounded(x: Column | str, n: int) -> Column:
+    """x to n places as SQL's round does it on doubles: x * 10^n to the nearest whole number, halves away from zero, and back. F.round goes by x's decimal digits, which differs where only these end in a 5."""
+    return F.round((F.col(x) if isinstance(x, str) else x) * 10.0**n, 0) / 10.0**n
+
+
 def query(sql: str) -> Callable:
     def add(f: Callable) -> Callable:
         name = f.__name__

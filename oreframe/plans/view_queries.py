@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import valuation as v
 from ..operators import company, prices, screen
-from .base import JUNK, REVALUABLE, STAGE_RANK, TRANSIENT, day, now, query
+from .base import JUNK, REVALUABLE, STAGE_RANK, TRANSIENT, day, now, query, rounded
 from .bind import view
 from .quality_queries import _capital
 from .text_queries import SECURITIES
@@ -119,7 +119,7 @@ RANKED = "ticker, n_active, most_advanced, commodities, countries, round(npv_upl
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return _joined(df, "commodities", "countries").select(*SHOWN).withColumn("npv_uplift", F.round("npv_uplift", 4))
+    return _joined(df, "commodities", "countries").select(*SHOWN).withColumn("npv_uplift", rounded("npv_uplift", 4))
 
 
 @query(f"with {SCREEN} select {RANKED} from screened where n_active > 1 and most_advanced = 'production' and contains(commodities, 'Au') and contains(countries, 'Australia') and latest_study_date >= date '1999-01-01' and has_dfs_pfs")
