@@ -9,7 +9,7 @@ from ..functions import forms as ff
 from ..functions.text import npv_reasons as kept_reasons
 from ..functions.valuation import tier_of
 from ..operators import entities, forms, repairs
-from .base import REVALUABLE, STAGE_RANK, TIER, day, now, query
+from .base import REVALUABLE, STAGE_RANK, TIER, day, now, query, rounded
 from .bind import view
 from .text_queries import CATEGORY, ITEMS, OLD, SECTIONS, SECURITIES, SNAPSHOT
 
@@ -104,7 +104,7 @@ def estimate_validation(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"select document_id, row_no, round({EXPECTED}, 6) as expected from estimate_rows")
 def expected_contained(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "estimate_rows").select("document_id", "row_no", F.round(ff.expected_contained(F.col("tonnes"), F.col("grade"), F.col("grade_unit"), F.col("unit")), 6).alias("expected"))
+    return view(s, d, "estimate_rows").select("document_id", "row_no", rounded(ff.expected_contained(F.col("tonnes"), F.col("grade"), F.col("grade_unit"), F.col("unit")), 6).alias("expected"))
 
 
 @query("""select financial_id, nullif(array_to_string(list_filter(list_filter(list_transform(string_split(review_reason, ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x: not list_contains(case doc_type when 'appendix_5b' then ['missing_shares_fd'] when 'quarterly_activity' then ['missing_shares_fd'] when 'issue_of_securities' then ['missing_cash', 'missing_opex_burn'] when 'presentation' then ['missing_opex_burn'] else [] end, x)), '; '), '') as reason from company_financials""")
@@ -279,7 +279,7 @@ def study_legs(s: SparkSession, d: str) -> DataFrame:
     k = F.col("study_id")
     basket = F.when(k % 3 == 0, F.from_json(F.lit('[{"commodity":"Au","annual_production":5.0,"unit":"kt"},{"commodity":"None"},{"commodity":"Cu"}]'), "array<struct<commodity:string,annual_production:double,unit:string>>"))
     st = view(s, d, "studies").select("study_id", F.when(k % 5 == 0, "null").when(k % 5 == 1, "Cu").otherwise("Au").alias("primary_commodity"), "annual_production", "annual_production_unit", basket.alias("basket"))
-    return entities.study_legs(st).withColumn("annual_production", F.round("annual_production", 3))
+    return entities.study_legs(st).withColumn("annual_production", rounded("annual_production", 3))
 
 
 @query("with one as (select project_id, min(commodity) as commodity from project_commodities where is_primary group by project_id having count(*) = 1) select study_id, commodity, annual_production, true as is_primary from studies join one using (project_id) where study_id not in (select study_id from study_commodities where leg > 1)")

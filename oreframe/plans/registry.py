@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import valuation as v
 from ..operators import company, prices
-from .base import BAD, FACTOR, ORACLE_SQL, QUERIES, STAGE_RANK, TAX, TIER, TRANSIENT, day, now, query
+from .base import BAD, FACTOR, ORACLE_SQL, QUERIES, STAGE_RANK, TAX, TIER, TRANSIENT, day, now, query, rounded
 from .bind import view
 
 LATEST = "select commodity, arg_max(price_usd, (fetched_at, price_id)) as price_usd, arg_max(price_id, (fetched_at, price_id)) as price_id from commodity_prices where fetched_at <= timestamp '2024-01-29 12:00:00' group by commodity"
@@ -37,13 +37,13 @@ def production_magnitude(s: SparkSession, d: str) -> DataFrame:
 
 @query("select study_id, round(case when date_diff('day', study_date, date '2001-09-01') > 0 then greatest(mine_life_years - date_diff('day', study_date, date '2001-09-01') / 365.25, 0.0) else mine_life_years end, 4) as remaining from studies")
 def remaining_life(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "studies").select("study_id", F.round(v.remaining_life(F.col("mine_life_years"), v.elapsed_years(F.col("study_date"), day())), 4).alias("remaining"))
+    return view(s, d, "studies").select("study_id", rounded(v.remaining_life(F.col("mine_life_years"), v.elapsed_years(F.col("study_date"), day())), 4).alias("remaining"))
 
 
 @query("select study_id, round(date_diff('day', study_date, date '2001-09-01') / 365.25, 4) as age, date_diff('day', study_date, date '2001-09-01') / 365.25 > 3 as stale from studies")
 def study_age(s: SparkSession, d: str) -> DataFrame:
     age = F.datediff(day(), F.col("study_date")) / 365.25
-    return view(s, d, "studies").select("study_id", F.round(age, 4).alias("age"), (age > 3).alias("stale"))
+    return view(s, d, "studies").select("study_id", rounded(age, 4).alias("age"), (age > 3).alias("stale"))
 
 
 @query(f"select study_stage, {TIER} as tier, count(*) as n from studies group by all")
@@ -70,7 +70,7 @@ DAILY = "select commodity, cast(fetched_at as date) as day, arg_max(price_usd, (
 
 @query(f"with daily as ({DAILY}) select commodity, day, close, round(close / first_value(close) over (partition by commodity order by day) * 100, 4) as rebased from daily")
 def rebase_100(s: SparkSession, d: str) -> DataFrame:
-    return prices.rebase(prices.daily_close(view(s, d, "commodity_prices"))).withColumn("rebased", F.round("rebased", 4))
+    return prices.rebase(prices.daily_close(view(s, d, "commodity_prices"))).withColumn("rebased", rounded("rebased", 4))
 
 
 @query("select company_id, financial_id, effective_date, cash, burn from (select *, row_number() over (partition by company_id order by effective_date desc, financial_id desc) as r from company_financials) where r = 1")
@@ -85,7 +85,7 @@ def burn_trend(s: SparkSession, d: str) -> DataFrame:
 
 @query("select financial_id, round(burn / max(burn) over (partition by company_id), 6) as share from company_financials where burn > 0")
 def burn_share(s: SparkSession, d: str) -> DataFrame:
-    return company.burn_share(view(s, d, "company_financials")).select("financial_id", F.round("share", 6).alias("share"))
+    return company.burn_share(view(s, d, "company_financials")).select("financial_id", rounded("share", 6).alias("share"))
 
 
 @query("select project_id, resource_id from (select *, rank() over (partition by project_id order by effective_date desc) as r from resources) where r = 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import valuation as v
 from ..operators import prices, refresh, revaluation
 from ..sources import facts
-from .base import BAD, EFFECTIVE, FACTOR, REVALUABLE, TAX, TIER, day, now, query
+from .base import BAD, EFFECTIVE, FACTOR, REVALUABLE, TAX, TIER, day, now, query, rounded
 from .bind import view
 
 NUMBER = r"regexp_replace(printf('%.4f', round_even({0}, 4)), '\.?0+$', '')"
@@ -83,7 +83,7 @@ def _basket(s: SparkSession, d: str, priced: DataFrame | None = None) -> DataFra
 
 @query(f"with {BASKET} select study_id, project_id, reporting_currency, n_supported, round(life, 4) as life, annuity, tax_used, round(post_tax_npv + delta_npv, 2) as npv_spot, round(delta_npv, 2) as npv_uplift, round(coverage_pct, 4) as coverage_pct from basket")
 def revalue_basket(s: SparkSession, d: str) -> DataFrame:
-    r = lambda c, n: F.round(c, n).alias(c)
+    r = lambda c, n: rounded(c, n).alias(c)
     return _basket(s, d).select("study_id", "project_id", "reporting_currency", "n_supported", r("life", 4), "annuity", "tax_used", r("npv_spot", 2), r("npv_uplift", 2), r("coverage_pct", 4))
 
 
@@ -104,7 +104,7 @@ def reval_gate(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {LEGS} select study_id, leg, commodity, supported, spot_id, round(deck, 6) as deck, round(production, 2) as production, leg_error, array_to_string(leg_warnings, '; ') as leg_warnings from moved")
 def resolve_legs(s: SparkSession, d: str) -> DataFrame:
-    return _resolved(s, d).select("study_id", "leg", "commodity", "supported", "spot_id", F.round("deck", 6).alias("deck"), F.round("production", 2).alias("production"), "leg_error", F.array_join("leg_warnings", "; ").alias("leg_warnings"))
+    return _resolved(s, d).select("study_id", "leg", "commodity", "supported", "spot_id", rounded("deck", 6).alias("deck"), rounded("production", 2).alias("production"), "leg_error", F.array_join("leg_warnings", "; ").alias("leg_warnings"))
 
 
 @query(f"with {SUMS} select study_id, round_even(case when total_revenue > 0 then supported_revenue / total_revenue * 100 else 100 end, 1) as coverage_pct, n_legs - n_supported as unsupported_legs from sums")
@@ -142,7 +142,7 @@ def revalue_single(s: SparkSession, d: str) -> DataFrame:
         "discount_rate_pct", "tax_rate_pct", F.col("post_tax_npv").alias("npv"), "reporting_currency", F.when(k % 10 != 3, 0.6452).alias("fx_rate"),
     )
     out = revaluation.revalue_single(inputs)
-    return out.select("study_id", "commodity", "annuity", "tax_used", "error", F.round("npv_uplift", 2).alias("npv_uplift"), "npv_uplift_pct")
+    return out.select("study_id", "commodity", "annuity", "tax_used", "error", rounded("npv_uplift", 2).alias("npv_uplift"), "npv_uplift_pct")
 
 
 @query("""select study_id, round(delta_npv, 2) as delta_npv, round(npv + delta_npv, 2) as npv_spot, round_even(case when npv = 0 then 0 else delta_npv / abs(npv) end, 4) as npv_uplift_pct, concat_ws('; ', case when npv = 0 then 'npv_dfs_zero_pct_undefined' end, case when npv < 0 then 'npv_dfs_negative_pct_vs_abs' end,
@@ -153,7 +153,7 @@ def finalize_npv(s: SparkSession, d: str) -> DataFrame:
     npv = F.col("post_tax_npv")
     out = st.withColumns(revaluation.finalize_npv(F.col("initial_capex") * 1e6 - 5e7, F.lit(7.7217), F.lit(30.0), npv, F.col("reporting_currency"), F.lit(0.6452)))
     pct = F.when(npv == 0, 0.0).otherwise(F.col("delta_npv") / F.abs(npv))
-    return out.select("study_id", F.round("delta_npv", 2).alias("delta_npv"), F.round("npv_spot", 2).alias("npv_spot"), "npv_uplift_pct", F.concat_ws("; ", *revaluation.npv_warnings(npv, pct)).alias("warnings"))
+    return out.select("study_id", rounded("delta_npv", 2).alias("delta_npv"), rounded("npv_spot", 2).alias("npv_spot"), "npv_uplift_pct", F.concat_ws("; ", *revaluation.npv_warnings(npv, pct)).alias("warnings"))
 
 
 @query(f"""with {BASKET}, primaries as (select project_id, min(commodity) as pc from project_commodities where is_primary group by project_id),
@@ -163,13 +163,13 @@ def finalize_npv(s: SparkSession, d: str) -> DataFrame:
 def revaluations(s: SparkSession, d: str) -> DataFrame:
     out = revaluation.revaluation_rows(_basket(s, d))
     r = {"price_dfs": 6, "annual_production": 2, "remaining_life_years": 4, "npv_spot": 2}
-    return out.drop("mine_life_years", "discount_rate_pct", "npv_uplift", "npv_uplift_pct", "warnings").withColumns({c: F.round(c, n) for c, n in r.items()})
+    return out.drop("mine_life_years", "discount_rate_pct", "npv_uplift", "npv_uplift_pct", "warnings").withColumns({c: rounded(c, n) for c, n in r.items()})
 
 
 @query(f"with {BASKET} select m.study_id, leg, m.commodity, supported, round(deck, 6) as price_dfs, spot_price as price_spot, spot_id as price_spot_id, round(m.delta_revenue, 2) as delta_revenue_annual_usd, round(deck_revenue, 2) as dfs_metal_revenue_usd from moved m where m.study_id in (select study_id from basket)")
 def revaluation_legs(s: SparkSession, d: str) -> DataFrame:
     out = revaluation.revaluation_leg_rows(_basket(s, d))
-    return out.select("study_id", "leg", "commodity", "supported", F.round("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", "delta_revenue_annual_usd", F.round("dfs_metal_revenue_usd", 2).alias("dfs_metal_revenue_usd"))
+    return out.select("study_id", "leg", "commodity", "supported", rounded("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", "delta_revenue_annual_usd", rounded("dfs_metal_revenue_usd", 2).alias("dfs_metal_revenue_usd"))
 
 
 def _moved_by(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +193,7 @@ def price_refresh(s: SparkSession, d: str) -> DataFrame:
     old, new = prices.latest_price(view(s, d, "commodity_prices").where(~late), now()), _latest(s, d)
     stored = revaluation.revaluation_rows(_basket(s, d, revaluation.priced_studies(_studies(s, d), _legs(s, d), old)))
     out = refresh.refreshed(stored, *recomputed(s, d, refresh.moved_quotes(old, new), new))
-    return out.select("study_id", "commodity", "price_spot", "price_spot_id", "fx_rate", F.round("npv_spot", 2).alias("npv_spot"), F.round("npv_uplift", 2).alias("npv_uplift"))
+    return out.select("study_id", "commodity", "price_spot", "price_spot_id", "fx_rate", rounded("npv_spot", 2).alias("npv_spot"), rounded("npv_uplift", 2).alias("npv_uplift"))
 
 
 RANKED = f"select *, row_number() over (partition by project_id order by case when study_date > date '2000-06-01' then 1 else 0 end, study_date desc nulls last, study_id desc) as r from studies where {EFFECTIVE} in ('definitive', 'indicative') and study_id in (select study_id from revals)"
@@ -219,7 +219,7 @@ def sweep_stats(s: SparkSession, d: str) -> DataFrame:
     select ticker, project_name, study_id, commodity, round_even((price_spot / price_dfs - 1) * 100, 2) as price_change_pct, round(npv_spot, 2) as npv_spot, npv_uplift_pct from runs join companies using (company_id) left join projects using (project_id) where k = 1""")
 def reval_summary(s: SparkSession, d: str) -> DataFrame:
     out = revaluation.reval_summary(view(s, d, "studies"), view(s, d, "revals"), view(s, d, "companies"), view(s, d, "projects"))
-    return out.withColumn("npv_spot", F.round("npv_spot", 2))
+    return out.withColumn("npv_spot", rounded("npv_spot", 2))
 
 
 @query("select revaluation_id, round_even((price_spot / price_dfs - 1) * 100, 2) as change_pct from revals")
@@ -246,7 +246,7 @@ def _units(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"select p_partkey, round(case when {PER_TONNE} or price > 100 then price / 2204.62262 else price end, 6) as per_lb, case when {PER_TONNE} then 'cu_price_unit_t_to_lb:' || {NUMBER.format('price')} || coalesce(unit, 'None') when price > 100 then 'cu_price_magnitude_t_to_lb:' || {NUMBER.format('price')} || coalesce(unit, 'None') end as warning from (select p_partkey, {UNIT} as unit, p_retailprice / case when p_partkey % 2 = 0 then 1 else 100 end as price from part)")
 def cu_per_lb(s: SparkSession, d: str) -> DataFrame:
-    return _units(s, d).select("p_partkey", F.round(v.copper_per_pound(F.col("price"), F.col("unit")), 6).alias("per_lb"), v.copper_warning(F.col("price"), F.col("unit")).alias("warning"))
+    return _units(s, d).select("p_partkey", rounded(v.copper_per_pound(F.col("price"), F.col("unit")), 6).alias("per_lb"), v.copper_warning(F.col("price"), F.col("unit")).alias("warning"))
 
 
 @query(f"select p_partkey, coalesce({AUD}, false) as is_aud from (select p_partkey, {UNIT} as unit from part)")
@@ -262,16 +262,16 @@ def price_basis(s: SparkSession, d: str) -> DataFrame:
     k, metals = F.col("l_partkey") % 4, F.array(*[F.lit(m) for m in ("Au", "Ag", "Cu", "Pd", "Pt", "U3O8", "Ni")])
     x = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(k == 0, "oz").when(k == 1, "t").when(k == 2, "lb").alias("unit"), F.get(metals, F.col("l_linenumber") - 1).alias("commodity"))
     metal, unit = F.col("commodity"), F.col("unit")
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", v.price_basis_error(metal, unit).alias("error"), F.round(v.to_price_basis(F.col("l_quantity"), metal, unit), 4).alias("production"))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", v.price_basis_error(metal, unit).alias("error"), rounded(v.to_price_basis(F.col("l_quantity"), metal, unit), 4).alias("production"))
 
 
 @query("select project_id, round(case when date_diff('day', production_start_date, date '2001-09-01') > 0 then date_diff('day', production_start_date, date '2001-09-01') / 365.25 end, 6) as elapsed from projects")
 def elapsed_years(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "projects").select("project_id", F.round(v.elapsed_years(F.col("production_start_date"), day()), 6).alias("elapsed"))
+    return view(s, d, "projects").select("project_id", rounded(v.elapsed_years(F.col("production_start_date"), day()), 6).alias("elapsed"))
 
 
 @query("""select study_id, round(annual_production * coalesce(m, 1), 4) as production, case when m <> 1 and annual_production is not null then 'production_normalized_' || annual_production_unit || '_x' || m end as warning
     from (select *, case annual_production_unit when 'koz/yr' then 1000 when 'Moz pa' then 1000000 when 't/yr' then 1 when 'ktpa contained' then 1000 when 'Mlb' then 1000000 end as m from studies)""")
 def production_norm(s: SparkSession, d: str) -> DataFrame:
     value, unit = F.col("annual_production"), F.col("annual_production_unit")
-    return view(s, d, "studies").select("study_id", F.round(v.production_norm(value, unit), 4).alias("production"), v.production_norm_warning(value, unit).alias("warning"))
+    return view(s, d, "studies").select("study_id", rounded(v.production_norm(value, unit), 4).alias("production"), v.production_norm_warning(value, unit).alias("warning"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import forms as f
 from ..functions import text as t
 from ..operators import forms
-from .base import query
+from .base import query, rounded
 from .bind import view
 
 HEADLINE = """case when regexp_matches(h, 'appendix 5b|quarterly cash ?flow') then 'appendix_5b'
@@ -273,7 +273,7 @@ AMOUNTS = "case doc_id % 9 when 0 then concat('A$', cast(doc_id as varchar(20)),
 
 @query(f"select doc_id, round({SCALED.format('x')}, 2) as amount from (select doc_id, {AMOUNTS} as x from documents)")
 def parse_scaled(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.round(t.scaled_amount(F.expr(AMOUNTS)), 2).alias("amount"))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", rounded(t.scaled_amount(F.expr(AMOUNTS)), 2).alias("amount"))
 
 
 WORDS = " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in ("measured", "indicated", "inferred", "proven", "proved", "probable", "total"))

@@ -130,7 +130,7 @@ def screen_filter(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {SCREEN}, total as (select count(*) as total from screened), ranked as (select 'most_advanced_stage_desc' as sort, * from (select * from screened order by rank, ticker limit 200) union all select 'project_count', * from (select * from screened order by n_active desc, ticker limit 200) union all select 'ticker', * from (select * from screened order by ticker limit 200) union all select 'uplift_abs_desc', * from (select * from screened order by npv_uplift desc nulls last, ticker limit 200) union all select 'uplift_pct_desc', * from (select * from screened order by npv_uplift_pct desc nulls last, ticker limit 200)) select sort, total, {RANKED} from ranked, total".replace("total as (select count(*) as total from screened)", "counted as (select count(*) as total from screened)").replace("from ranked, total", "from ranked, counted"))
 def screen_rank(s: SparkSession, d: str) -> DataFrame:
     table = _screen(s, d)
-    ranked = _joined(screen.rank_screens(table), "commodities", "countries").withColumn("npv_uplift", F.round("npv_uplift", 4))
+    ranked = _joined(screen.rank_screens(table), "commodities", "countries").withColumn("npv_uplift", rounded("npv_uplift", 4))
     return ranked.select("sort", table.agg(F.count("*")).scalar().alias("total"), *SHOWN)
 
 
@@ -188,7 +188,7 @@ NEWEST_FIN = "select * from (select *, row_number() over (partition by company_i
 @query(f"select company_id, financial_id, round(case when cash <> 0 and burn > 0 then cash / burn end, 4) as quarters, case when cash <> 0 and burn > 0 then '~' || cast(round_even(cash / burn, 0) as bigint) || ' quarters of runway' when cash <> 0 and burn < 0 then 'Net cash positive' end as label from ({NEWEST_FIN})")
 def runway(s: SparkSession, d: str) -> DataFrame:
     cash, burn = F.col("cash"), F.col("burn")
-    return company.financials_latest(view(s, d, "company_financials")).select("company_id", "financial_id", F.round(v.runway_quarters(cash, burn), 4).alias("quarters"), v.runway_label(cash, burn).alias("label"))
+    return company.financials_latest(view(s, d, "company_financials")).select("company_id", "financial_id", rounded(v.runway_quarters(cash, burn), 4).alias("quarters"), v.runway_label(cash, burn).alias("label"))
 
 
 @query("select company_id, financial_id, effective_date, cash, burn, shares_fd from company_financials")
