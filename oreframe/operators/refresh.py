@@ -9,18 +9,16 @@ from ..functions import valuation as v
 from .revaluation import FX
 
 
-def movers(studies: DataFrame, legs: DataFrame) -> DataFrame:
-    """(study_id, movers): the quotes that a study's value depends on, sorted. These are the supported metals of its legs, and the exchange rate if it reports or prices in Australian dollars."""
-    metals = legs.where(F.col("commodity").isin(*v.SUPPORTED)).groupBy("study_id").agg(F.collect_set("commodity").alias("_metals"))
-    in_aud = (F.col("reporting_currency") == "AUD") | F.exists(F.from_json("assumed_price_deck", v.DECK), lambda e: F.coalesce(v.is_aud_unit(e["unit"]), F.lit(False)))
+def by_mover(studies: DataFrame) -> DataFrame:
+    """The index of studies with raw_legs: (study_id, movers, mover), a row for each quote that a study's value depends on. These are the supported metals of its legs, and the exchange rate if it reports or prices in Australian dollars.
+
+    To be written in a folder for each mover, so that a refresh reads those of the quotes that moved. It holds keys only: a study's columns are stored once.
+    """
+    metals = F.array_distinct(F.filter(F.transform("raw_legs", lambda x: x["commodity"]), lambda m: m.isin(*v.SUPPORTED)))
     none = F.array().cast("array<string>")
+    in_aud = (F.col("reporting_currency") == "AUD") | F.exists("raw_legs", lambda x: v.is_aud_unit(x["unit"]))
     rate = F.when(F.coalesce(in_aud, F.lit(False)), F.array(F.lit(FX))).otherwise(none)
-    return studies.join(metals, "study_id", "left").select("study_id", F.array_sort(F.concat(F.coalesce("_metals", none), rate)).alias("movers"))
-
-
-def by_mover(rows: DataFrame, moved_by: DataFrame) -> DataFrame:
-    """The index: a copy of rows (with a study_id) for each quote in movers, under `mover`. To be written in a folder for each mover, so that a refresh reads those of the quotes that moved."""
-    return rows.join(moved_by, "study_id").withColumn("mover", F.explode("movers"))
+    return studies.select("study_id", F.array_sort(F.concat(F.coalesce(metals, none), rate)).alias("movers")).withColumn("mover", F.explode("movers"))
 
 
 def moved_quotes(old: DataFrame, new: DataFrame) -> list[str]:
@@ -31,9 +29,9 @@ def moved_quotes(old: DataFrame, new: DataFrame) -> list[str]:
 
 
 def of_moved(index: DataFrame, moved: list[str]) -> DataFrame:
-    """The rows of studies that moved quotes concern, each once: that under the first of its quotes that moved. Reads these quotes' folders only, and shuffles nothing."""
+    """The studies that moved quotes concern, each once: under the first of its quotes that moved. Reads these quotes' folders only, and shuffles nothing."""
     first = F.get(F.filter("movers", lambda m: m.isin(*moved)), F.lit(0))
-    return index.where(F.col("mover").isin(*moved) & (F.col("mover") == first)).drop("mover", "movers")
+    return index.where(F.col("mover").isin(*moved) & (F.col("mover") == first)).select("study_id")
 
 
 def refreshed(stored: DataFrame, again: DataFrame, concerned: DataFrame) -> DataFrame:

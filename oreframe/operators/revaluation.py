@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,29 @@ def _quotes(prices: DataFrame) -> Column:
     return prices.agg(F.map_from_entries(F.collect_list(F.struct("commodity", F.struct("price_usd", "price_id"))))).scalar()
 
 
-def resolve_legs(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Legs of known studies with deck price, production in the price's unit, spot price and revenue, a row each.
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    prices' AUDUSD row (US dollars per Australian dollar) converts decks in Australian
-    dollars. leg_error is why the study must be refused: no exchange rate, a production
-    that can't be trusted, or no spot price, in that order.
+
+def with_legs(studies: DataFrame, legs: DataFrame) -> DataFrame:
+    """studies with raw_legs: their legs in leg order, each with price and unit of the first entry for its metal in the study's deck. Null without legs. legs has a row for each study and metal.
+
+    One narrow aggregate and one join by study_id.
     """
-    metal, made = F.col("commodity"), F.col("annual_production")
-    d = legs.select("study_id", "leg", "commodity", "annual_production", "is_primary").join(studies.select("study_id", F.from_json("assumed_price_deck", v.DECK).alias("_deck")), "study_id")
-    d = d.withColumn("_quotes", _quotes(prices))
+    own = legs.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("leg", "commodity", "annual_production", "is_primary"))).alias("_legs"))
+    entry = lambda deck, x: F.get(F.filter(deck, lambda e: e["commodity"] == x["commodity"]), F.lit(0))
+    one = lambda x, e: F.struct(*[x[c].alias(c) for c in ("leg", "commodity", "annual_production", "is_primary")], e["price"].alias("price"), e["unit"].alias("unit"))
+    raw = _let(F.from_json("assumed_price_deck", v.DECK), lambda deck: F.transform("_legs", lambda x: _let(entry(deck, x), lambda e: one(x, e))))
+    return studies.join(own, "study_id", "left").withColumn("raw_legs", raw).drop("_legs")
+
+
+def resolved_legs(studies: DataFrame, prices: DataFrame) -> DataFrame:
+    """resolve_legs of studies that have their raw_legs, without a join."""
+    metal, made, price, unit, spot = F.col("commodity"), F.col("annual_production"), F.col("price"), F.col("unit"), F.col("quote.price_usd")
+    d = studies.select("study_id", F.inline("raw_legs")).withColumn("_quotes", _quotes(prices))
     quoted = lambda key: F.try_element_at("_quotes", key)
-    d = d.withColumns({"entry": F.get(F.filter("_deck", lambda e: e["commodity"] == metal), F.lit(0)), "quote": quoted(metal), "fx": quoted(F.lit(FX))["price_usd"], "known": F.coalesce(metal.isin(*v.SUPPORTED), F.lit(False))})
-    price, unit, spot = F.col("entry.price"), F.col("entry.unit"), F.col("quote.price_usd")
+    d = d.withColumns({"quote": quoted(metal), "fx": quoted(F.lit(FX))["price_usd"], "known": F.coalesce(metal.isin(*v.SUPPORTED), F.lit(False))})
     d = d.withColumns({"aud": v.is_aud_unit(unit) & price.isNotNull(), "refused": F.when(F.col("known"), v.production_error(metal, made))})
     usd = F.when(metal == "Cu", v.copper_per_pound(price, unit)).otherwise(price)
     d = d.withColumns({"deck": F.when(F.col("aud"), usd * F.col("fx")).otherwise(usd), "production": F.when(~F.col("known"), made).when(F.col("refused").isNull(), made * v.production_factor(metal, made))})
@@ -50,21 +62,35 @@ def resolve_legs(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> Data
     )
 
 
-def priced_studies(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
-    """studies with their legs resolved at spot: legs (an array in leg order), their sums, the first leg_error and fx_rate.
+def resolve_legs(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
+    """Legs of known studies with deck price, production in the price's unit, spot price and revenue, a row each.
+
+    prices' AUDUSD row (US dollars per Australian dollar) converts decks in Australian
+    dollars. leg_error is why the study must be refused: no exchange rate, a production
+    that can't be trusted, or no spot price, in that order.
+    """
+    return resolved_legs(with_legs(studies, legs), prices)
 
-    legs has a row for each study and metal. Both joins and the aggregate are by study_id, so on
-    tables bucketed by it nothing is shuffled, and what a reader doesn't select isn't worked out.
-    Studies without legs have null for all sums.
+
+def priced(studies: DataFrame, prices: DataFrame) -> DataFrame:
+    """studies that have their raw_legs, with legs resolved at spot (in leg order), their sums, the first leg_error and fx_rate.
+
+    Aggregate and join are by study_id, so on a table bucketed by it nothing is shuffled, and what
+    a reader doesn't select isn't worked out. Studies without legs have null for all sums.
     """
-    r = resolve_legs(studies, legs, prices)
+    r = resolved_legs(studies, prices)
     sums = r.groupBy("study_id").agg(
         F.count("*").alias("n_legs"), F.count_if("supported").alias("n_supported"), F.sum("delta_revenue").alias("delta_revenue"), F.sum("deck_revenue").alias("total_revenue"),
         F.sum(F.when(F.col("supported"), F.col("deck_revenue")).otherwise(0.0)).alias("supported_revenue"),
         F.min_by("leg_error", F.when(F.col("leg_error").isNotNull(), F.col("leg"))).alias("leg_error"),
         F.array_sort(F.collect_list(F.struct("leg", *[c for c in r.columns if c not in ("study_id", "leg")]))).alias("legs"),
     )
-    return studies.join(sums, "study_id", "left").withColumn("fx_rate", F.try_element_at(_quotes(prices), F.lit(FX))["price_usd"])
+    return studies.drop("raw_legs").join(sums, "study_id", "left").withColumn("fx_rate", F.try_element_at(_quotes(prices), F.lit(FX))["price_usd"])
+
+
+def priced_studies(studies: DataFrame, legs: DataFrame, prices: DataFrame) -> DataFrame:
+    """priced of studies and their legs."""
+    return priced(with_legs(studies, legs), prices)
 
 
 def leg_rows(priced: DataFrame) -> DataFrame:
@@ -83,18 +109,23 @@ def coverage(priced: DataFrame) -> DataFrame:
 
 
 def project_facts(projects: DataFrame, project_commodities: DataFrame, resources: DataFrame) -> DataFrame:
-    """What the revaluation needs of each project: project_id, stage, production_start_date, n_commodities (declared or in resources) and primary_commodity (the smallest of several). One aggregate and one join, both by project_id."""
+    """What the revaluation needs of each project: project_id, stage, production_start_date, n_commodities (declared or in resources) and primary_commodity (the smallest of several). A project's rows are reduced to one a metal before they are shuffled."""
     metals = project_commodities.select("project_id", "commodity", "is_primary").union(resources.select("project_id", "commodity", F.lit(False)))
-    metals = metals.groupBy("project_id").agg(F.size(F.collect_set("commodity")).alias("n_commodities"), F.min(F.when(F.col("is_primary"), F.col("commodity"))).alias("primary_commodity"))
+    metals = metals.groupBy("project_id", "commodity").agg(F.bool_or("is_primary").alias("is_primary"))
+    metals = metals.groupBy("project_id").agg(F.count("commodity").cast("int").alias("n_commodities"), F.min(F.when(F.col("is_primary"), F.col("commodity"))).alias("primary_commodity"))
     return projects.select("project_id", "stage", "production_start_date").join(metals, "project_id", "left")
 
 
-def gated(priced: DataFrame, places: DataFrame, as_of: Column) -> DataFrame:
-    """priced with stage, tier, elapsed, life and reason: the first that forbids a revaluation (null: none). places has a row for each project, as of project_facts; without its commodities none are counted."""
+def placed(studies: DataFrame, places: DataFrame) -> DataFrame:
+    """studies with what is known of their projects: places has a row for each, as of project_facts; without its commodities none are counted. known is null for other projects' studies."""
     columns = [c for c in ("n_commodities", "primary_commodity") if c in places.columns]
-    place = places.select("project_id", "stage", "production_start_date", *columns, F.lit(True).alias("known"))
+    return studies.join(places.select("project_id", "stage", "production_start_date", *columns, F.lit(True).alias("known")), "project_id", "left")
+
+
+def gated(priced: DataFrame, places: DataFrame | None, as_of: Column) -> DataFrame:
+    """priced with stage, tier, elapsed, life and reason: the first that forbids a revaluation (null: none). Without places, priced must be placed already."""
     tier = v.effective_tier(F.col("study_confidence_tier"), F.col("study_stage"))
-    s = priced.join(place, "project_id", "left").withColumns({"tier": tier, "elapsed": v.elapsed_years(F.col("production_start_date"), as_of)})
+    s = (priced if places is None else placed(priced, places)).withColumns({"tier": tier, "elapsed": v.elapsed_years(F.col("production_start_date"), as_of)})
     s = s.withColumn("life", v.remaining_life(F.col("mine_life_years"), F.col("elapsed")))
     needed = ("mine_life_years", "discount_rate_pct", "post_tax_npv", "reporting_currency")
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in needed]))
@@ -134,18 +165,23 @@ def tax_terms(raw: Column) -> tuple[Column, list[Column]]:
     return F.coalesce(v.tax_rate(raw), F.lit(v.DEFAULT_TAX_PCT)), [F.when(raw.isNull(), "tax_rate_defaulted_to_30.00pct")]
 
 
+def valued(passed: DataFrame) -> DataFrame:
+    """Studies that pass the gate with tax_used, annuity, coverage_pct and their value at spot (finalize_npv)."""
+    tax, _ = tax_terms(F.col("tax_rate_pct"))
+    s = passed.withColumns({"tax_used": tax, "annuity": F.when(F.col("life") > 0, v.annuity(F.col("discount_rate_pct"), F.col("life"))).otherwise(0.0), "coverage_pct": coverage_pct(F.col("total_revenue"), F.col("supported_revenue"))})
+    return s.withColumns(finalize_npv(F.col("delta_revenue"), F.col("annuity"), F.col("tax_used"), F.col("post_tax_npv"), F.col("reporting_currency"), F.col("fx_rate")))
+
+
 def revalue_basket(gated_studies: DataFrame, as_of: Column) -> DataFrame:
     """Net present value at spot of the studies that pass the gate, with warnings in a fixed order.
 
     With n_commodities a basket is told that lacks metals of its project. Numbers
     inside warnings are rounded; the columns hold them whole.
     """
-    tax, tax_default = tax_terms(F.col("tax_rate_pct"))
-    s = gated_studies.where("reason is null")
+    s = valued(gated_studies.where("reason is null"))
     s = s if "n_commodities" in s.columns else s.withColumn("n_commodities", F.lit(None).cast("long"))
-    s = s.withColumns({"tax_used": tax, "annuity": F.when(F.col("life") > 0, v.annuity(F.col("discount_rate_pct"), F.col("life"))).otherwise(0.0), "coverage_pct": coverage_pct(F.col("total_revenue"), F.col("supported_revenue"))})
+    _, tax_default = tax_terms(F.col("tax_rate_pct"))
     npv = F.col("post_tax_npv")
-    s = s.withColumns(finalize_npv(F.col("delta_revenue"), F.col("annuity"), F.col("tax_used"), npv, F.col("reporting_currency"), F.col("fx_rate")))
     pct = F.when(npv == 0, 0.0).otherwise(F.col("delta_npv") / F.abs(npv))
     produces = F.col("elapsed").isNotNull()
     age = F.datediff(as_of, F.col("study_date")) / 365.25

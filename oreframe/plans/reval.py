@@ -52,29 +52,51 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
     return prices.latest_price(view(s, d, "commodity_prices"), now())
 
 
-def _fact(s: SparkSession, d: str, name: str, key: str, *tables: str, rows=None, folder_by: str | None = None) -> DataFrame:
-    return facts.loaded(s, name, [f"{d}/{t}.parquet" for t in tables], key, rows or (lambda: view(s, d, name)), folder_by=folder_by)
+#: What the revaluation reads of a study.
+STUDY = (
+    "study_id", "project_id", "company_id", "study_date", "study_stage", "study_confidence_tier", "header_tier", "mine_life_years", "discount_rate_pct", "tax_rate_pct", "post_tax_npv", "reporting_currency", "needs_review", "review_reason", "assumed_price_deck",
+)
 
 
 def _studies(s: SparkSession, d: str) -> DataFrame:
-    return _fact(s, d, "studies", "study_id", "orders")
+    return view(s, d, "studies")
 
 
 def _legs(s: SparkSession, d: str) -> DataFrame:
-    return _fact(s, d, "study_commodities", "study_id", "lineitem")
+    return view(s, d, "study_commodities")
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    return revaluation.project_facts(view(s, d, "projects"), view(s, d, "project_commodities"), view(s, d, "resources"))
+
+
+def _study_facts(s: SparkSession, d: str) -> DataFrame:
+    """Studies with raw_legs and what is known of their projects. Written once: orders and lineitem are dealt by study before their views' wide columns, and only keys go by project and back."""
+    paths = [f"{d}/{t}.parquet" for t in ("orders", "lineitem")]
+
+    def rows() -> DataFrame:
+        n = facts.parts(s, paths)
+        place = revaluation.placed(_studies(s, d).select("study_id", "project_id"), _places(s, d))
+        place = place.repartition(n, "study_id").groupBy("study_id").agg(F.collect_set(F.struct(*[c for c in place.columns if c != "study_id"])).alias("_places"))
+        studies = view(s, d, "studies", (n, "o_orderkey")).select(*STUDY)
+        own = F.get(F.filter("_places", lambda p: p["project_id"].eqNullSafe(F.col("project_id"))), F.lit(0))
+        out = revaluation.with_legs(studies, view(s, d, "study_commodities", (n, "l_orderkey"))).join(place, "study_id", "left").withColumn("_place", own)
+        return out.select(*[c for c in STUDY if c != "assumed_price_deck"], "raw_legs", *[F.col(f"_place.{c}").alias(c) for c in ("stage", "production_start_date", "n_commodities", "primary_commodity", "known")])
+
+    return facts.loaded(s, "study_facts", paths, "study_id", rows, dealt=True)
 
 
 def _priced(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.priced_studies(_studies(s, d), _legs(s, d), _latest(s, d))
+    return revaluation.priced(_study_facts(s, d), _latest(s, d))
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.resolve_legs(_studies(s, d), _legs(s, d), _latest(s, d))
+    return revaluation.resolved_legs(_study_facts(s, d), _latest(s, d))
 
 
 def _gated(s: SparkSession, d: str, priced: DataFrame | None = None) -> DataFrame:
-    places = lambda: revaluation.project_facts(view(s, d, "projects"), view(s, d, "project_commodities"), view(s, d, "resources"))
-    return revaluation.gated(_priced(s, d) if priced is None else priced, _fact(s, d, "project_facts", "project_id", "orders", "lineitem", rows=places), day())
+    priced = _priced(s, d) if priced is None else priced
+    return revaluation.gated(priced, None if "known" in priced.columns else _places(s, d), day())
 
 
 def _basket(s: SparkSession, d: str, priced: DataFrame | None = None) -> DataFrame:
@@ -172,16 +194,13 @@ def revaluation_legs(s: SparkSession, d: str) -> DataFrame:
     return out.select("study_id", "leg", "commodity", "supported", rounded("price_dfs", 6).alias("price_dfs"), "price_spot", "price_spot_id", "delta_revenue_annual_usd", rounded("dfs_metal_revenue_usd", 2).alias("dfs_metal_revenue_usd"))
 
 
-def _moved_by(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Studies and legs, indexed by the quotes that move them."""
-    index = lambda name, rows: _fact(s, d, name, "study_id", "orders", "lineitem", rows=lambda: refresh.by_mover(rows, refresh.movers(_studies(s, d), _legs(s, d))), folder_by="mover")
-    return index("studies_by_mover", _studies(s, d)), index("legs_by_mover", _legs(s, d))
-
-
 def recomputed(s: SparkSession, d: str, moved: list[str], quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(revaluations of the studies that moved quotes concern, these studies)."""
-    studies, legs = (refresh.of_moved(x, moved) for x in _moved_by(s, d))
-    return revaluation.revaluation_rows(_basket(s, d, revaluation.priced_studies(studies, legs, quotes))), studies
+    paths = [f"{d}/{t}.parquet" for t in ("orders", "lineitem")]
+    index = facts.loaded(s, "studies_by_mover", paths, "study_id", lambda: refresh.by_mover(_study_facts(s, d)), folder_by="mover", dealt=True)
+    concerned = refresh.of_moved(index, moved)
+    studies = _study_facts(s, d).join(concerned, "study_id", "left_semi")
+    return revaluation.revaluation_rows(_basket(s, d, revaluation.priced(studies, quotes))), concerned
 
 
 @query(f"""with {BASKET}, primaries as (select project_id, min(commodity) as pc from project_commodities where is_primary group by project_id),
@@ -191,7 +210,7 @@ def price_refresh(s: SparkSession, d: str) -> DataFrame:
     """Revaluations at quotes of which those of copper and the exchange rate are two weeks old, brought up to date; the SQL computes everything anew."""
     late = F.col("commodity").isin("Cu", "AUDUSD") & (F.col("fetched_at") > F.lit("2024-01-15").cast("timestamp"))
     old, new = prices.latest_price(view(s, d, "commodity_prices").where(~late), now()), _latest(s, d)
-    stored = revaluation.revaluation_rows(_basket(s, d, revaluation.priced_studies(_studies(s, d), _legs(s, d), old)))
+    stored = revaluation.revaluation_rows(_basket(s, d, revaluation.priced(_study_facts(s, d), old)))
     out = refresh.refreshed(stored, *recomputed(s, d, refresh.moved_quotes(old, new), new))
     return out.select("study_id", "commodity", "price_spot", "price_spot_id", "fx_rate", rounded("npv_spot", 2).alias("npv_spot"), rounded("npv_uplift", 2).alias("npv_uplift"))
 
