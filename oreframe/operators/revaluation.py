@@ -12,6 +12,8 @@ from .common import top
 
 FX = "AUDUSD"
 STALE_YEARS = 3
+#: Reasons that lie in what a study is or lacks: its tier, fields, currency or metals.
+UNFIT = "^(not_revaluable|missing_fields|reporting_currency|no_study)"
 
 
 def _quotes(prices: DataFrame) -> Column:
@@ -281,10 +283,14 @@ def backfill_candidates(studies: DataFrame, revals: DataFrame, companies: DataFr
     return (s.where(F.col("ticker") == ticker) if ticker else s).select("study_id", "ticker", "study_date").orderBy("ticker", "study_id")
 
 
-def sweep_stats(gated_studies: DataFrame) -> DataFrame:
-    """Outcomes of a sweep in one row: every refusal is an error, and a study that passes is refreshed; none is skipped."""
-    ok = F.col("reason").isNull()
-    return gated_studies.agg(F.count("*").alias("total"), F.count_if(ok).alias("refreshed"), F.lit(0).cast("long").alias("skipped"), F.count_if(~ok).alias("errors"))
+def sweep_stats(gated_studies: DataFrame, kinds: bool = False) -> DataFrame:
+    """Outcomes of a sweep in one row: every refusal is an error, and a study that passes is refreshed; none is skipped.
+
+    kinds also parts the errors into unfit (UNFIT) and failed (all others: numbers, exchange rate, spot prices).
+    """
+    ok, unfit = F.col("reason").isNull(), F.col("reason").rlike(UNFIT)
+    parted = [F.count_if(unfit).alias("unfit"), F.count_if(~ok & ~unfit).alias("failed")] if kinds else []
+    return gated_studies.agg(F.count("*").alias("total"), F.count_if(ok).alias("refreshed"), F.lit(0).cast("long").alias("skipped"), F.count_if(~ok).alias("errors"), *parted)
 
 
 def reval_summary(studies: DataFrame, revals: DataFrame, companies: DataFrame, projects: DataFrame) -> DataFrame:

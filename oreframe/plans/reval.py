@@ -228,9 +228,9 @@ def backfill_candidates(s: SparkSession, d: str) -> DataFrame:
     return revaluation.backfill_candidates(view(s, d, "studies"), view(s, d, "revals"), view(s, d, "companies"))
 
 
-@query(f"with {GATED} select count(*) as total, count(*) filter (where reason is null) as refreshed, cast(0 as bigint) as skipped, count(*) filter (where reason is not null) as errors from gated")
+@query(f"with {GATED} select count(*) as total, count(*) filter (where reason is null) as refreshed, cast(0 as bigint) as skipped, count(*) filter (where reason is not null) as errors, count(*) filter (where regexp_matches(reason, '^(not_revaluable|missing_fields|reporting_currency|no_study)')) as unfit, count(*) filter (where reason is not null and not regexp_matches(reason, '^(not_revaluable|missing_fields|reporting_currency|no_study)')) as failed from gated")
 def sweep_stats(s: SparkSession, d: str) -> DataFrame:
-    return revaluation.sweep_stats(_gated(s, d))
+    return revaluation.sweep_stats(_gated(s, d), kinds=True)
 
 
 @query(f"""with runs as (select s.company_id, s.project_id, s.study_id, r.commodity, price_dfs, price_spot, npv_spot, npv_uplift_pct, row_number() over (partition by s.company_id order by study_date desc nulls last, s.study_id desc, computed_at desc, revaluation_id desc) as k
