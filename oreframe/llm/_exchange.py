@@ -105,15 +105,58 @@ def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, value
     if not len(part):
         return
     at = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")
-    part, doc, place = part[at], doc[at], place[at]
+    part, doc, place = part[at], doc[at], place[at].astype(np.int64, copy=False)
     values = [v[at] for v in values]
-    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        d, p = doc[a:b], place[a:b]
-        run = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] < p[:-1]))))
-        gap = np.diff(p, prepend=0)
-        gap[run] = p[run]
-        yield message(int(part[a]), kind, d[run], _narrow(np.diff(run, append=b - a)), (gap & 255).astype(np.uint8), _narrow(gap >> 8), *(v[a:b] for v in values))
+    cut = np.concatenate(([True], part[1:] != part[:-1]))
+    new = cut | np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] < place[:-1])))
+    run = np.flatnonzero(new)
+    length = np.diff(run, append=len(part))
+    doc = doc[run]
+    gap = np.where(new, place, np.diff(place, prepend=0))
+    low, high = (gap & 255).astype(np.uint8), gap >> 8
+    cut = np.append(np.flatnonzero(cut), len(part))
+    of = np.searchsorted(run, cut).tolist()
+    part, cut = part[cut[:-1]].tolist(), cut.tolist()
+    for i, to in enumerate(part):
+        a, b, c, d = cut[i], cut[i + 1], of[i], of[i + 1]
+        yield message(to, kind, doc[c:d], _narrow(length[c:d]), low[a:b], _narrow(high[a:b]), *(v[a:b] for v in values))
+
+
+#: Bytes of entries that a task holds before it makes messages of them.
+HELD_BYTES = 48 << 20
+
+
+class Outbox:
+    """Entries of a task's chunks, held and packed together: a message for each part costs some 300 bytes and
+    its making, so one for each chunk and part would hold ever fewer entries as parts grow in number."""
+
+    def __init__(self, parts: int, limit: int | None = None):
+        self.parts, self.limit = parts, HELD_BYTES if limit is None else limit
+        self.held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.size = 0
+
+    def put(self, kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values: list[np.ndarray] = []) -> Iterator[tuple[int, int, bytes]]:  # noqa: B006
+        """As pack, but messages come only when enough is held."""
+        if not len(part):
+            return
+        entry = part, doc, place.astype(np.uint32), *values
+        self.held.setdefault(kind, []).append(entry)
+        self.size += sum(x.nbytes for x in entry)
+        if self.size > self.limit:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[int, int, bytes]]:
+        """Messages of all that is held."""
+        while self.held:
+            kind, entries = self.held.popitem()
+            columns = []
+            for x in zip(*entries, strict=True):
+                columns.append(np.concatenate(x))
+            del entries, x
+            part, doc, place, *values = columns
+            del columns
+            yield from pack(self.parts, kind, part, doc, place, values)
+        self.size = 0
 
 
 def unpack(bodies: list[bytes]) -> list[np.ndarray]:
@@ -169,20 +212,26 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: Bytes of texts that a task deals out at once.
+SENT_BYTES = 32 << 20
+
+
 def send_texts(parts: int) -> Callable:
     """Texts to their documents' partitions, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
             option = pa.ipc.IpcWriteOptions(compression="zstd")
-            for batch in tx.chunks(batches, limit=16 << 20):
+            for batch in tx.gathered(tx.chunks(batches, limit=SENT_BYTES), limit=SENT_BYTES):
                 part = id_part(batch.column(0).to_numpy(), parts)
                 at = np.argsort(part, kind="stable")
-                for own in np.split(at, np.flatnonzero(np.diff(part[at])) + 1):
+                batch, part = batch.take(pa.array(at)), part[at]
+                cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, batch.schema, options=option) as w:
-                        w.write_batch(batch.take(pa.array(own)))
-                    yield int(part[own[0]]), TEXT, sink.getvalue().to_pybytes()
+                        w.write_batch(batch.slice(a, b - a))
+                    yield int(part[a]), TEXT, sink.getvalue().to_pybytes()
 
         yield from record_batches(messages())
 
@@ -214,16 +263,18 @@ class Inbox:
             first, _ = tx.groups(doc)
             self.found[kind] = doc[first], np.append(first, len(doc)), place
 
-    def places(self, kind: int, doc_id: int) -> np.ndarray:
+    def places(self, kind: int, doc_ids: np.ndarray) -> list[np.ndarray]:
+        """The places of each of doc_ids."""
+        none = np.empty(0, np.int64)
         if kind not in self.found:
-            return np.empty(0, np.int64)
+            return [none] * len(doc_ids)
         ids, first, place = self.found[kind]
-        i = int(np.searchsorted(ids, doc_id))
-        return place[first[i] : first[i + 1]] if i < len(ids) and ids[i] == doc_id else np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(ids, doc_ids), len(ids) - 1)
+        return [place[a:b] if ok else none for a, b, ok in zip(first[at].tolist(), first[at + 1].tolist(), (ids[at] == doc_ids).tolist(), strict=True)]
 
     def chunks(self) -> Iterator[pa.RecordBatch]:
-        for body in self.texts:
-            yield from tx.chunks(read_text(body))
+        """The texts, of as many senders together as make up a chunk: the more parts, the less a sender has for each."""
+        yield from tx.chunks(tx.gathered(x for body in self.texts for x in read_text(body)))
 
 
 #: Most partitions of an exchange.

@@ -186,6 +186,22 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at, done = to, int(size[to - 1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, neighbours put together while their texts have at most limit bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Of n places, whether one of the spans start:start + width covers them."""
     edge = np.zeros(n + 1, np.int32)

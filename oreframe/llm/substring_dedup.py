@@ -35,11 +35,14 @@ ANCHORS, WINDOWS = ex.PLACES, ex.PLACES + 10
 def _probe(window: int, block: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
+            out = ex.Outbox(parts)
             for batch in tx.chunks(batches):
                 words = tx.split(batch.column(1), tx.BLANK_SEPARATED)
                 h = tx.windows(words.hashes(), block)
                 doc = words.doc[: len(h)]
                 at = np.flatnonzero(words.inside(block) & (words.counts >= window)[doc])
+                if not len(at):
+                    continue
                 h, doc = h[at], doc[at]
                 place = at - words.first[doc]
                 ids = batch.column(0).to_numpy()[doc]
@@ -53,8 +56,9 @@ def _probe(window: int, block: int, parts: int) -> Callable:
                 settled[o] = here[group]
                 send = ~settled
                 send[o[anchor[here]]] = True
-                yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(h[send], parts), ids[send], place[send], [h[send].astype(np.uint32)])
-                yield from ex.pack(parts, ANCHORS, ex.id_part(ids[settled], parts), ids[settled], place[settled])
+                yield from out.put(ex.ENTRIES, ex.hash_part(h[send], parts), ids[send], place[send], [h[send].astype(np.uint32)])
+                yield from out.put(ANCHORS, ex.id_part(ids[settled], parts), ids[settled], place[settled])
+            yield from out.rest()
 
         yield from ex.record_batches(messages())
 
@@ -92,9 +96,9 @@ def _match_anchors(block: int, parts: int) -> Callable:
 def _extend(window: int, block: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
-            inbox = ex.Inbox(batches)
+            inbox, out = ex.Inbox(batches), ex.Outbox(parts)
             for batch in inbox.chunks():
-                found = [inbox.places(ANCHORS, d) for d in batch.column(0).to_pylist()]
+                found = inbox.places(ANCHORS, batch.column(0).to_numpy())
                 batch = batch.filter(pa.array([len(x) > 0 for x in found]))
                 found = [x for x in found if len(x)]
                 if not found:
@@ -116,8 +120,9 @@ def _extend(window: int, block: int, parts: int) -> Callable:
                     continue
                 repeat = np.zeros(len(o), bool)
                 repeat[o] = ids[o] > np.minimum.reduceat(ids[o], first)[group]
-                yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(h[~repeat], parts), ids[~repeat], place[~repeat], [h[~repeat]])
-                yield from ex.pack(parts, WINDOWS, ex.id_part(ids[repeat], parts), ids[repeat], place[repeat])
+                yield from out.put(ex.ENTRIES, ex.hash_part(h[~repeat], parts), ids[~repeat], place[~repeat], [h[~repeat]])
+                yield from out.put(WINDOWS, ex.id_part(ids[repeat], parts), ids[repeat], place[repeat])
+            yield from out.rest()
 
         yield from ex.record_batches(messages())
 
@@ -147,9 +152,8 @@ def _cut(window: int, with_text: bool) -> Callable:
         inbox = ex.Inbox(batches)
         for batch in inbox.chunks():
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), inbox.places(WINDOWS, batch.column(0).to_numpy()), strict=True):
                 words = (text or "").encode().split()
-                places = inbox.places(WINDOWS, doc_id)
                 spans, kept = [], words
                 if len(places):
                     gone = tx.covered(places, window, len(words))

@@ -250,7 +250,7 @@ def _shard(length: int, parts: int) -> Callable:
                     doc = np.repeat(ids, np.diff(first))
                     yield from ex.pack(parts, kind, ex.id_part(doc, parts), doc, place)
             for batch in inbox.chunks():
-                found = [inbox.places(OPEN, d) for d in batch.column(0).to_pylist()]
+                found = inbox.places(OPEN, batch.column(0).to_numpy())
                 batch = batch.filter(pa.array([len(x) > 0 for x in found]))
                 found = [x for x in found if len(x)]
                 for piece in tx.chunks(iter([batch]), limit=SHARD_BYTES) if found else []:
@@ -329,10 +329,10 @@ def _cut(length: int, with_text: bool) -> Callable:
         inbox = ex.Inbox(batches)
         for batch in inbox.chunks():
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            places = [inbox.places(kind, batch.column(0).to_numpy()) for kind in (SETTLED, STARTS, NEAR)]
+            for doc_id, text, anchors, starts, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *places, strict=True):
                 raw = (text or "").encode()
-                anchors, starts = inbox.places(SETTLED, doc_id), inbox.places(STARTS, doc_id)
-                shared = len(np.union1d(anchors, inbox.places(NEAR, doc_id)))
+                shared = len(np.union1d(anchors, near)) if len(anchors) and len(near) else len(anchors) + len(near)
                 spans, kept = [], raw
                 if len(anchors) or len(starts):
                     low, high = np.maximum(anchors - spread + 1, 0), np.minimum(anchors, len(raw) - length)
