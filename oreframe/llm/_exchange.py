@@ -101,7 +101,7 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """A message for each part with its entries. Places are stored as gaps."""
+    """A message for each part with its entries. Places are stored as gaps, and ids too where that takes fewer bytes."""
     if not len(part):
         return
     at = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")
@@ -112,6 +112,8 @@ def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, value
     run = np.flatnonzero(new)
     length = np.diff(run, append=len(part))
     doc = doc[run]
+    step = np.diff(doc.astype(np.int64, copy=False))
+    step = ((step << 1) ^ (step >> 63)).view(np.uint64)  # small where ids are close, whichever is larger
     gap = np.where(new, place, np.diff(place, prepend=0))
     low, high = (gap & 255).astype(np.uint8), gap >> 8
     cut = np.append(np.flatnonzero(cut), len(part))
@@ -119,7 +121,10 @@ def _pack(kind: int, part: np.ndarray, doc: np.ndarray, place: np.ndarray, value
     part, cut = part[cut[:-1]].tolist(), cut.tolist()
     for i, to in enumerate(part):
         a, b, c, d = cut[i], cut[i + 1], of[i], of[i + 1]
-        yield message(to, kind, doc[c:d], _narrow(length[c:d]), low[a:b], _narrow(high[a:b]), *(v[a:b] for v in values))
+        ids = doc[c:d]
+        if d - c > 1 and (most := step[c : d - 1].max()) < 1 << 32:
+            ids = int(doc[c]), step[c : d - 1].astype(np.min_scalar_type(most))
+        yield message(to, kind, ids, _narrow(length[c:d]), low[a:b], _narrow(high[a:b]), *(v[a:b] for v in values))
 
 
 #: Bytes of entries that a task holds before it makes messages of them.
@@ -165,6 +170,9 @@ def unpack(bodies: list[bytes]) -> list[np.ndarray]:
     for i, body in enumerate(bodies):
         doc, n, low, high, *values = pickle.loads(body)  # noqa: S301
         bodies[i] = b""
+        if isinstance(doc, tuple):
+            step = doc[1].astype(np.int64)
+            doc = np.cumsum(np.concatenate(([doc[0]], (step >> 1) ^ -(step & 1))))
         run = np.cumsum(n, dtype=np.int64) - n
         gap = low.astype(np.int64) | (high.astype(np.int64) << 8)
         total = np.cumsum(gap)

@@ -102,12 +102,22 @@ def _sliding(h: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
     return out
 
 
+#: Values of which minima are sought at once: few enough for the processor's cache.
+MINIMA_BLOCK = 1 << 15
+
+
 def minima(h: np.ndarray, w: int) -> np.ndarray:
     """Places of h that hold the minimum of some window of w values; ties keep every place. All places if there are fewer than w."""
     if len(h) < w:
         return np.arange(len(h))
     pad = np.zeros(w - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate((pad, _sliding(h, w, np.minimum), pad)), w, np.maximum) == h)
+    step, out = max(MINIMA_BLOCK, 4 * w), []
+    for a in range(0, len(h), step):
+        low = max(0, a - w + 1)
+        own = h[low : a + step + w - 1]  # every window that holds one of the step places
+        held = _sliding(np.concatenate((pad, _sliding(own, w, np.minimum), pad)), w, np.maximum) == own
+        out.append(np.flatnonzero(held[a - low : a - low + step]) + a)
+    return np.concatenate(out)
 
 
 def groups(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -126,6 +126,7 @@ def _anchors(length: int, shortest: int, parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
+            out = ex.Outbox(parts)
             for batch in tx.chunks(batches):
                 data, starts = tx.joined(batch.column(1))
                 ends = starts[1:] - 1
@@ -152,9 +153,10 @@ def _anchors(length: int, shortest: int, parts: int) -> Callable:
                 send = np.zeros(len(o), bool)
                 send[o[first]] = True
                 marks = (around << np.uint64(2)) | (whole.astype(np.uint64) << np.uint64(1)) | twin.astype(np.uint64)
-                yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(near[send], parts), ids[send], place[send], [near[send], core[send], marks[send]])
+                yield from out.put(ex.ENTRIES, ex.hash_part(near[send], parts), ids[send], place[send], [near[send], core[send], marks[send]])
                 for kind, m in ((SETTLED, twin & whole), (NEAR, twin & ~whole)):
-                    yield from ex.pack(parts, kind, ex.id_part(ids[m], parts), ids[m], place[m])
+                    yield from out.put(kind, ex.id_part(ids[m], parts), ids[m], place[m])
+            yield from out.rest()
 
         yield from ex.record_batches(messages())
 
@@ -244,7 +246,7 @@ def _shard(length: int, parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def messages() -> Iterator[tuple[int, int, bytes]]:
-            inbox = ex.Inbox(batches)
+            inbox, out = ex.Inbox(batches), ex.Outbox(parts)
             for kind, (ids, first, place) in inbox.found.items():
                 if kind != OPEN:
                     doc = np.repeat(ids, np.diff(first))
@@ -269,10 +271,11 @@ def _shard(length: int, parts: int) -> Callable:
                     several, one = repeats_in_shard(data, at, length)
                     ids = piece.column(0).to_numpy()
                     doc = np.searchsorted(begin, several, "right") - 1
-                    yield from ex.pack(parts, STARTS, ex.id_part(ids[doc], parts), ids[doc], several - begin[doc])
+                    yield from out.put(STARTS, ex.id_part(ids[doc], parts), ids[doc], several - begin[doc])
                     h = tx.span_hashes(data, one, one + length)
                     doc = np.searchsorted(begin, one, "right") - 1
-                    yield from ex.pack(parts, ex.ENTRIES, ex.hash_part(h, parts), ids[doc], one - begin[doc], [h])
+                    yield from out.put(ex.ENTRIES, ex.hash_part(h, parts), ids[doc], one - begin[doc], [h])
+            yield from out.rest()
 
         yield from ex.record_batches(messages())
 

@@ -8,11 +8,13 @@ import pytest
 from oreframe.llm import _exchange as ex
 from oreframe.llm import _text as tx
 from oreframe.llm import substring_dedup as words
+from oreframe.llm import suffix_dedup as strings
 
 PARTS = ex.Parts(4)
 #: The first step, the others, how many of them are before the one that reads texts and sends entries, and kinds that a step sends.
 OPERATORS = {
     "op1": (words._probe(13, 7, PARTS), [words._match_anchors(7, PARTS), words._extend(13, 7, PARTS), words._match_windows(PARTS), words._cut(13, True)], 2),
+    "op5": (strings._anchors(60, 38, PARTS), [strings._compare_anchors(PARTS), strings._shard(60, PARTS), strings._merge(PARTS), strings._cut(60, True)], 3),
 }
 
 
@@ -67,6 +69,21 @@ def test_little_is_held(operator, monkeypatch):
     assert again == rows and many[0] > few[0]
 
 
+def test_ids_as_gaps():
+    top = np.iinfo(np.int64).max
+    close, far = [5, 6, 6, 9, 3, 300, -4, -4, 70_000], [top, 0, -top - 1, top, 7, 7, top - 1, top]
+    for ids in (close, far, close + far, [top], [top, top - 3], [1 << 40, (1 << 40) + 1]):
+        doc, n = np.repeat(np.array(ids), 2), 2 * len(ids)
+        for part in (np.zeros(n, np.int32), np.arange(n, dtype=np.int32) % 3):
+            made = [body for _, _, body in ex.pack(ex.Parts(3), ex.PLACES, part, doc, np.tile([1, 70_000], len(ids)), [np.arange(n)])]
+            got, place, number = ex.unpack(made)
+            assert got.dtype == np.int64 and sorted(zip(number.tolist(), got.tolist(), place.tolist(), strict=True)) == [(i, int(d), [1, 70_000][i % 2]) for i, d in enumerate(doc)]
+    # a document of an entry each: its id costs a byte, not eight
+    n = 5_000
+    made = list(ex.pack(ex.Parts(1), ex.ENTRIES, np.zeros(n, np.int32), np.arange(n) * 3 + (1 << 50), np.zeros(n, np.int64), [np.zeros(n, np.uint32)]))
+    assert len(made[0][2]) < 9 * n
+
+
 def test_outbox():
     out, want, got = ex.Outbox(ex.Parts(3), limit=400), [], []
     r = np.random.default_rng(2)
@@ -82,6 +99,16 @@ def test_outbox():
     assert sorted(zip(doc.tolist(), place.tolist(), h.tolist(), strict=True)) == sorted(want)
 
 
+def test_minima_in_blocks(monkeypatch):
+    r = np.random.default_rng(1)
+    monkeypatch.setattr(tx, "MINIMA_BLOCK", 1)
+    for n in (0, 1, 4, 5, 19, 20, 21, 24, 25, 300):
+        for w, top in ((1, 3), (5, 3), (5, 1 << 62), (66, 9)):
+            h = r.integers(0, top, n).astype(np.uint64)
+            want = [i for i in range(n) if n < w or any(h[i] == h[a : a + w].min() for a in range(max(0, i - w + 1), min(i, n - w) + 1))]
+            assert tx.minima(h, w).tolist() == want
+
+
 def test_gathered():
     all_batches = batches(9)
     for limit in (0, 300, 1 << 20):
